@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -34,10 +35,23 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with releasing(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def releasing(spark: SparkSession):
+    """Shuffle files of the queries inside go as soon as each ends; their results are written tables."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def forget(spark: SparkSession, *paths: str) -> None:
     """Deletes tables that written() made and nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

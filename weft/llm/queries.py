@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import byte_bpe, decontaminate, near_duplicates, personal_data, toxicity
-from weft.llm.common import fold, table
+from weft.llm import byte_bpe, decontaminate, edit_counts, interpolated_lm, media_chunks, near_duplicates, personal_data, secrets, toxicity, warc
+from weft.llm.common import fold, table, written
 
 
 def tokenizer_file() -> str:
@@ -21,14 +21,37 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.count_edits(edit_counts.release_edits(table(spark, sf_dir, "documents")), tokenizer_file(), split_pattern())
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digests(personal_data.find(table(spark, sf_dir, "documents")))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find(table(spark, sf_dir, "documents")))
+
+
+def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.features_of(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    stored, _ = written(warc.archives(pages), "warc")
+    as_id = lambda c: F.col(c).cast(pages.schema["page_id"].dataType)
+    return warc.records(stored).select(F.when(F.col("record_id") != "", as_id("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file(), split_pattern())
 
@@ -45,5 +68,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_personal_data, op8_byte_bpe, op9_toxicity, op10_near_duplicates)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_interpolated_lm, op2_decontaminate, op3_edit_counts, op4_personal_data, op5_secrets,
+        op6_media_chunks, op7_warc, op8_byte_bpe, op9_toxicity, op10_near_duplicates,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
