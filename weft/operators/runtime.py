@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
+from weft.operators.shared import kept
 
 ROW_LIMIT = 200
 AUDIT_RING = 1000
-JSON_DEPTH = 8
+JSON_DEPTH = 6
 SCOPE_KEY = "materialNumber"
 
 CELL = "map<string,string>"
@@ -23,33 +24,27 @@ def json_leaves(docs: DataFrame, column: str, scope_key: str = SCOPE_KEY, depth:
     Sensitive members are left out, nulls stay, empty containers give nothing.
     """
     keys = [c for c in docs.columns if c != column]
-    level = docs.select(*keys, F.lit("").alias("path"), F.lit(None).cast("string").alias("scope"), F.array().cast("array<int>").alias("ord"), F.col(column).alias("json"), F.lit(False).alias("in_array"))
-    leaves = []
+    kind = F.schema_of_variant(F.try_parse_json(F.col(column)))
+    rows = docs.select(*keys, F.lit("").alias("path"), F.lit(None).cast("string").alias("scope"), F.array().cast("array<int>").alias("ord"), F.col(column).alias("raw"), kind.alias("kind"), F.lit(False).alias("in_array"))
+    entry = "array<struct<key:string,raw:string,kind:string>>"
     for _ in range(depth):
-        kind = F.schema_of_variant(F.try_parse_json("json"))
-        level = level.withColumn("kind", kind)
-        objects = level.where(F.col("kind").startswith("OBJECT"))
-        named = F.from_json("json", CELL)
-        own_scope = F.element_at(named, F.lit(scope_key))
-        typed = F.from_json("json", "map<string,variant>")
-        scope = F.when(F.col("in_array") & own_scope.isNotNull() & (F.schema_of_variant(F.element_at(typed, F.lit(scope_key))) == "STRING"), own_scope).otherwise(F.col("scope"))
-        members = objects.select(*keys, "path", scope.alias("scope"), "ord", typed.alias("typed"), F.posexplode(named).alias("pos", "key", "raw")).where(~T.is_sensitive(F.col("key")))
-        below = members.select(
-            *keys, F.concat_ws(".", F.nullif("path", F.lit("")), "key").alias("path"), "scope", F.concat("ord", F.array("pos")).alias("ord"),
-            F.schema_of_variant(F.element_at("typed", F.col("key"))).alias("kind"), "raw", F.lit(False).alias("in_array"),
-        )
-        arrays = level.where(F.col("kind").startswith("ARRAY"))
-        items = arrays.select(*keys, "path", "scope", "ord", F.from_json("json", "array<variant>").alias("typed"), F.posexplode(F.from_json("json", "array<string>")).alias("pos", "raw"))
-        inside = items.select(*keys, "path", "scope", F.concat("ord", F.array("pos")).alias("ord"), F.schema_of_variant(F.get("typed", F.col("pos"))).alias("kind"), "raw", F.lit(True).alias("in_array"))
-        children = below.union(inside)
-        container = F.coalesce(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY"), F.lit(False))
-        value = F.when(F.coalesce("kind", F.lit("VOID")) == "VOID", F.lit("null")).when(F.col("kind") == "STRING", F.to_json(F.array("raw")).substr(F.lit(2), F.length(F.to_json(F.array("raw"))) - 2)).otherwise(F.col("raw"))
-        leaves.append(children.where(~container).select(*keys, "path", "scope", "ord", value.alias("value")))
-        level = children.where(container).select(*keys, "path", "scope", "ord", F.col("raw").alias("json"), "in_array")
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.union(more)
-    return out
+        is_object, is_array = F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False)), F.coalesce(F.col("kind").startswith("ARRAY"), F.lit(False))
+        named, typed = F.from_json("raw", CELL), F.from_json("raw", "map<string,variant>")
+        own = F.element_at(named, F.lit(scope_key))
+        own = F.when(is_object & F.col("in_array") & (F.schema_of_variant(F.element_at(typed, F.lit(scope_key))) == "STRING"), own)
+        members = F.transform(F.map_entries(named), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("raw"), F.schema_of_variant(F.element_at(typed, e["key"])).alias("kind")))
+        members = F.filter(members, lambda e: ~T.is_sensitive(e["key"]))
+        values = F.from_json("raw", "array<variant>")
+        items = F.transform(F.from_json("raw", "array<string>"), lambda e, i: F.struct(F.lit(None).cast("string").alias("key"), e.alias("raw"), F.schema_of_variant(F.get(values, i)).alias("kind")))
+        leaf = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("raw").alias("raw"), F.col("kind").alias("kind")))
+        below = F.when(is_object, members.cast(entry)).when(is_array, items.cast(entry)).when(F.size("ord") > 0, leaf.cast(entry))
+        rows = rows.select(*keys, "path", F.coalesce(own, "scope").alias("scope"), "ord", (is_object | is_array).alias("opened"), is_array.alias("was_array"), F.posexplode(below).alias("pos", "e")).select(
+            *keys, F.concat_ws(".", F.nullif("path", F.lit("")), "e.key").alias("path"), "scope", F.when(F.col("opened"), F.concat("ord", F.array("pos"))).otherwise(F.col("ord")).alias("ord"), "e.raw", "e.kind", "was_array",
+        ).withColumnRenamed("was_array", "in_array")
+    quoted = F.to_json(F.array("raw"))
+    value = F.when(F.coalesce("kind", F.lit("VOID")) == "VOID", F.lit("null")).when(F.col("kind") == "STRING", F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(F.col("raw"))
+    container = F.coalesce(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY"), F.lit(False))
+    return rows.where(~container).select(*keys, "path", "scope", "ord", value.alias("value"))
 
 
 def scoped(row: Column, row_key: Column, entity_key: Column) -> Column:
@@ -61,10 +56,10 @@ def scoped(row: Column, row_key: Column, entity_key: Column) -> Column:
 def result_rows(fixtures: DataFrame, column: str, limit: int = ROW_LIMIT) -> DataFrame:
     """(trace_id, entity_key, owner, duration, rows beyond the limit, and each row kept with its place, map and scope)."""
     each = fixtures.select("trace_id", "entity_key", F.explode(column).alias("owner", "r"))
-    kept = F.slice(F.col("r.rows"), 1, limit)
+    first = F.slice(F.col("r.rows"), 1, limit)
     return each.select(
         "trace_id", "entity_key", "owner", F.col("r.durationMs").alias("duration"), F.col("r.returnColumn").alias("return_column"), F.col("r.rowKey").alias("row_key"),
-        F.greatest(F.size("r.rows") - limit, F.lit(0)).alias("beyond"), kept.alias("rows"),
+        F.greatest(F.size("r.rows") - limit, F.lit(0)).alias("beyond"), first.alias("rows"),
     )
 
 
@@ -87,6 +82,7 @@ def bind(fixtures: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
     Sections in order: parameters by name; procedures by name, timing first, rows in order, columns by name; functions alike; response
     leaves in document order. Ids count within a trace.
     """
+    fixtures = kept(fixtures)
     no_scope, no_place = F.lit(None).cast("string"), F.array().cast("array<int>")
     row = lambda df, section, a, b, c, place, node, kind, value, scope, label: df.select("trace_id", F.lit(section).alias("s"), a.alias("a"), b.alias("b"), c.alias("c"), place.alias("place"), node.alias("node_id"), F.lit(kind).alias("evidence_type"), value.alias("value"), scope.alias("scope"), label.alias("label"))
     parameters = fixtures.select("trace_id", F.explode("systemParameters").alias("name", "value"))

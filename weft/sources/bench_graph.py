@@ -49,7 +49,10 @@ CASE event_type WHEN 'click' THEN 'ApiResponse' WHEN 'view' THEN 'QueryResult' E
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql with each {table} read from sf_dir."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
-    return spark.sql(sql, **used)
+    text = sql.replace("{", "{{").replace("}", "}}")
+    for t in used:
+        text = text.replace(f"{{{{{t}}}}}", f"{{{t}}}")
+    return spark.sql(text, **used)
 
 
 def plain(sql: str) -> str:
