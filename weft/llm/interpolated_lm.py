@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,14 +53,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def pack(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Compressed bytes of an array of whole numbers, byte plane by byte plane; of their steps if they ascend."""
+    if ascending:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, kind, ascending: bool = False) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    values = np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).reshape(-1)
+    return np.cumsum(values, dtype=kind) if ascending else values
+
+
 def slices(docs: DataFrame, slice_tokens: int = SLICE_TOKENS) -> DataFrame:
-    """Rows (slice, dev, ids, roles, sizes, vocabulary, tokens) of whole texts."""
+    """Rows (slice, ids, roles, sizes, vocabulary, tokens) of whole texts; slices of the deleted part have odd numbers."""
     kind = docs.schema["doc_id"].dataType
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind.simpleString(), pa.string())
     rest = fold(FOLDS)
     role = F.when(rest == TEST, HELD_OUT).when(rest == DELETED, DEV).otherwise(TRAIN)
     given = docs.select("doc_id", docs["text"].cast("string").alias("text"), role.alias("role"))
-    schema = pa.schema([("slice", pa.int64()), ("dev", pa.bool_()), ("ids", pa.list_(id_type)), ("roles", pa.binary()), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("tokens", pa.binary())])
+    schema = pa.schema([("slice", pa.int64()), ("ids", pa.list_(id_type)), ("roles", pa.binary()), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("tokens", pa.binary())])
 
     def run(batches):
         count, open_ = TaskContext.get().partitionId() << 24, {False: [], True: []}
@@ -85,10 +101,10 @@ def slices(docs: DataFrame, slice_tokens: int = SLICE_TOKENS) -> DataFrame:
         ids, roles, hashes = zip(*held, strict=True)
         vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
         sizes = np.array([len(h) for h in hashes], np.uint32)
-        row = [number, dev, list(ids), np.array(roles, np.uint8).tobytes(), sizes.tobytes(), vocabulary.tobytes(), tokens.astype(np.uint32).tobytes()]
+        row = [2 * number + dev, list(ids), pack(np.array(roles, np.uint8)), pack(sizes), pack(vocabulary, True), pack(tokens.astype(np.uint32))]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
 
-    return given.mapInArrow(run, f"slice long, dev boolean, ids array<{kind.simpleString()}>, roles binary, sizes binary, vocabulary binary, tokens binary")
+    return given.mapInArrow(run, f"slice long, ids array<{kind.simpleString()}>, roles binary, sizes binary, vocabulary binary, tokens binary")
 
 
 @dataclass
@@ -102,7 +118,7 @@ class Slice:
 
     @classmethod
     def of(cls, roles: bytes, sizes: bytes, vocabulary: bytes, tokens: bytes) -> Slice:
-        return cls(np.frombuffer(roles, np.uint8), np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(vocabulary, np.uint64), np.frombuffer(tokens, np.uint32).astype(np.int64))
+        return cls(unpack(roles, np.uint8), unpack(sizes, np.uint32).astype(np.int64), unpack(vocabulary, np.uint64, True), unpack(tokens, np.uint32).astype(np.int64))
 
     def role_of_token(self) -> np.ndarray:
         return np.repeat(self.roles, self.sizes)
@@ -147,7 +163,7 @@ def asked(corpus: DataFrame, n_buckets: int) -> DataFrame:
         cut = np.append(np.searchsorted(keys, bucket_floors(n_buckets)), len(keys))
         for b in np.flatnonzero(np.diff(cut)).tolist():
             x, y = cut[b], cut[b + 1]
-            row = [b, number, kind, keys[x:y].tobytes(), train[x:y].astype(np.uint32).tobytes(), dev[x:y].astype(np.uint32).tobytes()]
+            row = [b, number, kind, pack(keys[x:y], True), pack(train[x:y].astype(np.uint32)), pack(dev[x:y].astype(np.uint32))]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
 
     return corpus.select("slice", "roles", "sizes", "vocabulary", "tokens").mapInArrow(run, "bucket int, slice long, kind int, keys binary, train binary, dev binary")
@@ -168,18 +184,18 @@ def answered(questions: DataFrame) -> DataFrame:
             rows = [r for r in zip(*(table.column(c).to_pylist() for c in ("bucket", "slice", "kind", "keys", "train", "dev")), strict=True) if r[2] == kind]
             if not rows:
                 continue
-            keys = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows])
-            train, dev = (np.concatenate([np.frombuffer(r[c], np.uint32) for r in rows]) for c in (4, 5))
+            each = [unpack(r[3], np.uint64, True) for r in rows]
+            keys, train, dev = np.concatenate(each), *(np.concatenate([unpack(r[c], np.uint32) for r in rows]) for c in (4, 5))
             distinct, place = np.unique(keys, return_inverse=True)
             train, dev = (np.bincount(place, weights=x, minlength=len(distinct)).astype(np.int64) for x in (train, dev))
             if kind == 1:
                 token = distinct != START
                 fit = (train - dev)[token]
                 stats = np.array([train[token].sum(), fit.sum(), np.count_nonzero(train[token]), np.count_nonzero(fit)], np.int64)
-                out.append((-1, 1, rows[0][0], stats.tobytes(), b""))
-            ends = np.cumsum([len(r[3]) // 8 for r in rows])
+                out.append((-1, 1, rows[0][0], pack(stats), b""))
+            ends = np.cumsum([len(x) for x in each])
             for r, a, b in zip(rows, [0, *ends[:-1]], ends, strict=True):
-                out.append((r[1], kind, r[0], train[place[a:b]].astype(np.uint32).tobytes(), dev[place[a:b]].astype(np.uint32).tobytes()))
+                out.append((r[1], kind, r[0], pack(train[place[a:b]].astype(np.uint32)), pack(dev[place[a:b]].astype(np.uint32))))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     return questions.groupBy("bucket").applyInArrow(run, "slice long, kind int, bucket int, train binary, dev binary")
@@ -199,8 +215,8 @@ def looked_up(s: Slice, answers: list, fit: bool) -> Counts:
     both = []
     for kind in (1, 2):
         own = sorted((a for a in answers if a[0] == kind), key=lambda a: a[1])
-        total = np.concatenate([np.frombuffer(a[2], np.uint32) for a in own]).astype(np.int64)
-        both.append(total - np.concatenate([np.frombuffer(a[3], np.uint32) for a in own]) if fit else total)
+        total = np.concatenate([unpack(a[2], np.uint32) for a in own]).astype(np.int64)
+        both.append(total - np.concatenate([unpack(a[3], np.uint32) for a in own]) if fit else total)
     single = np.empty(len(s.vocabulary) + 1, np.int64)
     single[np.argsort(s.starts(), kind="stable")] = both[0]
     _, place = s.bigrams()
@@ -253,9 +269,10 @@ def with_answers(corpus: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def learn(corpus: DataFrame, answers: DataFrame) -> Model:
-    stats = [np.frombuffer(r.train, np.int64) for r in answers.where("slice = -1").select("train").toLocalIterator()]
+    stats = [unpack(r.train, np.int64) for r in answers.where("slice = -1").select("train").toLocalIterator()]
     n, n_fit, v, v_fit = np.sum(stats, axis=0).tolist() if stats else (0, 0, 0, 0)
-    deleted = with_answers(corpus.where("dev"), answers)
+    odd = "slice >= 0 and slice % 2 = 1"
+    deleted = with_answers(corpus.where(odd), answers.where(odd))
 
     def run(batches):
         for batch in batches:
