@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import forget, releasing, written
 
 UNIT = 64
-SMALLEST, MASK_BITS, LARGEST = 1024, 12, 16384
+SMALLEST, MASK_BITS, LARGEST = 4096, 13, 65536
 RATE = 8000
 
 
@@ -91,7 +91,7 @@ def chunk_rows(texts: DataFrame) -> DataFrame:
     """(digest, data) of every chunk; within a slice of rows each digest once."""
 
     def run(batches):
-        packer, seen, out = zstandard.ZstdCompressor(level=3), set(), []
+        packer, seen, out = zstandard.ZstdCompressor(level=9), set(), []
         for _, text in distinct_texts(batches):
             data, _ = payload(text)
             last = 0
@@ -137,8 +137,7 @@ def list_rows(texts: DataFrame) -> DataFrame:
 
 
 def rebuilt(entries: DataFrame) -> DataFrame:
-    """The features of each stream from (key, n_bytes, payload_sha, n_chunks, seq, data), dealt and sorted by key and seq."""
-    dealt = entries.repartition("key").sortWithinPartitions("key", "seq")
+    """The features of each stream from (key, n_bytes, payload_sha, n_chunks, seq, data), a stream's rows together and by seq."""
     columns = "key binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
     names = [c.split()[0] for c in columns.split(", ")]
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
@@ -160,7 +159,7 @@ def rebuilt(entries: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return dealt.mapInArrow(run, columns)
+    return entries.mapInArrow(run, columns)
 
 
 def features(row, data: bytes, n_chunks: int) -> tuple:
@@ -187,9 +186,11 @@ def store(docs: DataFrame, partitions: int | None = None) -> tuple[str, DataFram
 
 
 def read_back(spark, name: str, lists: DataFrame) -> DataFrame:
-    """Features of every list, from the stored chunks."""
+    """Features of every list, from the stored chunks; only streams of several chunks are dealt by key."""
     uses = lists.select("key", "n_bytes", "payload_sha", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("seq", "digest"))
-    return rebuilt(uses.join(spark.table(name), "digest").select("key", "n_bytes", "payload_sha", "n_chunks", "seq", "data"))
+    read = lambda some: uses.where(some).join(spark.table(name), "digest").select("key", "n_bytes", "payload_sha", "n_chunks", "seq", "data")
+    many = read("n_chunks > 1").repartition("key").sortWithinPartitions("key", "seq")
+    return rebuilt(read("n_chunks = 1")).union(rebuilt(many))
 
 
 def features_of(docs: DataFrame) -> DataFrame:
