@@ -1,9 +1,12 @@
 """Toxicity: maximum-scoring segments over token log-odds, calibrated by extreme-value statistics.
 
 Learning (a bounded sample of labelled rows, MAX_LABELLED at most, lowest hash of the id first):
-token counts of both classes give log-odds with an informative Dirichlet prior, whose pseudo-counts
-follow the pooled counts; tokens with enough z-score and log-odds form the lexicon (MAX_LEXICON at
-most, so that what is broadcast is bounded). Every other token costs DRIFT.
+one text of each group with a common minhash is kept, so that copies do not vouch for each other. Counts of
+tokens and of their prefixes of PREFIXES letters in both classes, at most MOST_IN_TEXT a text, give log-odds with an informative
+Dirichlet prior, whose pseudo-counts follow the pooled counts; features with enough z-score,
+log-odds and texts form the lexicon
+(MAX_LEXICON at most, so that what is broadcast is bounded). A token scores as itself, else by its longest prefix in
+the lexicon (inflected forms); every other token costs DRIFT.
 
 Scoring: the linear-time scan for all maximal segments over each text. With the null rate of token
 scores on clean text, Karlin and Altschul's lambda and K turn the best segment of an m-token text
@@ -18,19 +21,24 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import fold
+from weft.llm.common import fold, forget, written
 
 MAX_LABELLED = 40_000
 MAX_LEXICON = 20_000
-PRIOR = 0.1
+PRIOR, MOST_PRIOR, LEAST_PRIOR = 0.1, 2.0, 0.1
+PREFIXES = (6, 5, 4)
+MEMO = 500_000
 MIN_Z = 3.5
+MIN_TEXTS, MOST_IN_TEXT = 3, 4
 MIN_LOG_ODDS = 1.0
 DRIFT = -0.05
 
@@ -78,8 +86,32 @@ def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[
     return [(x[0], x[1], x[3] - x[2]) for x in stack]
 
 
-def hits(words: list[str], lexicon: dict[str, float]) -> list[tuple[int, float]]:
-    return [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
+def features(word: str) -> list[str]:
+    """A token, and its proper prefixes, each with a star."""
+    return [word, *[word[:n] + "*" for n in PREFIXES if len(word) > n]]
+
+
+class Scores(dict):
+    """Token scores from the lexicon, 0 without one; remembers up to MEMO tokens."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= MEMO:
+            self.clear()
+        score = self[word] = next((self.lexicon[f] for f in features(word) if f in self.lexicon), 0.0)
+        return score
+
+
+def hits(words: list[str], scores: Scores) -> list[tuple[int, float]]:
+    return [(i, s) for i, w in enumerate(words) if (s := scores[w])]
+
+
+def sketch(words: list[str]) -> int:
+    """The least hash of five words in a row: near copies mostly share it."""
+    return min((xxhash.xxh3_64_intdigest(" ".join(words[k : k + 5])) for k in range(max(len(words) - 4, 1))), default=0) >> 1
 
 
 def evidence(n_tokens: int, segments: list[tuple[int, int, float]], lam: float, k: float) -> float:
@@ -107,30 +139,38 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON) -> Model:
-    train = training_rows(docs, labels, max_labelled)
+    rows = training_rows(docs, labels, max_labelled)
+
+    def sketched(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sketch(tokens(t)) for t in batch.column(0).to_pylist()], pa.int64())], names=["text", "toxic", "sketch"])
+
+    train = rows.mapInArrow(sketched, "text string, toxic int, sketch long").dropDuplicates(["sketch", "toxic"]).select("text", "toxic")
 
     def count(batches):
         for batch in batches:
             both: dict[str, list[int]] = {}
             for text, y in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                for w in tokens(text):
-                    both.setdefault(w, [0, 0])[y > 0] += 1
-            yield pa.RecordBatch.from_pydict({"token": list(both), "clean": [x[0] for x in both.values()], "toxic": [x[1] for x in both.values()]})
+                for f, n in Counter(f for w in tokens(text) for f in features(w)).items():
+                    each = both.setdefault(f, [0, 0, 0])
+                    each[y > 0] += min(n, MOST_IN_TEXT)
+                    each[2] += 1
+            yield pa.RecordBatch.from_pydict({"token": list(both)} | {c: [x[k] for x in both.values()] for k, c in enumerate(("clean", "toxic", "texts"))})
 
-    counts = train.mapInArrow(count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("y0"), F.sum("toxic").alias("y1"))
+    counts, counts_path = written(train.mapInArrow(count, "token string, clean long, toxic long, texts long").groupBy("token").agg(F.sum("clean").alias("y0"), F.sum("toxic").alias("y1"), F.sum("texts").alias("texts")), "counts")
     n0, n1 = counts.agg(F.sum("y0"), F.sum("y1")).first()
     if not n0 or not n1:
         return Model({}, 1.0, 1.0, 0.0, -50.0)
-    a0 = PRIOR * (n0 + n1)
-    prior = PRIOR * (F.col("y0") + F.col("y1"))
-    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(float(n + a0)) - F.col(y) - prior))
+    prior = F.least(PRIOR * (F.col("y0") + F.col("y1")), F.lit(MOST_PRIOR)) + LEAST_PRIOR
+    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(float(n)) - F.col(y) + prior))
     scored = (
         counts.withColumn("delta", odds("y1", n1) - odds("y0", n0))
         .withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior)))
-        .where((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_LOG_ODDS))
+        .where((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_LOG_ODDS) & (F.col("texts") >= MIN_TEXTS))
     )
     top = scored.orderBy(F.abs("z").desc(), "token").limit(max_lexicon).collect()
     lexicon = {r.token: r.delta for r in top}
+    forget(docs.sparkSession, counts_path)
     lam = null_lambda([(r.delta, r.y0 / n0) for r in top])
     rows = train.mapInArrow(lambda it: _statistics(it, lexicon), "toxic int, n long, scores array<double>").collect()
     k = gumbel_k([(r.n, max(r.scores, default=0.0)) for r in rows if not r.toxic], lam)
@@ -140,13 +180,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
 
 def _statistics(batches, lexicon):
+    memo = Scores(lexicon)
     for batch in batches:
         out = {"toxic": [], "n": [], "scores": []}
         for text, y in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
             words = tokens(text)
             out["toxic"].append(y)
             out["n"].append(len(words))
-            out["scores"].append([s for *_, s in maximal_segments(hits(words, lexicon), DRIFT)])
+            out["scores"].append([s for *_, s in maximal_segments(hits(words, memo), DRIFT)])
         yield pa.RecordBatch.from_arrays([pa.array(out["toxic"], pa.int32()), pa.array(out["n"], pa.int64()), pa.array(out["scores"], pa.list_(pa.float64()))], names=list(out))
 
 
@@ -197,12 +238,13 @@ def passages(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     names = [*given.columns[:-1], "score", "n_tokens", "passages"]
 
     def run(batches):
+        memo = Scores(model.lexicon)
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
             scores, sizes, found = [], [], []
             for t in batch.column(len(keep)).to_pylist():
                 words = tokens(t)
-                segments = maximal_segments(hits(words, model.lexicon), DRIFT)
+                segments = maximal_segments(hits(words, memo), DRIFT)
                 scores.append(probability(model, evidence(len(words), segments, model.lam, model.k)))
                 sizes.append(len(words))
                 level = math.log(model.k * max(len(words), 1))
@@ -216,8 +258,10 @@ def passages(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 def score_column(model: Model, text):
     """The score of a text column, for filters that keep all columns as they are."""
 
+    memo = Scores(model.lexicon)
+
     @F.pandas_udf("double")
     def score(texts):
-        return texts.map(lambda t: probability(model, evidence(len(w := tokens(t)), maximal_segments(hits(w, model.lexicon), DRIFT), model.lam, model.k))).astype("float64")
+        return texts.map(lambda t: probability(model, evidence(len(w := tokens(t)), maximal_segments(hits(w, memo), DRIFT), model.lam, model.k))).astype("float64")
 
     return score(text)
