@@ -38,7 +38,7 @@ class XRay:
     audit_log: DataFrame | None = None
 
     def health(self) -> DataFrame:
-        n = self.nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if("status = 'Unknown'").alias("unknown"), F.count_if("status = 'Pending'").alias("pending"))
+        n = self.nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("status") == "Unknown").alias("unknown"), F.count_if(F.col("status") == "Pending").alias("pending"))
         e = self.edges.agg(F.count(F.lit(1)).alias("edges"))
         return n.crossJoin(e)  # one row each
 

@@ -21,7 +21,7 @@ def json_leaves(docs: DataFrame, column: str, scope_key: str = SCOPE_KEY, depth:
     """docs' other columns with path, scope, ord and value (JSON text) of every scalar below the root of a JSON column, in document order.
 
     Array positions are not part of a path. An object inside an array whose scope_key is a string gives its subtree that scope.
-    Sensitive members are left out, nulls stay, empty containers give nothing.
+    Sensitive members are left out, nulls stay, empty containers give nothing. Numbers below the top level come in their shortest form.
     """
     keys = [c for c in docs.columns if c != column]
     kind = F.schema_of_variant(F.try_parse_json(F.col(column)))
