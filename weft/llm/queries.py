@@ -75,4 +75,8 @@ QUERIES = {
         op6_media_chunks, op7_warc, op8_byte_bpe, op9_toxicity, op10_near_duplicates,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """WITH h AS (SELECT page_id, coalesce(html, '') AS html FROM pages), g AS (SELECT html, max(page_id) AS holder FROM h WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT page_id, CAST(strlen(h.html) AS BIGINT) AS payload_bytes, sha1(h.html) AS payload_digest, CASE WHEN page_id IS DISTINCT FROM holder AND holder IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN page_id IS DISTINCT FROM holder THEN holder END AS refers_to FROM h LEFT JOIN g ON g.html = h.html""",
+}
