@@ -1,20 +1,20 @@
 """Media columns: content-defined chunking, a store without repeated chunks, and verified reading.
 
 A text's UTF-8 bytes, zero-padded to a positive multiple of 64, are the 8-bit samples of a mono WAV stream. A rolling gear
-hash over 32 bytes cuts the samples into chunks; each chunk is compressed, keyed by its SHA-256 and kept
-once, found by grouping digests in Spark. The chunk table is bucketed by digest, so reading joins it
-without moving it again; an ordered list of digests for each distinct text rebuilds the stream, which is
-checked against the list's payload digest before features are computed. Equal texts share one list.
-
-Only digests and list entries meet by digest; the bytes of a text meet in the task that rebuilds it. Null
-counts as the empty text (64 zero bytes). Each input row gives a row; an empty table gives none.
+hash over 32 bytes cuts the samples into chunks, named by their SHA-256. Spark groups the digests alone to find those
+that occur more than once; 2**FILTER_BITS bits of them (a fixed size, false hits do no harm) go to the tasks that
+write. A chunk outside the filter is unique and stays, compressed, in its stream's row; one inside is written
+once, to a table grouped by digest, and the row refers to it. So only shared chunks move on writing, and only
+streams that use some on reading, when a join by digest brings them back in order. A stream is checked against the
+digest of its payload before features are computed. Equal texts share one stream.
+
+Null counts as the empty text (64 zero bytes). Each input row gives a row; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from weft.llm.common import forget, releasing, written
 
 UNIT = 64
-SMALLEST, MASK_BITS, LARGEST = 4096, 13, 65536
+SMALLEST, MASK_BITS, LARGEST = 1024, 12, 16384
+FILTER_BITS = 22
 RATE = 8000
 
 
@@ -87,84 +88,129 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
 
 
-def chunk_rows(texts: DataFrame) -> DataFrame:
-    """(digest, data) of every chunk; within a slice of rows each digest once."""
+def pieces(data: bytes) -> list[bytes]:
+    ends = cuts(np.frombuffer(data, np.uint8))
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def shared_filter(texts: DataFrame) -> np.ndarray:
+    """Bits by the leading bits of every digest that more than one place of the distinct texts has."""
 
     def run(batches):
-        packer, seen, out = zstandard.ZstdCompressor(level=9), set(), []
-        for _, text in distinct_texts(batches):
-            data, _ = payload(text)
-            last = 0
-            for end in cuts(np.frombuffer(data, np.uint8)):
-                piece = data[last:end]
-                last = end
-                digest = hashlib.sha256(piece).digest()
-                if digest not in seen:
-                    seen.add(digest)
-                    out.append((digest, packer.compress(piece)))
-            if len(out) >= 1000:
-                yield pair_batch(out)
-                seen, out = set(list(seen)[-100_000:]) if len(seen) > 200_000 else seen, []
-        if out:
-            yield pair_batch(out)
-
-    return texts.select("key", "text").mapInArrow(run, "digest binary, data binary")
-
-
-def pair_batch(rows) -> pa.RecordBatch:
-    a, b = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["digest", "data"])
-
-
-def list_rows(texts: DataFrame) -> DataFrame:
-    """(key, n_bytes, payload_sha, digests) of the texts: the ordered chunk lists."""
+        for batch in batches:
+            found = [(key, hashlib.sha256(p).digest()) for key, text in distinct_texts([batch]) for p in pieces(payload(text)[0])]
+            yield pair_batch(found, ["key", "digest"])
+
+    every = texts.mapInArrow(run, "key binary, digest binary")
+    # a text met in two tasks counts twice; its chunks are then stored as shared, once
+    twice = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    place = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = twice.select(F.floor(place / 64).cast("int").alias("word"), (place % 64).alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()  # at most 2**FILTER_BITS / 64 rows
+    out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    for r in rows:
+        out[r.word] = r.bits
+    return out
+
+
+def is_shared(digest: bytes, bits: np.ndarray) -> bool:
+    place = int.from_bytes(digest[:3], "big") & ((1 << FILTER_BITS) - 1)
+    return bool(int(bits[place // 64]) >> (place % 64) & 1)
+
+
+def shared_rows(texts: DataFrame, bits) -> DataFrame:
+    """(digest, data) of the chunks in the filter; within a task each digest once."""
 
     def run(batches):
-        names = ["key", "n_bytes", "payload_sha", "digests"]
-        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
-        out = []
-        for key, text in distinct_texts(batches):
-            data, n = payload(text)
-            ends = cuts(np.frombuffer(data, np.uint8))
-            out.append((key, n, hashlib.sha256(data).digest(), [hashlib.sha256(data[a:b]).digest() for a, b in zip([0, *ends], ends, strict=False)]))
-            if len(out) >= 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    return texts.select("key", "text").mapInArrow(run, "key binary, n_bytes long, payload_sha binary, digests array<binary>").dropDuplicates(["key"])
-
-
-def rebuilt(entries: DataFrame) -> DataFrame:
-    """The features of each stream from (key, n_bytes, payload_sha, n_chunks, seq, data), a stream's rows together and by seq."""
-    columns = "key binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
-    names = [c.split()[0] for c in columns.split(", ")]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+        packer, seen = zstandard.ZstdCompressor(level=3), set()
+        for batch in batches:
+            out = []
+            for _, text in distinct_texts([batch]):
+                for piece in pieces(payload(text)[0]):
+                    digest = hashlib.sha256(piece).digest()
+                    if digest not in seen and is_shared(digest, bits.value):
+                        seen.add(digest)
+                        out.append((digest, packer.compress(piece)))
+            if len(seen) > 200_000:
+                seen = set()
+            yield pair_batch(out, ["digest", "data"])
+
+    return texts.mapInArrow(run, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
+
+
+def pair_batch(rows, names) -> pa.RecordBatch:
+    a, b = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=names)
+
+
+def streams(texts: DataFrame, bits) -> DataFrame:
+    """(key, n_bytes, payload_sha, refers, digests, data): each stream's chunks in order, data null where the chunk is shared."""
+    names = ["key", "n_bytes", "payload_sha", "refers", "digests", "data"]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            out = []
+            for key, text in distinct_texts([batch]):
+                data, n = payload(text)
+                each = [(hashlib.sha256(p).digest(), p) for p in pieces(data)]
+                own = [None if is_shared(d, bits.value) else packer.compress(p) for d, p in each]
+                out.append((key, n, hashlib.sha256(data).digest(), None in own, [d for d, _ in each], own))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return texts.mapInArrow(run, "key binary, n_bytes long, payload_sha binary, refers boolean, digests array<binary>, data array<binary>")
+
+
+FEATURES = "key binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
+FEATURE_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+
+
+def feature_batch(rows) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 9
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, FEATURE_KINDS, strict=True)], names=[c.split()[0] for c in FEATURES.split(", ")])
+
+
+def rebuilt_alone(stored: DataFrame) -> DataFrame:
+    """Features of streams that hold all their chunks."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            yield feature_batch([features(key, n, sha, len(data), [unpack.decompress(x) for x in data]) for key, n, sha, data in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+
+    return stored.select("key", "n_bytes", "payload_sha", "data").mapInArrow(run, FEATURES)
+
+
+def rebuilt_joined(stored: DataFrame, shared: DataFrame) -> DataFrame:
+    """Features of streams with references: their own and the shared chunks dealt by key and sorted."""
+    each = stored.dropDuplicates(["key"]).select("key", "n_bytes", "payload_sha", F.size("digests").alias("n_chunks"), F.posexplode(F.arrays_zip("digests", "data")).alias("seq", "c"))
+    each = each.select("key", "n_bytes", "payload_sha", "n_chunks", "seq", F.col("c.digests").alias("digest"), F.col("c.data").alias("own"))
+    found = each.where("own is null").drop("own").join(shared, "digest").select("key", "n_bytes", "payload_sha", "n_chunks", "seq", "data")
+    dealt = each.where("own is not null").select("key", "n_bytes", "payload_sha", "n_chunks", "seq", F.col("own").alias("data")).union(found).repartition("key").sortWithinPartitions("key", "seq")
 
     def run(batches):
-        unpack, now, parts, out = zstandard.ZstdDecompressor(), None, [], []
+        unpack, now, parts = zstandard.ZstdDecompressor(), None, []
         for batch in batches:
+            out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is not None and row[0] != now[0]:
-                    out.append(features(now, b"".join(parts), len(parts)))
+                    out.append(features(*now[:4], parts))
                     parts = []
                 now = row
                 parts.append(unpack.decompress(row[5]))
-                if len(out) >= 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                    out = []
+            yield feature_batch(out)
         if now is not None:
-            out.append(features(now, b"".join(parts), len(parts)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            yield feature_batch([features(*now[:4], parts)])
 
-    return entries.mapInArrow(run, columns)
+    return dealt.mapInArrow(run, FEATURES)
 
 
-def features(row, data: bytes, n_chunks: int) -> tuple:
-    key, n, sha = row[0], row[1], hashlib.sha256(data)
-    if sha.digest() != row[2] or n_chunks != row[3]:
+def features(key: bytes, n: int, payload_sha: bytes, n_chunks: int, parts: list[bytes]) -> tuple:
+    data = b"".join(parts)
+    sha = hashlib.sha256(data)
+    if sha.digest() != payload_sha or n_chunks != len(parts):
         raise ValueError(f"stored media of {key.hex()} is incomplete or altered")
     samples = np.frombuffer(data, np.uint8).astype(np.int64) - 128
     crossings = int(np.count_nonzero(np.diff(samples < 0)))
@@ -173,31 +219,23 @@ def features(row, data: bytes, n_chunks: int) -> tuple:
     return (key, n, len(data), sha.hexdigest(), zlib.crc32(data[-UNIT:]), len(header) + len(data), hashlib.sha256(header + data).hexdigest(), feature, n_chunks)
 
 
-def store(docs: DataFrame, partitions: int | None = None) -> tuple[str, DataFrame, str]:
-    """Writes the chunk table (bucketed by digest) and the chunk lists; gives the table's name, the lists and their path."""
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts, name = keyed(docs), f"weft_chunks_{uuid.uuid4().hex}"
-    once = chunk_rows(texts).repartition(n, "digest").groupBy("digest").agg(F.first("data").alias("data"))
-    with releasing(spark):
-        once.write.bucketBy(n, "digest").option("compression", "uncompressed").saveAsTable(name)
-    lists, path = written(list_rows(texts), "lists")
-    return name, lists, path
+def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Writes streams and shared chunks into the shared folder; gives both tables and their paths."""
+    texts = keyed(docs).select("key", "text")
+    with releasing(docs.sparkSession):
+        bits = docs.sparkSession.sparkContext.broadcast(shared_filter(texts))
+    shared, shared_path = written(shared_rows(texts, bits), "chunks")
+    stored, path = written(streams(texts, bits), "streams")
+    return stored, shared, [shared_path, path]
 
 
-def read_back(spark, name: str, lists: DataFrame) -> DataFrame:
-    """Features of every list, from the stored chunks; only streams of several chunks are dealt by key."""
-    uses = lists.select("key", "n_bytes", "payload_sha", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("seq", "digest"))
-    read = lambda some: uses.where(some).join(spark.table(name), "digest").select("key", "n_bytes", "payload_sha", "n_chunks", "seq", "data")
-    many = read("n_chunks > 1").repartition("key").sortWithinPartitions("key", "seq")
-    return rebuilt(read("n_chunks = 1")).union(rebuilt(many))
+def read_back(stored: DataFrame, shared: DataFrame) -> DataFrame:
+    return rebuilt_alone(stored.where("not refers")).union(rebuilt_joined(stored.where("refers"), shared))
 
 
 def features_of(docs: DataFrame) -> DataFrame:
     """doc_id with the digest columns of every row of docs (doc_id, text), through the store."""
-    spark = docs.sparkSession
-    name, lists, lists_path = store(docs)
-    found, _ = written(read_back(spark, name, lists), "media")
-    spark.sql(f"DROP TABLE {name}")
-    forget(spark, lists_path)
+    stored, shared, paths = store(docs)
+    found, _ = written(read_back(stored, shared).dropDuplicates(["key"]), "media")  # a text may be met twice
+    forget(docs.sparkSession, *paths)
     return keyed(docs).select("doc_id", "key").join(found, "key").drop("key")
