@@ -32,10 +32,11 @@ def json_leaves(docs: DataFrame, column: str, scope_key: str = SCOPE_KEY, depth:
         named, typed = F.from_json("raw", CELL), F.from_json("raw", "map<string,variant>")
         own = F.element_at(named, F.lit(scope_key))
         own = F.when(is_object & F.col("in_array") & (F.schema_of_variant(F.element_at(typed, F.lit(scope_key))) == "STRING"), own)
-        members = F.transform(F.map_entries(named), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("raw"), F.schema_of_variant(F.element_at(typed, e["key"])).alias("kind")))
+        zipped = F.arrays_zip(F.map_keys(named).alias("key"), F.map_values(named).alias("raw"), F.map_values(typed).alias("typed"))  # parsed once, not once a member
+        members = F.transform(zipped, lambda e: F.struct(e["key"].alias("key"), e["raw"].alias("raw"), F.schema_of_variant(e["typed"]).alias("kind")))
         members = F.filter(members, lambda e: ~T.is_sensitive(e["key"]))
-        values = F.from_json("raw", "array<variant>")
-        items = F.transform(F.from_json("raw", "array<string>"), lambda e, i: F.struct(F.lit(None).cast("string").alias("key"), e.alias("raw"), F.schema_of_variant(F.get(values, i)).alias("kind")))
+        listed = F.arrays_zip(F.from_json("raw", "array<string>").alias("raw"), F.from_json("raw", "array<variant>").alias("typed"))
+        items = F.transform(listed, lambda e: F.struct(F.lit(None).cast("string").alias("key"), e["raw"].alias("raw"), F.schema_of_variant(e["typed"]).alias("kind")))
         leaf = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("raw").alias("raw"), F.col("kind").alias("kind")))
         below = F.when(is_object, members.cast(entry)).when(is_array, items.cast(entry)).when(F.size("ord") > 0, leaf.cast(entry))
         rows = rows.select(*keys, "path", F.coalesce(own, "scope").alias("scope"), "ord", (is_object | is_array).alias("opened"), is_array.alias("was_array"), F.posexplode(below).alias("pos", "e")).select(
