@@ -60,3 +60,21 @@ def test_skip_chain_adds_repeats(spark):
     hidden = {r.doc_id: r for r in pd_.mask(docs.withColumn("n_chars", docs.doc_id)).collect()}
     assert "555" not in hidden[1].text.replace("[PHONE]", "") and "bosbt" not in hidden[1].text and hidden[1].n_chars == len(hidden[1].text)
     assert hidden[2].text == "no data at all 988.555.2485" and hidden[3].text is None
+
+
+def test_all_repeats_with_weights_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    w = pd_.learn(docs)
+    for of in (w, pd_.Weights()):
+        for n in (2, 5, 30, 100):
+            text = "Call +1 (988) 555-2485 today. " + "then words and again 988.555.2485 ; " * n
+            added = pd_.added_spans(text, pd_.base_spans(text), of)
+            assert [(text[a:b], k) for a, b, k in added] == [("988.555.2485", "phone")] * n
+
+
+def test_node_and_skip_weights_do_not_drift_apart(spark):
+    text = "Call +1 (988) 555-2485 now. Case 123.456.7890 and 988.555.2485"
+    for n in (1, 400, 5000):
+        docs = spark.range(n).selectExpr("id doc_id", f"'{text}' text")
+        w = pd_.learn(docs, max_sample=n)
+        assert [(text[a:b], k) for a, b, k in pd_.added_spans(text, pd_.base_spans(text), w)] == [("988.555.2485", "phone")]

@@ -2,14 +2,15 @@
 
 Base spans (e-mail, IP, card, phone) come from patterns and checks, leftmost and non-overlapping within a kind.
 They are observed nodes of the field. Further nodes are mentions outside them: digit groups and words.
-Neighbouring mentions share chain potentials; mentions with equal or similar normal forms (the same
-digits in other separators, a phone's national number, an address's local part) share skip potentials
-wherever they stand in the document. Loopy sum-product passes messages until they settle, and an open
-mention whose likeliest label is an entity becomes an added span. Since potentials of mentions
-unlike any base span favour "other" on every edge, documents without base spans have no added ones.
-
-Node, chain and skip weights are counts, smoothed, from at most about MAX_SAMPLE documents (by hash of the
-id), labelled by the base patterns; everything else reads all rows. Null and empty texts give no spans;
+Neighbouring mentions share chain potentials. Each normal form (the same digits in other separators, a
+phone's national number, an address's local part) has one hub that holds the labels of its base spans, and
+every open mention of the form has a skip edge to it wherever it stands in the document. Hubs are observed, so
+repeats do not weaken each other and the open nodes form a chain, on which sum-product settles exactly. An open
+mention whose likeliest label is an entity becomes an added span; documents without base spans have none.
+
+Node, chain and skip weights are shares, smoothed, from at most about MAX_SAMPLE documents (by hash of the
+id), labelled by the base patterns; everything else reads all rows. The prior keeps PRIOR_SHARE of node and skip
+weights in the largest sample too: that base patterns never match a shape is no proof that it holds no entity. Null and empty texts give no spans;
 repeated rows give equal rows. Places are code points, end exclusive.
 """
 
@@ -31,7 +32,7 @@ LABELS = ("other", *KINDS)
 MAX_SAMPLE = 20_000
 SKIP_PRIOR = (200.0, 1.0)
 FORM_PRIOR = (0.6, 0.1, 0.1, 0.1, 0.1)
-MAX_ROUNDS = 20
+PRIOR_COUNT, PRIOR_SHARE = 10, 0.1
 
 EMAIL_END = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -138,11 +139,24 @@ def shape(said: str) -> str:
     return f"{min(digits, 20)}{rest}"
 
 
+def smoothed(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Shares of counts mixed with the prior's, which weighs as much as PRIOR_COUNT observations, and PRIOR_SHARE at least."""
+    n, prior = counts.sum(), prior / prior.sum()
+    kept = max(PRIOR_SHARE, PRIOR_COUNT / (n + PRIOR_COUNT))
+    return (1 - kept) * counts / max(n, 1) + kept * prior
+
+
+def skip_weight(same: float, other: float) -> float:
+    """Log ratio of the chance of a label like the linked one to that of each other label."""
+    p = smoothed(np.array([same, other], float), np.array(SKIP_PRIOR))
+    return max(0.0, math.log(p[0] / p[1] * (len(LABELS) - 1)))
+
+
 @dataclass
 class Weights:
     node: dict[str, list[float]] = field(default_factory=dict)
     chain: np.ndarray = field(default_factory=lambda: np.zeros((len(LABELS), len(LABELS))))
-    skip: float = math.log(SKIP_PRIOR[0] / SKIP_PRIOR[1])
+    skip: float = skip_weight(0, 0)
 
     def potential(self, form: str) -> np.ndarray:
         if form in self.node:
@@ -150,37 +164,39 @@ class Weights:
         return np.log(np.array(FORM_PRIOR))
 
 
-def skip_edges(nodes: list[Node]) -> list[tuple[int, int]]:
-    """Each mention of a form is linked to the one before it and the next: a path through all, however many there are."""
-    by = defaultdict(list)
-    for k, n in enumerate(nodes):
-        for key in n.keys:
-            by[key].append(k)
-    return sorted({(a, b) for each in by.values() for a, b in zip(each, each[1:], strict=False)})
+def hubs(nodes: list[Node]) -> dict[str, list[int]]:
+    """The labels of each form's base spans, in text order."""
+    out = defaultdict(list)
+    for n in nodes:
+        if n.observed:
+            for key in n.keys:
+                out[key].append(n.label)
+    return out
 
 
 def marginals(nodes: list[Node], w: Weights) -> np.ndarray:
-    """Label probabilities by loopy sum-product in the log domain, with damping."""
+    """Label probabilities by sum-product in the log domain: messages of the hubs, then along the chain until they settle."""
     unary = np.array([w.potential(n.form) if not n.observed else np.where(np.arange(len(LABELS)) == n.label, 0.0, -1e3) for n in nodes])
-    skip = np.full((len(LABELS), len(LABELS)), 0.0) + np.eye(len(LABELS)) * w.skip
-    edges = [(k, k + 1, w.chain) for k in range(len(nodes) - 1)] + [(a, b, skip) for a, b in skip_edges(nodes)]
-    ends = np.array([(a, b) for a, b, _ in edges] + [(b, a) for a, b, _ in edges]).reshape(-1, 2)
-    pair = np.array([p for *_, p in edges] + [p.T for *_, p in edges]).reshape(-1, len(LABELS), len(LABELS))
-    back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))]).astype(int)
-    message = np.zeros((len(ends), len(LABELS)))
-    for _ in range(MAX_ROUNDS):
-        belief = unary.copy()
-        np.add.at(belief, ends[:, 1], message)
-        sent = (belief[ends[:, 0]] - message[back])[:, :, None] + pair
-        top = sent.max(axis=1, keepdims=True)
-        new = np.log(np.exp(sent - top).sum(axis=1)) + top[:, 0]
-        new -= new.max(axis=1, keepdims=True)
-        change = np.abs(new - message).max(initial=0)
-        message = 0.5 * message + 0.5 * new
-        if change < 1e-4:
+    like = np.exp(np.eye(len(LABELS)) * w.skip)
+    said = {key: np.log(np.bincount(each, minlength=len(LABELS)) / len(each) @ like) for key, each in hubs(nodes).items()}
+    for k, n in enumerate(nodes):
+        if not n.observed:
+            unary[k] += sum(said[key] for key in n.keys)
+    right, left = np.zeros_like(unary), np.zeros_like(unary)  # from the node before, from the node after
+
+    def passed(sent, pair):
+        new = sent[:, :, None] + pair
+        top = new.max(axis=1, keepdims=True)
+        new = np.log(np.exp(new - top).sum(axis=1)) + top[:, 0]
+        return new - new.max(axis=1, keepdims=True)
+
+    for _ in range(len(nodes)):  # exact after as many rounds as nodes at the latest
+        to_right, to_left = passed((unary + right)[:-1], w.chain), passed((unary + left)[1:], w.chain.T)
+        change = max(np.abs(to_right - right[1:]).max(initial=0), np.abs(to_left - left[:-1]).max(initial=0))
+        right[1:], left[:-1] = to_right, to_left
+        if change < 1e-6:
             break
-    belief = unary.copy()
-    np.add.at(belief, ends[:, 1], message)
+    belief = unary + right + left
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
@@ -215,14 +231,14 @@ def learn(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Weights:
                     for k in range(len(nodes) - 1):
                         if sure[k] and sure[k + 1]:
                             seen["chain", str(nodes[k].label), nodes[k + 1].label] += 1
-                    for a, b in skip_edges(nodes):
-                        if nodes[a].observed and nodes[b].observed:
-                            seen["skip", "", int(nodes[a].label == nodes[b].label)] += 1
+                    for each in hubs(nodes).values():
+                        for a, b in zip(each, each[1:], strict=False):
+                            seen["skip", "", int(a == b)] += 1
             yield pa.RecordBatch.from_pydict({"what": [k[0] for k in seen], "a": [k[1] for k in seen], "b": [k[2] for k in seen], "n": list(seen.values())}, schema=pa.schema([("what", pa.string()), ("a", pa.string()), ("b", pa.int64()), ("n", pa.int64())]))
 
     rows = sample.mapInArrow(count, "what string, a string, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
-    w, same = Weights(), list(SKIP_PRIOR)
-    forms, chain = defaultdict(lambda: np.array(FORM_PRIOR)), np.ones((len(LABELS), len(LABELS)))
+    w, same = Weights(), [0, 0]
+    forms, chain = defaultdict(lambda: np.zeros(len(LABELS))), np.ones((len(LABELS), len(LABELS)))
     for r in rows:
         if r.what == "node":
             forms[r.a][r.b] += r.n
@@ -230,10 +246,10 @@ def learn(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Weights:
             chain[int(r.a), r.b] += r.n
         else:
             same[1 - r.b] += r.n
-    w.node = {k: np.log(v / v.sum()).tolist() for k, v in forms.items()}
+    w.node = {k: np.log(smoothed(v, np.array(FORM_PRIOR))).tolist() for k, v in forms.items()}
     each = chain.sum(axis=0) / chain.sum()
     w.chain = np.clip(np.log(chain / chain.sum() / (chain.sum(axis=1) / chain.sum())[:, None] / each[None, :]), -1, 1)
-    w.skip = min(8.0, max(0.0, math.log(same[0] / same[1])))
+    w.skip = skip_weight(*same)
     return w
 
 
