@@ -97,6 +97,17 @@ def test_json_leaves_in_document_order(spark):
     assert got == [("z", None, '"1"'), ("rows.bin.q", "M1", "2.5"), ("rows.materialNumber", "M1", '"M1"'), ("rows.materialNumber", None, "7"), ("rows.note", None, "null"), ("a", None, "true"), ("s", None, '"[1]"')]
 
 
+def test_json_leaves_at_any_depth(spark):
+    bins = '[{"order": {"pickOrderRows": [{"materialNumber": "M1", "destinationWagon": [{"wagon": 1, "storageBin": [{"bin": "B1", "level": {"deep": [[{"end": true}], 7]}}, "B2"]}]}]}}]'
+    df = spark.createDataFrame([(1, bins), (2, '{"a": 1}'), (3, '[[[[[[[[[["x"]]]]]]]]]]')], "k int, j string")
+    got = [(r.k, r.path, r.scope, r.value) for r in runtime.json_leaves(df, "j").orderBy("k", "ord").collect()]
+    at = "order.pickOrderRows.destinationWagon."
+    assert got == [
+        (1, "order.pickOrderRows.materialNumber", "M1", '"M1"'), (1, f"{at}wagon", "M1", "1"), (1, f"{at}storageBin.bin", "M1", '"B1"'), (1, f"{at}storageBin.level.deep.end", "M1", "true"),
+        (1, f"{at}storageBin.level.deep", "M1", "7"), (1, f"{at}storageBin", "M1", '"B2"'), (2, "a", None, "1"), (3, "", None, '"x"'),
+    ]
+
+
 def test_bundle_validation_and_client(spark):
     items = spark.createDataFrame([(1, "Runtime", "r", 0, "x"), (1, "Node", "n2", 1, "x"), (1, "Node", "n1", 2, "x"), (1, "Edge", "n1", 3, "y")], "request_id int, kind string, id string, ord int, text string")
     assert [(r.id, r.kind) for r in explain.bundle(items, 2).orderBy("place").collect()] == [("n1", "Node"), ("n2", "Node")]

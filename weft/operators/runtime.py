@@ -10,42 +10,43 @@ from weft.operators.shared import kept
 
 ROW_LIMIT = 200
 AUDIT_RING = 1000
-JSON_DEPTH = 6
 SCOPE_KEY = "materialNumber"
 
 CELL = "map<string,string>"
 RESULTS = f"map<string,struct<durationMs:int,rowKey:string,returnColumn:string,rows:array<{CELL}>>>"
 
 
-def json_leaves(docs: DataFrame, column: str, scope_key: str = SCOPE_KEY, depth: int = JSON_DEPTH) -> DataFrame:
+def json_leaves(docs: DataFrame, column: str, scope_key: str = SCOPE_KEY) -> DataFrame:
     """docs' other columns with path, scope, ord and value (JSON text) of every scalar below the root of a JSON column, in document order.
 
     Array positions are not part of a path. An object inside an array whose scope_key is a string gives its subtree that scope.
     Sensitive members are left out, nulls stay, empty containers give nothing. Numbers below the top level come in their shortest form.
+    Each level is written to the shared folder, until none of its rows is a container.
     """
     keys = [c for c in docs.columns if c != column]
     kind = F.schema_of_variant(F.try_parse_json(F.col(column)))
     rows = docs.select(*keys, F.lit("").alias("path"), F.lit(None).cast("string").alias("scope"), F.array().cast("array<int>").alias("ord"), F.col(column).alias("raw"), kind.alias("kind"), F.lit(False).alias("in_array"))
     entry = "array<struct<key:string,raw:string,kind:string>>"
-    for _ in range(depth):
-        is_object, is_array = F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False)), F.coalesce(F.col("kind").startswith("ARRAY"), F.lit(False))
-        named, typed = F.from_json("raw", CELL), F.from_json("raw", "map<string,variant>")
-        own = F.element_at(named, F.lit(scope_key))
-        own = F.when(is_object & F.col("in_array") & (F.schema_of_variant(F.element_at(typed, F.lit(scope_key))) == "STRING"), own)
-        zipped = F.arrays_zip(F.map_keys(named).alias("key"), F.map_values(named).alias("raw"), F.map_values(typed).alias("typed"))  # parsed once, not once a member
-        members = F.transform(zipped, lambda e: F.struct(e["key"].alias("key"), e["raw"].alias("raw"), F.schema_of_variant(e["typed"]).alias("kind")))
-        members = F.filter(members, lambda e: ~T.is_sensitive(e["key"]))
-        listed = F.arrays_zip(F.from_json("raw", "array<string>").alias("raw"), F.from_json("raw", "array<variant>").alias("typed"))
-        items = F.transform(listed, lambda e: F.struct(F.lit(None).cast("string").alias("key"), e["raw"].alias("raw"), F.schema_of_variant(e["typed"]).alias("kind")))
-        leaf = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("raw").alias("raw"), F.col("kind").alias("kind")))
-        below = F.when(is_object, members.cast(entry)).when(is_array, items.cast(entry)).when(F.size("ord") > 0, leaf.cast(entry))
-        rows = rows.select(*keys, "path", F.coalesce(own, "scope").alias("scope"), "ord", (is_object | is_array).alias("opened"), is_array.alias("was_array"), F.posexplode(below).alias("pos", "e")).select(
-            *keys, F.concat_ws(".", F.nullif("path", F.lit("")), "e.key").alias("path"), "scope", F.when(F.col("opened"), F.concat("ord", F.array("pos"))).otherwise(F.col("ord")).alias("ord"), "e.raw", "e.kind", "was_array",
-        ).withColumnRenamed("was_array", "in_array")
+    is_object, is_array = F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False)), F.coalesce(F.col("kind").startswith("ARRAY"), F.lit(False))
+    named, typed = F.from_json("raw", CELL), F.from_json("raw", "map<string,variant>")
+    own = F.element_at(named, F.lit(scope_key))
+    own = F.when(is_object & F.col("in_array") & (F.schema_of_variant(F.element_at(typed, F.lit(scope_key))) == "STRING"), own)
+    zipped = F.arrays_zip(F.map_keys(named).alias("key"), F.map_values(named).alias("raw"), F.map_values(typed).alias("typed"))  # parsed once, not once a member
+    members = F.transform(zipped, lambda e: F.struct(e["key"].alias("key"), e["raw"].alias("raw"), F.schema_of_variant(e["typed"]).alias("kind")))
+    members = F.filter(members, lambda e: ~T.is_sensitive(e["key"]))
+    listed = F.arrays_zip(F.from_json("raw", "array<string>").alias("raw"), F.from_json("raw", "array<variant>").alias("typed"))
+    items = F.transform(listed, lambda e: F.struct(F.lit(None).cast("string").alias("key"), e["raw"].alias("raw"), F.schema_of_variant(e["typed"]).alias("kind")))
+    below = F.when(is_object, members.cast(entry)).when(is_array, items.cast(entry))
     quoted = F.to_json(F.array("raw"))
     value = F.when(F.coalesce("kind", F.lit("VOID")) == "VOID", F.lit("null")).when(F.col("kind") == "STRING", F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(F.col("raw"))
-    container = F.coalesce(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY"), F.lit(False))
-    return rows.where(~container).select(*keys, "path", "scope", "ord", value.alias("value"))
+    leaves = None
+    while True:
+        opened = rows.where(is_object | is_array).select(*keys, "path", F.coalesce(own, "scope").alias("scope"), "ord", is_array.alias("was_array"), F.posexplode(below).alias("pos", "e"))
+        rows = kept(opened.select(*keys, F.concat_ws(".", F.nullif("path", F.lit("")), "e.key").alias("path"), "scope", F.concat("ord", F.array("pos")).alias("ord"), "e.raw", "e.kind", F.col("was_array").alias("in_array")))
+        found = rows.where(~(is_object | is_array)).select(*keys, "path", "scope", "ord", value.alias("value"))
+        leaves = found if leaves is None else leaves.union(found)
+        if rows.where(is_object | is_array).isEmpty():
+            return leaves
 
 
 def scoped(row: Column, row_key: Column, entity_key: Column) -> Column:
