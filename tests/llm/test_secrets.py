@@ -49,3 +49,37 @@ def test_linking_and_edges(spark):
     assert spans[3] == "identifier:0:9,secret:10:30,endpoint:34:58"
     assert spans[9].count("endpoint") == 8 and "identifier:6600:6608" in spans[9]
     assert secrets.find(docs.limit(0)).count() == 0
+
+
+def test_long_parts_in_both_orders(spark):
+    token, url, hexa = "token=" + "Ab1." * 75, "https://s3.example.com/" + "x/" * 400, "0123456789abcdef0123"
+    jwt = "token=" + "eyJ." * 250
+    gap = " " + "é word " * 60
+    rows = [f"{token} client_id=abc", f"client_id=abc {token}", f"{jwt} client_id=abc", f"{url} user=bob {hexa}", f"user=bob {hexa} {url}", f"{hexa} {url} {jwt} {url} user=bob", f"{token}{gap}client_id=abc", f"client_id=abc{gap}{token}", f"{hexa} {url} user=bob"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.digests(secrets.find(docs)).collect()}
+    assert all("identifier" in spans[k] for k in (0, 1, 2, 3, 4)) and spans[3].count("endpoint") == spans[4].count("endpoint") == 1
+    assert "secret" in spans[3] and "secret" in spans[4]
+    assert all("identifier" not in spans[k] for k in (5, 6, 7, 8))
+
+
+def test_links_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        parts = [rng.choice((lambda: "token=" + "a.B" * rng.randrange(1, 200), lambda: "https://" + "h" * rng.randrange(1, 500), lambda: "user=" + "b" * rng.randrange(1, 300), lambda: "AKIA" + "Z" * rng.randrange(1, 40), lambda: "0f" * rng.randrange(8, 30)))() for _ in range(6)]
+        rows.append((i, "".join(p + "\n" * rng.randrange(1, 350) for p in parts)))
+    found = secrets.parts(spark.createDataFrame(rows, "doc_id long, text string")).persist()
+    got = {r.row: [tuple(x) for x in r.added] for r in secrets.linked(found).collect()}
+    last = lambda p: max(p.start, p.end - secrets.TAIL)
+    for r in found.collect():
+        want = []
+        for w in r.weak:
+            near = [(p.role, p.rank < 3) for p in [*r.base, *r.weak] if last(p) >= w.start - 200 and p.start <= last(w) + 200]
+            other = {"identifier": "secret", "secret": "identifier"}.get(w.role)
+            roles = {role for role, _ in near}
+            if (other in roles and ((other, True) in near or "endpoint" in roles)) if other else {"identifier", "secret"} <= roles:
+                want.append(tuple(w))
+        assert sorted(want) == got.get(r.row, [])

@@ -2,9 +2,10 @@
 
 Base spans: assignments of a password, secret, token or API key, access key ids, and long hex runs. Besides,
 every text yields weak parts: short access ids and named accounts (identifiers), shorter hex runs (secrets)
-and connection addresses (endpoints). Parts become intervals; an interval join on (row, scope bucket) tells
-for each weak part which complementary parts lie within SCOPE characters. The right side is aggregated to one
-row a bucket before the join, so hot scopes never multiply. A weak identifier or secret is reported when its
+and connection addresses (endpoints). Parts become intervals from their start to TAIL characters before their
+end (to the start, if shorter); an interval join on (row, scope bucket) tells for each weak part which
+complementary parts lie within SCOPE characters, in either order and whatever the parts' lengths. A part is dealt
+to every bucket that it covers. The right side is aggregated to one row a bucket before the join, so hot scopes never multiply. A weak identifier or secret is reported when its
 counterpart is in scope and one of the two is strong or an endpoint is there as well; an endpoint
 is reported when both an identifier and a secret are in scope.
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import written
 
 SCOPE = 200
+TAIL = 20
 
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -69,14 +71,17 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(row, added): the weak parts of found's rows that have their complementary parts in scope."""
     strong = found.where(F.size("weak") > 0).select("row", F.explode("base").alias("p"), F.lit(True).alias("strong"))
     weak = found.where(F.size("weak") > 0).select("row", F.explode("weak").alias("p"), F.lit(False).alias("strong"))
-    every = strong.union(weak).select("row", "p.start", "p.end", "p.rank", "p.role", "strong", F.floor(F.col("p.start") / scope).alias("bucket"))
-    of = lambda role, strong=False: F.when((F.col("role") == role) & (F.col("strong") if strong else F.lit(True)), F.col("start"))
-    roles = {"i": of("identifier"), "s": of("secret"), "e": of("endpoint"), "I": of("identifier", True), "S": of("secret", True)}
-    names = {"i": "any_id", "s": "any_secret", "e": "any_endpoint", "I": "strong_id", "S": "strong_secret"}
-    right = every.groupBy("row", "bucket").agg(*[f(c).alias(f"{names[k]}_{n}") for k, c in roles.items() for n, f in (("first", F.min), ("last", F.max))])
-    left = every.where("not strong").select("row", "start", "end", "rank", "role", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    near = lambda n: F.coalesce((F.col(f"{n}_last") >= F.col("start") - scope) & (F.col(f"{n}_first") <= F.col("start") + scope), F.lit(False))
-    seen = left.join(right, ["row", "bucket"]).groupBy("row", "start", "end", "rank", "role").agg(*[F.max(near(n)).alias(n) for n in names.values()])
+    bucket = lambda place: F.floor(place / scope)
+    every = strong.union(weak).select("row", "p.start", "p.end", "p.rank", "p.role", "strong", F.greatest("p.start", F.col("p.end") - TAIL).alias("last"))
+    covered = every.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start")), bucket(F.col("last")))))
+    of = lambda role, strong, place: F.when((F.col("role") == role) & (F.col("strong") if strong else F.lit(True)), F.col(place))
+    names = {"any_id": ("identifier", False), "any_secret": ("secret", False), "any_endpoint": ("endpoint", False), "strong_id": ("identifier", True), "strong_secret": ("secret", True)}
+    # Of parts that share a bucket, one ending too early and one starting too late cannot both be out of scope: they are less than a scope apart.
+    right = covered.groupBy("row", "bucket").agg(*[f(of(*what, place)).alias(f"{n}_{place}") for n, what in names.items() for f, place in ((F.min, "start"), (F.max, "last"))])
+    left = every.where("not strong").select("row", "start", "end", "rank", "role", "last", F.explode(F.sequence(bucket(F.col("start") - scope), bucket(F.col("last") + scope))).alias("bucket"))
+    near = lambda n: F.coalesce((F.col(f"{n}_last") >= F.col("start") - scope) & (F.col(f"{n}_start") <= F.col("last") + scope), F.lit(False))
+    seen = left.join(right, ["row", "bucket"]).select("row", "start", "end", "rank", "role", *[near(n).alias(n) for n in names])
+    seen = seen.groupBy("row", "start", "end", "rank", "role").agg(*[F.max(n).alias(n) for n in names])
     backed = lambda other, strong: F.col(other) & (F.col(strong) | F.col("any_endpoint"))
     kept = seen.where(
         F.when(F.col("role") == "identifier", backed("any_secret", "strong_secret"))
