@@ -72,3 +72,13 @@ def test_depth_and_minhash():
     assert nd.prefix_depth() == 8 and nd.prefix_depth(target=0.999) < 8
     a = nd.shingles(" ".join(f"w{i}" for i in range(400)))
     assert len(a) == 396 and (np.diff(a.view(np.int64).astype(object)) != 0).all()
+
+
+def test_lone_pairs_near_the_threshold(spark):
+    rows = []
+    for i in range(600):
+        own = [f"p{i}w{k}" for k in range(104)]
+        shared = 93 + i % 3  # of 100 shingles each 89 to 91 are shared: Jaccard 0.80 to 0.83
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:shared] + [f"q{i}w{k}" for k in range(shared, 104)]))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nd.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (k - k % 2, 1) for k in range(1200)}

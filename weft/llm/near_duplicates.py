@@ -1,19 +1,19 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by MinHash LSH with fixed bands, with exact verification.
 
 Shingles are runs of five lower-cased words (a shorter text is one shingle, a text without words has
 none and links to nothing), kept as sorted distinct 64-bit hashes. Texts with equal shingle sets form
 one class; everything after that works on classes, so copies never meet in pairs.
 
-Forest: each of TREES tries sorts the classes by MAX_DEPTH minhash labels. Matched prefixes start at
-full depth and are shortened until 1 - (1 - t^depth)^TREES, the chance that two texts at the threshold t
-share a prefix in some tree, reaches the target recall. Texts under a common prefix become edges
-to the least class there; connected classes are found by min-label rounds over id pairs only, so
-no bucket is ever expanded into pairs.
+Bands: each class has TREES keys, each a hash of the same number of minhash labels. That number is the largest,
+MAX_DEPTH at most, at which 1 - (1 - t^depth)^TREES, the chance that two texts at the threshold t share a key,
+reaches the target recall: 5 labels for TARGET_RECALL. It is one for all classes; nothing is sorted and no key
+is shortened by what was found. Texts with a common key become edges to the least class there; connected
+classes are found by min-label rounds over id pairs only, so no bucket is ever expanded into pairs.
 
 Verification: a component of n classes is dealt into blocks of BLOCK classes; each pair of blocks
 is one cell with both blocks' shingle sets and counts exact intersections with one matrix product a
 chunk. A cell returns the links of each class and a spanning forest of its links. All pairs within
-a component are verified, so recall is at least the forest's.
+a component are verified, so recall is at least the bands'.
 
 Rows: one for each input row (repeated rows and null ids too) with class_id, the least id of the rows
 that links connect (null only if all their ids are null), n_links, the other rows at or above
@@ -34,11 +34,11 @@ WORDS = 5
 THRESHOLD = 0.8
 TREES = 24
 MAX_DEPTH = 10
-TARGET_RECALL = 0.98
+TARGET_RECALL = 0.9999
 BLOCK = 256
 
 
-def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, target: float = TARGET_RECALL) -> int:
+def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, target: float = 0.98) -> int:
     depth = max_depth
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
         depth -= 1
