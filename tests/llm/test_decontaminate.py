@@ -1,4 +1,6 @@
-from hypothesis import given, settings
+import random
+
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from weft.llm import decontaminate
@@ -27,12 +29,20 @@ def brute_tiles(text, item, least):
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(-1, 3), max_size=30), st.lists(st.integers(0, 3), max_size=20))
+@example([1, 0, 1, 0, 0, 0], [1, 0, 1, 1, 0, 0])
 def test_tiles_against_brute_force(text, item):
     got, want = decontaminate.tiles(text, item, 2), brute_tiles(text, item, 2)
     assert sorted(x[2] for x in got) == sorted(x[2] for x in want)
     assert got == want
 
 
+def test_tiles_on_many_random_pairs():
+    rng = random.Random(8)
+    for _ in range(5000):
+        text, item = [rng.randrange(-1, 3) for _ in range(rng.randrange(24))], [rng.randrange(3) for _ in range(rng.randrange(16))]
+        assert decontaminate.tiles(text, item, 2) == brute_tiles(text, item, 2)
+
+
 ITEM = "one two three four five six seven eight nine ten eleven twelve"
 
 

@@ -66,8 +66,8 @@ def tiles(text: list[int], item: list[int], least: int = SEED) -> list[tuple[int
         longest_left = None
         for n, q, p in found:
             n = -n
-            if longest_left is not None and n < longest_left:
-                break  # a trimmed match may now be longer than this one
+            if longest_left is not None and n <= longest_left:
+                break  # a trimmed match may now be longer than this one, or as long and earlier
             if all(free_t[p : p + n]) and all(free_i[q : q + n]):
                 free_t[p : p + n] = [False] * n
                 free_i[q : q + n] = [False] * n
