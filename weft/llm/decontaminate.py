@@ -7,8 +7,9 @@ lengths go by the earlier place in the item, then in the text. An item whose wor
 leaked in that text, whatever order its passages come in.
 
 The seed join: while the benchmark holds at most MAX_BROADCAST_WORDS words (counted first), its items are
-broadcast and matched in the scan of the texts. Beyond that, hashes of both sides are joined in Spark and the
-pairs found get their texts by joins; both ways give the same rows.
+broadcast and matched in the scan of the texts. Beyond that, hashes of both sides are joined in Spark, salted and
+without those seeds of each item that most texts have (as many as a leaking text can do without), and the pairs found get their
+texts by joins; both ways give the same rows.
 
 Null and empty texts, and items of fewer than SEED words, match nothing. A repeated row or item gives its pair
 again. Rows: doc_id, item_id, coverage, tiles, longest, item_words of each pair at or above COVERAGE.
@@ -22,12 +23,16 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from weft.llm.common import written
 
 SEED = 5
 COVERAGE = 0.8
 MAX_BROADCAST_WORDS = 2_000_000
+SALTS = 16
 
 WORD = re.compile(r"\w+")
 BASE, PRIME = 1_000_003, (1 << 61) - 1
@@ -104,33 +109,34 @@ def rolling(ids: list[int], free: list[bool], n: int):
 
 
 class Benchmark:
-    """Items as ids of their own vocabulary, with the hashes of their seeds."""
+    """Items as ids of their own vocabulary, with the sorted hashes of their seeds: some 20 bytes a word."""
 
     def __init__(self, items: list[tuple], seed: int):
         self.seed, self.ids = seed, {}
-        self.items = []
+        self.items, hashes, owners = [], [], []
         for item_id, text in items:
-            ids = [self.ids.setdefault(w, len(self.ids)) for w in words(text)]
+            ids = np.array([self.ids.setdefault(w, len(self.ids)) for w in words(text)], np.int32)
             if len(ids) >= seed:
+                found = np.unique(runs(ids.astype(np.int64), seed)[1])
+                hashes.append(found)
+                owners.append(np.full(len(found), len(self.items), np.int32))
                 self.items.append((item_id, ids))
-        owners = defaultdict(set)
-        for k, (_, ids) in enumerate(self.items):
-            for h in runs(np.array(ids, np.int64), seed)[1].tolist():
-                owners[h].add(k)
-        self.owners = dict(owners)
-        self.seeds = np.array(sorted(self.owners), np.uint64)
+        self.seeds, self.owners = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((hashes, np.uint64), (owners, np.int32)))
+        order = np.argsort(self.seeds, kind="stable")
+        self.seeds, self.owners = self.seeds[order], self.owners[order]
 
     def leaks(self, text: str | None, coverage: float) -> list[tuple]:
         ids = np.fromiter(map(self.ids.get, each := words(text), [-1] * len(each)), np.int64, len(each))
         _, hashes = runs(ids, self.seed)
         if not len(hashes) or not len(self.seeds):
             return []
-        place = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)
-        hit = np.unique(hashes[self.seeds[place] == hashes])
+        hashes = np.unique(hashes)
+        low, high = np.searchsorted(self.seeds, hashes), np.searchsorted(self.seeds, hashes, side="right")
+        owners = [self.owners[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a]
         out = []
-        for k in sorted(set().union(*(self.owners[h] for h in hit.tolist()))):
+        for k in np.unique(np.concatenate(owners)).tolist() if owners else ():
             item_id, item = self.items[k]
-            if row := leak(ids.tolist(), item, self.seed, coverage):
+            if row := leak(ids.tolist(), item.tolist(), self.seed, coverage):
                 out.append((item_id, *row))
         return out
 
@@ -160,16 +166,28 @@ def runs(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 SCHEMA = "coverage double, tiles int, longest int, item_words int"
 
 
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
+
+
+def fits(items: DataFrame, max_broadcast_words: int) -> bool:
+    return (items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}_]+")))).first()[0] or 0) <= max_broadcast_words
+
+
+def held(items: DataFrame, seed: int):
+    """The broadcast items; called only behind fits()."""
+    return items.sparkSession.sparkContext.broadcast(Benchmark(sorted(items.collect(), key=lambda r: (r[0] is None, str(r[0]), r[1])), seed))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, max_broadcast_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """doc_id, item_id, coverage, tiles, longest, item_words of every pair whose item is covered to coverage or more."""
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    items = benchmark_items(benchmark)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}_]+")))).first()[0] or 0
-    if size > max_broadcast_words:
+    if not fits(items, max_broadcast_words):
         return _by_shuffle(texts, items, coverage, seed)
-    bench = docs.sparkSession.sparkContext.broadcast(Benchmark(sorted(items.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1])), seed))
+    bench = held(items, seed)
     doc_kind, item_kind = texts.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    item_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
 
     def run(batches):
         b = bench.value
@@ -191,29 +209,46 @@ def _batch(ids, item_type, rows) -> pa.RecordBatch:
 
 
 def seed_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """(key, hash) of the distinct seeds of each row's text."""
+    """(key, hash, n) of the distinct seeds of each row's text; n: in how many places, size: of how many words the text is."""
 
     def run(batches):
         for batch in batches:
-            at, out = [], []
+            at, out, n, size = [], [], [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
                 each = words(t)
                 ids = np.fromiter(map(xxhash.xxh3_64_intdigest, each), np.uint64, len(each)) >> np.uint64(1)
-                found = np.unique(runs(ids.astype(np.int64), seed)[1])
-                at.append(np.full(len(found), k))
+                found, places = np.unique(runs(ids.astype(np.int64), seed)[1], return_counts=True)
+                at.append(np.full(len(found), k, np.int64))
                 out.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(out))], names=["key", "hash"])
+                n.append(places)
+                size.append(np.full(len(found), len(each), np.int64))
+            at, *columns = (np.concatenate([np.empty(0, np.int64), *x]) for x in (at, out, n, size))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *map(pa.array, columns)], names=["key", "hash", "n", "size"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "text").mapInArrow(run, f"key {kind}, hash long")
+    return df.select(key, "text").mapInArrow(run, f"key {kind}, hash long, n long, size long")
+
+
+def telling_seeds(of_texts: DataFrame, of_items: DataFrame, coverage: float, seed: int) -> DataFrame:
+    """(hash, ik) of the item seeds of which every leaking text shares one at least.
+
+    A text that covers coverage x size words of an item by tiles of seed words or more shares at least coverage x size / seed
+    of its seed places. So the places of the seeds that most texts have may go, as long as fewer than that go.
+    """
+    common = of_texts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"))
+    ranked = of_items.join(common, "hash").withColumn("gone", F.sum("n").over(Window.partitionBy("key").orderBy(F.desc("texts"), "hash")))
+    return ranked.where(F.col("gone") >= F.ceil(F.col("size") * coverage / seed - 1e-9)).select("hash", F.col("key").alias("ik"))
 
 
 def _by_shuffle(texts: DataFrame, items: DataFrame, coverage: float, seed: int) -> DataFrame:
-    texts, items = (df.withColumn("row", F.struct(df.columns[0], F.xxhash64("text").alias("h"))).withColumn("rk", F.xxhash64("row")) for df in (texts, items))
-    pairs = (
-        seed_rows(texts, "rk", seed).withColumnRenamed("key", "rk").join(seed_rows(items, "rk", seed).withColumnRenamed("key", "ik"), "hash")
-        .select("rk", "ik").distinct()
-    )
+    """Row keys are hashes of id and text: rows that share one meet the same items, and every pair is verified."""
+    texts, items = (df.withColumn("rk", F.xxhash64(df.columns[0], "text")) for df in (texts, items))
+    of_items = seed_rows(items.dropDuplicates(["rk"]), "rk", seed)
+    wanted = of_items.select("hash").distinct()
+    of_texts, _ = written(seed_rows(texts.dropDuplicates(["rk"]), "rk", seed).join(wanted, "hash", "left_semi").select("hash", "key"), "seeds")
+    telling = telling_seeds(of_texts, of_items, coverage, seed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = of_texts.select("hash", F.col("key").alias("rk"), F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
+    pairs = salted.join(telling, ["hash", "salt"]).select("rk", "ik").distinct()
     full = pairs.join(texts.select("rk", "doc_id", "text"), "rk").join(items.select(F.col("rk").alias("ik"), "item_id", F.col("text").alias("item")), "ik")
 
     def run(batches):
@@ -231,7 +266,18 @@ def _by_shuffle(texts: DataFrame, items: DataFrame, coverage: float, seed: int)
     return full.select("doc_id", "text", "item_id", "item").mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, {SCHEMA}")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """docs without the rows that hold a leaked item; rows with a null id stay."""
-    leaked = contaminated(docs, benchmark, coverage).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, max_broadcast_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+    """docs without the rows whose own text holds a leaked item, whatever their ids; rows of null texts stay."""
+    items, text = benchmark_items(benchmark), docs["text"].cast("string")
+    if fits(items, max_broadcast_words):
+        bench = held(items, seed)
+
+        @F.pandas_udf("boolean")
+        def leaky(texts):
+            return texts.map(lambda t: bool(bench.value.leaks(t, coverage))).astype(bool)
+
+        return docs.where(~leaky(text))
+    name = lambda t: F.sha2(t, 256)
+    each = docs.select(text.alias("text")).where("text is not null").select(F.unhex(name(F.col("text"))).alias("doc_id"), "text")
+    leaked = _by_shuffle(each, items, coverage, seed).select(F.col("doc_id").alias("leaked")).distinct()
+    return docs.join(leaked, F.unhex(name(text)) == leaked.leaked, "left_anti")
