@@ -56,3 +56,21 @@ def test_nulls_empty_repeats(spark):
     got = byte_bpe.digests(docs, tokenizer_file(), split_pattern()).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 2), (1, 0), (2, 0), (2, 0)]
     assert byte_bpe.digests(docs.limit(0), tokenizer_file(), split_pattern()).count() == 0
+
+
+def test_most_documents_go_up_the_tree(spark, ranks, monkeypatch):
+    """At the production leaf size most documents take joins, and every join re-encodes a short window only."""
+    tree, joins, windows = byte_bpe.TreeCodec(ranks, split_pattern()), [], []
+    whole = tree._join
+    monkeypatch.setattr(tree, "_join", lambda text, lo, mid, hi, a, b: (joins.append(text), windows.append(tree._stable_after(text, mid, hi) - tree._stable_before(text, lo, mid)), whole(text, lo, mid, hi, a, b))[2])
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t in texts:
+        tree.encode(t)
+    assert len(set(joins)) > 0.8 * len(set(texts)) and sorted(windows)[len(windows) // 2] <= 2 * byte_bpe.WINDOW
+
+
+def test_very_long_texts(spark, library):
+    rows = [(1, "word, and more. " * 60_000), (2, "x" * 40_000), (3, "\n" * 40_000)]
+    got = {r.doc_id: r for r in byte_bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_file(), split_pattern()).collect()}
+    for k, text in rows:
+        assert got[k].ids == library.encode_ordinary(text) and bytes(got[k].decoded) == text.encode()

@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by a monoid tree reduction.
 
-A text is halved down to leaves of at most LEAF characters. A leaf is encoded alone; two
+A text is halved down to leaves of at most LEAF characters; every longer text is put together by joins. A leaf is encoded alone; two
 neighbours are joined by re-encoding a window around their border and keeping the ids outside it.
 The window grows, to both sides, until it starts and ends where a non-space character is followed by
 white space. No match of the split pattern holds such a pair (it is one optional space before
@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LEAF = 1 << 15
-WINDOW = 64
+LEAF = 128
+WINDOW = 32
 
 
 class TreeCodec:
