@@ -366,12 +366,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found, paths = classified(docs, threshold, TREES, TARGET_RECALL, BLOCK, whole.alias("rh"))
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     mine = F.when(alone, F.struct(F.lit(True).alias("alone"), F.xxhash64("doc_id").alias("a"), F.col("th").alias("b"))).otherwise(F.struct(F.lit(False).alias("alone"), F.col("group").alias("a"), F.col("d2").alias("b")))
-    place = F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "th", "rh")
-    each = found.select(mine.alias("mine"), "doc_id", "th", "rh", place.alias("place"))
+    each = found.select(mine.alias("mine"), "doc_id", "th", "rh", F.struct("doc_id", "th", "rh").alias("place"))
     first = each.groupBy("mine").agg(F.min("place").alias("first"))
     salt = F.pmod("rh", F.lit(SALTS)).cast("int")
     marked = each.withColumn("salt", salt).join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["mine", "salt"])
-    marks = marked.groupBy("doc_id", "th", "rh").agg(F.bool_or(F.col("place") == F.col("first")).alias("kept"), F.count(F.lit(1)).alias("rows"))
+    marks = marked.groupBy("doc_id", "th", "rh").agg(F.bool_or(F.col("place").eqNullSafe(F.col("first"))).alias("kept"), F.count(F.lit(1)).alias("rows"))
     marks, marks_path = written(marks.where("not kept or rows > 1").select(F.col("doc_id").alias("of"), "th", "rh", "kept"), "marks")
     forget(docs.sparkSession, *paths)
     name = lambda m: m["of"].eqNullSafe(docs["doc_id"]) & (m["th"] == F.xxhash64(docs["text"].cast("string"))) & (m["rh"] == whole)
