@@ -33,6 +33,17 @@ def test_edits_against_full_count(text, edits):
     assert tree.tokens.total() == count(tree.text())
 
 
+def test_leaves_that_grow_are_split():
+    tree = ec.CountedText("start " * 40, count, size=64)
+    for k in range(300):
+        tree.edit(120, 0, f"new words {k} ")
+    assert max(map(len, tree.leaves)) <= 4 * 64 and tree.redone < 300 * 4 * 64
+    assert tree.tokens.total() == count(tree.text()) and tree.chars.total() == len(tree.text())
+    long = ec.CountedText("word " * 100_000, count)
+    long.edit(250_000, 3, " and ")
+    assert long.redone < 4 * ec.LEAF and long.tokens.total() == count(long.text())
+
+
 def test_query_against_full_count(spark, sf_dir):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op3_edit_counts(spark, sf_dir).collect()

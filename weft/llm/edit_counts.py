@@ -3,7 +3,8 @@
 A text is cut into leaves of about LEAF characters, only where a non-space is followed by white space: a place no
 pre-token spans, so counts of leaves add up. Two sum trees hold the leaves' characters and tokens. An edit (start,
 length, replacement) finds its leaves by descending the character tree, takes in the neighbours whose borders it
-touches, encodes that region alone, and updates the sums on the paths to the root; everything else stays. Places of an edit
+touches, encodes that region alone, cuts it into leaves again if it has grown beyond twice LEAF, and updates the sums on the paths to the
+root; everything else stays. Places of an edit
 refer to the text after the edits before it; they are clamped to the text.
 
 Null and empty texts have one empty leaf; null edits count as none, null fields of an edit as 0 and "". Each row gives a
@@ -76,7 +77,7 @@ class SumTree:
 
 class CountedText:
     def __init__(self, text: str, count, size: int = LEAF):
-        self.count = count
+        self.count, self.size = count, size
         self.leaves = leaves(text, size)
         self.chars, self.tokens = SumTree([len(x) for x in self.leaves]), SumTree([count(x) for x in self.leaves])
         self.redone = 0
@@ -96,11 +97,23 @@ class CountedText:
         region = "".join(self.leaves[first : last + 1])
         region = region[: start - begin] + text + region[end - begin :]
         self.redone += len(region)
+        pieces = leaves(region, self.size) if len(region) > 2 * self.size else [region]
+        counts = [self.count(x) if x else 0 for x in pieces]
+        if len(pieces) > last + 1 - first:
+            self.grow(first, last, pieces, counts)
+            return
         for k in range(first, last + 1):
-            own = region if k == first else ""
+            own, n = (pieces[k - first], counts[k - first]) if k - first < len(pieces) else ("", 0)
             self.leaves[k] = own
             self.chars.set(k, len(own))
-            self.tokens.set(k, self.count(own) if own else 0)
+            self.tokens.set(k, n)
+
+    def grow(self, first: int, last: int, pieces: list[str], counts: list[int]) -> None:
+        """More leaves than there were: the trees are built again from the leaves' sums, without encoding."""
+        tokens = self.tokens.sums[self.tokens.width :][: len(self.leaves)]
+        self.leaves[first : last + 1] = pieces
+        tokens[first : last + 1] = counts
+        self.chars, self.tokens = SumTree([len(x) for x in self.leaves]), SumTree(tokens)
 
     def text(self) -> str:
         return "".join(self.leaves)

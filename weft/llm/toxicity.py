@@ -1,11 +1,11 @@
 """Toxicity: maximum-scoring segments over token log-odds, calibrated by extreme-value statistics.
 
-Learning (a bounded sample of labelled rows, MAX_LABELLED at most, lowest hash of the id first):
-one text of each group with a common minhash is kept, so that copies do not vouch for each other. Counts of
-tokens and of their prefixes of PREFIXES letters in both classes, at most MOST_IN_TEXT a text, give log-odds with an informative
+Learning (a bounded sample of labelled rows, MAX_LABELLED at most, lowest hash of the id first, written once): of
+rows that agree in the label and in all of SKETCHES minhashes of five words in a row, the one with the least id (then text hash) is kept, so that
+copies do not vouch for each other. Damped counts (n occurrences in a text count DAMPING * ln(1 + n / DAMPING)) of
+tokens and of their prefixes of PREFIXES letters in both classes give log-odds with an informative
 Dirichlet prior, whose pseudo-counts follow the pooled counts; features with enough z-score,
-log-odds and texts form the lexicon
-(MAX_LEXICON at most, so that what is broadcast is bounded). A token scores as itself, else by its longest prefix in
+log-odds and texts form the lexicon, whose size the sample bounds. A token scores as itself, else by its longest prefix in
 the lexicon (inflected forms); every other token costs DRIFT.
 
 Scoring: the linear-time scan for all maximal segments over each text. With the null rate of token
