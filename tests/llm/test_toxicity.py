@@ -64,3 +64,29 @@ def test_edges(spark):
     none = toxicity.learn(docs, labels.limit(0))
     assert {r.score for r in toxicity.passages(docs, none).collect()} == {toxicity.probability(none, 0.0)}
     assert toxicity.passages(docs.limit(0), model).count() == 0
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    scores = []
+    for n in (1, 13):
+        model = toxicity.learn(docs.repartition(n), labels.repartition(n))
+        scores.append({(r.doc_id, r.score) for r in toxicity.passages(docs.repartition(n), model).collect()})
+    assert scores[0] == scores[1]
+
+
+def test_only_copies_are_left_out_of_training(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    near = [(k, passage + " " + " ".join(f"same{j}" for j in range(60)) + f" end{k}", 0) for k in range(6)]
+    unlike = [(100 + k, passage + " " + " ".join(f"t{k}x{j}" for j in range(300)), 0) for k in range(20)]
+    rows = spark.createDataFrame([(i, k % 97, y, t) for k, (i, t, y) in enumerate(near + unlike + [(200, near[0][1], 1)])], "doc_id long, th long, toxic int, text string")
+    kept = {(r.text, r.toxic) for r in toxicity.without_copies(rows).collect()}
+    assert {(t, 0) for _, t, _ in unlike} <= kept and (near[0][1], 1) in kept
+    assert 1 <= len([t for _, t, _ in near if (t, 0) in kept]) <= 2
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(k, ("good words here " if k % 3 else "vile words here ") * 40) for k in range(60)] + [(99, "good words here " * 60_000 + "vile " * 20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.passages(docs, toxicity.learn(docs, labels)).collect()}
+    assert got[99].n_tokens == 180_020 and [p.first for p in got[99].passages][-1:] in ([180_000], [])

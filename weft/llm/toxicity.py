@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from weft.llm.common import fold, forget, written
 
 MAX_LABELLED = 40_000
-MAX_LEXICON = 20_000
+MAX_LEXICON = 200_000  # of the model, most significant first; some 20 MB
 PRIOR, MOST_PRIOR, LEAST_PRIOR = 0.1, 2.0, 0.1
 PREFIXES = (6, 5, 4)
 MEMO = 500_000
 MIN_Z = 3.5
-MIN_TEXTS, MOST_IN_TEXT = 3, 4
+MIN_TEXTS, DAMPING = 3, 3.0
+SKETCHES, ALIKE = 16, 10
 MIN_LOG_ODDS = 1.0
 DRIFT = -0.05
 
@@ -109,9 +110,19 @@ def hits(words: list[str], scores: Scores) -> list[tuple[int, float]]:
     return [(i, s) for i, w in enumerate(words) if (s := scores[w])]
 
 
-def sketch(words: list[str]) -> int:
-    """The least hash of five words in a row: near copies mostly share it."""
-    return min((xxhash.xxh3_64_intdigest(" ".join(words[k : k + 5])) for k in range(max(len(words) - 4, 1))), default=0) >> 1
+def damped(n: int) -> int:
+    """Thousandths of what n occurrences in one text count: further ones ever less, none nothing."""
+    return round(1000 * DAMPING * math.log1p(n / DAMPING))
+
+
+FACTORS = np.arange(1, 2 * SKETCHES, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def sketch(words: list[str]) -> list[int]:
+    """SKETCHES minhashes of the runs of five words: two texts agree in about as large a share as they have runs in common."""
+    h = np.array([xxhash.xxh3_64_intdigest(" ".join(words[k : k + 5])) for k in range(max(len(words) - 4, 1))], np.uint64)
+    with np.errstate(over="ignore"):
+        return [int((h * f).min() >> np.uint64(1)) for f in FACTORS]
 
 
 def evidence(n_tokens: int, segments: list[tuple[int, int, float]], lam: float, k: float) -> float:
@@ -135,17 +146,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
         share = 1.2 * max_labelled / n
         chosen = chosen.where((order.cast("double") / 2.0**64 + 0.5) < share) if share < 1 else chosen
     chosen = chosen.orderBy(order, "doc_id").limit(max_labelled)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "th", "toxic", "text")
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON) -> Model:
-    rows = training_rows(docs, labels, max_labelled)
+def without_copies(rows: DataFrame) -> DataFrame:
+    """(text, toxic) of rows, without those that agree with the least row of their label and first sketch in ALIKE sketches or more."""
 
     def sketched(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sketch(tokens(t)) for t in batch.column(0).to_pylist()], pa.int64())], names=["text", "toxic", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sketch(tokens(t)) for t in batch.column(3).to_pylist()], pa.list_(pa.int64()))], names=[*batch.schema.names, "sketch"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    each = rows.mapInArrow(sketched, f"doc_id {kind}, th long, toxic int, text string, sketch array<long>").withColumn("first", F.col("sketch")[0])
+    least = each.groupBy("toxic", "first").agg(F.min(F.struct("doc_id", "th", "sketch")).alias("least"))
+    alike = F.size(F.filter(F.zip_with("sketch", "least.sketch", lambda a, b: a == b), lambda same: same))
+    itself = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))
+    return each.join(least, ["toxic", "first"]).where(itself | (alike < ALIKE)).dropDuplicates(["doc_id", "th"]).select("text", "toxic")
 
-    train = rows.mapInArrow(sketched, "text string, toxic int, sketch long").dropDuplicates(["sketch", "toxic"]).select("text", "toxic")
+
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON) -> Model:
+    train, train_path = written(without_copies(training_rows(docs, labels, max_labelled)), "train")
 
     def count(batches):
         for batch in batches:
@@ -153,13 +174,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
             for text, y in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 for f, n in Counter(f for w in tokens(text) for f in features(w)).items():
                     each = both.setdefault(f, [0, 0, 0])
-                    each[y > 0] += min(n, MOST_IN_TEXT)
+                    each[y > 0] += damped(n)
                     each[2] += 1
-            yield pa.RecordBatch.from_pydict({"token": list(both)} | {c: [x[k] for x in both.values()] for k, c in enumerate(("clean", "toxic", "texts"))})
+            yield pa.RecordBatch.from_pydict({"token": list(both)} | {c: [x[k] for x in both.values()] for k, c in enumerate(("clean", "toxic", "texts"))}, schema=pa.schema([("token", pa.string()), *((c, pa.int64()) for c in ("clean", "toxic", "texts"))]))
 
-    counts, counts_path = written(train.mapInArrow(count, "token string, clean long, toxic long, texts long").groupBy("token").agg(F.sum("clean").alias("y0"), F.sum("toxic").alias("y1"), F.sum("texts").alias("texts")), "counts")
-    n0, n1 = counts.agg(F.sum("y0"), F.sum("y1")).first()
+    counts, counts_path = written(train.mapInArrow(count, "token string, clean long, toxic long, texts long").groupBy("token").agg((F.sum("clean") / 1000).alias("y0"), (F.sum("toxic") / 1000).alias("y1"), F.sum("texts").alias("texts")), "counts")
+    n0, n1 = (float(n or 0) for n in counts.agg(F.sum(F.col("y0").cast("decimal(30,3)")), F.sum(F.col("y1").cast("decimal(30,3)"))).first())
     if not n0 or not n1:
+        forget(docs.sparkSession, train_path, counts_path)
         return Model({}, 1.0, 1.0, 0.0, -50.0)
     prior = F.least(PRIOR * (F.col("y0") + F.col("y1")), F.lit(MOST_PRIOR)) + LEAST_PRIOR
     odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(float(n)) - F.col(y) + prior))
@@ -172,23 +194,31 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     lexicon = {r.token: r.delta for r in top}
     forget(docs.sparkSession, counts_path)
     lam = null_lambda([(r.delta, r.y0 / n0) for r in top])
-    rows = train.mapInArrow(lambda it: _statistics(it, lexicon), "toxic int, n long, scores array<double>").collect()
-    k = gumbel_k([(r.n, max(r.scores, default=0.0)) for r in rows if not r.toxic], lam)
-    x = np.array([evidence(r.n, [(0, 0, s) for s in r.scores], lam, k) for r in rows])
-    slope, shift = logistic_fit(x, np.array([float(r.toxic > 0) for r in rows]))
+    found, found_path = written(train.mapInArrow(lambda it: _statistics(it, lexicon), "toxic int, n long, best double, scores array<double>"), "found")
+    best = sorted((r.n, r.best) for r in found.where("toxic = 0").select("n", "best").collect())  # of the sample: MAX_LABELLED rows
+    k = gumbel_k(best, lam)
+    x, y = np.array(sorted(map(tuple, found.mapInArrow(lambda it: _evidence(it, lam, k), "x double, toxic int").collect()))).T
+    slope, shift = logistic_fit(x, (y > 0).astype(float))
+    forget(docs.sparkSession, train_path, found_path)
     return Model(lexicon, lam, k, slope, shift)
 
 
 def _statistics(batches, lexicon):
     memo = Scores(lexicon)
+    kinds = {"toxic": pa.int32(), "n": pa.int64(), "best": pa.float64(), "scores": pa.list_(pa.float64())}
     for batch in batches:
-        out = {"toxic": [], "n": [], "scores": []}
+        rows = []
         for text, y in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
             words = tokens(text)
-            out["toxic"].append(y)
-            out["n"].append(len(words))
-            out["scores"].append([s for *_, s in maximal_segments(hits(words, memo), DRIFT)])
-        yield pa.RecordBatch.from_arrays([pa.array(out["toxic"], pa.int32()), pa.array(out["n"], pa.int64()), pa.array(out["scores"], pa.list_(pa.float64()))], names=list(out))
+            scores = [s for *_, s in maximal_segments(hits(words, memo), DRIFT)]
+            rows.append((y, len(words), max(scores, default=0.0), scores))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds.values(), strict=True)], names=list(kinds))
+
+
+def _evidence(batches, lam, k):
+    for batch in batches:
+        x = [evidence(n, [(0, 0, s) for s in scores], lam, k) for n, scores in zip(*(batch.column(c).to_pylist() for c in ("n", "scores")), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column("toxic")], names=["x", "toxic"])
 
 
 def null_lambda(scores: list[tuple[float, float]]) -> float:
