@@ -78,3 +78,64 @@ def test_node_and_skip_weights_do_not_drift_apart(spark):
         docs = spark.range(n).selectExpr("id doc_id", f"'{text}' text")
         w = pd_.learn(docs, max_sample=n)
         assert [(text[a:b], k) for a, b, k in pd_.added_spans(text, pd_.base_spans(text), w)] == [("988.555.2485", "phone")]
+
+
+def test_marginals_against_all_labelings():
+    """Sum-product on small fields equals the sum over every labeling of the open mentions."""
+    import itertools
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    L = len(pd_.LABELS)
+    for _ in range(25):
+        w = pd_.Weights({f: [rng.uniform(-2, 2) for _ in range(L)] for f in "ab"}, np.array([[rng.uniform(-1, 1) for _ in range(L)] for _ in range(L)]), rng.uniform(0, 5))
+        nodes = [pd_.Node(k, k + 1, rng.choice("abc"), rng.randrange(1, L) if (seen := rng.random() < 0.5) else 0, seen, tuple(rng.sample(["x", "y", "z"], rng.randrange(3)))) for k in range(5)]
+        hubs = pd_.hubs(nodes)
+        total = np.zeros((5, L))
+        for y in itertools.product(*([n.label] if n.observed else range(L) for n in nodes)):
+            score = sum(w.potential(n.form)[y[k]] for k, n in enumerate(nodes) if not n.observed) + sum(w.chain[a, b] for a, b in zip(y, y[1:]))
+            for k, n in enumerate(nodes):
+                if not n.observed:
+                    score += sum(np.log(np.mean([np.exp(w.skip * (y[k] == label)) for label in hubs[key]])) for key in n.keys if key in hubs)
+            total[np.arange(5), y] += np.exp(score)
+        nodes = [pd_.Node(n.start, n.end, n.form, n.label, n.observed, n.keys if n.observed else tuple(k for k in n.keys if k in hubs)) for n in nodes]
+        assert np.allclose(pd_.marginals(nodes, w), total / total.sum(axis=1, keepdims=True), atol=1e-5)
+
+
+def test_training_reaches_the_optimum():
+    import numpy as np
+
+    cells = [("11", 5, 5, 4, 4, 30), ("11", 0, 4, 5, 4, 50), ("11", 5, 0, 5, 0, 40), ("2a", 4, 5, 5, 0, 80), ("2a", 5, 5, 1, 1, 9), ("11", 5, 5, 3, 4, 2)]
+
+    def objective(w):
+        total, n = 0.0, sum(c[-1] for c in cells)
+        chain = np.pad(w.chain, ((0, 1), (0, 1)))
+        for form, before, after, hub, label, count in cells:
+            s = np.array([w.node[form][y] + chain[before, y] + chain[y, after] + w.skip * (y == hub) for y in range(5)])
+            total += count / n * (s[label] - np.log(np.exp(s).sum()))
+        far = sum(((np.array(v) - np.log(pd_.FORM_PRIOR)) ** 2).sum() for v in w.node.values()) + (w.chain**2).sum() + (w.skip - pd_.SKIP_PRIOR) ** 2
+        return total - pd_.PULL / 2 * far
+
+    w = pd_.trained(cells)
+    best = objective(w)
+    assert best > objective(pd_.trained(cells, 1)) and pd_.trained([]).skip == pd_.SKIP_PRIOR
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        moved = pd_.Weights({f: (np.array(v) + rng.normal(0, 0.1, 5)).tolist() for f, v in w.node.items()}, w.chain + rng.normal(0, 0.1, (5, 5)), w.skip + rng.normal(0, 0.1))
+        assert objective(moved) < best + 1e-9
+    many = pd_.trained([(*c[:-1], c[-1] * 10**7) for c in cells])
+    assert np.allclose(many.chain, w.chain) and abs(many.skip - w.skip) < 1e-9
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    mail = " mail bosbt.42@mail8.example.com "
+    for text in ("1" * 200_000 + "." + mail, mail + "7 " * 100_000, "+1" + "(" * 100_000 + mail, ("a." * 50_000 + "@") * 2 + mail, mail + "988.555.2485 " * 5_000):
+        base = pd_.base_spans(text)
+        assert any(k == "email" for *_, k in base)
+        pd_.added_spans(text, base, pd_.Weights())
+    assert time.time() - began < 20

@@ -8,9 +8,11 @@ every open mention of the form has a skip edge to it wherever it stands in the d
 repeats do not weaken each other and the open nodes form a chain, on which sum-product settles exactly. An open
 mention whose likeliest label is an entity becomes an added span; documents without base spans have none.
 
-Node, chain and skip weights are shares, smoothed, from at most about MAX_SAMPLE documents (by hash of the
-id), labelled by the base patterns; everything else reads all rows. The prior keeps PRIOR_SHARE of node and skip
-weights in the largest sample too: that base patterns never match a shape is no proof that it holds no entity. Null and empty texts give no spans;
+Training: node, chain and skip weights maximise the mean log pseudo-likelihood of the known labels (base spans, and
+mentions like none of them, which are other) given neighbours and the other base spans of their form, less PULL times the squared distance from
+the prior weights; so weights keep their scale at any sample size: that base patterns never match a form is no proof that it holds no
+entity. Known mentions of at most about MAX_SAMPLE documents (by hash of the id) are counted in Spark by form, neighbours, hub and label, a closed set of cells, and
+the gradient runs over the cells; everything else reads all rows. Null and empty texts give no spans;
 repeated rows give equal rows. Places are code points, end exclusive.
 """
 
@@ -30,18 +32,19 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 MAX_SAMPLE = 20_000
-SKIP_PRIOR = (200.0, 1.0)
+NONE = len(LABELS)  # no neighbour, or one of unknown label; no other base span of the form
+SKIP_PRIOR = math.log(800)
 FORM_PRIOR = (0.6, 0.1, 0.1, 0.1, 0.1)
-PRIOR_COUNT, PRIOR_SHARE = 10, 0.1
+PULL, STEPS = 0.02, 400
 
 EMAIL_END = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NUMBER = re.compile(r"\+?\(?[0-9](?:[ ().\-/_]{0,2}[0-9])+")
-NAME = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z][A-Za-z0-9._%+-]*")
+NAME, LETTER = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile("[A-Za-z]")
 
 
 def luhn(digits: str) -> bool:
@@ -112,7 +115,7 @@ def mentions(text: str, base: list[tuple[int, int, str]]) -> list[Node]:
     for pattern in (NUMBER, NAME):
         for m in pattern.finditer(text):
             a, b = m.span()
-            if not covered[a:b].any():
+            if (pattern is NUMBER or LETTER.search(m[0])) and not covered[a:b].any():
                 nodes.append(Node(a, b, shape(m[0]), 0, False, tuple(k for k in normal_forms(m[0], None) if k in wanted)))
     return sorted(nodes, key=lambda n: (n.start, n.end))
 
@@ -133,35 +136,49 @@ def normal_forms(said: str, kind: str | None) -> tuple[str, ...]:
 
 
 def shape(said: str) -> str:
-    """A closed set of shapes: kind of characters, count of digits up to 20, separators."""
-    digits = len(DIGIT.findall(said))
-    rest = "".join(sorted({"a" if c.isalpha() else "" if c.isdigit() else c if c in "@+-(). " else "?" for c in said}))
-    return f"{min(digits, 20)}{rest}"
-
-
-def smoothed(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Shares of counts mixed with the prior's, which weighs as much as PRIOR_COUNT observations, and PRIOR_SHARE at least."""
-    n, prior = counts.sum(), prior / prior.sum()
-    kept = max(PRIOR_SHARE, PRIOR_COUNT / (n + PRIOR_COUNT))
-    return (1 - kept) * counts / max(n, 1) + kept * prior
-
-
-def skip_weight(same: float, other: float) -> float:
-    """Log ratio of the chance of a label like the linked one to that of each other label."""
-    p = smoothed(np.array([same, other], float), np.array(SKIP_PRIOR))
-    return max(0.0, math.log(p[0] / p[1] * (len(LABELS) - 1)))
+    """A closed set of forms: the number of digits up to 20, whether there are letters, whether there is an @; no separators, as they vary."""
+    return f"{min(len(DIGIT.findall(said)), 20)}{'a' if LETTER.search(said) else ''}{'@' if '@' in said else ''}"
 
 
 @dataclass
 class Weights:
     node: dict[str, list[float]] = field(default_factory=dict)
     chain: np.ndarray = field(default_factory=lambda: np.zeros((len(LABELS), len(LABELS))))
-    skip: float = skip_weight(0, 0)
+    skip: float = SKIP_PRIOR
 
     def potential(self, form: str) -> np.ndarray:
-        if form in self.node:
-            return np.array(self.node[form])
-        return np.log(np.array(FORM_PRIOR))
+        return np.array(self.node[form]) if form in self.node else np.log(np.array(FORM_PRIOR))
+
+
+def trained(cells: list[tuple[str, int, int, int, int, int]], steps: int = STEPS) -> Weights:
+    """Weights of (form, label before, label after, hub's label, label, count) cells by accelerated gradient ascent."""
+    if not cells:
+        return Weights()
+    forms = sorted({c[0] for c in cells})
+    form = np.array([forms.index(c[0]) for c in cells])
+    before, after, hub, label, count = np.array([c[1:] for c in cells]).T
+    share, n = count / count.sum(), len(LABELS)
+    prior = (np.tile(np.log(np.array(FORM_PRIOR)), (len(forms), 1)), np.zeros((n, n)), np.array(SKIP_PRIOR))
+    wide = lambda chain: np.pad(chain, ((0, 1), (0, 1)))
+    target = np.eye(n)[label]
+    now, ahead, momentum = prior, prior, 1.0
+    for _ in range(steps):
+        node, chain, skip = ahead
+        score = node[form] + wide(chain)[before, :n] + wide(chain)[:n, after].T + skip * np.eye(n + 1)[hub, :n]
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        left = share[:, None] * (target - p / p.sum(axis=1, keepdims=True))
+        up = [np.zeros_like(node), np.zeros((n + 1, n + 1)), np.sum(left * np.eye(n + 1)[hub, :n])]
+        np.add.at(up[0], form, left)
+        for k in range(n):
+            np.add.at(up[1], (before, k), left[:, k])
+            np.add.at(up[1], (k, after), left[:, k])
+        up[1] = up[1][:n, :n]
+        new = tuple(w + (g - PULL * (w - w0)) / 2.5 for w, g, w0 in zip(ahead, up, prior, strict=True))
+        later = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
+        ahead = tuple(b + (momentum - 1) / later * (b - a) for a, b in zip(now, new, strict=True))
+        now, momentum = new, later
+    node, chain, skip = now
+    return Weights({f: node[k].tolist() for k, f in enumerate(forms)}, chain, float(skip))
 
 
 def hubs(nodes: list[Node]) -> dict[str, list[int]]:
@@ -212,45 +229,38 @@ def added_spans(text: str, base: list[tuple[int, int, str]], w: Weights) -> list
     return [(n.start, n.end, LABELS[k]) for n, k in zip(nodes, best, strict=True) if not n.observed and n.keys and k]
 
 
+def known_cells(nodes: list[Node]) -> Counter:
+    """(form, label before, label after, hub's label, label) of every mention whose label is known, with how often each occurs."""
+    known = [n.label if n.observed or not n.keys else NONE for n in nodes]
+    each, seen = hubs(nodes), Counter()
+    for k, n in enumerate(nodes):
+        if known[k] != NONE:
+            others = Counter(x for key in n.keys for x in each.get(key, ()))
+            others.subtract(Counter({n.label: len(n.keys)}) if n.observed else {})
+            hub = max((x for x, many in others.items() if many > 0), key=lambda x: (others[x], -x), default=NONE)
+            seen[n.form, known[k - 1] if k else NONE, known[k + 1] if k + 1 < len(nodes) else NONE, hub, n.label] += 1
+    return seen
+
+
 def learn(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Weights:
     """Weights from a bounded sample of documents, labelled by the base patterns."""
     n = docs.count()
-    share = min(1.0, max_sample / n) if n else 1.0
-    sample = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    text = F.col("text").cast("string").alias("text")
+    share = max_sample / n if n else 1.0
+    sample = docs.select(text) if share >= 1 else docs.where(F.xxhash64("doc_id", "text") < F.lit(int(share * 2**64) - 2**63)).select(text)
+    names = ("form", "before", "after", "hub", "label", "n")
 
     def count(batches):
         for batch in batches:
             seen = Counter()
-            for text in batch.column(0).to_pylist():
-                if base := base_spans(text):
-                    nodes = mentions(text, base)
-                    sure = [x.observed or not x.keys for x in nodes]  # an open mention like a base span has no known label
-                    for x, known in zip(nodes, sure, strict=True):
-                        if known:
-                            seen["node", x.form, x.label] += 1
-                    for k in range(len(nodes) - 1):
-                        if sure[k] and sure[k + 1]:
-                            seen["chain", str(nodes[k].label), nodes[k + 1].label] += 1
-                    for each in hubs(nodes).values():
-                        for a, b in zip(each, each[1:], strict=False):
-                            seen["skip", "", int(a == b)] += 1
-            yield pa.RecordBatch.from_pydict({"what": [k[0] for k in seen], "a": [k[1] for k in seen], "b": [k[2] for k in seen], "n": list(seen.values())}, schema=pa.schema([("what", pa.string()), ("a", pa.string()), ("b", pa.int64()), ("n", pa.int64())]))
-
-    rows = sample.mapInArrow(count, "what string, a string, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
-    w, same = Weights(), [0, 0]
-    forms, chain = defaultdict(lambda: np.zeros(len(LABELS))), np.ones((len(LABELS), len(LABELS)))
-    for r in rows:
-        if r.what == "node":
-            forms[r.a][r.b] += r.n
-        elif r.what == "chain":
-            chain[int(r.a), r.b] += r.n
-        else:
-            same[1 - r.b] += r.n
-    w.node = {k: np.log(smoothed(v, np.array(FORM_PRIOR))).tolist() for k, v in forms.items()}
-    each = chain.sum(axis=0) / chain.sum()
-    w.chain = np.clip(np.log(chain / chain.sum() / (chain.sum(axis=1) / chain.sum())[:, None] / each[None, :]), -1, 1)
-    w.skip = skip_weight(*same)
-    return w
+            for t in batch.column(0).to_pylist():
+                if base := base_spans(t):
+                    seen.update(known_cells(mentions(t, base)))
+            rows = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(c, pa.int64()) for c in rows[1:])], names=names)
+
+    cells = sample.mapInArrow(count, "form string, before long, after long, hub long, label long, n long").groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+    return trained(sorted(map(tuple, cells.collect())))
 
 
 SCHEMA = "base array<struct<start:int,end:int,kind:string>>, added array<struct<start:int,end:int,kind:string>>"
