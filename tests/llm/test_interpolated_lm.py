@@ -79,3 +79,16 @@ def test_edges(spark):
     only = spark.createDataFrame([(i, "x y") for i in range(60) if fold(i) == 2], "doc_id long, text string")
     got = lm.score(only).collect()
     assert got and all(r.train_tokens == 0 and math.isfinite(r.score) for r in got)
+
+
+def test_counts_beyond_32_bits():
+    assert lm.added(np.array([0, 1, 0]), np.array([2**32 - 1, 3, 6], np.uint32), 2).tolist() == [2**32 + 5, 3]
+    rows = [lm.pack(np.array([2**40, 1], np.int64))]
+    assert lm.unpack(rows[0], np.int64).tolist() == [2**40, 1]
+    assert lm.ratio_cell(np.array([1.0]), 2.0**-50)[0] < lm.ratio_cell(np.array([1.0]), 2.0**-55)[0]
+
+
+def test_one_very_long_text_and_many_short_ones(spark):
+    rows = [(1, "long words of one text " * 30_000)] + [(k, f"w{k % 7}") for k in range(3, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    check(rows, lm.score(docs, slice_tokens=5000).collect())

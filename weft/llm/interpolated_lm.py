@@ -36,7 +36,7 @@ from weft.llm.common import fold, forget, written
 FOLDS, TEST, DELETED = 7, 2, 3
 SLICE_TOKENS = 1_500_000
 BUCKETS = 24
-GRID = 128
+GRID = 256
 STEP = 4.0  # cells per doubling of a ratio
 ROUNDS = 40
 
@@ -78,7 +78,7 @@ def slices(docs: DataFrame, slice_tokens: int = SLICE_TOKENS) -> DataFrame:
     schema = pa.schema([("slice", pa.int64()), ("ids", pa.list_(id_type)), ("roles", pa.binary()), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("tokens", pa.binary())])
 
     def run(batches):
-        count, open_ = TaskContext.get().partitionId() << 24, {False: [], True: []}
+        count, open_, held_tokens = TaskContext.get().partitionId() << 24, {False: [], True: []}, {False: 0, True: 0}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -87,11 +87,12 @@ def slices(docs: DataFrame, slice_tokens: int = SLICE_TOKENS) -> DataFrame:
                     h = np.empty(len(each) + 1, np.uint64)
                     h[:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, each), np.uint64, len(each))
                     h[-1] = END
-                    open_[r == DEV].append((doc_id, r, h))
-                for dev, held in open_.items():
-                    if sum(len(x[2]) for x in held) >= slice_tokens:
-                        yield packed(count, dev, held)
-                        open_[dev], count = [], count + 1
+                    dev = r == DEV
+                    open_[dev].append((doc_id, r, h))
+                    held_tokens[dev] += len(h)
+                    if held_tokens[dev] >= slice_tokens:
+                        yield packed(count, dev, open_[dev])
+                        open_[dev], held_tokens[dev], count = [], 0, count + 1
         for dev, held in open_.items():
             if held:
                 yield packed(count, dev, held)
@@ -174,6 +175,13 @@ def bucket_floors(n: int) -> np.ndarray:
     return np.array([(b << 64) // n for b in range(n)], np.uint64)
 
 
+def added(place: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """64-bit sums of the slices' 32-bit counts."""
+    out = np.zeros(n, np.int64)
+    np.add.at(out, place, counts.astype(np.int64))
+    return out
+
+
 def answered(questions: DataFrame) -> DataFrame:
     """(slice, kind, bucket, train, dev): totals for what each slice asked; slice -1 holds N, N of the deleted part, V and its V."""
     schema = pa.schema([("slice", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("train", pa.binary()), ("dev", pa.binary())])
@@ -187,7 +195,7 @@ def answered(questions: DataFrame) -> DataFrame:
             each = [unpack(r[3], np.uint64, True) for r in rows]
             keys, train, dev = np.concatenate(each), *(np.concatenate([unpack(r[c], np.uint32) for r in rows]) for c in (4, 5))
             distinct, place = np.unique(keys, return_inverse=True)
-            train, dev = (np.bincount(place, weights=x, minlength=len(distinct)).astype(np.int64) for x in (train, dev))
+            train, dev = (added(place, x, len(distinct)) for x in (train, dev))
             if kind == 1:
                 token = distinct != START
                 fit = (train - dev)[token]
@@ -195,7 +203,7 @@ def answered(questions: DataFrame) -> DataFrame:
                 out.append((-1, 1, rows[0][0], pack(stats), b""))
             ends = np.cumsum([len(x) for x in each])
             for r, a, b in zip(rows, [0, *ends[:-1]], ends, strict=True):
-                out.append((r[1], kind, r[0], pack(train[place[a:b]].astype(np.uint32)), pack(dev[place[a:b]].astype(np.uint32))))
+                out.append((r[1], kind, r[0], pack(train[place[a:b]]), pack(dev[place[a:b]])))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     return questions.groupBy("bucket").applyInArrow(run, "slice long, kind int, bucket int, train binary, dev binary")
@@ -215,8 +223,8 @@ def looked_up(s: Slice, answers: list, fit: bool) -> Counts:
     both = []
     for kind in (1, 2):
         own = sorted((a for a in answers if a[0] == kind), key=lambda a: a[1])
-        total = np.concatenate([unpack(a[2], np.uint32) for a in own]).astype(np.int64)
-        both.append(total - np.concatenate([unpack(a[3], np.uint32) for a in own]) if fit else total)
+        total = np.concatenate([unpack(a[2], np.int64) for a in own])
+        both.append(total - np.concatenate([unpack(a[3], np.int64) for a in own]) if fit else total)
     single = np.empty(len(s.vocabulary) + 1, np.int64)
     single[np.argsort(s.starts(), kind="stable")] = both[0]
     _, place = s.bigrams()
@@ -269,8 +277,15 @@ def with_answers(corpus: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def learn(corpus: DataFrame, answers: DataFrame) -> Model:
-    stats = [unpack(r.train, np.int64) for r in answers.where("slice = -1").select("train").toLocalIterator()]
-    n, n_fit, v, v_fit = np.sum(stats, axis=0).tolist() if stats else (0, 0, 0, 0)
+    names = ("n", "n_fit", "v", "v_fit")
+
+    def stats(batches):
+        for batch in batches:
+            each = [unpack(x, np.int64) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.array(each, np.int64).reshape(-1, 4).T], names=names)
+
+    totals = answers.where("slice = -1").select("train").mapInArrow(stats, ", ".join(f"{c} long" for c in names)).agg(*[F.sum(c).alias(c) for c in names]).first()
+    n, n_fit, v, v_fit = (x or 0 for x in totals)
     odd = "slice >= 0 and slice % 2 = 1"
     deleted = with_answers(corpus.where(odd), answers.where(odd))
 
