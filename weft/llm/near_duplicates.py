@@ -210,7 +210,7 @@ def places(labels: DataFrame, entries: DataFrame, heads: DataFrame, block: int)
     placed = salted(labels, sizes, "label", "node").select(F.col("node").alias("d1"), F.col("label").alias("comp"), "blocks", "by_branch")
     none = F.lit(None).cast("array<long>")
     whole = placed.where("not by_branch").select("d1", "comp", F.array(F.struct(F.lit(0).cast("long").alias("key"), "blocks")).alias("places"), none.alias("keys"))
-    chosen = inside.join(sizes.where("by_branch").select("label"), "label", "left_semi").join(branches.select("label", "key", blocks("m").cast("int").alias("blocks")), ["label", "key"])
+    chosen = salted(inside, sizes.where("by_branch").select("label"), "label", "d1").join(branches.select("label", "key", blocks("m").cast("int").alias("blocks")), ["label", "key"])
     chosen = chosen.groupBy("d1", F.col("label").alias("comp")).agg(F.collect_list(F.struct("key", "blocks")).alias("places")).join(heads.select("d1", "keys"), "d1")
     return whole.union(chosen)
 
