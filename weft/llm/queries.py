@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,31 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.join(table(spark, sf_dir, "documents"))
 
 
+def either_case(pattern: str) -> str:
+    """A (?i:...) group with both cases of each letter spelled out, as the other engine folds letters beyond ASCII too."""
+    return re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", pattern)
+
+
+def places_sql(name: str, pattern: str) -> str:
+    """(row, m, said, start, stop) of all matches of a pattern in the texts of docs(row, text)."""
+    quoted = either_case(pattern).replace("'", "''")
+    return f"""{name} AS (SELECT row, said, sum(length(gap) + length(said)) OVER (PARTITION BY row ORDER BY m) - length(said) AS start, sum(length(gap) + length(said)) OVER (PARTITION BY row ORDER BY m) AS stop
+FROM (SELECT row, unnest(said) AS said, unnest(gap[1:len(said)]) AS gap, generate_subscripts(said, 1) AS m FROM (SELECT row, regexp_extract_all(text, '{quoted}') AS said, string_split_regex(text, '{quoted}') AS gap FROM docs) x) y)"""
+
+
+#: Every pair of parts of a text is looked at; TAIL and SCOPE as in the operator.
+SECRETS_SQL = f"""WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), {places_sql("a", secrets.ASSIGN)}, {places_sql("k", secrets.ACCESS)}, {places_sql("h", secrets.HEX)}, {places_sql("n", secrets.ACCOUNT)}, {places_sql("e", secrets.ENDPOINT)},
+v AS (SELECT *, length(regexp_extract(said, '{either_case(secrets.ASSIGN).replace("'", "''")}', 1)) AS size FROM a),
+every AS (SELECT row, start, stop, CASE WHEN size >= 6 THEN 0 ELSE 4 END AS rank, 'secret' AS role FROM v UNION ALL SELECT row, start, stop, CASE WHEN stop - start >= 20 THEN 1 ELSE 3 END, 'identifier' FROM k
+UNION ALL SELECT row, start, stop, CASE WHEN stop - start >= 24 THEN 2 ELSE 4 END, 'secret' FROM h UNION ALL SELECT row, start, stop, 3, 'identifier' FROM n UNION ALL SELECT row, start, stop, 5, 'endpoint' FROM e),
+parts AS (SELECT *, greatest(start, stop - {secrets.TAIL}) AS last FROM every),
+near AS (SELECT w.row, w.start, w.stop, w.rank, w.role, bool_or(p.role = 'identifier') AS i, bool_or(p.role = 'secret') AS s, bool_or(p.role = 'endpoint') AS e, bool_or(p.role = 'identifier' AND p.rank < 3) AS si, bool_or(p.role = 'secret' AND p.rank < 3) AS ss
+FROM parts w JOIN parts p ON p.row = w.row AND p.last >= w.start - {secrets.SCOPE} AND p.start <= w.last + {secrets.SCOPE} WHERE w.rank >= 3 GROUP BY w.row, w.start, w.stop, w.rank, w.role),
+added AS (SELECT row, start, stop, rank FROM near WHERE CASE role WHEN 'identifier' THEN s AND (ss OR e) WHEN 'secret' THEN i AND (si OR e) ELSE i AND s END),
+told AS (SELECT row, start, stop, rank, (['{"','".join(secrets.KINDS)}'])[rank + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS said FROM (SELECT row, start, stop, rank FROM every WHERE rank < 3 UNION ALL SELECT * FROM added) x),
+each AS (SELECT row, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, string_agg(said, ',' ORDER BY start, rank, stop) FILTER (rank < 3) AS base, string_agg(said, ',' ORDER BY start, rank, stop) AS spans, count(*) FILTER (rank > 2) AS n_linked FROM told GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked FROM docs LEFT JOIN each USING (row)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +103,7 @@ QUERIES = {
     )
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_secrets": SECRETS_SQL,
     "op7_warc": """WITH h AS (SELECT page_id, coalesce(html, '') AS html FROM pages), g AS (SELECT html, max(page_id) AS holder FROM h WHERE strlen(html) >= 1000 GROUP BY html)
 SELECT page_id, CAST(strlen(h.html) AS BIGINT) AS payload_bytes, sha1(h.html) AS payload_digest, CASE WHEN page_id IS DISTINCT FROM holder AND holder IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN page_id IS DISTINCT FROM holder THEN holder END AS refers_to FROM h LEFT JOIN g ON g.html = h.html""",

@@ -22,6 +22,7 @@ from weft.llm.common import written
 
 SCOPE = 200
 TAIL = 20
+GROUP = 64
 
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -32,19 +33,29 @@ ENDPOINT = r"""(?i:https?|ftp|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp|
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, said>> of all matches: the texts between them, by split, give their places."""
-    said = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(said)).alias("gap"), said.alias("said"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,said:string>>").alias("out"))
+    """array<struct<start, end, said>> of all matches: the texts between them, by split, give their places.
+
+    Places are running sums; they are built by groups of GROUP matches, so that no long array is copied for every match.
+    """
+    none = F.array().cast("array<struct<start:int,end:int,said:string>>")
+    length = lambda group: F.aggregate(group, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["said"]))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["said"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["said"].alias("said")))).alias("out"))
 
-    placed = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
-    return F.when(F.size(said) > 0, placed).otherwise(empty["out"])
+    def placed(groups):
+        before = F.aggregate(groups, F.array(F.lit(0)), lambda sums, group: F.concat(sums, F.array(F.element_at(sums, -1) + length(group))))
+        each = F.zip_with(groups, F.slice(before, 1, F.size(groups)), lambda group, at: F.aggregate(group, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"]))
+        return F.flatten(each)
+
+    def grouped(pairs):  # the last pair has no match
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 2) / GROUP)), lambda g: F.slice(pairs, (g * GROUP + 1).cast("int"), F.least(F.lit(GROUP), (F.size(pairs) - 1 - g * GROUP).cast("int"))))
+
+    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  names a value, so that it is not computed at every use
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("said"))
+    return once(pairs, lambda p: F.when(F.size(p) > 1, once(grouped(p), placed)).otherwise(none))
 
 
 def parts(docs: DataFrame) -> DataFrame:
