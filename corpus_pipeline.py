@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import byte_bpe, decontaminate, near_duplicates, personal_data, toxicity
-from weft.llm.common import shared_dir, table
+from weft.llm.common import forget, shared_dir, table
 from weft.llm.queries import split_pattern, tokenizer_file
 
 
@@ -42,14 +42,17 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: The stages learn models and match similar texts, which SQL cannot express; tests hold them against brute force.
+#: The stages learn models and match similar texts, which SQL cannot express; tests/llm/test_pipeline.py holds each against a plain loop.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/weft-pipeline-{uuid.uuid4().hex}"
+    done: list[str] = []
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        forget(spark, *done)  # nothing reads the stage before any more
+        done = [f"{base}/{name}"]
     return docs
