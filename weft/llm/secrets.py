@@ -54,8 +54,8 @@ def matches(text: Column, pattern: str) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 2) / GROUP)), lambda g: F.slice(pairs, (g * GROUP + 1).cast("int"), F.least(F.lit(GROUP), (F.size(pairs) - 1 - g * GROUP).cast("int"))))
 
     once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  names a value, so that it is not computed at every use
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("said"))
-    return once(pairs, lambda p: F.when(F.size(p) > 1, once(grouped(p), placed)).otherwise(none))
+    zipped = lambda said: F.arrays_zip(F.split(text, pattern, -1).alias("gap"), said.alias("said"))
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda said: F.when(F.size(said) > 0, once(zipped(said), lambda p: once(grouped(p), placed))).when(said.isNotNull(), none))
 
 
 def parts(docs: DataFrame) -> DataFrame:
