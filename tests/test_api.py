@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def xray(spark):
-    return api.XRay(g.nodes(spark, SF), g.edges(spark, SF), g.lineage(spark, SF), g.evidence(spark, SF))
+    return api.Service(g.nodes(spark, SF), g.edges(spark, SF), g.lineage(spark, SF), g.evidence(spark, SF))
 
 
 def test_entry_points(xray):

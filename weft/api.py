@@ -26,7 +26,7 @@ class BadArgument(ValueError):
 
 
 @dataclass
-class XRay:
+class Service:
     """nodes, edges and lineage of the merged graph; evidence, traces and captures of runs; cases; the audit log."""
 
     nodes: DataFrame

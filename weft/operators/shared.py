@@ -21,8 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so that loops neither recompute it nor grow its plan."""
+def kept_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, so that loops neither recompute it nor grow its plan; and where it is."""
     path = f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    return kept_at(df)[0]
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of kept_at() that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)

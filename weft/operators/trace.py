@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import ids
-from weft.operators.shared import kept
+from weft.operators.shared import forget, kept, kept_at
 from weft.operators.traverse import LINEAGE_RELATIONS
 
 TRACE_DEPTH, TRACE_HOPS = 24, 300
@@ -76,33 +76,41 @@ def fallback_steps(edges: DataFrame, nodes: DataFrame, steps: DataFrame) -> Data
     return direct.union(through).withColumn("ord", F.concat(F.lit("2|"), "edge_id"))
 
 
-def ways(steps: DataFrame, nodes: DataFrame, root: str, depth: int = TRACE_DEPTH) -> DataFrame:
-    """(node, ords, path): the least array of ordinals from root to each node a walk expands or ends at; only known nodes go on."""
-    known = nodes.where("status = 'Known'").select(F.col("id").alias("node"))
-    steps = kept(steps.join(known, "node", "left_semi"))
-    best = kept(steps.sparkSession.createDataFrame([(root, [], [root])], "node string, ords array<string>, path array<string>"))
+def ways(steps: DataFrame, root: str, depth: int = TRACE_DEPTH) -> DataFrame:
+    """(node, ords, path): the least array of ordinals from root to each node a walk over steps expands or ends at.
+
+    Each round expands the nodes whose array the round before lowered, and no others.
+    """
+    spark, paths = steps.sparkSession, []
+
+    def keep(df):
+        table, path = kept_at(df)
+        paths.append(path)
+        return table
+
+    best = keep(spark.createDataFrame([(root, [], [root], True)], "node string, ords array<string>, path array<string>, changed boolean"))
     for _ in range(depth):
         onward = (
-            steps.join(best, "node").where(~F.array_contains("path", F.col("up")))
-            .select(F.col("up").alias("node"), F.concat("ords", F.array("ord")).alias("ords"), F.concat("path", F.array("up")).alias("path"))
+            steps.join(best.where("changed").drop("changed"), "node").where(~F.array_contains("path", F.col("up")))
+            .select(F.col("up").alias("node"), F.concat("ords", F.array("ord")).alias("ords"), F.concat("path", F.array("up")).alias("path"), F.lit(True).alias("changed"))
             .where(F.size("ords") < depth)
         )
-        new = kept(best.union(onward).groupBy("node").agg(F.min(F.struct("ords", "path")).alias("best")).select("node", "best.ords", "best.path"))
-        changed = new.join(best.select("node", F.col("ords").alias("before")), "node", "left").where("before is null or before <> ords").limit(1).count()
-        best = new
-        if not changed:
+        best = keep(best.withColumn("changed", F.lit(False)).union(onward).groupBy("node").agg(F.min(F.struct("ords", "changed", "path")).alias("best")).select("node", "best.ords", "best.path", "best.changed"))
+        if not best.where("changed").limit(1).count():
             break
-    return best
+    out = kept_at(best.drop("changed"))[0]
+    forget(spark, paths)
+    return out
 
 
 def hops(edges: DataFrame, nodes: DataFrame, root: str, depth: int = TRACE_DEPTH, budget: int = TRACE_HOPS) -> DataFrame:
     """The trace's hops below root: hop, parent, node_id, edge_id, relation, depth, is_repeat, ords; in the order a walk meets them, budget at most."""
     steps = upstream_steps(edges)
-    steps = kept(steps.union(fallback_steps(edges, nodes, steps)))
-    best = ways(steps, nodes, root, depth)
-    known = nodes.where("status = 'Known'").select(F.col("id").alias("node"))
+    known = nodes.where("status = 'Known'").select(F.col("id").alias("node"))  # only known nodes go on
+    steps = kept(steps.union(fallback_steps(edges, nodes, steps)).join(known, "node", "left_semi"))
+    best = ways(steps, root, depth)
     rows = (
-        best.join(known, "node", "left_semi").join(steps, "node").where(~F.array_contains("path", F.col("up")) & (F.size("ords") < depth))
+        best.join(steps, "node").where(~F.array_contains("path", F.col("up")) & (F.size("ords") < depth))
         .select(F.col("node").alias("parent"), F.col("up").alias("node_id"), "edge_id", "relation", F.concat("ords", F.array("ord")).alias("ords"))
     )
     own = best.select(F.col("node").alias("node_id"), F.col("ords").alias("own"))

@@ -2,21 +2,22 @@
 
 A level keeps, for each new node, the least key of the ways that reach it; a key is the array of edge ids from the
 start, so comparing keys gives the order in which a queue would discover nodes, without numbering them.
-Frontiers under a cap are bounded and broadcast; others are joined as Spark sees fit.
+Frontiers that were counted and are small are broadcast; others are joined as Spark sees fit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import ids
-from weft.operators.shared import kept
+from weft.operators.shared import forget, kept_at
 from weft.schema import LAYERS, RELATIONS
 
 SUBGRAPH_DEPTH, SUBGRAPH_NODES = 8, 400
 IMPACT_DEPTH, IMPACT_NODES = 16, 500
 KEY_PATHS = 12
+BROADCAST_ROWS = 10_000
 
 
 def of_class(column: int):
@@ -55,30 +56,39 @@ def out_view(edges: DataFrame, relations: list[str]) -> DataFrame:
     return edges.where(F.col("relation").isin(relations)).select("edge_id", "relation", F.col("src").alias("up"), F.col("dst").alias("down"))
 
 
-def breadth_first(steps: DataFrame, start: DataFrame, max_depth: int | None = None, cap: int | None = None) -> tuple[DataFrame, bool]:
-    """start: node. Rows (node, distance, parent, via, key, path) of all reached nodes; whether cap or depth cut it.
+def breadth_first(steps: DataFrame, start: DataFrame, max_depth: int | None = None, cap: int | None = None, carry: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """start: node. Rows (node, distance, parent, via, key, path, carry...) of all reached nodes; whether cap or depth cut it.
 
-    steps: up, down, edge_id. max_depth None: until nothing is new. cap: nodes in all, the start too.
+    steps: up, down, edge_id and the carried columns, which are those of the step that reached the node. max_depth None: until nothing is
+    new. cap: nodes in all, the start too. A frontier of at most BROADCAST_ROWS rows (each level is counted) is broadcast.
     """
-    spark = steps.sparkSession
-    steps = kept(steps.select("up", "down", "edge_id"))
+    spark, paths = steps.sparkSession, []
+
+    def keep(df):
+        table, path = kept_at(df)
+        paths.append(path)
+        return table
+
+    steps = keep(steps.select("up", "down", "edge_id", *carry))
     none = F.array().cast("array<string>")
-    level = kept(start.select("node", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via"), none.alias("key"), F.array("node").alias("path")))
+    empty = [F.lit(None).cast(steps.schema[c].dataType).alias(c) for c in carry]
+    level = keep(start.select("node", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via"), none.alias("key"), F.array("node").alias("path"), *empty))
     found, count, depth, cut = level, level.count(), 0, False
+    size = count
     while max_depth is None or depth < max_depth:
         depth += 1
         front = level.select(F.col("node").alias("up"), "key", "path")
-        front = F.broadcast(front) if cap else front
+        front = F.broadcast(front) if size <= BROADCAST_ROWS else front
         new = (
             steps.join(front, "up")
-            .select(F.col("down").alias("node"), F.col("up").alias("parent"), F.col("edge_id").alias("via"), F.concat("key", F.array("edge_id")).alias("key"), F.concat("path", F.array("down")).alias("path"))
-            .groupBy("node").agg(F.min(F.struct("key", "parent", "via", "path")).alias("best"))
+            .select(F.col("down").alias("node"), F.col("up").alias("parent"), F.col("edge_id").alias("via"), F.concat("key", F.array("edge_id")).alias("key"), F.concat("path", F.array("down")).alias("path"), *carry)
+            .groupBy("node").agg(F.min(F.struct("key", "parent", "via", "path", *carry)).alias("best"))
             .join(found.select("node"), "node", "left_anti")
-            .select("node", F.lit(depth).alias("distance"), "best.parent", "best.via", "best.key", "best.path")
+            .select("node", F.lit(depth).alias("distance"), "best.parent", "best.via", "best.key", "best.path", *[f"best.{c}" for c in carry])
         )
         if cap:
             new = new.orderBy("key", "node").limit(cap - count + 1)  # one more shows the cut
-        new = kept(new)
+        new = keep(new)
         size = new.count()
         if cap and size > cap - count:
             cut, size = True, cap - count
@@ -88,19 +98,18 @@ def breadth_first(steps: DataFrame, start: DataFrame, max_depth: int | None = No
         found, level, count = found.union(new), new, count + size
     else:
         cut = True
-    del spark
-    return found, cut
+    out = kept_at(found)[0]
+    forget(spark, paths)
+    return out, cut
 
 
-def impact(edges: DataFrame, nodes: DataFrame, origin: str, max_depth: int = IMPACT_DEPTH, cap: int = IMPACT_NODES) -> DataFrame:
+def impact(edges: DataFrame, nodes: DataFrame, origin: str, max_depth: int = IMPACT_DEPTH, cap: int | None = IMPACT_NODES) -> DataFrame:
     """What a change of origin reaches: node_id, distance, parent, via_edge, reason, path and the node's type, name, layer; nearest first."""
     depth = min(max(max_depth, 1), IMPACT_DEPTH)
-    steps = downstream_view(edges)
-    found, _ = breadth_first(steps, edges.sparkSession.createDataFrame([(origin,)], "node string"), depth, cap + 1 if cap else None)
-    said = steps.select(F.col("edge_id").alias("via"), F.col("down").alias("node"), F.col("up").alias("parent"), "reason")
+    found, _ = breadth_first(downstream_view(edges), edges.sparkSession.createDataFrame([(origin,)], "node string"), depth, cap + 1 if cap else None, carry=("reason",))
     rank = layer_rank(F.col("layer"))
     return (
-        found.where("distance > 0").join(said, ["via", "node", "parent"], "left")
+        found.where("distance > 0")
         .join(nodes.select(F.col("id").alias("node"), "type", "name", "layer"), "node", "left")
         .select(F.col("node").alias("node_id"), "distance", "parent", F.col("via").alias("via_edge"), "reason", "path", F.coalesce("type", ids.node_type(F.col("node"))).alias("type"), "name", F.coalesce("layer", ids.node_layer(F.col("node"))).alias("layer"))
         .orderBy("distance", rank, "node_id")
@@ -133,8 +142,10 @@ def subgraph(edges: DataFrame, nodes: DataFrame, root: str, depth: int = 3, colu
         steps = steps.where(~ids.is_column_level(F.col("down")))
     found, cut = breadth_first(steps, edges.sparkSession.createDataFrame([(root,)], "node string"), depth, cap) if depth else (edges.sparkSession.createDataFrame([(root, 0)], "node string, distance int"), False)
     at = found.select("node", "distance")
-    ends = edges.join(F.broadcast(at.select(F.col("node").alias("src"), F.col("distance").alias("d_src"))), "src").join(F.broadcast(at.select(F.col("node").alias("dst"), F.col("distance").alias("d_dst"))), "dst")
-    full = cut and found.count() >= cap
+    n = found.count()
+    small = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
+    ends = edges.join(small(at.select(F.col("node").alias("src"), F.col("distance").alias("d_src"))), "src").join(small(at.select(F.col("node").alias("dst"), F.col("distance").alias("d_dst"))), "dst")
+    full = cut and n >= cap
     return at.select(F.col("node").alias("node_id"), "distance"), ends.where(F.least("d_src", "d_dst") < depth).select("edge_id", "src", "relation", "dst"), full
 
 
@@ -155,14 +166,17 @@ def shortest_paths(edges: DataFrame, entry: str) -> DataFrame:
 def execution_path(edges: DataFrame, entry: str, targets: DataFrame) -> DataFrame:
     """(step, node_id): shortest paths to the targets (target, seq), one after another by seq, each node where it first occurs."""
     rows = shortest_paths(edges, entry).join(targets, "target").select("seq", F.posexplode("path").alias("pos", "node_id"))
-    first = rows.groupBy("node_id").agg(F.min(F.struct("seq", "pos")).alias("at"))
-    return first.select(F.row_number().over(_by("at.seq", "at.pos")).alias("step"), "node_id")
-
+    first = rows.groupBy("node_id").agg(F.min(F.struct("seq", "pos")).alias("at")).select("node_id", "at.seq", "at.pos")
+    return numbered(first, "seq", "pos").select(F.col("place").alias("step"), "node_id")
 
-def _by(*columns):
-    from pyspark.sql import Window
 
-    return Window.orderBy(*columns)
+def numbered(rows: DataFrame, by: str, then: str) -> DataFrame:
+    """rows with place, 1, 2, ... in the order of by, then: numbered within ranges of by, which go on from the counts of the ranges before."""
+    dealt = kept_at(rows.repartitionByRange(by).sortWithinPartitions(by, then).withColumn("part", F.spark_partition_id()))[0]
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(by, then))
+    return dealt.join(F.broadcast(before), "part").withColumn("place", (own + F.col("before")).cast("int")).drop("part", "before")
 
 
 def containers(edges: DataFrame) -> DataFrame:

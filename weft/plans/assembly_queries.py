@@ -227,6 +227,13 @@ def a5_export(spark, sf_dir):
     return snapshots.json_rows(g.nodes(spark, sf_dir).where("type <> 'ResultColumn'"), g.edges(spark, sf_dir).where("relation = 'Calls'"))
 
 
+@query("""WITH GRAPH SELECT 'node' AS kind, id, '{"id":"' || id || '","type":"' || lower(type[1]) || type[2:] || '","name":"' || name || '","layer":"' || lower(layer[1]) || layer[2:] || '","status":"' || lower(status[1]) || status[2:] || '"}' AS json FROM nodes
+UNION ALL SELECT 'edge', edge_id, '{"from":"' || src || '","to":"' || dst || '","relationType":"' || lower(relation[1]) || relation[2:] || '","confidence":' || CAST(confidence AS STRING) || '}' FROM edges
+UNION ALL SELECT 'lineage', lineage_id, '{"outputFieldId":"' || output || '"' || coalesce(',"sourceFieldId":"' || source || '"', '') || ',"transformType":"' || lower(transform[1]) || transform[2:] || '"' || coalesce(',"expression":"' || expression || '"', '') || coalesce(',"condition":"' || condition || '"', '') || ',"confidence":' || CAST(confidence AS STRING) || '}' FROM lineage""")
+def a5_export_all(spark, sf_dir):
+    return snapshots.export(g.nodes(spark, sf_dir), g.edges(spark, sf_dir), g.lineage(spark, sf_dir))
+
+
 def case_docs(spark, sf_dir):
     rows = g.frame(spark, sf_dir, "SELECT CAST(n_nationkey AS STRING) AS id, n_name AS title, n_regionkey AS r FROM {nation}")
     key = lambda tail: F.concat(F.lit(tail), "id")

@@ -23,7 +23,7 @@ TYPES = "CASE split_part({0}, ':', 1) " + " ".join(f"WHEN '{p}' THEN '{t}'" for
 
 
 def impact(spark, sf_dir):
-    return traverse.impact(g.edges(spark, sf_dir), g.nodes(spark, sf_dir), PART)
+    return traverse.impact(g.edges(spark, sf_dir), g.nodes(spark, sf_dir), PART, cap=None)
 
 
 @query(f"WITH r(relation, direction, is_lineage, is_execution, is_architecture) AS (VALUES {RELATION_VALUES}) SELECT r.*, count(e.src) AS edges FROM r LEFT JOIN (SELECT * FROM ({g.plain(g.EDGES)}) x) e ON e.relation = r.relation GROUP BY ALL")
@@ -53,6 +53,33 @@ def c7_subgraph(spark, sf_dir):
     return kept.join(at("src"), "src").join(at("dst"), "dst").select("edge_id", "src", "relation", "dst", F.least("d_src", "d_dst").alias("nearest"))
 
 
+@query(f"""WITH GRAPH, bothways AS (SELECT src AS a, dst AS b, edge_id FROM edges UNION ALL SELECT dst, src, edge_id FROM edges),
+walk AS (SELECT '{API}' AS node, 0 AS d, CAST([] AS VARCHAR[]) AS key UNION ALL SELECT b, d + 1, list_append(key, edge_id) FROM walk JOIN bothways ON a = node WHERE d < 2), first AS (SELECT node, min(d) AS d FROM walk GROUP BY node),
+ranked AS (SELECT f.node, f.d, row_number() OVER (ORDER BY f.d, min(w.key), f.node) AS place FROM first f JOIN walk w ON w.node = f.node AND w.d = f.d GROUP BY f.node, f.d)
+SELECT node AS node_id, d AS distance, true AS cut FROM ranked WHERE place <= 50""")
+def c7_capped(spark, sf_dir):
+    nodes, _, cut = traverse.subgraph(g.edges(spark, sf_dir), g.nodes(spark, sf_dir), API, depth=2, cap=50)
+    return nodes.select("node_id", "distance", F.lit(cut).alias("cut"))
+
+
+# Expressions of each brand derive from each other by size: cycles, repeats, and more hops than the budget.
+WEB = """SELECT src, relation, dst, 'edge:' || src || '|' || relation || '|' || dst AS edge_id, CAST(1.0 AS DOUBLE) AS confidence FROM (
+SELECT DISTINCT 'expr:' || p_brand || '.' || CAST(p_size % 11 AS STRING) AS src, 'DerivedFrom' AS relation, 'expr:' || p_brand || '.' || CAST((p_size % 11 * 2 + 1) % 11 AS STRING) AS dst FROM {part}
+UNION ALL SELECT DISTINCT 'expr:' || p_brand || '.' || CAST(p_size % 11 AS STRING), 'AliasOf', 'expr:' || p_brand || '.' || CAST((p_size % 11 + 4) % 11 AS STRING) FROM {part}) e WHERE src <> dst"""
+
+
+@query(f"""WITH RECURSIVE e AS ({g.plain(WEB)}), root AS (SELECT min(src) AS id FROM e), known AS (SELECT src AS node FROM e WHERE src NOT LIKE '%.7' UNION SELECT dst FROM e WHERE dst NOT LIKE '%.7'), steps AS (SELECT src AS node, dst AS up, edge_id, '0|' || edge_id AS ord FROM e WHERE src IN (SELECT node FROM known)),
+walk AS (SELECT id AS node, CAST([] AS VARCHAR[]) AS ords, [id] AS path FROM root UNION ALL SELECT up, list_append(ords, ord), list_append(path, up) FROM walk JOIN steps USING (node) WHERE NOT list_contains(path, up) AND len(ords) < 23),
+best AS (SELECT node, min(ords) AS ords, arg_min(path, ords) AS path FROM walk GROUP BY node), h AS (SELECT b.node AS parent, s.up AS node_id, s.edge_id, list_append(b.ords, s.ord) AS ords FROM best b JOIN steps s ON s.node = b.node WHERE NOT list_contains(b.path, s.up))
+SELECT row_number() OVER (ORDER BY h.ords) AS hop, parent, node_id, edge_id, len(h.ords) AS depth, h.ords <> o.ords AS is_repeat FROM h JOIN best o ON o.node = h.node_id ORDER BY h.ords LIMIT 12""")
+def c12_walk(spark, sf_dir):
+    edges = g.frame(spark, sf_dir, WEB)
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    nodes = ends.select("id", F.lit("Expression").alias("type"), F.when(F.col("id").endswith(".7"), "Pending").otherwise("Known").alias("status"))
+    root = edges.agg(F.min("src")).first()[0]
+    return trace.hops(edges, nodes, root, budget=12).select("hop", "parent", "node_id", "edge_id", "depth", "is_repeat")
+
+
 @query("""WITH GRAPH, walk AS (SELECT 'page:region.1' AS node UNION SELECT dst FROM walk JOIN edges ON src = node WHERE relation IN ('HandledBy', 'Calls', 'ExecutesSp', 'CallsFunction', 'UsesParameter', 'Reads', 'Returns', 'BranchesOn'))
 SELECT edge_id, src, relation, dst FROM edges JOIN walk ON src = node WHERE relation IN ('HandledBy', 'Calls', 'ExecutesSp', 'CallsFunction', 'UsesParameter', 'Reads', 'Returns', 'BranchesOn')""")
 def c8_architecture(spark, sf_dir):

@@ -103,6 +103,14 @@ def d10_redact_json(spark, sf_dir):
     return customer.select("c_custkey", (F.col("c_custkey") % 2 == 0).alias("odd"), F.coalesce(F.element_at(safe, F.lit("UserName")), F.element_at(safe, F.lit("title"))).alias("said"), F.element_at(safe, F.lit("note")).alias("note"))
 
 
+@query("""SELECT c_custkey, '{"outer":{"UserName":"[redacted]","note":"host=[redacted] ' || c_mktsegment || '"},"token":{"deep":["' || c_name || '",{"pwd":null},"[redacted]"]},"list":[[1,2.5,true],"' || c_name || '"],"n":' || CAST(c_custkey AS STRING) || '}' AS json FROM customer""")
+def d10_redact_nested(spark, sf_dir):
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    text = F.concat(F.lit('{"outer": {"UserName": "'), name, F.lit('", "note": "host=h1 '), segment, F.lit('"}, "token": {"deep": ["'), name, F.lit('", {"pwd": null}, "a.b@c.org"]}, "list": [[1, 2.5, true], "'), name, F.lit('"], "n": '), F.col("c_custkey").cast("string"), F.lit("}"))
+    return customer.select("c_custkey", T.redact_json(text).alias("json"))
+
+
 @query("SELECT event_type, count(*) FILTER (user_id % 3 = 0) AS sensitive, count(*) AS n FROM events GROUP BY event_type")
 def d11_sensitive(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -155,7 +163,7 @@ def calls(spark, sf_dir):
     return rows.select("seq", "tool", named.alias("arguments"), "key", "arg")
 
 
-WHY = f"""CASE WHEN tool = '' THEN 'Tool name is required.' WHEN tool = 'Execute_SQL' THEN '''Execute_SQL'' is forbidden by policy: the X-Ray runtime is read-only and never executes arbitrary SQL or writes business data.'
+WHY = f"""CASE WHEN tool = '' THEN 'Tool name is required.' WHEN tool = 'Execute_SQL' THEN '''Execute_SQL'' is forbidden by policy: this runtime only reads; it runs no free SQL and changes no data.'
 WHEN tool = 'drop_all' THEN '''drop_all'' is not a whitelisted tool. Allowed: {', '.join(T.TOOLS)}.' WHEN arg = ' ' THEN 'Argument ''' || a || ''' is required for ' || tool || '.'
 WHEN arg IN ('a; b', '../x') THEN 'Argument ''' || a || ''' contains characters outside the allowed set [A-Za-z0-9 _.:-] (no path separators or ''..'').' WHEN arg = 'x select y' THEN 'Argument ''' || a || ''' looks like a SQL fragment and was rejected.' END"""
 CALL_ROWS = f"calls AS (SELECT *, CASE tool WHEN 'trace_material' THEN 'materialNo' WHEN 'read_system_parameter' THEN 'name' ELSE 'orderNo' END AS a FROM ({g.plain(CALLS)}) x), judged AS (SELECT *, {WHY} AS why FROM calls)"

@@ -12,15 +12,18 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 ROW_KEY = "CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey AS STRING) || '.' || CAST(l_suppkey AS STRING)"
 
+# Lines may repeat; the tables of the other nodes have one row a key.
+LINE_KEYS = "(SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {lineitem}) k"
+
 EDGES = f"""
 SELECT src, relation, dst, 'edge:' || src || '|' || relation || '|' || dst AS edge_id, confidence FROM (
-SELECT DISTINCT 'page:region.' || CAST(r_regionkey AS STRING) AS src, 'Calls' AS relation, 'api:nation.' || CAST(n_nationkey AS STRING) AS dst, CAST(1.0 AS DOUBLE) AS confidence FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey
-UNION ALL SELECT DISTINCT 'api:nation.' || CAST(c_nationkey AS STRING), 'HandledBy', 'method:customer.' || CAST(c_custkey AS STRING), CAST(1.0 AS DOUBLE) FROM {{customer}}
-UNION ALL SELECT DISTINCT 'api:nation.' || CAST(s_nationkey AS STRING), 'UsesParameter', 'param:supplier.' || CAST(s_suppkey AS STRING), CAST(0.9 AS DOUBLE) FROM {{supplier}}
-UNION ALL SELECT DISTINCT 'method:customer.' || CAST(o_custkey AS STRING), 'ExecutesSp', 'sp:orders.' || CAST(o_orderkey AS STRING), CAST(0.95 AS DOUBLE) FROM {{orders}}
-UNION ALL SELECT DISTINCT 'sp:orders.' || CAST(l_orderkey AS STRING), 'Contains', 'spcol:lineitem.' || {ROW_KEY}, CAST(1.0 AS DOUBLE) FROM {{lineitem}}
-UNION ALL SELECT DISTINCT 'spcol:lineitem.' || {ROW_KEY}, 'AliasOf', 'column:part.' || CAST(l_partkey AS STRING), CAST(1.0 AS DOUBLE) FROM {{lineitem}}
-UNION ALL SELECT DISTINCT 'spcol:lineitem.' || {ROW_KEY}, 'ControlledBy', 'param:supplier.' || CAST(l_suppkey AS STRING), CAST(0.8 AS DOUBLE) FROM {{lineitem}}
+SELECT 'page:region.' || CAST(r_regionkey AS STRING) AS src, 'Calls' AS relation, 'api:nation.' || CAST(n_nationkey AS STRING) AS dst, CAST(1.0 AS DOUBLE) AS confidence FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey
+UNION ALL SELECT 'api:nation.' || CAST(c_nationkey AS STRING), 'HandledBy', 'method:customer.' || CAST(c_custkey AS STRING), CAST(1.0 AS DOUBLE) FROM {{customer}}
+UNION ALL SELECT 'api:nation.' || CAST(s_nationkey AS STRING), 'UsesParameter', 'param:supplier.' || CAST(s_suppkey AS STRING), CAST(0.9 AS DOUBLE) FROM {{supplier}}
+UNION ALL SELECT 'method:customer.' || CAST(o_custkey AS STRING), 'ExecutesSp', 'sp:orders.' || CAST(o_orderkey AS STRING), CAST(0.95 AS DOUBLE) FROM {{orders}}
+UNION ALL SELECT 'sp:orders.' || CAST(l_orderkey AS STRING), 'Contains', 'spcol:lineitem.' || {ROW_KEY}, CAST(1.0 AS DOUBLE) FROM {LINE_KEYS}
+UNION ALL SELECT 'spcol:lineitem.' || {ROW_KEY}, 'AliasOf', 'column:part.' || CAST(l_partkey AS STRING), CAST(1.0 AS DOUBLE) FROM {LINE_KEYS}
+UNION ALL SELECT 'spcol:lineitem.' || {ROW_KEY}, 'ControlledBy', 'param:supplier.' || CAST(l_suppkey AS STRING), CAST(0.8 AS DOUBLE) FROM {LINE_KEYS}
 ) e"""
 
 NODES = f"""
@@ -29,7 +32,7 @@ UNION ALL SELECT 'api:nation.' || CAST(n_nationkey AS STRING), 'Api', n_name, 'A
 UNION ALL SELECT 'method:customer.' || CAST(c_custkey AS STRING), 'Method', c_name, 'Service', CASE WHEN c_acctbal < 0 THEN 'Unknown' ELSE 'Known' END FROM {{customer}}
 UNION ALL SELECT 'param:supplier.' || CAST(s_suppkey AS STRING), 'SystemParameter', s_name, 'Config', 'Known' FROM {{supplier}}
 UNION ALL SELECT 'sp:orders.' || CAST(o_orderkey AS STRING), 'StoredProcedure', 'order ' || CAST(o_orderkey AS STRING), 'Data', CASE WHEN o_orderstatus = 'P' THEN 'Pending' ELSE 'Known' END FROM {{orders}}
-UNION ALL SELECT DISTINCT 'spcol:lineitem.' || {ROW_KEY}, 'ResultColumn', CAST(l_linenumber AS STRING), 'Data', 'Known' FROM {{lineitem}}
+UNION ALL SELECT 'spcol:lineitem.' || {ROW_KEY}, 'ResultColumn', CAST(l_linenumber AS STRING), 'Data', 'Known' FROM {LINE_KEYS}
 UNION ALL SELECT 'column:part.' || CAST(p_partkey AS STRING), 'Column', p_name, 'Data', 'Known' FROM {{part}}"""
 
 # One record for each distinct output, source and condition; returned lines are conditional, a few of zero tax literal.

@@ -102,6 +102,15 @@ def json_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.union(e)
 
 
+def export(nodes: DataFrame, edges: DataFrame, lineage: DataFrame) -> DataFrame:
+    """(kind, id, json) of a whole store with all the fields there are, each kind by id; written with partitionBy("kind") it is a snapshot of any size."""
+    some = lambda df, names: [F.col(c) for c in names if c in df.columns]
+    n = nodes.select(F.lit("node").alias("kind"), "id", F.to_json(F.struct("id", camel(F.col("type")).alias("type"), "name", *some(nodes, ["qualifiedName"]), camel(F.col("layer")).alias("layer"), camel(F.col("status")).alias("status"), *some(nodes, ["source", "metadata", "description", "scanVersion"]))).alias("json"))
+    e = edges.select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id"), F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), camel(F.col("relation")).alias("relationType"), "confidence", *some(edges, ["evidenceType", "evidenceRef", "metadata"]))).alias("json"))
+    r = lineage.select(F.lit("lineage").alias("kind"), F.col("lineage_id").alias("id"), F.to_json(F.struct(F.col("output").alias("outputFieldId"), F.col("source").alias("sourceFieldId"), camel(F.col("transform")).alias("transformType"), "expression", "condition", *[F.col("evidence").alias("evidenceEdgeIds")] * ("evidence" in lineage.columns), "confidence")).alias("json"))
+    return n.union(e).union(r).orderBy("kind", "id")
+
+
 def cases(docs: DataFrame) -> DataFrame:
     return parsed(docs, CASE).select("path", "doc.*")
 
