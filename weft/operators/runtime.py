@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,42 +14,59 @@ from weft.operators.shared import kept
 ROW_LIMIT = 200
 AUDIT_RING = 1000
 SCOPE_KEY = "materialNumber"
+SENSITIVE = frozenset(T.SENSITIVE_KEYS)
 
 CELL = "map<string,string>"
+LEAVES = "array<struct<path:string,scope:string,ord:array<int>,value:string>>"
 RESULTS = f"map<string,struct<durationMs:int,rowKey:string,returnColumn:string,rows:array<{CELL}>>>"
 
 
+class Number(str):
+    """The text of a JSON number."""
+
+
+def _no_number(text: str):
+    raise ValueError(text)
+
+
+def _leaves(text: str | None, scope_key: str) -> list[tuple] | None:
+    """(path, scope, ord, value) of the scalars below the root of one document. Objects are tuples of members, so that repeated ones stay."""
+    try:
+        root = json.loads(text, object_pairs_hook=tuple, parse_int=Number, parse_float=Number, parse_constant=_no_number) if text else None
+    except ValueError:
+        return None
+    out, open_ = [], [("", None, (), root, False, True)]
+    while open_:
+        path, scope, at, value, in_array, is_root = open_.pop()
+        if isinstance(value, tuple):
+            own = [v for k, v in value if k == scope_key and type(v) is str]
+            scope = own[0] if in_array and own else scope
+            members = [(k, v) for k, v in value if k.lower() not in SENSITIVE]
+            below = [(f"{path}.{k}" if path else k, scope, (*at, n), v, False, False) for n, (k, v) in enumerate(members)]
+            open_.extend(reversed(below))
+        elif isinstance(value, list):
+            open_.extend(reversed([(path, scope, (*at, n), v, True, False) for n, v in enumerate(value)]))
+        elif not is_root:
+            said = str(value) if isinstance(value, Number) else json.dumps(value, ensure_ascii=False)
+            out.append((_utf8(path), _utf8(scope), list(at), _utf8(said)))
+    return out
+
+
+def _utf8(text: str | None) -> str | None:
+    """Half surrogate pairs, which JSON can escape and UTF-8 cannot hold, as question marks."""
+    return text and text.encode("utf-8", "replace").decode()
+
+
 def json_leaves(docs: DataFrame, column: str, scope_key: str = SCOPE_KEY) -> DataFrame:
     """docs' other columns with path, scope, ord and value (JSON text) of every scalar below the root of a JSON column, in document order.
 
     Array positions are not part of a path. An object inside an array whose scope_key is a string gives its subtree that scope.
-    Sensitive members are left out, nulls stay, empty containers give nothing. Numbers below the top level come in their shortest form.
-    Each level is written to the shared folder, until none of its rows is a container.
+    Sensitive members are left out, nulls and repeated members stay, empty containers give nothing, and so does what is no JSON.
+    Numbers keep their text. A document is read once, within its task; no depth is left out and no round of joins is needed.
     """
     keys = [c for c in docs.columns if c != column]
-    kind = F.schema_of_variant(F.try_parse_json(F.col(column)))
-    rows = docs.select(*keys, F.lit("").alias("path"), F.lit(None).cast("string").alias("scope"), F.array().cast("array<int>").alias("ord"), F.col(column).alias("raw"), kind.alias("kind"), F.lit(False).alias("in_array"))
-    entry = "array<struct<key:string,raw:string,kind:string>>"
-    is_object, is_array = F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False)), F.coalesce(F.col("kind").startswith("ARRAY"), F.lit(False))
-    named, typed = F.from_json("raw", CELL), F.from_json("raw", "map<string,variant>")
-    own = F.element_at(named, F.lit(scope_key))
-    own = F.when(is_object & F.col("in_array") & (F.schema_of_variant(F.element_at(typed, F.lit(scope_key))) == "STRING"), own)
-    zipped = F.arrays_zip(F.map_keys(named).alias("key"), F.map_values(named).alias("raw"), F.map_values(typed).alias("typed"))  # parsed once, not once a member
-    members = F.transform(zipped, lambda e: F.struct(e["key"].alias("key"), e["raw"].alias("raw"), F.schema_of_variant(e["typed"]).alias("kind")))
-    members = F.filter(members, lambda e: ~T.is_sensitive(e["key"]))
-    listed = F.arrays_zip(F.from_json("raw", "array<string>").alias("raw"), F.from_json("raw", "array<variant>").alias("typed"))
-    items = F.transform(listed, lambda e: F.struct(F.lit(None).cast("string").alias("key"), e["raw"].alias("raw"), F.schema_of_variant(e["typed"]).alias("kind")))
-    below = F.when(is_object, members.cast(entry)).when(is_array, items.cast(entry))
-    quoted = F.to_json(F.array("raw"))
-    value = F.when(F.coalesce("kind", F.lit("VOID")) == "VOID", F.lit("null")).when(F.col("kind") == "STRING", F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(F.col("raw"))
-    leaves = None
-    while True:
-        opened = rows.where(is_object | is_array).select(*keys, "path", F.coalesce(own, "scope").alias("scope"), "ord", is_array.alias("was_array"), F.posexplode(below).alias("pos", "e"))
-        rows = kept(opened.select(*keys, F.concat_ws(".", F.nullif("path", F.lit("")), "e.key").alias("path"), "scope", F.concat("ord", F.array("pos")).alias("ord"), "e.raw", "e.kind", F.col("was_array").alias("in_array")))
-        found = rows.where(~(is_object | is_array)).select(*keys, "path", "scope", "ord", value.alias("value"))
-        leaves = found if leaves is None else leaves.union(found)
-        if rows.where(is_object | is_array).isEmpty():
-            return leaves
+    found = F.udf(partial(_leaves, scope_key=scope_key), LEAVES, useArrow=True)(F.col(column))
+    return docs.select(*keys, F.inline(found))
 
 
 def scoped(row: Column, row_key: Column, entity_key: Column) -> Column:
