@@ -1,8 +1,7 @@
 """Assembling graphs from several producers: ordered folds by key, placeholders, links by name.
 
-Each row says which snapshot it came from (ord) and its place there (seq). Node merges depend on that order, so a
-node's rows are gathered, sorted and folded; a node has as many rows as producers named it. Edge and lineage merges are
-order-free aggregates with ties to the earliest row.
+Each row says which snapshot it came from (ord) and its place there (seq). Node merges depend on that order: windows find
+what each row meets, aggregates do the rest. Edge and lineage merges are order-free aggregates with ties to the earliest row.
 """
 
 from __future__ import annotations
@@ -27,64 +26,77 @@ def _strength(status: Column) -> Column:
     return F.coalesce(ids.lookup({s: k for k, s in enumerate(STATUSES)}, status), F.lit(0))
 
 
-def _stronger(a: Column, b: Column) -> Column:
-    return F.when(_strength(b) > _strength(a), b).otherwise(a)
-
-
-def merged_node(old: Column, new: Column, policy: Column) -> Column:
-    """One step of the store's fold: old row, incoming row, and FillGaps or Authoritative."""
-    strict = policy == "Authoritative"
-    first = lambda name, order: F.coalesce(*(x[name] for x in order))
-    defined = (old["status"] != "Known") & (new["status"] == "Known")
-    replaced = (old["status"] == "Unknown") & (new["status"] != "Unknown")
-    version = F.when(defined | old["scanVersion"].isNull(), first("scanVersion", (new, old))).otherwise(old["scanVersion"])
-    meta = merged_map(old["metadata"], new["metadata"])
-    kept_meta = merged_map(new["metadata"], old["metadata"])
-    return (
-        F.when(replaced, F.struct(
-            new["type"].alias("type"), new["name"].alias("name"), new["qualifiedName"].alias("qualifiedName"), new["layer"].alias("layer"), new["status"].alias("status"), new["source"].alias("source"), meta.alias("metadata"),
-            F.when(strict, first("description", (new, old))).otherwise(first("description", (old, new))).alias("description"), new["scanVersion"].alias("scanVersion")))
-        .when(strict, F.struct(
-            old["type"].alias("type"), new["name"].alias("name"), first("qualifiedName", (new, old)).alias("qualifiedName"), new["layer"].alias("layer"), new["status"].alias("status"), first("source", (old, new)).alias("source"), meta.alias("metadata"),
-            first("description", (new, old)).alias("description"), version.alias("scanVersion")))
-        .otherwise(F.struct(
-            old["type"].alias("type"), old["name"].alias("name"), first("qualifiedName", (old, new)).alias("qualifiedName"), old["layer"].alias("layer"), _stronger(old["status"], new["status"]).alias("status"), first("source", (old, new)).alias("source"),
-            F.when(defined, meta).otherwise(kept_meta).alias("metadata"), first("description", (old, new)).alias("description"), version.alias("scanVersion")))
-    )
+FIELDS = [x.split()[0] for x in NODE.split(", ")][1:]
 
 
-def defined_node(old: Column, new: Column) -> Column:
-    """One step of a scanner's own fold: a known node is never downgraded; else the later row wins, gaps filled from the earlier."""
-    skipped = (old["status"] == "Known") & (new["status"] != "Known")
-    filled = lambda n: F.coalesce(new[n], old[n]).alias(n)
-    return F.when(skipped, old).otherwise(F.struct(
-        new["type"].alias("type"), new["name"].alias("name"), filled("qualifiedName"), new["layer"].alias("layer"), new["status"].alias("status"), filled("source"), merged_map(old["metadata"], new["metadata"]).alias("metadata"), filled("description"), new["scanVersion"].alias("scanVersion")))
+def _at() -> Column:
+    return F.struct("ord", "seq")
 
 
-FIELDS = [x.split()[0] for x in NODE.split(", ")][1:]
+def _in_order(*also: str):
+    return Window.partitionBy("id", *also).orderBy("ord", "seq")
+
+
+def _first(name: str, when: Column | None = None) -> Column:
+    """The earliest value that is not null (of rows that satisfy when)."""
+    return F.min(F.when(F.col(name).isNotNull() if when is None else F.col(name).isNotNull() & when, F.struct("ord", "seq", name)))
 
 
-def _earlier(a: Column, b: Column) -> Column:
-    """Order by (ord, seq) alone: a map in the row has no order."""
-    before = lambda x, y: (x["ord"] < y["ord"]) | ((x["ord"] == y["ord"]) & (x["seq"] < y["seq"]))
-    return F.when(before(a, b), -1).when(before(b, a), 1).otherwise(0)
+def _last(name: str, when: Column | None = None) -> Column:
+    return F.max(F.when(F.col(name).isNotNull() if when is None else F.col(name).isNotNull() & when, F.struct("ord", "seq", name)))
 
 
-def fold_nodes(rows: DataFrame, step) -> DataFrame:
-    """rows: the node columns with ord, seq and policy; one node for each id, folded in (ord, seq) order."""
-    each = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "seq", F.struct("policy", *FIELDS).alias("row"))), _earlier).alias("rows"))
-    kind = "struct<" + ",".join(x.replace(" ", ":", 1) for x in NODE.split(", ")[1:]) + ">"
-    strip = lambda x: F.struct(*[x["row"][f].alias(f) for f in FIELDS]).cast(kind)
-    folded = F.aggregate(F.slice("rows", 2, F.size("rows")), strip(F.col("rows")[0]), lambda acc, x: step(acc, x["row"], x["row"]["policy"]).cast(kind))
-    return each.select("id", folded.alias("n")).select("id", *[F.col(f"n.{f}").alias(f) for f in FIELDS])
+def _metadata(rows: DataFrame) -> DataFrame:
+    """(id, metadata) of rows (id, ord, seq, metadata, wins): of each key the latest entry that wins, else the earliest. Empty where a node has no entry, null if its only row has no map."""
+    latest, earliest = F.max_by("value", F.when(F.col("wins"), _at())), F.min_by("value", _at())
+    entries = rows.select("id", "ord", "seq", "wins", F.explode("metadata").alias("key", "value"))
+    each = entries.groupBy("id", "key").agg(F.when(F.max("wins"), latest).otherwise(earliest).alias("value"))
+    maps = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("map"))
+    some = rows.groupBy("id").agg(((F.count(F.lit(1)) > 1) | F.max(F.col("metadata").isNotNull())).alias("any"))
+    return some.join(maps, "id", "left").select("id", F.coalesce("map", F.when(F.col("any"), F.create_map().cast("map<string,string>"))).alias("metadata"))
 
 
 def merge_nodes(rows: DataFrame) -> DataFrame:
-    return fold_nodes(rows, merged_node)
+    """rows: the node columns with ord, seq and policy (FillGaps or Authoritative); one node for each id, as if the store took them in (ord, seq) order.
+
+    A node's status before each row follows from the strongest one since its last authoritative row. Where a row that is not unknown meets an
+    unknown node, a new epoch begins: the row replaces what was there. All fields are then plain aggregates over the last epoch's rows
+    (descriptions and metadata over all rows), so nothing gathers a node's rows: a window streams over them, and aggregates combine before the shuffle.
+    """
+    strict, known = F.coalesce(F.col("policy") == "Authoritative", F.lit(False)), F.col("status") == "Known"
+    strength = _strength(F.col("status"))
+    run = rows.withColumns({"strict": strict, "reset": F.sum(strict.cast("long")).over(_in_order())})
+    run = run.withColumn("reached", F.max(F.struct(strength.alias("strength"), "status")).over(_in_order("reset")))
+    run = run.withColumn("before", F.lag("reached.strength").over(_in_order()))
+    strongest = len(STATUSES) - 1
+    run = run.withColumns({"first": F.col("before").isNull(), "replaces": F.coalesce((F.col("before") == 0) & (strength > 0), F.lit(False))})
+    run = run.withColumns({
+        "defines": F.coalesce(~F.col("replaces") & (F.col("before") < strongest) & known, F.lit(False)), "epoch": F.sum(F.col("replaces").cast("long")).over(_in_order()),
+    })
+    run = run.withColumn("wins", F.col("replaces") | F.col("strict") | F.col("defines"))
+    value = lambda e, name: F.col(e)[name]
+    opens = F.col("first") | F.col("replaces")
+    each = run.groupBy("id", "epoch").agg(
+        F.min_by("type", _at()).alias("type"), *[F.max_by(c, F.when(opens | F.col("strict"), _at())).alias(c) for c in ("name", "layer")], F.max_by("reached.status", _at()).alias("status"),
+        _last("qualifiedName", F.col("strict")).alias("q1"), _first("qualifiedName").alias("q2"), _first("source").alias("s"), _last("scanVersion", F.col("defines")).alias("v1"), _first("scanVersion").alias("v2"),
+        _last("description", F.col("strict")).alias("d1"), _first("description").alias("d2"),
+    )
+    own = F.struct("type", "name", F.coalesce(value("q1", "qualifiedName"), value("q2", "qualifiedName")).alias("qualifiedName"), "layer", "status", value("s", "source").alias("source"), F.coalesce(value("v1", "scanVersion"), value("v2", "scanVersion")).alias("scanVersion"))
+    node = each.groupBy("id").agg(F.max_by(own, "epoch").alias("n"), F.max("d1").alias("d1"), F.min("d2").alias("d2"))
+    node = node.select("id", "n.*", F.coalesce(value("d1", "description"), value("d2", "description")).alias("description"))
+    return node.join(_metadata(run), "id").select("id", *FIELDS)
 
 
 def define_nodes(rows: DataFrame) -> DataFrame:
-    return fold_nodes(rows.withColumn("policy", F.lit("")), lambda old, new, _: defined_node(old, new))
+    """A scanner's own rule: a known node is never downgraded, so rows that are not known do not count after one that is; else the later row
+    wins, and what it lacks comes from the latest that has it."""
+    known = F.coalesce(F.col("status") == "Known", F.lit(False))
+    seen = F.max(known).over(_in_order().rowsBetween(Window.unboundedPreceding, -1))
+    used = rows.withColumn("skip", F.coalesce(seen, F.lit(False)) & ~known).where("not skip").withColumn("wins", F.lit(True))
+    node = used.groupBy("id").agg(
+        *[F.max_by(c, _at()).alias(c) for c in ("type", "name", "layer", "status", "scanVersion")], *[_last(c)[c].alias(c) for c in ("qualifiedName", "source", "description")],
+    )
+    return node.join(_metadata(used), "id").select("id", *FIELDS)
 
 
 def merge_edges(rows: DataFrame) -> DataFrame:
