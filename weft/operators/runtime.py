@@ -161,6 +161,33 @@ def recent_audit(audit: DataFrame, count: int, ring: int = AUDIT_RING) -> DataFr
     return audit.orderBy(F.col("seq").desc()).limit(min(max(count, 1), ring))
 
 
+def tool_results(fixtures: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
+    """(tool, key, environment, result): what the gateway's tools return for captures, as the JSON objects of each tool.
+
+    trace_pick_order by entity: trace id, entity, environment, evidence count, unknowns. trace_material by entity/scope: the same with the scope
+    and the evidence of it or of none. read_system_parameter by name: the value in the first allowed capture that has it, with its evidence id.
+    read_pick_order_response by fixture: the response. Calls without a row here have no data.
+    """
+    fixtures = kept(fixtures)
+    rows = kept(bind(fixtures, limit))
+    every = beyond_limit(fixtures, "procedureResults", limit).union(beyond_limit(fixtures, "functionResults", limit))
+    unknown = every.groupBy("trace_id").agg(F.array_sort(F.collect_list("unknown")).alias("unknowns"))
+    own = fixtures.select("trace_id", "entity_key", "environment").join(unknown, "trace_id", "left").withColumn("unknowns", F.coalesce("unknowns", F.array().cast("array<string>")))
+    scope = F.lower("scope")
+    counts = rows.groupBy("trace_id", scope.alias("scope")).agg(F.count(F.lit(1)).alias("n"), F.min("scope").alias("shown"))
+    total = counts.groupBy("trace_id").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("scope").isNull(), F.col("n"))), F.lit(0)).alias("free"))
+    head = [F.col("trace_id").alias("traceId"), F.col("entity_key").alias("entityKey")]
+    orders = own.join(total, "trace_id").select(F.lit("trace_pick_order").alias("tool"), F.col("entity_key").alias("key"), "environment", F.to_json(F.struct(*head, "environment", F.col("n").alias("evidenceCount"), "unknowns")).alias("result"))
+    scoped_ = own.join(total.drop("n"), "trace_id").join(counts.where("scope is not null"), "trace_id")
+    trace_of = F.concat_ws(":", "trace_id", "shown").alias("traceId")
+    materials = scoped_.select(F.lit("trace_material"), F.concat_ws("/", "entity_key", "shown"), "environment", F.to_json(F.struct(trace_of, head[1], F.col("shown").alias("scope"), (F.col("n") + F.col("free")).alias("evidenceCount"), "unknowns")))
+    seen = rows.where((F.col("section") == 0) & F.col("node_id").startswith("param:")).join(fixtures.where(allowed(F.col("environment"))).select("trace_id", "fixture_id", "environment"), "trace_id")
+    first = seen.groupBy("node_id").agg(F.min_by(F.struct("id", "node_id", "value", "environment"), "fixture_id").alias("e"))
+    parameters = first.select(F.lit("read_system_parameter"), F.substring("node_id", len("param:") + 1, 1000), "e.environment", F.to_json(F.struct(F.col("e.id").alias("id"), F.col("node_id").alias("nodeId"), F.col("e.value").alias("value"), F.col("e.environment").alias("environment"))))
+    responses = fixtures.select(F.lit("read_pick_order_response"), "fixture_id", "environment", "response")
+    return orders.union(materials).union(parameters).union(responses)
+
+
 def invoke(calls: DataFrame, data: DataFrame) -> DataFrame:
     """Decisions over calls (seq, tool, arguments, key) with the data there is (tool, key, result, environment): one row for each call.
 

@@ -174,15 +174,26 @@ def d18_validate(spark, sf_dir):
     return calls(spark, sf_dir).select("seq", "tool", T.denial(F.col("tool"), F.col("arguments")).alias("why"))
 
 
-@query(f"""WITH {CALL_ROWS}, data AS (SELECT 'trace_pick_order' AS tool, 'k' || CAST(n_nationkey AS STRING) AS key, n_name AS result, CASE WHEN n_nationkey % 3 = 0 THEN 'PROD' ELSE 'uat' END AS env FROM nation WHERE n_nationkey < 6)
+@query(f"""WITH {CALL_ROWS}, data AS (SELECT 'trace_pick_order' AS tool, 'k' || CAST(n_nationkey AS STRING) AS key, n_name AS result, CASE WHEN n_nationkey % 3 = 0 THEN 'PROD' ELSE 'uat' END AS env FROM nation)
 SELECT seq, 'audit-' || lpad(CAST(seq AS STRING), CAST(greatest(4, length(CAST(seq AS STRING))) AS INT), '0') AS audit_id, CASE WHEN why IS NOT NULL THEN 'denied' WHEN env IS NULL THEN 'no data' WHEN env = 'PROD' THEN 'access denied' ELSE 'ok' END AS outcome, coalesce(why, CASE WHEN env = 'PROD' THEN 'environment not allowed: PROD' END) AS reason,
 CASE WHEN why IS NULL AND env = 'uat' THEN result END AS result FROM judged LEFT JOIN data USING (tool, key)""")
 def d19_invoke(spark, sf_dir):
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 6")
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     data = nation.select(F.lit("trace_pick_order").alias("tool"), F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("result"), F.when(F.col("n_nationkey") % 3 == 0, "PROD").otherwise("uat").alias("environment"))
     return runtime.invoke(calls(spark, sf_dir), data).select("seq", "audit_id", "outcome", "reason", "result")
 
 
+@query(f"""WITH {ROWS}, env AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'fixture' WHEN 'O' THEN 'Test' ELSE 'PROD' END AS environment FROM heads),
+more AS (SELECT o_orderkey, count(*) - 3 AS beyond FROM lines GROUP BY o_orderkey), unknowns AS (SELECT o_orderkey, CASE WHEN beyond > 0 THEN '["' || CAST(beyond AS STRING) || ' rows beyond the limit of 3 were not captured: dbo.Lines","' || CAST(beyond AS STRING) || ' rows beyond the limit of 3 were not captured: dbo.Value"]' ELSE '[]' END AS u FROM more),
+shown AS (SELECT b.* FROM bound b WHERE section IN (0, 3) OR a < 3), per AS (SELECT o_orderkey, scope, count(*) AS n FROM shown WHERE scope IS NOT NULL GROUP BY 1, 2), total AS (SELECT o_orderkey, count(*) AS n, count(*) FILTER (scope IS NULL) AS free FROM shown GROUP BY 1),
+first_ AS (SELECT arg_min(o_orderkey, 'fx-' || CAST(o_orderkey AS STRING)) AS o_orderkey FROM env WHERE environment <> 'PROD'), k AS (SELECT *, CAST(o_orderkey AS STRING) AS o FROM env JOIN unknowns USING (o_orderkey) JOIN total USING (o_orderkey))
+SELECT 'trace_pick_order' AS tool, 'O' || o AS key, environment, '{{"traceId":"trace-' || o || '","entityKey":"O' || o || '","environment":"' || environment || '","evidenceCount":' || CAST(n AS STRING) || ',"unknowns":' || u || '}}' AS result FROM k
+UNION ALL SELECT 'trace_material', 'O' || o || '/' || scope, environment, '{{"traceId":"trace-' || o || ':' || scope || '","entityKey":"O' || o || '","scope":"' || scope || '","evidenceCount":' || CAST(per.n + free AS STRING) || ',"unknowns":' || u || '}}' FROM k JOIN per USING (o_orderkey)
+UNION ALL SELECT 'read_system_parameter', name, environment, '{{"id":"' || id || '","nodeId":"param:' || name || '","value":"' || CASE name WHEN 'priority' THEN o_orderpriority ELSE o_orderstatus END || '","environment":"' || environment || '"}}' FROM first_ JOIN env USING (o_orderkey) JOIN heads USING (o_orderkey), (VALUES ('priority', 'ev-001'), ('status', 'ev-002')) p(name, id)""")
+def d20_results(spark, sf_dir):
+    return runtime.tool_results(captures(spark, sf_dir), limit=3).where("tool <> 'read_pick_order_response'")
+
+
 @query(f"WITH {CALL_ROWS} SELECT seq, CASE WHEN tool = 'read_system_parameter' THEN '[redacted]' END AS token, CASE WHEN a = 'name' THEN arg END AS name FROM judged")
 def d21_audit_args(spark, sf_dir):
     safe = T.redact_members(F.col("arguments"))

@@ -89,3 +89,38 @@ def h9_procedure_calls(spark, sf_dir):
 def h14_object_names(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand").distinct()
     return part.select(F.col("p_brand").alias("name"), ids.normalised(F.lit(" "), F.concat(F.lit("["), "p_brand", F.lit("]"))).alias("object"))
+
+
+# Models that nest and come back to their own type, one set a customer.
+NESTED = """SELECT 'c' || CAST(c_custkey AS STRING) AS path, CAST(c_custkey AS STRING) AS k, c_custkey % 2 = 1 AS is_array, 'public class Order' || CAST(c_custkey AS STRING) || ' { public int Number { get; set; } public List<Row' || CAST(c_custkey AS STRING) || '> Rows { get; set; } }
+public class Row' || CAST(c_custkey AS STRING) || ' { public string? PartName { get; set; } public Bin' || CAST(c_custkey AS STRING) || ' Bin { get; set; } public Order' || CAST(c_custkey AS STRING) || ' Back { get; set; } }
+public class Bin' || CAST(c_custkey AS STRING) || ' { public Guid[] IDs { get; set; } }' AS text FROM {customer}"""
+
+
+@query("""WITH c AS (SELECT CAST(c_custkey AS STRING) AS k FROM customer), e(src, relation, dst) AS (VALUES ('model:Order', 'Contains', 'field:Order?.Number'), ('model:Order', 'Contains', 'field:Order?.Rows'), ('model:Row', 'Contains', 'field:Row?.PartName'), ('model:Row', 'Contains', 'field:Row?.Bin'), ('model:Row', 'Contains', 'field:Row?.Back'), ('model:Bin', 'Contains', 'field:Bin?.IDs'),
+('field:Order?.Rows', 'OfType', 'model:Row?'), ('field:Row?.Bin', 'OfType', 'model:Bin?'), ('field:Row?.Back', 'OfType', 'model:Order?'))
+SELECT CASE WHEN relation = 'Contains' THEN src || k ELSE replace(src, '?', k) END AS src, relation, replace(dst, '?', k) AS dst FROM c, e""")
+def h3_model_edges(spark, sf_dir):
+    return s.cs_model_edges(s.cs_models(g.frame(spark, sf_dir, NESTED)))
+
+
+@query("""WITH c AS (SELECT CAST(c_custkey AS STRING) AS k, CASE WHEN c_custkey % 2 = 1 THEN '$[]' ELSE '$' END AS root FROM customer), f(json_id, field, tail, expression) AS (VALUES ('json:number', 'field:Order?.Number', '.number', 'Number -> number (camelCase)'),
+('json:rows.partName', 'field:Row?.PartName', '.rows[].partName', 'PartName -> partName (camelCase)'), ('json:rows.bin.iDs', 'field:Bin?.IDs', '.rows[].bin.iDs[]', 'IDs -> iDs (camelCase)'))
+SELECT 'api:GET /orders/' || k AS api, json_id, replace(field, '?', k) AS field_id, root || tail AS json_path, expression, 0.95 AS confidence FROM c, f""")
+def h7_response_fields(spark, sf_dir):
+    texts = g.frame(spark, sf_dir, NESTED)
+    roots = texts.select(F.concat(F.lit("api:GET /orders/"), "k").alias("api"), F.concat(F.lit("Order"), "k").alias("model"), "is_array")
+    return s.response_fields(roots, s.cs_models(texts))
+
+
+# A call in each class by a property that settings bind to a procedure, to something else, or not at all.
+CONFIGURED = """SELECT 'c' || CAST(c_custkey AS STRING) AS path, 'public class Q { private readonly Site' || CAST(c_custkey AS STRING) || ' _site; public Task Run() { return _db.QueryAsync<Row>(_site.PickProcedure, p); } }' AS text,
+'Site' || CAST(c_custkey AS STRING) || '.PickProcedure' AS name, CASE c_custkey % 3 WHEN 0 THEN '[inv].[Pick' || CAST(c_nationkey AS STRING) || ']' WHEN 1 THEN 'select 1' END AS value FROM {customer}"""
+
+
+@query("""SELECT 'c' || CAST(c_custkey AS STRING) AS path, 'Site' || CAST(c_custkey AS STRING) || '.PickProcedure' AS said, CASE WHEN c_custkey % 3 = 0 THEN 'sp:inv.Pick' || CAST(c_nationkey AS STRING) END AS procedure, CASE WHEN c_custkey % 3 = 0 THEN 0.9 ELSE 0.5 END AS confidence FROM customer
+UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), 'Setting Site' || CAST(c_custkey AS STRING) || '.PickProcedure is no SQL object name: select 1', NULL, NULL FROM customer WHERE c_custkey % 3 = 1""")
+def h10_configured(spark, sf_dir):
+    texts = g.frame(spark, sf_dir, CONFIGURED)
+    found, bad = s.cs_configured_calls(texts, texts.select("name", "value").where("value is not null"))
+    return found.withColumnRenamed("key", "said").unionByName(bad.select("path", F.col("message").alias("said")), allowMissingColumns=True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import ids
 from weft.functions.text import squeezed
+from weft.operators.shared import kept
 
 NAME = r"(?:\[?(\w+)\]?\.)?\[?([#\w]+)\]?"
 
@@ -113,3 +114,55 @@ def cs_procedure_calls(files: DataFrame) -> DataFrame:
     rows = files.select("path", F.explode(each).alias("c"))
     last, owner = F.substring_index("c.name", ".", -1), F.when(F.contains("c.name", F.lit(".")), F.substring_index("c.name", ".", 1)).otherwise(F.lit(""))
     return rows.select("path", F.nullif("c.model", F.lit("")).alias("model"), F.concat(F.lit("sp:"), ids.normalised(owner, last)).alias("procedure"), F.when(F.contains("c.rest", F.lit("CommandType.StoredProcedure")), 1.0).otherwise(0.8).alias("confidence"))
+
+
+def cs_model_edges(models: DataFrame) -> DataFrame:
+    """(src, relation, dst) of cs_models rows: each model contains its fields, and a field is of the model its type names, if there is one."""
+    own, field = F.concat(F.lit("model:"), "model"), F.concat_ws(".", F.concat(F.lit("field:"), "model"), "field")
+    known = models.select(F.col("model").alias("type")).distinct()
+    typed = models.join(known, "type").select(field.alias("src"), F.lit("OfType").alias("relation"), F.concat(F.lit("model:"), "type").alias("dst"))
+    return models.select(own.alias("src"), F.lit("Contains").alias("relation"), field.alias("dst")).union(typed).distinct()
+
+
+def response_fields(roots: DataFrame, models: DataFrame) -> DataFrame:
+    """(api, json_id, field_id, json_path, expression, confidence): the JSON fields that responses serialise to.
+
+    roots: api, model, is_array. A member whose type is a model is opened in its place, unless it is open already, so that recursive types end.
+    A round is one join of the open members with the models; there are as many as models nest.
+    """
+    named = models.select(F.col("model").alias("type"), "field", F.col("type").alias("inner"), "json_name", (F.col("kind") == "collection").alias("many")).distinct()
+    known = models.select(F.col("model").alias("inner"), F.lit(True).alias("opens")).distinct()
+    named = kept(named.join(known, "inner", "left"))
+    open_ = roots.select("api", F.lit("").alias("path"), F.when(F.col("is_array"), "$[]").otherwise("$").alias("json_path"), F.col("model").alias("type"), F.array("model").alias("seen"))
+    leaves = None
+    while True:
+        members = kept(open_.join(named, "type").select(
+            "api", F.concat_ws(".", F.nullif("path", F.lit("")), "json_name").alias("path"), F.concat("json_path", F.lit("."), "json_name", F.when(F.col("many"), "[]").otherwise("")).alias("json_path"),
+            F.concat(F.lit("field:"), "type", F.lit("."), "field").alias("field_id"), F.concat("field", F.lit(" -> "), "json_name", F.lit(" (camelCase)")).alias("expression"), "inner", "opens", "seen",
+        ))
+        found = members.where("opens is null").select("api", F.concat(F.lit("json:"), "path").alias("json_id"), "field_id", "json_path", "expression", F.lit(0.95).alias("confidence"))
+        leaves = found if leaves is None else leaves.union(found)
+        open_ = members.where("opens").where(~F.array_contains("seen", F.col("inner"))).select("api", "path", "json_path", F.col("inner").alias("type"), F.concat("seen", F.array("inner")).alias("seen"))
+        if open_.isEmpty():
+            return leaves
+
+
+def cs_configured_calls(files: DataFrame, settings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls of QUERY_CALLS whose procedure is a property of a member (_site.PickProcedure), by the value that settings (name, value) bind to Type.Property.
+
+    Found: (path, key, procedure, confidence): 0.9 for a value that names an SQL object, 0.5 and no procedure where none is bound.
+    Warnings: (path, message) of values that are no object names. The member's type is what its declaration in the same text says.
+    """
+    call = rf'\.(?:{"|".join(QUERY_CALLS)})(?:<[\w.]+>)?\s*\(\s*(\w+)\.(\w+)\s*[,)]'
+    each = F.arrays_zip(F.regexp_extract_all("text", F.lit(call), F.lit(1)).alias("member"), F.regexp_extract_all("text", F.lit(call), F.lit(2)).alias("property"))
+    member = r"\b(?:private|protected|public|internal)\s+(?:static\s+)?(?:readonly\s+)?(\w+)\s+(\w+)\s*;"
+    types = F.arrays_zip(F.regexp_extract_all("text", F.lit(member), F.lit(2)).alias("member"), F.regexp_extract_all("text", F.lit(member), F.lit(1)).alias("type"))
+    rows = files.select("path", F.explode(each).alias("c"), types.alias("types"))
+    of = F.get(F.filter("types", lambda t: t["member"] == F.col("c.member")), F.lit(0))["type"]
+    rows = rows.select("path", F.concat_ws(".", F.coalesce(of, "c.member"), "c.property").alias("key")).join(settings.select(F.col("name").alias("key"), "value"), "key", "left")
+    object_ = r"^\s*(?:\[?(\w+)\]?\.)?\[?(\w+)\]?\s*$"
+    good = F.rlike("value", F.lit(object_))
+    name = F.when(good, F.concat(F.lit("sp:"), ids.normalised(F.regexp_extract("value", object_, 1), F.regexp_extract("value", object_, 2))))
+    found = rows.select("path", "key", name.alias("procedure"), F.when(good, 0.9).otherwise(0.5).alias("confidence"))
+    bad = rows.where(F.col("value").isNotNull() & ~good).select("path", F.concat(F.lit("Setting "), "key", F.lit(" is no SQL object name: "), "value").alias("message"))
+    return found, bad
