@@ -52,11 +52,14 @@ class Service:
         fields, gaps = snapshots.case_overview(own, self.nodes)
         return {"fields": fields, "gaps": gaps}
 
-    def node(self, node_id: str) -> DataFrame:
+    def node(self, node_id: str, trace_id: str | None = None, scope: str | None = None) -> DataFrame | dict[str, DataFrame]:
+        """Details of a node; with a trace's id, those and the values observed in it (none for a trace that is not there)."""
         found = traverse.node_details(self.edges, self.nodes, self.lineage, node_id)
         if not found.limit(1).count():
             raise NotFound(node_id)
-        return found
+        if trace_id is None:
+            return found
+        return {"details": found, "values": trace.node_values(self.evidence, node_id, trace_id, scope)}
 
     def graph(self, root: str, depth: int = 3, columns: bool = True) -> dict:
         nodes, edges, cut = traverse.subgraph(self.edges, self.nodes, self._known(root), depth, columns)

@@ -170,6 +170,38 @@ def link_by_name(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFra
     return linked, no_column, no_field
 
 
+# The steps of a build in their order, and those that each mode leaves out.
+BUILD_STEPS = ["dotnet-scanner", "sql-scanner", "linker", "ground-truth", "manual-overrides"]
+LEFT_OUT = {"Full": [], "ScanOnly": ["ground-truth", "manual-overrides"], "CuratedOnly": ["dotnet-scanner", "sql-scanner", "linker"]}
+
+
+def build(parts: dict[str, tuple[DataFrame, DataFrame, DataFrame]], mode: str = "Full") -> tuple[DataFrame, DataFrame, DataFrame, list]:
+    """The merged nodes, edges and lineage of a build in a mode, and its steps for build_report().
+
+    parts: step name to nodes, edges and lineage rows with seq, of the steps there are. Scanned rows fill gaps, curated ones are authoritative.
+    Ends without a node become placeholders of the step that names them first.
+    """
+    names = [s for s in BUILD_STEPS if s in parts and s not in LEFT_OUT[mode]]
+    if not names:
+        raise ValueError(f"no step of mode {mode}")
+    nodes = edges = lineage = None
+    grow = lambda have, df: df if have is None else have.unionByName(df, allowMissingColumns=True)
+    for name in names:
+        n, e, r = parts[name]
+        at = F.lit(BUILD_STEPS.index(name))
+        policy = F.lit("Authoritative" if name in ("ground-truth", "manual-overrides") else "FillGaps")
+        nodes, edges, lineage = grow(nodes, n.withColumns({"ord": at, "policy": policy})), grow(edges, e.withColumn("ord", at)), grow(lineage, r.withColumn("ord", at))
+    merged, linked, records = merge_nodes(nodes), merge_edges(edges), merge_lineage(lineage)
+    missing = placeholders(merged, linked)
+    lost = missing.select(*[F.col(c) if c in missing.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in NODE.split(", "))])
+    steps = []
+    for name in names:
+        ends = parts[name][1].select(F.col("src").alias("id")).union(parts[name][1].select("dst"))
+        own = missing.join(ends, "id", "left_semi").select("id", "status")
+        steps.append((name, parts[name][0].select("id", "status").union(own), parts[name][1], parts[name][2].withColumn("lineage_id", ids.lineage_id(F.col("output"), F.col("source"), F.col("condition")))))
+    return merged.unionByName(lost), linked, records, steps
+
+
 def build_report(steps: list[tuple[str, DataFrame, DataFrame, DataFrame]]) -> DataFrame:
     """(step, nodes, edges, lineage, unknown, pending) after each step, from what each step adds: (name, nodes (id, status), edges (edge_id), lineage (lineage_id)).
 

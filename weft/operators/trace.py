@@ -158,6 +158,12 @@ def overlay(found: DataFrame, evidence: DataFrame, scope: str | None = None) ->
     return own.join(found.select("node_id").distinct(), "node_id", "left_semi")
 
 
+def node_values(evidence: DataFrame, node_id: str, trace_id: str, scope: str | None = None) -> DataFrame:
+    """The observed values that one trace, in any case of its id, has at one node: of any scope, or of none and the given one in any case."""
+    own = evidence.where((F.col("node_id") == node_id) & (F.lower("trace_id") == trace_id.lower()))
+    return own if scope is None else own.where(F.col("scope").isNull() | (F.lower("scope") == scope.lower()))
+
+
 def trace_sets(edges: DataFrame, nodes: DataFrame, lineage: DataFrame, root: str) -> DataFrame:
     """(kind, id): nodes of the trace with their containers, its edges with the containers' edges, unknowns and lineage evidence."""
     from weft.operators.traverse import containers

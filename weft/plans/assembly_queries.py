@@ -176,6 +176,46 @@ def b16_build_report(spark, sf_dir):
     return merge.build_report(_layers(g.nodes(spark, sf_dir), g.edges(spark, sf_dir), g.lineage(spark, sf_dir)))
 
 
+# Scanned methods and procedures, calls between them, and a curated row for each nation's customers in debt.
+SCANNED = """SELECT 'method:c' || CAST(c_custkey AS STRING) AS id, 'Method' AS type, 'Service' AS layer, c_name AS name, 'Unknown' AS status FROM {customer}"""
+STATED = """SELECT 'sp:o' || CAST(o_orderkey AS STRING) AS id, 'StoredProcedure' AS type, 'Data' AS layer, o_orderstatus AS name, CASE WHEN o_orderstatus = 'P' THEN 'Pending' ELSE 'Known' END AS status FROM {orders}"""
+CURATED = """SELECT 'method:c' || CAST(c_custkey AS STRING) AS id, 'Method' AS type, 'Service' AS layer, upper(c_name) AS name, 'Known' AS status FROM {customer} WHERE c_acctbal < 0"""
+RUNS = """SELECT 'method:c' || CAST(o_custkey AS STRING) AS src, 'ExecutesSp' AS relation, 'sp:o' || CAST(o_orderkey AS STRING) AS dst, 0.9 AS confidence FROM {orders}"""
+
+
+def build_parts(spark, sf_dir):
+    """A part for each step, as a build merges them."""
+    null = lambda c, t: F.lit(None).cast(t).alias(c)
+    kinds = dict(x.split(" ", 1) for x in NODE.split(", "))
+    seq = F.lit(0).cast("long").alias("seq")
+    node = lambda sql: g.frame(spark, sf_dir, sql).select(*[F.col(c) if c in ("id", "type", "layer", "name", "status") else null(c, t) for c, t in kinds.items()], seq)
+    runs = g.frame(spark, sf_dir, RUNS).select(ids.edge_id(F.col("src"), F.col("relation"), F.col("dst")).alias("edge_id"), "src", "relation", "dst", F.col("confidence").cast("double").alias("confidence"), F.lit("Linker").alias("evidenceType"), null("evidenceRef", "string"), seq)
+    records = g.frame(spark, sf_dir, RUNS).select(F.col("dst").alias("output"), F.col("src").alias("source"), F.lit("Direct").alias("transform"), null("expression", "string"), null("condition", "string"), null("evidence", "array<string>"), F.lit(1.0).alias("confidence"), seq)
+    no_node, no_edge, no_record = node(SCANNED).limit(0), runs.limit(0), records.limit(0)
+    return {"dotnet-scanner": (node(SCANNED), no_edge, no_record), "sql-scanner": (node(STATED), no_edge, records), "linker": (no_node, runs, no_record), "ground-truth": (node(CURATED), no_edge, no_record), "manual-overrides": (no_node, runs.where(F.col("dst").endswith("7")), no_record)}
+
+
+@query(f"""WITH scanned AS ({g.plain(SCANNED)}), stated AS ({g.plain(STATED)}), curated AS ({g.plain(CURATED)}), runs AS ({g.plain(RUNS)}), late AS (SELECT * FROM runs WHERE dst LIKE '%7'),
+own AS (SELECT 'Full' AS mode, s.id, coalesce(c.name, s.name) AS name, coalesce(c.status, s.status) AS status FROM scanned s LEFT JOIN curated c USING (id) UNION ALL SELECT 'Full', id, name, status FROM stated
+UNION ALL SELECT 'ScanOnly', id, name, status FROM scanned UNION ALL SELECT 'ScanOnly', id, name, status FROM stated UNION ALL SELECT 'CuratedOnly', id, name, status FROM curated
+UNION ALL SELECT DISTINCT 'CuratedOnly', src, substr(src, 8), 'Unknown' FROM late WHERE src NOT IN (SELECT id FROM curated) UNION ALL SELECT DISTINCT 'CuratedOnly', dst, substr(dst, 4), 'Unknown' FROM late)
+SELECT mode, id, name, status FROM own UNION ALL SELECT 'ScanOnly', 'edges', CAST(count(*) AS STRING), NULL FROM runs UNION ALL SELECT 'Full', 'edges', CAST(count(*) AS STRING), NULL FROM runs UNION ALL SELECT 'CuratedOnly', 'edges', CAST(count(*) AS STRING), NULL FROM late""")
+def b16_modes(spark, sf_dir):
+    parts, out = build_parts(spark, sf_dir), None
+    for mode in merge.LEFT_OUT:
+        nodes, edges, _, _ = merge.build(parts, mode)
+        rows = nodes.select(F.lit(mode).alias("mode"), "id", "name", "status").union(edges.agg(F.count(F.lit(1)).cast("string").alias("n")).select(F.lit(mode), F.lit("edges"), "n", F.lit(None).cast("string")))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("""WITH c AS (SELECT count(*) AS c, count(*) FILTER (c_acctbal < 0) AS debt FROM customer), o AS (SELECT count(*) AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders)
+SELECT step, name, CASE WHEN step = 0 THEN c ELSE c + o END AS nodes, CASE WHEN step < 2 THEN 0 ELSE o END AS edges, CASE WHEN step < 1 THEN 0 ELSE o END AS lineage, CASE WHEN step < 3 THEN c ELSE c - debt END AS unknown, CASE WHEN step < 1 THEN 0 ELSE p END AS pending
+FROM c, o, (VALUES (0, 'dotnet-scanner'), (1, 'sql-scanner'), (2, 'linker'), (3, 'ground-truth'), (4, 'manual-overrides')) s(step, name)""")
+def b16_build_steps(spark, sf_dir):
+    return merge.build_report(merge.build(build_parts(spark, sf_dir))[3])
+
+
 @query("WITH GRAPH SELECT edge_id FROM edges WHERE split_part(src, ':', 1) = 'spcol' AND relation = 'AliasOf' AND edge_id NOT IN (SELECT edge_id FROM edges WHERE dst LIKE 'column:part.1%')")
 def b18_missing_edges(spark, sf_dir):
     from weft.operators.traverse import missing_edges

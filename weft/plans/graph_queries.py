@@ -96,18 +96,29 @@ def c9_node_details(spark, sf_dir):
     return traverse.node_details(g.edges(spark, sf_dir), g.nodes(spark, sf_dir), g.lineage(spark, sf_dir), SUPPLIER)
 
 
+# Events as values observed at the suppliers' parameters, in traces by type.
+OBSERVED = """SELECT 'Trace-' || event_type AS trace_id, event_id, 'param:supplier.' || CAST(user_id % 10 AS STRING) AS node_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'U' || CAST(user_id % 4 AS STRING) END AS scope, value FROM {events}"""
+
+
+@query(f"""WITH GRAPH, near AS (SELECT * FROM edges WHERE src = '{SUPPLIER}' OR dst = '{SUPPLIER}'), o AS ({g.plain(OBSERVED)})
+SELECT id, status, (SELECT count(*) FROM near WHERE dst = '{SUPPLIER}') AS n_in, event_id, scope, value FROM nodes JOIN o ON node_id = id WHERE id = '{SUPPLIER}' AND trace_id = 'Trace-click' AND (scope IS NULL OR scope = 'U1')""")
+def c33_details_values(spark, sf_dir):
+    details = traverse.node_details(g.edges(spark, sf_dir), g.nodes(spark, sf_dir), g.lineage(spark, sf_dir), SUPPLIER)
+    values = trace.node_values(g.frame(spark, sf_dir, OBSERVED), SUPPLIER, "trace-CLICK", "u1")
+    return details.select("id", "status", "n_in").join(values.withColumnRenamed("node_id", "id"), "id").select("id", "status", "n_in", "event_id", "scope", "value")
+
+
 @query("WITH GRAPH SELECT dst AS node_id, arg_min(src, edge_id) AS container FROM edges WHERE relation = 'Contains' GROUP BY dst")
 def c10_container(spark, sf_dir):
     return traverse.containers(g.edges(spark, sf_dir))
 
 
-@query("""WITH GRAPH, named AS (SELECT id, type, lower(regexp_extract(split_part(id, ':', 2), '[^.]*$')) AS leaf FROM nodes), wanted(text) AS (SELECT CAST(i AS STRING) FROM range(1, 30) t(i))
-SELECT text, count(*) AS n, min(id) AS first_id FROM wanted JOIN named ON leaf = text AND type IN ('ResultColumn', 'Column') GROUP BY text""")
+@query("""WITH GRAPH, named AS (SELECT id, type, lower(regexp_extract(split_part(id, ':', 2), '[^.]*$')) AS leaf FROM nodes)
+SELECT leaf AS text, count(*) AS n, min(id) AS first_id FROM named WHERE type IN ('ResultColumn', 'Column') GROUP BY leaf""")
 def c11_resolve(spark, sf_dir):
     nodes = g.nodes(spark, sf_dir)
-    wanted = spark.range(1, 30).select(F.col("id").cast("string").alias("text"))
     named = nodes.where(F.col("type").isin(trace.RESOLVED_TYPES)).select("id", F.lower(ids.leaf(F.col("id"))).alias("text"))
-    return named.join(F.broadcast(wanted), "text").groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return named.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 def _root(spark, sf_dir):
@@ -172,16 +183,13 @@ def c17_overlay(spark, sf_dir):
 
 
 @query("""WITH GRAPH, walk AS (SELECT 'page:region.1' AS node, 0 AS d, CAST([] AS VARCHAR[]) AS key, ['page:region.1'] AS path UNION ALL SELECT dst, d + 1, list_append(key, edge_id), list_append(path, dst) FROM walk JOIN edges ON src = node WHERE relation IN ('Calls', 'HandledBy', 'ExecutesSp')),
-best AS (SELECT node, arg_min(path, key) AS path FROM walk WHERE node LIKE 'sp:orders.1%' AND length(node) < 13 GROUP BY node), steps AS (SELECT row_number() OVER (ORDER BY node) AS seq, path FROM best),
+best AS (SELECT node, arg_min(path, key) AS path FROM walk WHERE node LIKE 'sp:%' GROUP BY node), steps AS (SELECT row_number() OVER (ORDER BY node) AS seq, path FROM best),
 each AS (SELECT seq, unnest(path) AS node_id, generate_subscripts(path, 1) - 1 AS pos FROM steps), firsts AS (SELECT node_id, min(seq * 1000 + pos) AS place FROM each GROUP BY node_id)
 SELECT row_number() OVER (ORDER BY place) AS step, node_id FROM firsts""")
 def c18_exec_path(spark, sf_dir):
-    from pyspark.sql import Window
-
     edges = g.edges(spark, sf_dir)
-    paths = traverse.shortest_paths(edges, "page:region.1").select("target")
-    chosen = paths.where(F.col("target").startswith("sp:orders.1") & (F.length("target") < 13))
-    return traverse.execution_path(edges, "page:region.1", chosen.select("target", F.row_number().over(Window.orderBy("target")).alias("seq")))
+    targets = traverse.shortest_paths(edges, "page:region.1").where(ids.prefix(F.col("target")) == "sp").select("target")
+    return traverse.execution_path(edges, "page:region.1", traverse.numbered(targets, "target", "target").select("target", F.col("place").alias("seq")))
 
 
 @query("WITH GRAPH SELECT coalesce(min(CASE WHEN type = 'Page' THEN id END), min(CASE WHEN type = 'Api' THEN id END)) AS entry FROM nodes")
