@@ -127,3 +127,39 @@ def test_empty_tables(spark):
     t = {n: spark.read.parquet(f"{sf}/{n}.parquet").limit(0) for n in ("lineitem", "orders", "customer", "nation", "part", "supplier")}
     assert relational.order_rows(t["lineitem"], t["orders"], t["customer"], t["nation"], t["part"], t["supplier"]).count() == 0
     assert relational.available(t["lineitem"], spark.read.parquet(f"{sf}/part.parquet")).where("available <> 0").count() == 0
+
+
+def test_json_leaves_of_odd_texts(spark):
+    docs = [(1, '{"a": 1.50, "a": 1e2, "Token": {"x": 1}, "half": "\\ud800", "": {"": 0}}'), (2, "{"), (3, '{"a": NaN}'), (4, ""), (5, '"x"'), (6, '{"e": {}, "l": [[], null]}')]
+    got = [(r.k, r.path, r.value) for r in runtime.json_leaves(spark.createDataFrame(docs, "k int, j string"), "j").orderBy("k", "ord").collect()]
+    assert got == [(1, "a", "1.50"), (1, "a", "1e2"), (1, "half", '"?"'), (1, "", "0"), (6, "l", "null")]
+
+
+def test_fold_of_maps(spark):
+    rows = [node("a", 0, 0, "Unknown", "FillGaps", "n"), node("b", 0, 0, "Unknown", "FillGaps", "n"), node("b", 1, 0, "Unknown", "FillGaps", "m"), node("c", 0, 0, "Pending", "FillGaps", "n", x="1", y="1"), node("c", 1, 0, "Known", "FillGaps", "m", x="2"), node("c", 2, 0, "Known", "FillGaps", "o", x="3", z="3")]
+    got = {r.id: r.metadata for r in merge.merge_nodes(spark.createDataFrame(rows, SEQ)).collect()}
+    assert got == {"a": None, "b": {}, "c": {"x": "2", "y": "1", "z": "3"}}
+    assert merge.merge_nodes(spark.createDataFrame([], SEQ)).isEmpty() and merge.define_nodes(spark.createDataFrame([], SEQ)).isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_define_against_a_loop(spark, seed):
+    rng, rows = random.Random(seed), []
+    for k in range(40):
+        maybe = lambda x: x if rng.random() < 0.5 else None
+        rows.append(node(f"n{rng.randrange(6)}", rng.randrange(3), k, rng.choice(["Unknown", "Pending", "Known"]), "", f"name{k}", maybe(f"d{k}"), maybe((f"p{k}", 1, 2)), maybe(f"v{k}"), **{rng.choice("abc"): str(k)}))
+    names, want = [x.split()[0] for x in SEQ.split(", ")], {}
+    for r in sorted((dict(zip(names, r, strict=True)) for r in rows), key=lambda r: (r["ord"], r["seq"])):
+        old = want.get(r["id"])
+        if old and old["status"] == "Known" and r["status"] != "Known":
+            continue
+        want[r["id"]] = r if old is None else {**r, "metadata": {**old["metadata"], **r["metadata"]}, **{c: r[c] if r[c] is not None else old[c] for c in ("description", "source")}}
+    for r in merge.define_nodes(spark.createDataFrame(rows, SEQ)).collect():
+        w = want.pop(r.id)
+        assert (r.name, r.type, r.status, r.description, r.scanVersion, r.metadata, r.source and tuple(r.source)) == (w["name"], w["type"], w["status"], w["description"], w["scanVersion"], w["metadata"], w["source"])
+    assert not want
+
+
+def test_build_modes(spark):
+    with pytest.raises(ValueError):
+        merge.build({"linker": ()}, "CuratedOnly")
