@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import client, explain, merge, relational, runtime
 from weft.schema import NODE
-from weft.sources import bench_graph, snapshots
+from weft.sources import bench_graph, snapshots, source_text
 
 SEQ = NODE + ", ord int, seq long, policy string"
 
@@ -163,3 +163,59 @@ def test_define_against_a_loop(spark, seed):
 def test_build_modes(spark):
     with pytest.raises(ValueError):
         merge.build({"linker": ()}, "CuratedOnly")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_fold_members_by_definition(spark, seed):
+    rng, rows, want = random.Random(seed), [], set()
+    for request in range(8):
+        hops, seen = {(): ("json:root", None, False)}, set()
+        for k in range(25):
+            up, name = rng.choice([o for o, h in hops.items() if not h[2]]), rng.choice(["udf:dbo.F", "column:c", "param:p"]) + str(rng.randrange(5))
+            hops[(*up, f"{k:02}")] = (name, rng.choice(["ControlledBy", "DerivedFrom", "AliasOf", "Reads"]), name in seen)
+            seen.add(name)
+        rows += [(request, n, relation, repeat, list(o)) for o, (n, relation, repeat) in hops.items()]
+        below = {o: [c for c in sorted(hops) if c[: len(o)] == o and c != o] for o in hops}
+        tops = {n: o for o, (n, _, repeat) in hops.items() if n.startswith("udf") and not repeat and below[o]}
+        shown = {"column:c1"} | {hops[o][0] for o in hops if not any(o in below[t] for t in tops.values())}
+        opened = {hops[c][0] for c in below[tops["udf:dbo.F1"]]} - {"udf:dbo.F1"} if "udf:dbo.F1" in tops else set()
+        for n, o in tops.items():
+            spine = list(dict.fromkeys(hops[c][0] for c in below[o] if hops[c][0] != n and not any(hops[c[:k]][1] in client.CONTROL for k in range(len(o) + 1, len(c) + 1))))
+            for name in {hops[c][0] for c in below[o]} - {n}:
+                counted = n != "udf:dbo.F1" and name not in shown
+                want.add((request, n, name, spine.index(name) + 1 if name in spine else None, counted, counted and name not in opened))
+    table = spark.createDataFrame(rows, "request_id int, node_id string, relation string, is_repeat boolean, ords array<string>")
+    outside, unfolded = spark.createDataFrame([(r, "column:c1") for r in range(8)], "request_id int, node_id string"), spark.createDataFrame([(r, "udf:dbo.F1") for r in range(8)] * 2, "request_id int, function string")
+    got = [tuple(r) for r in client.fold_members(table, outside, unfolded).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(r[5] for r in got)
+    assert client.fold_members(table.limit(0), outside, unfolded).isEmpty()
+
+
+def test_off_path_values_and_highlights(spark):
+    rows = spark.createDataFrame([("a", 2, "U1", 2.0), ("a", 1, "u1", 1.0), ("a", 3, None, 3.0), ("b", 1, None, 1.0), ("c", 1, "U2", 1.0)], "node_id string, event_id int, scope string, value double")
+    assert [tuple(r) for r in client.off_path_values(rows, rows.where("node_id = 'b'"), "U1").collect()] == [("a", 2, "U1", 2.0)]
+    assert {tuple(r) for r in client.off_path_values(rows, rows.limit(0), None).collect()} == {("a", 3, None, 3.0), ("b", 1, None, 1.0)}
+    hops = spark.createDataFrame([(1, "n", "e"), (1, "n", "e"), (1, "root", None)], "request_id int, node_id string, edge_id string")
+    lit = client.highlights(hops, hops.where("node_id = 'n'"), spark.createDataFrame([(1, ["n", "k"])], "request_id int, path array<string>"))
+    assert sorted(tuple(r)[1:] for r in lit.collect()) == [("lit", "e"), ("lit", "k"), ("lit", "n"), ("lit", "root"), ("path", "n")]
+
+
+def test_methods_of_odd_classes(spark):
+    text = """public class A<T> : X, ControllerBase where T : class {
+    public A(int n) : base(n) { var x = new B(n); if (n > 1) { Run(n); } else if (n < 2) { return Go(n); } }
+    /// <summary>One <see cref="X"/>.</summary>
+    /// <param name="s">s</param>
+    [Obsolete("no")] [HttpGet("{id}")]
+    protected internal override Task<IReadOnlyList<M?>> Get<U>(this string s, params int[] n) where U : class { foreach (var m in n) { yield return Do(m); } }
+    ///   <summary>   </summary>
+    private protected abstract M.Inner[]? Other(Func<int, string> f = default(Func<int>));
+}
+class B { int P { get; set; } }"""
+    methods = source_text.cs_methods(spark.createDataFrame([("p", text), ("q", None), ("r", ""), ("s", "class")], "path string, text string"))
+    got = [tuple(r)[1:] for r in methods.collect()]
+    assert got == [
+        ("A", "Get", "method:A.Get", "Task<IReadOnlyList<M?>>", "string s, int[] n", "protectedorinternal", False, "Api", 'One <see cref="X"/>.'),
+        ("A", "Other", "method:A.Other", "M.Inner[]?", "Func<int, string> f", "protectedandinternal", False, "Api", None),
+    ]
+    models = spark.createDataFrame([("M",), ("M",), ("Z",)], "model string")
+    assert [tuple(r) for r in source_text.cs_return_edges(methods, models).collect()] == [("method:A.Get", "Returns", "model:M", "Task<IReadOnlyList<M?>>")]

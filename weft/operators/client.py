@@ -8,11 +8,65 @@ from pyspark.sql import functions as F
 from weft.functions import ids
 
 
+# Relations by which a value only decides a branch or a filter.
+CONTROL = ["ControlledBy", "UsesParameter", "Reads"]
+
+
+def below_functions(hops: DataFrame) -> DataFrame:
+    """(request_id, function, node_id, ords, level, on_spine): the hops below each function that a trace goes on into.
+
+    hops: request_id, node_id, ords (one hop each in a request) and, where there are any, relation and is_repeat. A hop finds those above it by the
+    prefixes of its ords: a join on equal keys over hops times depth. A hop is on the spine if no control relation leads from the function to it.
+    """
+    repeat = F.col("is_repeat") if "is_repeat" in hops.columns else F.lit(False)
+    control = F.coalesce(F.col("relation").isin(CONTROL), F.lit(False)) if "relation" in hops.columns else F.lit(False)
+    function = F.when((ids.prefix(F.col("node_id")) == "udf") & ~repeat, F.col("node_id"))
+    tops = hops.select("request_id", F.col("ords").alias("top"), function.alias("function"), control.alias("control")).where("function is not null or control")
+    prefixes = F.transform(F.sequence(F.lit(0), F.size("ords")), lambda n: F.slice("ords", F.lit(1), n))
+    met = hops.select("request_id", "node_id", "ords", F.explode(prefixes).alias("top")).join(tops, ["request_id", "top"])
+    holder = F.when(F.col("function").isNotNull() & (F.size("top") < F.size("ords")), F.struct(F.size("top").alias("at"), "function"))
+    each = met.groupBy("request_id", "node_id", "ords").agg(F.max(F.when(F.col("control"), F.size("top"))).alias("cut"), F.collect_list(holder).alias("holders"))
+    rows = each.select("request_id", "node_id", "ords", F.coalesce("cut", F.lit(-1)).alias("cut"), F.explode("holders").alias("h"))
+    return rows.select("request_id", "h.function", "node_id", "ords", (F.size("ords") - F.col("h.at")).alias("level"), (F.col("cut") <= F.col("h.at")).alias("on_spine"))
+
+
 def fold_plan(hops: DataFrame) -> DataFrame:
-    """For each function among hops (request_id, hop, node_id, ords): how many hops lie below it and are hidden when it is folded."""
-    functions = hops.where(ids.prefix(F.col("node_id")) == "udf").select("request_id", F.col("node_id").alias("function"), F.col("ords").alias("top"))
-    below = hops.join(functions, "request_id").where((F.size("ords") > F.size("top")) & (F.slice("ords", 1, F.size("top")) == F.col("top")))
-    return below.groupBy("request_id", "function").agg(F.countDistinct("node_id").alias("hidden"), F.max(F.size("ords") - F.size("top")).alias("depth"))
+    """For each function among hops (see below_functions): how many nodes lie below it and how deep."""
+    return below_functions(hops).groupBy("request_id", "function").agg(F.countDistinct("node_id").alias("hidden"), F.max("level").alias("depth"))
+
+
+def fold_members(hops: DataFrame, outside: DataFrame, unfolded: DataFrame) -> DataFrame:
+    """(request_id, function, node_id, place, counted, hidden): the nodes that each function holds, itself left out.
+
+    outside: (request_id, node_id) shown in any case, such as the field and the execution path; nodes of hops below no function are shown too.
+    unfolded: (request_id, function). place: the node's rank on the function's spine in the order of a walk, null off it. counted: among
+    the nodes a folded function tells; hidden: not drawn, as no unfolded function holds the node either.
+    """
+    from pyspark.sql import Window
+
+    below = below_functions(hops)
+    held = below.where("function <> node_id").groupBy("request_id", "function", "node_id").agg(F.min(F.when(F.col("on_spine"), F.col("ords"))).alias("first"))
+    free = hops.join(below.select("request_id", "ords").distinct(), ["request_id", "ords"], "left_anti").select("request_id", "node_id")
+    shown = outside.select("request_id", "node_id").union(free).distinct().withColumn("shown", F.lit(True))
+    open_ = unfolded.select("request_id", "function").distinct().withColumn("open", F.lit(True))
+    opened = held.join(open_, ["request_id", "function"], "left_semi").select("request_id", "node_id").distinct().withColumn("opened", F.lit(True))
+    rows = held.join(open_, ["request_id", "function"], "left").join(shown, ["request_id", "node_id"], "left").join(opened, ["request_id", "node_id"], "left")
+    rank = F.row_number().over(Window.partitionBy("request_id", "function").orderBy(F.col("first").asc_nulls_last()))  # the hops of one trace
+    counted = F.col("open").isNull() & F.col("shown").isNull()
+    return rows.select("request_id", "function", "node_id", F.when(F.col("first").isNotNull(), rank).alias("place"), counted.alias("counted"), (counted & F.col("opened").isNull()).alias("hidden"))
+
+
+def highlights(hops: DataFrame, path: DataFrame, key_paths: DataFrame) -> DataFrame:
+    """(request_id, kind, id), each once: nodes and edges that a trace's hops light, nodes of its execution path (request_id, node_id), nodes on an impact's key paths (request_id, path)."""
+    lit = hops.select("request_id", F.lit("lit").alias("kind"), F.explode(F.array_compact(F.array("node_id", "edge_id"))).alias("id"))
+    way = path.select("request_id", F.lit("path"), "node_id")
+    return lit.union(way).union(key_paths.select("request_id", F.lit("lit"), F.explode("path"))).distinct()
+
+
+def off_path_values(evidence: DataFrame, found: DataFrame, scope: str | None) -> DataFrame:
+    """(node_id, event_id, scope, value): for each node that found (node_id) does not show yet its first observed value, by id, with no scope or exactly this one."""
+    own = evidence.where(F.col("scope").isNull() | (F.col("scope") == F.lit(scope))).join(found.select("node_id").distinct(), "node_id", "left_anti")
+    return own.groupBy("node_id").agg(F.min_by(F.struct("event_id", "scope", "value"), "event_id").alias("r")).select("node_id", "r.*")
 
 
 def replay_plan(path: DataFrame, hops: DataFrame) -> DataFrame:

@@ -189,6 +189,29 @@ def i1_fold(spark, sf_dir):
     return client.fold_plan(h.withColumn("ords", ords))
 
 
+@query(f"""WITH {H}, t AS (SELECT request_id, hop, node_id, (hop - 1) // 3 AS f, (hop - 1) % 3 AS l, max(CASE WHEN relation = 'ControlledBy' THEN (hop - 1) % 3 END) OVER (PARTITION BY request_id, (hop - 1) // 3 ORDER BY hop) AS cut FROM h),
+pair AS (SELECT a.request_id, a.node_id AS function, b.node_id, b.hop, coalesce(b.cut, -1) <= a.l AS spine FROM t a JOIN t b ON a.request_id = b.request_id AND a.f = b.f AND b.l > a.l WHERE a.node_id LIKE 'udf:%'),
+held AS (SELECT request_id, function, node_id, min(CASE WHEN spine THEN hop END) AS first FROM pair WHERE function <> node_id GROUP BY 1, 2, 3),
+shown AS (SELECT request_id, node_id FROM h WHERE hop = 3 UNION SELECT request_id, node_id FROM h WHERE (request_id, hop) NOT IN (SELECT (request_id, hop) FROM pair)),
+opened AS (SELECT DISTINCT request_id, node_id FROM held WHERE request_id % 3 = 0 AND function = 'udf:dbo.F1')
+SELECT request_id, function, node_id, CASE WHEN first IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY request_id, function ORDER BY first NULLS LAST) AS INT) END AS place, counted, counted AND opened.node_id IS NULL AS hidden
+FROM (SELECT held.*, NOT (request_id % 3 = 0 AND function = 'udf:dbo.F1') AND shown.node_id IS NULL AS counted FROM held LEFT JOIN shown USING (request_id, node_id)) x LEFT JOIN opened USING (request_id, node_id)""")
+def i1_members(spark, sf_dir):
+    """Hops in chains of three; every third request has F1 unfolded, and the third hop's node is shown."""
+    h = hops(spark, sf_dir)
+    places = F.transform(F.sequence(F.col("hop") - (F.col("hop") - 1) % 3, F.col("hop")), lambda k: F.lpad(k.cast("string"), 6, "0"))
+    unfolded = h.where("request_id % 3 = 0 AND node_id = 'udf:dbo.F1'").select("request_id", F.col("node_id").alias("function"))
+    return client.fold_members(h.withColumn("ords", places), h.where("hop = 3"), unfolded)
+
+
+@query(f"""WITH {H} SELECT DISTINCT request_id, 'lit' AS kind, node_id AS id FROM h UNION SELECT request_id, 'lit', 'edge:' || parent || '|' || relation || '|' || node_id FROM h
+UNION SELECT request_id, 'path', 'sp:orders.' || CAST(request_id AS STRING) FROM h UNION SELECT request_id, 'lit', unnest(['page:p', parent]) FROM h WHERE relation = 'AliasOf'""")
+def i10_highlights(spark, sf_dir):
+    h = hops(spark, sf_dir)
+    path = h.select("request_id", F.concat(F.lit("sp:orders."), F.col("request_id").cast("string")).alias("node_id"))
+    return client.highlights(h, path, h.where("relation = 'AliasOf'").select("request_id", F.array(F.lit("page:p"), "parent").alias("path")))
+
+
 @query(f"""WITH {H}, p AS (SELECT DISTINCT request_id, 0 AS phase, 1 AS at_, 'sp:x' AS nodes FROM h UNION ALL SELECT request_id, 1, -depth, string_agg(DISTINCT node_id, ',' ORDER BY node_id) FROM h GROUP BY request_id, depth)
 SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY phase, at_) AS INT) AS step, nodes FROM p""")
 def i2_replay(spark, sf_dir):

@@ -274,6 +274,12 @@ def i10_live_values(spark, sf_dir):
     return client.live_values(g.evidence(spark, sf_dir), "u3")
 
 
+@query("WITH GRAPH SELECT node_id, min(event_id) AS event_id, arg_min(coalesce(scope, '-'), event_id) AS scope, arg_min(value, event_id) AS value FROM evidence WHERE (scope IS NULL OR scope = 'U3') AND node_id <> 'json:click.value' GROUP BY node_id")
+def i10_off_path(spark, sf_dir):
+    rows = g.evidence(spark, sf_dir)
+    return client.off_path_values(rows, rows.where("node_id = 'json:click.value'"), "U3").withColumn("scope", F.coalesce("scope", F.lit("-")))
+
+
 @query("""WITH GRAPH SELECT CASE WHEN chip LIKE 'ev-%' THEN 'ev' ELSE split_part(chip, ':', 1) END AS kind, count(*) AS n, count(node_id) AS resolved FROM (SELECT 'ev-' || CAST(event_id AS STRING) AS chip, node_id FROM evidence
 UNION ALL SELECT edge_id, NULL FROM edges UNION ALL SELECT lineage_id, NULL FROM lineage UNION ALL SELECT id, id FROM nodes) c GROUP BY 1""")
 def i11_chips(spark, sf_dir):

@@ -124,3 +124,32 @@ def h10_configured(spark, sf_dir):
     texts = g.frame(spark, sf_dir, CONFIGURED)
     found, bad = s.cs_configured_calls(texts, texts.select("name", "value").where("value is not null"))
     return found.withColumnRenamed("key", "said").unionByName(bad.select("path", F.col("message").alias("said")), allowMissingColumns=True)
+
+
+# A class that only holds values, a controller and a service for each customer.
+METHODS = """SELECT 'c' || CAST(c_custkey AS STRING) AS path, '// class Hidden { public void No() { } }
+public class Row' || CAST(c_custkey AS STRING) || ' { public int Id { get; set; } }
+[Route("x")] public class Pick' || CAST(c_custkey AS STRING) || 'Api : Base {
+  /// <summary>
+  /// Reads the
+  ///   rows.
+  /// </summary>
+  [HttpGet("rows")]
+  public async Task<ActionResult<List<Row' || CAST(c_custkey AS STRING) || '>>> GetRows([FromQuery] int id, Dictionary<string, int> map = null) { if (id > 0) { return await Load(id); } return new Row(id) { }; }
+  private static string Name(string? s) => s;
+}
+public class Store' || CAST(c_custkey AS STRING) || ' { public Store' || CAST(c_custkey AS STRING) || '(int n) { }
+  internal Row' || CAST(c_custkey AS STRING) || '[] All() { return rows; }
+  void Plain(int n,
+    string s) { } }' AS text FROM {customer}"""
+
+
+@query("""WITH c AS (SELECT CAST(c_custkey AS STRING) AS k FROM customer), m(class, method, return_type, parameters, accessibility, is_async, layer, description, returns) AS (VALUES
+('Pick#Api', 'GetRows', 'Task<ActionResult<List<Row#>>>', 'int id, Dictionary<string, int> map', 'public', true, 'Api', 'Reads the rows.', 'model:Row#'), ('Pick#Api', 'Name', 'string', 'string? s', 'private', false, 'Api', NULL, NULL),
+('Store#', 'All', 'Row#[]', '', 'internal', false, 'Service', NULL, 'model:Row#'), ('Store#', 'Plain', 'void', 'int n, string s', 'private', false, 'Service', NULL, NULL))
+SELECT 'c' || k AS path, replace(class, '#', k) AS class, method, 'method:' || replace(class, '#', k) || '.' || method AS method_id, replace(return_type, '#', k) AS return_type, parameters, accessibility, is_async, layer, description, replace(returns, '#', k) AS returns FROM c, m""")
+def h5_methods(spark, sf_dir):
+    texts = g.frame(spark, sf_dir, METHODS)
+    methods = s.cs_methods(texts)
+    returns = s.cs_return_edges(methods, s.cs_models(texts)).select(F.col("src").alias("method_id"), F.col("dst").alias("returns"))
+    return methods.join(returns, "method_id", "left")

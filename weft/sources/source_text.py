@@ -116,6 +116,57 @@ def cs_procedure_calls(files: DataFrame) -> DataFrame:
     return rows.select("path", F.nullif("c.model", F.lit("")).alias("model"), F.concat(F.lit("sp:"), ids.normalised(owner, last)).alias("procedure"), F.when(F.contains("c.rest", F.lit("CommandType.StoredProcedure")), 1.0).otherwise(0.8).alias("confidence"))
 
 
+# Types that stand for what they hold.
+WRAPPERS = ["Task", "ValueTask", "ActionResult", "Ok", "OkObjectResult", "List", "IList", "IEnumerable", "ICollection", "IReadOnlyList", "IReadOnlyCollection", "HashSet", "ISet", "Nullable"]
+
+
+def unwrapped(type_: Column, depth: int = 4) -> Column:
+    """The type inside wrappers, arrays and nullable marks."""
+    for _ in range(depth):
+        type_ = F.regexp_replace(F.regexp_replace(type_, r"(?:\[\]|\?)+$", ""), rf"^(?:{'|'.join(WRAPPERS)})<(.+)>$", "$1")
+    return F.regexp_replace(type_, r"(?:\[\]|\?)+$", "")
+
+
+def cs_methods(files: DataFrame) -> DataFrame:
+    """(path, class, method, method_id, return_type, parameters, accessibility, is_async, layer, description) of the methods of each class.
+
+    A method without an access word is private; the description is its documentation's summary on one line. Constructors are none;
+    local functions count as methods, and tuples as return types are not seen.
+    """
+    parts = F.split(F.regexp_replace(F.col("text"), r"(?<!/)//(?!/)[^\n]*", ""), r"(?=\bclass\s+\w)")
+    each = files.select("path", parts.alias("parts")).select("path", F.explode(F.transform("parts", lambda p, k: F.struct(p.alias("part"), F.get("parts", k - 1).alias("before")))).alias("c"))
+    marked = r"\[(?:ApiController|Route)\b[^\]]*\]\s*(?:\[[^\]]*\]\s*)*(?:\w+\s+)*$"
+    controller = F.rlike("c.part", F.lit(r"^class\s+\w*Controller\b|^class\s+\w+(?:<[^>]*>)?\s*:\s*(?:[\w<>]+,\s*)*Controller(?:Base)?\b")) | F.coalesce(F.rlike("c.before", F.lit(marked)), F.lit(False))
+    access = r"public|private|protected|internal"
+    word = rf"{access}|static|virtual|override|async|sealed|abstract|new|extern|unsafe|partial"
+    no_type = rf"{word}|return|await|else|throw|using|case|in|is|as|and|or|not|when|var|goto|yield|class|get|set"
+    generic = r"<(?:[^<>(){};]++|<(?:[^<>(){};]++|<[^<>(){};]*>)*>)*>"
+    pattern = (
+        rf"((?:[ \t]*///[^\n]*\n)*)\s*(?:\[[^\]\n]*\]\s*)*(?<![\w.])((?:(?:{word})\s+)*)((?!(?:{no_type})\b)[\w.]+(?:{generic})?\??(?:\[\])?\??)\s+"
+        rf"((?!(?:if|for|foreach|while|switch|catch|lock|using|async)\b)\w+)\s*(?:<[\w, ]+>)?\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?:where [^{{;=]+)?(?:\{{|=>|;)"
+    )
+    found = F.arrays_zip(*[F.regexp_extract_all("c.part", F.lit(pattern), F.lit(k)).alias(n) for k, n in ((1, "doc"), (2, "words"), (3, "type"), (4, "method"), (5, "parameters"))])
+    rows = each.where(F.rlike("c.part", F.lit(r"^class\s"))).select("path", F.regexp_extract("c.part", r"^class\s+(\w+)", 1).alias("class"), controller.alias("controller"), F.explode(found).alias("m"))
+    plain = F.trim(F.regexp_replace("m.parameters", r"\s+", " "))
+    for noise in (r"(^|, ?)\[[^\]]+\] ?", r"() ?= ?[^,]+", r"(^|, ?)(?:this|ref|out|in|params) "):
+        plain = F.regexp_replace(plain, noise, "$1")
+    said = F.split(F.regexp_extract("m.doc", r"(?s)<summary>(.*?)</summary>", 1), "\n")
+    summary = F.array_join(F.filter(F.transform(said, lambda line: F.trim(F.regexp_replace(F.trim(line), "^/+", ""))), lambda line: line != ""), " ")
+    has = lambda name: F.rlike("m.words", F.lit(rf"\b{name}\b"))
+    first = F.nullif(F.regexp_extract("m.words", rf"\b({access})\b", 1), F.lit(""))
+    seen = F.when(has("protected") & has("internal"), "protectedorinternal").when(has("protected") & has("private"), "protectedandinternal").otherwise(F.coalesce(first, F.lit("private")))
+    return rows.select(
+        "path", "class", "m.method", F.concat_ws(".", F.concat(F.lit("method:"), "class"), "m.method").alias("method_id"), F.regexp_replace("m.type", r"\s+", " ").alias("return_type"), plain.alias("parameters"),
+        seen.alias("accessibility"), has("async").alias("is_async"), F.when(F.col("controller"), "Api").otherwise("Service").alias("layer"), F.nullif(summary, F.lit("")).alias("description"),
+    )
+
+
+def cs_return_edges(methods: DataFrame, models: DataFrame) -> DataFrame:
+    """(src, relation, dst, declared_type): cs_methods rows whose return type, unwrapped, is one of the models (model)."""
+    rows = methods.select(F.col("method_id").alias("src"), unwrapped(F.col("return_type")).alias("model"), F.col("return_type").alias("declared_type"))
+    return rows.join(models.select("model").distinct(), "model").select("src", F.lit("Returns").alias("relation"), F.concat(F.lit("model:"), "model").alias("dst"), "declared_type").distinct()
+
+
 def cs_model_edges(models: DataFrame) -> DataFrame:
     """(src, relation, dst) of cs_models rows: each model contains its fields, and a field is of the model its type names, if there is one."""
     own, field = F.concat(F.lit("model:"), "model"), F.concat_ws(".", F.concat(F.lit("field:"), "model"), "field")
