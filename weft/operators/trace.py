@@ -127,13 +127,15 @@ def with_lineage(found: DataFrame, edges: DataFrame, lineage: DataFrame, produce
     The record's output is the parent (or the column an expression produces: produced has node_id, output); of several with
     the hop's source that with the edge's condition is shown, else the first by id.
     """
-    conf = edges.select("edge_id", F.col("confidence").alias("edge_confidence"), (F.col("metadata")["condition"] if "metadata" in edges.columns else F.lit(None).cast("string")).alias("edge_condition"))
-    rows = found.join(conf, "edge_id")
     if produced is not None:
-        rows = rows.join(produced.withColumnRenamed("node_id", "parent"), "parent", "left")
+        found = found.join(produced.withColumnRenamed("node_id", "parent"), "parent", "left")
     output = F.coalesce("output", "parent") if produced is not None else F.col("parent")
-    rec = lineage.select(F.col("output").alias("l_output"), F.col("source").alias("l_source"), "lineage_id", "transform", "expression", "condition", F.col("confidence").alias("l_confidence"))
-    both = rows.withColumn("l_output", output).withColumn("l_source", F.col("node_id")).join(rec, ["l_output", "l_source"], "left")
+    rows = kept(found.withColumns({"l_output": output, "l_source": F.col("node_id")}))  # the hops of one trace: semi joins with them prune edges and lineage before these shuffle
+    condition = F.col("metadata")["condition"] if "metadata" in edges.columns else F.lit(None).cast("string")
+    conf = edges.join(rows.select("edge_id"), "edge_id", "left_semi").select("edge_id", F.col("confidence").alias("edge_confidence"), condition.alias("edge_condition"))
+    own = lineage.join(rows.select(F.col("l_output").alias("output")), "output", "left_semi")
+    rec = own.select(F.col("output").alias("l_output"), F.col("source").alias("l_source"), "lineage_id", "transform", "expression", "condition", F.col("confidence").alias("l_confidence"))
+    both = rows.join(conf, "edge_id").join(rec, ["l_output", "l_source"], "left")
     unlike = F.when(F.col("condition").eqNullSafe(F.col("edge_condition")), 0).otherwise(1)
     shown = both.groupBy("hop").agg(
         F.first("parent").alias("parent"), F.first("node_id").alias("node_id"), F.first("edge_id").alias("edge_id"), F.first("relation").alias("relation"), F.first("depth").alias("depth"),
@@ -170,8 +172,8 @@ def trace_sets(edges: DataFrame, nodes: DataFrame, lineage: DataFrame, root: str
 
     found = kept(hops(edges, nodes, root).select("parent", "node_id", "edge_id"))
     own = kept(found.select("node_id").union(found.sparkSession.createDataFrame([(root,)], "node_id string")).distinct())
-    held = containers(edges.join(own.withColumnRenamed("node_id", "dst"), "dst", "left_semi"))
-    every = own.union(held.select("container")).distinct()
+    held = kept(containers(edges.join(own.withColumnRenamed("node_id", "dst"), "dst", "left_semi")))
+    every = kept(own.union(held.select("container")).distinct())
     contains = held.select(ids.edge_id(F.col("container"), F.lit("Contains"), F.col("node_id")).alias("id"))
     unknown = nodes.join(own.withColumnRenamed("node_id", "id"), "id", "left_semi").where("status <> 'Known'").select("id")
     inside = lineage.join(every.withColumnRenamed("node_id", "output"), "output", "left_semi").join(every.withColumnRenamed("node_id", "source"), "source", "left_semi").select("lineage_id")
