@@ -1,9 +1,4 @@
-"""Field traces: where a value comes from.
-
-The set of a trace is plain reachability upstream; its tree is the one a depth-first walk in edge order makes,
-expanding each node once. That tree has a relational form: give each upstream edge an ordinal (side, edge id); the walk's
-way to a node is the least array of ordinals from the root. Rounds of joins lower these arrays until none changes.
-"""
+"""One field's trace: where a value comes from. The walk itself is that of many requests, in walks.py."""
 
 from __future__ import annotations
 
@@ -11,16 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import ids
-from weft.operators.shared import forget, kept, kept_at
-from weft.operators.traverse import LINEAGE_RELATIONS
-
-TRACE_DEPTH, TRACE_HOPS = 24, 300
-
-# The transform a relation stands for where no lineage record tells.
-TRANSFORMS = {"SerializesAs": "Serialization", "MapsTo": "Mapping", "ControlledBy": "Conditional", "ComputedBy": "FunctionCall", "Produces": "Expression", "DerivedFrom": "Expression"}
+from weft.operators.shared import kept
+from weft.operators.walks import TRACE_DEPTH, TRACE_HOPS, Adjacency, links, walks
 
 # Types a short field name is looked up in, in this order.
 RESOLVED_TYPES = ["JsonField", "Field", "ResultColumn", "IntermediateColumn", "Column"]
+MOST_CANDIDATES = 20  # that an ambiguous name lists
 
 
 class AmbiguousField(ValueError):
@@ -46,107 +37,43 @@ def resolve(nodes: DataFrame, text: str) -> str:
     if not text or not text.strip():
         raise FieldNotFound("no field given")
     found = candidates(nodes, text)
-    best = found.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("id")), 1, 20).alias("ids")).orderBy("rank").limit(1).collect()
+    best = found.orderBy("rank", "id").limit(MOST_CANDIDATES).collect()  # the least of each task
     if not best:
         raise FieldNotFound(f"no field '{text}'")
-    if best[0].n > 1:
-        raise AmbiguousField(text, best[0].ids)
-    return best[0].ids[0]
-
-
-def upstream_steps(edges: DataFrame) -> DataFrame:
-    """(node, up, edge_id, relation, ord): lineage edges from the end whose value they explain; out-edges before in-edges, each by id."""
-    way = (edges.src, edges.relation, edges.dst)
-    up = ids.upstream(*way)
-    node = F.when(up == edges.dst, edges.src).otherwise(edges.dst)
-    ordinal = F.concat(F.when(node == edges.src, "0|").otherwise("1|"), edges.edge_id)
-    return edges.where(edges.relation.isin(LINEAGE_RELATIONS)).select(node.alias("node"), up.alias("up"), "edge_id", "relation", ordinal.alias("ord"))
-
-
-def fallback_steps(edges: DataFrame, nodes: DataFrame, steps: DataFrame) -> DataFrame:
-    """Steps for fields without any: from the field's model to procedures mapped to it, and to what enriches fields typed as it."""
-    fields = nodes.where("type = 'Field'").select(F.col("id").alias("node")).join(steps.select("node"), "node", "left_anti")
-    model = edges.where("relation = 'Contains'").select(F.col("src").alias("model"), F.col("dst").alias("node"))
-    held = fields.join(model, "node")
-    mapped = edges.where("relation = 'MapsTo'").select(F.col("dst").alias("model"), F.col("src").alias("up"), "edge_id", "relation")
-    typed = edges.where("relation = 'OfType'").select(F.col("dst").alias("model"), F.col("src").alias("typed"))
-    enriched = edges.where("relation = 'EnrichedBy'").select(F.col("src").alias("typed"), F.col("dst").alias("up"), "edge_id", "relation")
-    direct = held.join(mapped, "model").select("node", "up", "edge_id", "relation")
-    through = held.join(typed, "model").join(enriched, "typed").select("node", "up", "edge_id", "relation")
-    return direct.union(through).withColumn("ord", F.concat(F.lit("2|"), "edge_id"))
-
-
-def ways(steps: DataFrame, root: str, depth: int = TRACE_DEPTH) -> DataFrame:
-    """(node, ords, path): the least array of ordinals from root to each node a walk over steps expands or ends at.
-
-    Each round expands the nodes whose array the round before lowered, and no others.
-    """
-    spark, paths = steps.sparkSession, []
-
-    def keep(df):
-        table, path = kept_at(df)
-        paths.append(path)
-        return table
-
-    best = keep(spark.createDataFrame([(root, [], [root], True)], "node string, ords array<string>, path array<string>, changed boolean"))
-    for _ in range(depth):
-        onward = (
-            steps.join(best.where("changed").drop("changed"), "node").where(~F.array_contains("path", F.col("up")))
-            .select(F.col("up").alias("node"), F.concat("ords", F.array("ord")).alias("ords"), F.concat("path", F.array("up")).alias("path"), F.lit(True).alias("changed"))
-            .where(F.size("ords") < depth)
-        )
-        best = keep(best.withColumn("changed", F.lit(False)).union(onward).groupBy("node").agg(F.min(F.struct("ords", "changed", "path")).alias("best")).select("node", "best.ords", "best.path", "best.changed"))
-        if not best.where("changed").limit(1).count():
-            break
-    out = kept_at(best.drop("changed"))[0]
-    forget(spark, paths)
-    return out
-
-
-def hops(edges: DataFrame, nodes: DataFrame, root: str, depth: int = TRACE_DEPTH, budget: int = TRACE_HOPS) -> DataFrame:
-    """The trace's hops below root: hop, parent, node_id, edge_id, relation, depth, is_repeat, ords; in the order a walk meets them, budget at most."""
-    steps = upstream_steps(edges)
-    known = nodes.where("status = 'Known'").select(F.col("id").alias("node"))  # only known nodes go on
-    steps = kept(steps.union(fallback_steps(edges, nodes, steps)).join(known, "node", "left_semi"))
-    best = ways(steps, root, depth)
-    rows = (
-        best.join(steps, "node").where(~F.array_contains("path", F.col("up")) & (F.size("ords") < depth))
-        .select(F.col("node").alias("parent"), F.col("up").alias("node_id"), "edge_id", "relation", F.concat("ords", F.array("ord")).alias("ords"))
-    )
-    own = best.select(F.col("node").alias("node_id"), F.col("ords").alias("own"))
-    every = rows.join(own, "node_id", "left").select("parent", "node_id", "edge_id", "relation", F.size("ords").alias("depth"), F.coalesce(F.col("own") != F.col("ords"), F.lit(False)).alias("is_repeat"), "ords")
-    top = every.orderBy("ords").limit(budget)
-    from pyspark.sql import Window
-
-    return top.select(F.row_number().over(Window.orderBy("ords")).alias("hop"), *top.columns)  # budget rows at most
-
-
-def with_lineage(found: DataFrame, edges: DataFrame, lineage: DataFrame, produced: DataFrame | None = None) -> DataFrame:
-    """hops with transform, expression, condition and confidence of the record that explains them.
-
-    The record's output is the parent (or the column an expression produces: produced has node_id, output); of several with
-    the hop's source that with the edge's condition is shown, else the first by id.
-    """
-    if produced is not None:
-        found = found.join(produced.withColumnRenamed("node_id", "parent"), "parent", "left")
-    output = F.coalesce("output", "parent") if produced is not None else F.col("parent")
-    rows = kept(found.withColumns({"l_output": output, "l_source": F.col("node_id")}))  # the hops of one trace: semi joins with them prune edges and lineage before these shuffle
-    condition = F.col("metadata")["condition"] if "metadata" in edges.columns else F.lit(None).cast("string")
-    conf = edges.join(rows.select("edge_id"), "edge_id", "left_semi").select("edge_id", F.col("confidence").alias("edge_confidence"), condition.alias("edge_condition"))
-    own = lineage.join(rows.select(F.col("l_output").alias("output")), "output", "left_semi")
-    rec = own.select(F.col("output").alias("l_output"), F.col("source").alias("l_source"), "lineage_id", "transform", "expression", "condition", F.col("confidence").alias("l_confidence"))
-    both = rows.join(conf, "edge_id").join(rec, ["l_output", "l_source"], "left")
-    unlike = F.when(F.col("condition").eqNullSafe(F.col("edge_condition")), 0).otherwise(1)
-    shown = both.groupBy("hop").agg(
-        F.first("parent").alias("parent"), F.first("node_id").alias("node_id"), F.first("edge_id").alias("edge_id"), F.first("relation").alias("relation"), F.first("depth").alias("depth"),
-        F.first("is_repeat").alias("is_repeat"), F.first("edge_confidence").alias("edge_confidence"), F.first("edge_condition").alias("edge_condition"),
-        F.min_by(F.struct("lineage_id", "transform", "expression", "condition", "l_confidence"), F.struct(unlike, "lineage_id")).alias("l"), F.array_sort(F.collect_set("lineage_id")).alias("lineage_ids"),
-    )
-    inferred = F.coalesce(ids.lookup(TRANSFORMS, F.col("relation")), F.lit("Direct"))
-    return shown.select(
-        "hop", "parent", "node_id", "edge_id", "relation", "depth", "is_repeat", F.coalesce("l.transform", inferred).alias("transform"), F.col("l.expression").alias("expression"),
-        F.coalesce("edge_condition", "l.condition").alias("condition"), F.least("edge_confidence", "l.l_confidence").alias("confidence"), "lineage_ids",
-    )
+    own = [r.id for r in best if r.rank == best[0].rank]
+    if len(own) > 1:
+        raise AmbiguousField(text, own)
+    return own[0]
+
+
+def resolved(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """(text, status, n, id) of many names (text) at once: found with its one id, ambiguous with the number of candidates and the first, or not_found; as resolve() does for one."""
+    text = names.select("text").distinct()
+    wanted = text.select("text", F.trim("text").alias("said")).where(F.length(F.trim("text")) > 0)
+    by_id = nodes.select("id", F.lit(0).alias("rank"), F.col("id").alias("said"))
+    by_path = nodes.where(F.col("id").startswith("json:")).select("id", F.lit(1).alias("rank"), ids.owner_key(F.col("id")).alias("said"))
+    type_rank = ids.lookup({t: k + 2 for k, t in enumerate(RESOLVED_TYPES)}, F.col("type"))
+    by_leaf = nodes.where(F.col("type").isin(RESOLVED_TYPES)).select("id", type_rank.alias("rank"), F.lower(ids.leaf(F.col("id"))).alias("said"))
+    exact = wanted.join(by_id.union(by_path), "said").select("text", "rank", "id")
+    leaf = wanted.withColumn("said", F.lower("said")).join(by_leaf, "said").select("text", "rank", "id")
+    ranks = exact.union(leaf).distinct().groupBy("text", "rank").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    best = ranks.groupBy("text").agg(F.min(F.struct("rank", "n", "id")).alias("b"))
+    status = F.when(F.col("b").isNull(), "not_found").when(F.col("b.n") > 1, "ambiguous").otherwise("found")
+    return text.join(best, "text", "left").select("text", status.alias("status"), F.coalesce("b.n", F.lit(0)).alias("n"), "b.id")
+
+
+def hops(edges: DataFrame, nodes: DataFrame, root: str, depth: int = TRACE_DEPTH, budget: int = TRACE_HOPS, index: Adjacency | None = None) -> DataFrame:
+    """The trace's hops below root: hop, parent, node_id, edge_id, relation, depth, is_repeat, fallback; in the order a walk meets them, budget at most."""
+    one = edges.sparkSession.createDataFrame([(0, root)], "request_id int, root string")
+    return walks(edges, nodes, one, depth, budget, index).where("hop > 0").select("hop", "parent", "node_id", "edge_id", "relation", "depth", "is_repeat", "fallback")
+
+
+def with_lineage(found: DataFrame, edges: DataFrame, lineage: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """hops with transform, expression, condition and confidence of the record that explains them, and the ids of all that do; nodes tell what expressions produce."""
+    rows = found if "fallback" in found.columns else found.withColumn("fallback", F.lit(False))
+    rows = kept(rows)  # the hops of one trace: semi joins with them prune edges and lineage before these shuffle
+    told = links(rows, nodes, edges, lineage).drop("evidence")
+    return rows.join(told, ["parent", "node_id", "edge_id", "fallback"]).select("hop", "parent", "node_id", "edge_id", "relation", "depth", "is_repeat", "transform", "expression", "condition", "confidence", "lineage_ids")
 
 
 def dangling(lineage: DataFrame) -> DataFrame:

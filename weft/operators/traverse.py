@@ -18,6 +18,7 @@ SUBGRAPH_DEPTH, SUBGRAPH_NODES = 8, 400
 IMPACT_DEPTH, IMPACT_NODES = 16, 500
 KEY_PATHS = 12
 BROADCAST_ROWS = 10_000
+COMPACT = 8  # levels after which a search writes what it found as one table
 
 
 def of_class(column: int):
@@ -56,13 +57,15 @@ def out_view(edges: DataFrame, relations: list[str]) -> DataFrame:
     return edges.where(F.col("relation").isin(relations)).select("edge_id", "relation", F.col("src").alias("up"), F.col("dst").alias("down"))
 
 
-def breadth_first(steps: DataFrame, start: DataFrame, max_depth: int | None = None, cap: int | None = None, carry: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+def breadth_first(steps: DataFrame, start: DataFrame, max_depth: int | None = None, cap: int | None = None, carry: tuple[str, ...] = (), by: tuple[str, ...] = (), until: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """start: node. Rows (node, distance, parent, via, key, path, carry...) of all reached nodes; whether cap or depth cut it.
 
     steps: up, down, edge_id and the carried columns, which are those of the step that reached the node. max_depth None: until nothing is
-    new. cap: nodes in all, the start too. A frontier of at most BROADCAST_ROWS rows (each level is counted) is broadcast.
+    new. cap: nodes in all, the start too. A frontier of at most BROADCAST_ROWS rows (each level is counted) is broadcast. by: columns of start that keep
+    several searches apart; until: rows (by..., node) after whose last no level is searched.
     """
     spark, paths = steps.sparkSession, []
+    at = [*by, "node"]
 
     def keep(df):
         table, path = kept_at(df)
@@ -72,19 +75,24 @@ def breadth_first(steps: DataFrame, start: DataFrame, max_depth: int | None = No
     steps = keep(steps.select("up", "down", "edge_id", *carry))
     none = F.array().cast("array<string>")
     empty = [F.lit(None).cast(steps.schema[c].dataType).alias(c) for c in carry]
-    level = keep(start.select("node", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via"), none.alias("key"), F.array("node").alias("path"), *empty))
+    level = keep(start.select(*at, F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via"), none.alias("key"), F.array("node").alias("path"), *empty))
     found, count, depth, cut = level, level.count(), 0, False
     size = count
+    open_ = until.count() if until is not None else None
     while max_depth is None or depth < max_depth:
+        if until is not None:
+            open_ -= until.join(level.select(*at), at, "left_semi").count()
+            if not open_:
+                break
         depth += 1
-        front = level.select(F.col("node").alias("up"), "key", "path")
+        front = level.select(*by, F.col("node").alias("up"), "key", "path")
         front = F.broadcast(front) if size <= BROADCAST_ROWS else front
         new = (
             steps.join(front, "up")
-            .select(F.col("down").alias("node"), F.col("up").alias("parent"), F.col("edge_id").alias("via"), F.concat("key", F.array("edge_id")).alias("key"), F.concat("path", F.array("down")).alias("path"), *carry)
-            .groupBy("node").agg(F.min(F.struct("key", "parent", "via", "path", *carry)).alias("best"))
-            .join(found.select("node"), "node", "left_anti")
-            .select("node", F.lit(depth).alias("distance"), "best.parent", "best.via", "best.key", "best.path", *[f"best.{c}" for c in carry])
+            .select(*by, F.col("down").alias("node"), F.col("up").alias("parent"), F.col("edge_id").alias("via"), F.concat("key", F.array("edge_id")).alias("key"), F.concat("path", F.array("down")).alias("path"), *carry)
+            .groupBy(*at).agg(F.min(F.struct("key", "parent", "via", "path", *carry)).alias("best"))
+            .join(found.select(*at), at, "left_anti")
+            .select(*at, F.lit(depth).alias("distance"), "best.parent", "best.via", "best.key", "best.path", *[f"best.{c}" for c in carry])
         )
         if cap:
             new = new.orderBy("key", "node").limit(cap - count + 1)  # one more shows the cut
@@ -96,6 +104,8 @@ def breadth_first(steps: DataFrame, start: DataFrame, max_depth: int | None = No
         if not size:
             break
         found, level, count = found.union(new), new, count + size
+        if depth % COMPACT == 0:  # one table again, so that long chains do not grow the plan
+            found = keep(found)
     else:
         cut = True
     out = kept_at(found)[0]

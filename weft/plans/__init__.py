@@ -1,3 +1,3 @@
 """All queries; importing the modules registers them."""
 
-from weft.plans import assembly_queries, explain_queries, graph_queries, relational_queries, rule_queries, runtime_queries, source_queries  # noqa: F401
+from weft.plans import assembly_queries, explain_queries, graph_queries, relational_queries, rule_queries, runtime_queries, source_queries, walk_queries  # noqa: F401

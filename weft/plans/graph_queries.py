@@ -113,14 +113,6 @@ def c10_container(spark, sf_dir):
     return traverse.containers(g.edges(spark, sf_dir))
 
 
-@query("""WITH GRAPH, named AS (SELECT id, type, lower(regexp_extract(split_part(id, ':', 2), '[^.]*$')) AS leaf FROM nodes)
-SELECT leaf AS text, count(*) AS n, min(id) AS first_id FROM named WHERE type IN ('ResultColumn', 'Column') GROUP BY leaf""")
-def c11_resolve(spark, sf_dir):
-    nodes = g.nodes(spark, sf_dir)
-    named = nodes.where(F.col("type").isin(trace.RESOLVED_TYPES)).select("id", F.lower(ids.leaf(F.col("id"))).alias("text"))
-    return named.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-
-
 def _root(spark, sf_dir):
     """The first result column: a field whose sources are a part and a supplier."""
     return g.nodes(spark, sf_dir).where("type = 'ResultColumn'").agg(F.min("id")).first()[0]
@@ -146,22 +138,6 @@ def c12_trace_sets(spark, sf_dir):
     return trace.trace_sets(g.edges(spark, sf_dir), g.nodes(spark, sf_dir), g.lineage(spark, sf_dir), _root(spark, sf_dir))
 
 
-# Fields of a model for each brand, mapped from a procedure for each size; models enriched through fields typed as them.
-MODEL_EDGES = """SELECT src, relation, dst, 'edge:' || src || '|' || relation || '|' || dst AS edge_id FROM (
-SELECT DISTINCT 'model:' || p_brand AS src, 'Contains' AS relation, 'field:' || p_brand || '.' || p_type AS dst FROM {part}
-UNION ALL SELECT DISTINCT 'sp:dbo.Size' || CAST(p_size AS STRING), 'MapsTo', 'model:' || p_brand FROM {part} WHERE p_size < 5
-UNION ALL SELECT DISTINCT 'field:Order.' || p_brand, 'OfType', 'model:' || p_brand FROM {part}
-UNION ALL SELECT DISTINCT 'field:Order.' || p_brand, 'EnrichedBy', 'method:Load' || CAST(length(p_brand) AS STRING) FROM {part}) e"""
-
-
-@query(f"""WITH e AS ({g.plain(MODEL_EDGES)}), steps AS (SELECT src AS node FROM e WHERE relation = 'EnrichedBy' UNION SELECT dst FROM e WHERE relation = 'MapsTo'), held AS (SELECT src AS model, dst AS node FROM e WHERE relation = 'Contains' AND dst NOT IN (SELECT node FROM steps))
-SELECT h.node, m.src AS up, m.edge_id, m.relation FROM held h JOIN e m ON m.dst = h.model AND m.relation = 'MapsTo' UNION ALL SELECT h.node, n.dst, n.edge_id, n.relation FROM held h JOIN e t ON t.dst = h.model AND t.relation = 'OfType' JOIN e n ON n.src = t.src AND n.relation = 'EnrichedBy'""")
-def c14_fallback(spark, sf_dir):
-    edges = g.frame(spark, sf_dir, MODEL_EDGES)
-    nodes = edges.where("relation = 'Contains'").select(F.col("dst").alias("id"), F.lit("Field").alias("type")).distinct()
-    return trace.fallback_steps(edges, nodes, trace.upstream_steps(edges)).select("node", "up", "edge_id", "relation")
-
-
 @query("""WITH GRAPH, k AS (SELECT e.edge_id, l.*, CASE WHEN l.condition IS NULL THEN '0' ELSE '1' END || lineage_id AS o, e.confidence AS ec FROM edges e LEFT JOIN lineage l ON l.output = e.src AND l.source = e.dst WHERE e.relation = 'AliasOf')
 SELECT edge_id, coalesce(arg_min(transform, o), 'Direct') AS transform, min(lineage_id) IS NOT NULL AS has_record, count(lineage_id) AS records, least(min(ec), arg_min(confidence, o)) AS confidence FROM k GROUP BY edge_id""")
 def c15_hop_lineage(spark, sf_dir):
