@@ -103,3 +103,14 @@ def test_query_against_brute_force(spark, sf_dir):
                     want.add((d.doc_id, i.item_id))
     got = {(r.doc_id, r.item_id) for r in op2_decontaminate(spark, sf_dir).collect()}
     assert got == want and got
+
+
+def test_short_items_and_ideographs_both_ways(spark):
+    sentence = "今日は天気が良いので散歩に行きました"
+    items = [(1, "What's seven times"), (2, sentence), (3, "ok"), (4, "two words"), (5, "a b a b"), (6, "..."), (7, "东京")]
+    docs = [(1, "they ask: what s SEVEN times, then"), (2, f"前置き「{sentence}」終わり"), (3, "ok then"), (4, "OK!"), (5, "two words"), (6, "two words more"), (7, "x a b a b y"), (8, "a b b a"), (9, "东京"), (10, "东京大"), (11, "what seven s times"), (12, sentence[:12])]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    for most in (decontaminate.MAX_BROADCAST_WORDS, 0):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench, max_broadcast_words=most).collect()}
+        assert got == {(1, 1), (2, 2), (4, 3), (5, 4), (7, 5), (9, 7)}
+        assert {r.doc_id for r in decontaminate.clean(docs, bench, max_broadcast_words=most).collect()} == {3, 6, 8, 10, 11, 12}

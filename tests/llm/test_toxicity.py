@@ -1,4 +1,10 @@
+import math
 import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import xxhash
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,3 +96,78 @@ def test_very_long_text(spark):
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.passages(docs, toxicity.learn(docs, labels)).collect()}
     assert got[99].n_tokens == 180_020 and [p.first for p in got[99].passages][-1:] in ([180_000], [])
+
+
+def test_one_class_scores_by_its_share(spark):
+    docs = spark.createDataFrame([(k, "some words here" if k % 2 else "") for k in range(20)], "doc_id long, text string")
+    n = toxicity.training_rows(docs, spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, toxic int")).where("text <> ''").count()
+    for y in (0, 1):
+        model = toxicity.learn(docs, spark.createDataFrame([(k, y) for k in range(20) if k % 2], "doc_id long, toxic int"))
+        kept = toxicity.without_copies(toxicity.training_rows(docs, spark.createDataFrame([(k, y) for k in range(20) if k % 2], "doc_id long, toxic int"))).count()
+        share = (kept * y + 1) / (kept + 2)
+        assert n and {round(r.score, 12) for r in toxicity.passages(docs, model).collect()} == {round(share, 12)}
+        assert (share > 0.5) == (y == 1)
+
+
+def test_the_sample_is_bounded_where_rows_share_an_id(spark):
+    docs = spark.createDataFrame([(k % 3, " ".join(f"w{k}x{j}" for j in range(8))) for k in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, toxic int")
+    for most, want in ((10, 10), (1000, toxicity.training_rows(docs, labels).count())):
+        train, _ = toxicity.sample(docs, labels, most)
+        assert train.count() == want
+
+
+def plain_learn(docs, labels):
+    """The model by loops over dicts; the parts that have tests of their own (tokens, features, sketches, segments, curves) are called."""
+    marks = {}
+    for i, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5:
+            marks[i] = max(marks.get(i, y), y)
+    rows = [(i, x, marks[i]) for i, x in docs if i in marks]
+    hashed = lambda x: xxhash.xxh64_intdigest((x or "").encode(), 42)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    seen = {(i, signed(hashed(x)) if x is not None else 42): (x, y, toxicity.sketch(toxicity.tokens(x))) for i, x, y in rows}
+    least = {}
+    for (i, th), (_, y, s) in seen.items():
+        least[y, s[0]] = min(least.get((y, s[0]), (i, th, s)), (i, th, s))
+    train = [(x, y) for (i, th), (x, y, s) in seen.items() if least[y, s[0]][:2] == (i, th) or sum(a == b for a, b in zip(s, least[y, s[0]][2])) < toxicity.ALIKE]
+    counts = {}
+    for x, y in train:
+        for f, n in Counter(f for w in toxicity.tokens(x) for f in toxicity.features(w)).items():
+            each = counts.setdefault(f, [0, 0, 0])
+            each[y > 0] += toxicity.damped(n)
+            each[2] += 1
+    n0, n1 = (sum(c[k] for c in counts.values()) / 1000 for k in (0, 1))
+    found = []
+    for f, (c0, c1, texts) in counts.items():
+        y0, y1 = c0 / 1000, c1 / 1000
+        prior = min(toxicity.PRIOR * (y0 + y1), toxicity.MOST_PRIOR) + toxicity.LEAST_PRIOR
+        delta = math.log((y1 + prior) / (n1 - y1 + prior)) - math.log((y0 + prior) / (n0 - y0 + prior))
+        z = delta / math.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+        if abs(z) >= toxicity.MIN_Z and abs(delta) >= toxicity.MIN_LOG_ODDS and texts >= toxicity.MIN_TEXTS:
+            found.append((-abs(z), f, delta, y0 / n0))
+    found.sort()
+    lexicon = {f: d for _, f, d, _ in found}
+    lam = toxicity.null_lambda([(d, p) for *_, d, p in found])
+    memo = toxicity.Scores(lexicon)
+    told = []
+    for x, y in train:
+        w = toxicity.tokens(x)
+        told.append((len(w), y, [s for *_, s in toxicity.maximal_segments(toxicity.hits(w, memo), toxicity.DRIFT)]))
+    k = toxicity.gumbel_k(sorted((n, max(s, default=0.0)) for n, y, s in told if y == 0), lam)
+    x, y = np.array(sorted((toxicity.evidence(n, [(0, 0, v) for v in s], lam, k), y) for n, y, s in told)).T
+    return toxicity.Model(lexicon, lam, k, *toxicity.logistic_fit(x, (y > 0).astype(float)))
+
+
+def test_query_against_plain_learning_and_scoring(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    model = plain_learn(docs, [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()])
+    memo, want = toxicity.Scores(model.lexicon), {}
+    for i, x in docs:
+        w = toxicity.tokens(x)
+        want[i] = toxicity.probability(model, toxicity.evidence(len(w), toxicity.maximal_segments(toxicity.hits(w, memo), toxicity.DRIFT), model.lam, model.k))
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in op9_toxicity(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and len(model.lexicon) > 5
+    for i, (score, predicted, held_out) in got.items():
+        assert abs(score - want[i]) < 1e-6 and predicted == int(score >= 0.5) and held_out == (zlib.crc32(str(i).encode()) % 5 == 0)

@@ -1,8 +1,8 @@
 """Benchmark decontamination by greedy string tiling with running Karp-Rabin matching.
 
-Words (runs of letters, digits and underscores, lower-cased) are the tokens. Texts and benchmark items
-that share a run of SEED words, found by a join on the runs' hashes, become candidate pairs. For each pair the
-longest common run of unmarked words is marked as a tile, again and again, down to SEED words; equal
+Words (runs of letters, digits and underscores, lower-cased; each ideograph or kana is one) are the tokens. Texts and benchmark items
+that share a run of SEED words (of all its words, for a shorter item), found by a join on the runs' hashes, become candidate pairs. For each pair the
+longest common run of unmarked words is marked as a tile, again and again, down to the seed's words; equal
 lengths go by the earlier place in the item, then in the text. An item whose words are covered to COVERAGE or more is
 leaked in that text, whatever order its passages come in.
 
@@ -11,7 +11,8 @@ broadcast and matched in the scan of the texts. Beyond that, hashes of both side
 without those seeds of each item that most texts have (as many as a leaking text can do without), and the pairs found get their
 texts by joins; both ways give the same rows.
 
-Null and empty texts, and items of fewer than SEED words, match nothing. A repeated row or item gives its pair
+Null and empty texts and items without words match nothing. An item of fewer than WHOLE words says too little for a passage: it leaks
+in texts that have these words and no others. A repeated row or item gives its pair
 again. Rows: doc_id, item_id, coverage, tiles, longest, item_words of each pair at or above COVERAGE.
 """
 
@@ -30,11 +31,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from weft.llm.common import written
 
 SEED = 5
+WHOLE = 3
 COVERAGE = 0.8
 MAX_BROADCAST_WORDS = 2_000_000
 SALTS = 16
 
-WORD = re.compile(r"\w+")
+IDEOGRAPHS = r"\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+WORD = re.compile(rf"[{IDEOGRAPHS}]|[^\W{IDEOGRAPHS}]+")
 BASE, PRIME = 1_000_003, (1 << 61) - 1
 
 
@@ -109,32 +112,34 @@ def rolling(ids: list[int], free: list[bool], n: int):
 
 
 class Benchmark:
-    """Items as ids of their own vocabulary, with the sorted hashes of their seeds: some 20 bytes a word."""
+    """Items as ids of their own vocabulary, with the sorted hashes of their seeds by length: some 20 bytes a word."""
 
     def __init__(self, items: list[tuple], seed: int):
-        self.seed, self.ids = seed, {}
-        self.items, hashes, owners = [], [], []
+        self.seed, self.ids, self.items = seed, {}, []
+        hashes, owners = defaultdict(list), defaultdict(list)
         for item_id, text in items:
             ids = np.array([self.ids.setdefault(w, len(self.ids)) for w in words(text)], np.int32)
-            if len(ids) >= seed:
-                found = np.unique(runs(ids.astype(np.int64), seed)[1])
-                hashes.append(found)
-                owners.append(np.full(len(found), len(self.items), np.int32))
+            if len(ids):
+                least = min(seed, len(ids))
+                found = np.unique(runs(ids.astype(np.int64), least)[1])
+                hashes[least].append(found)
+                owners[least].append(np.full(len(found), len(self.items), np.int32))
                 self.items.append((item_id, ids))
-        self.seeds, self.owners = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((hashes, np.uint64), (owners, np.int32)))
-        order = np.argsort(self.seeds, kind="stable")
-        self.seeds, self.owners = self.seeds[order], self.owners[order]
+        self.seeds = {}
+        for least, each in hashes.items():
+            every = np.concatenate(each)
+            order = np.argsort(every, kind="stable")
+            self.seeds[least] = every[order], np.concatenate(owners[least])[order]
 
     def leaks(self, text: str | None, coverage: float) -> list[tuple]:
         ids = np.fromiter(map(self.ids.get, each := words(text), [-1] * len(each)), np.int64, len(each))
-        _, hashes = runs(ids, self.seed)
-        if not len(hashes) or not len(self.seeds):
-            return []
-        hashes = np.unique(hashes)
-        low, high = np.searchsorted(self.seeds, hashes), np.searchsorted(self.seeds, hashes, side="right")
-        owners = [self.owners[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a]
+        met = []
+        for least, (seeds, owners) in self.seeds.items():
+            hashes = np.unique(runs(ids, least)[1])
+            low, high = np.searchsorted(seeds, hashes), np.searchsorted(seeds, hashes, side="right")
+            met += [owners[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a]
         out = []
-        for k in np.unique(np.concatenate(owners)).tolist() if owners else ():
+        for k in np.unique(np.concatenate(met)).tolist() if met else ():
             item_id, item = self.items[k]
             if row := leak(ids.tolist(), item.tolist(), self.seed, coverage):
                 out.append((item_id, *row))
@@ -143,8 +148,10 @@ class Benchmark:
 
 def leak(text: list[int], item: list[int], seed: int, coverage: float) -> tuple | None:
     """(coverage, tiles, longest, item words), or None below the coverage."""
+    if len(item) < WHOLE and len(text) > len(item):
+        return None
     own = set(item)
-    found = tiles([x if x in own else -1 for x in text], item, seed)
+    found = tiles([x if x in own else -1 for x in text], item, min(seed, len(item)))
     covered = sum(n for *_, n in found) / len(item)
     return (covered, len(found), found[0][2], len(item)) if found and covered >= coverage else None
 
@@ -171,7 +178,8 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 
 def fits(items: DataFrame, max_broadcast_words: int) -> bool:
-    return (items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}_]+")))).first()[0] or 0) <= max_broadcast_words
+    ideographs = F.length("text") - F.length(F.regexp_replace("text", f"[{IDEOGRAPHS}]", ""))
+    return (items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}_]+")) + ideographs)).first()[0] or 0) <= max_broadcast_words
 
 
 def held(items: DataFrame, seed: int):
@@ -208,47 +216,51 @@ def _batch(ids, item_type, rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "item_id", "coverage", "tiles", "longest", "item_words"])
 
 
-def seed_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """(key, hash, n) of the distinct seeds of each row's text; n: in how many places, size: of how many words the text is."""
+def seed_rows(df: DataFrame, key: str, seed: int, short: list[int] | None = None) -> DataFrame:
+    """(key, hash, n, size, least) of the distinct seeds of each row's text; n: in how many places, size: of how many words the text is.
+
+    Of items (short None) the seeds are of least words, seed or all that a shorter one has; of texts, of seed words and of the short lengths.
+    """
 
     def run(batches):
         for batch in batches:
-            at, out, n, size = [], [], [], []
+            columns = [[np.empty(0, np.int64)] for _ in range(5)]
             for k, t in enumerate(batch.column(1).to_pylist()):
                 each = words(t)
-                ids = np.fromiter(map(xxhash.xxh3_64_intdigest, each), np.uint64, len(each)) >> np.uint64(1)
-                found, places = np.unique(runs(ids.astype(np.int64), seed)[1], return_counts=True)
-                at.append(np.full(len(found), k, np.int64))
-                out.append(found.view(np.int64))
-                n.append(places)
-                size.append(np.full(len(found), len(each), np.int64))
-            at, *columns = (np.concatenate([np.empty(0, np.int64), *x]) for x in (at, out, n, size))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *map(pa.array, columns)], names=["key", "hash", "n", "size"])
+                ids = (np.fromiter(map(xxhash.xxh3_64_intdigest, each), np.uint64, len(each)) >> np.uint64(1)).astype(np.int64)
+                for least in [seed, *short] if short is not None else [min(seed, len(each))]:
+                    if least:
+                        found, places = np.unique(runs(ids, least)[1], return_counts=True)
+                        for c, x in zip(columns, (np.full(len(found), k), found.view(np.int64), places, np.full(len(found), len(each)), np.full(len(found), least)), strict=True):
+                            c.append(x)
+            at, *rest = (np.concatenate(c) for c in columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *map(pa.array, rest)], names=["key", "hash", "n", "size", "least"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "text").mapInArrow(run, f"key {kind}, hash long, n long, size long")
+    return df.select(key, "text").mapInArrow(run, f"key {kind}, hash long, n long, size long, least long")
 
 
-def telling_seeds(of_texts: DataFrame, of_items: DataFrame, coverage: float, seed: int) -> DataFrame:
-    """(hash, ik) of the item seeds of which every leaking text shares one at least.
+def telling_seeds(of_texts: DataFrame, of_items: DataFrame, coverage: float) -> DataFrame:
+    """(hash, least, ik) of the item seeds of which every leaking text shares one at least.
 
-    A text that covers coverage x size words of an item by tiles of seed words or more shares at least coverage x size / seed
+    A text that covers coverage x size words of an item by tiles of least words or more shares at least coverage x size / least
     of its seed places. So the places of the seeds that most texts have may go, as long as fewer than that go.
     """
-    common = of_texts.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"))
-    ranked = of_items.join(common, "hash").withColumn("gone", F.sum("n").over(Window.partitionBy("key").orderBy(F.desc("texts"), "hash")))
-    return ranked.where(F.col("gone") >= F.ceil(F.col("size") * coverage / seed - 1e-9)).select("hash", F.col("key").alias("ik"))
+    common = of_texts.groupBy("hash", "least").agg(F.count(F.lit(1)).alias("texts"))
+    ranked = of_items.join(common, ["hash", "least"]).withColumn("gone", F.sum("n").over(Window.partitionBy("key").orderBy(F.desc("texts"), "hash")))
+    return ranked.where(F.col("gone") >= F.ceil(F.col("size") * coverage / F.col("least") - 1e-9)).select("hash", "least", F.col("key").alias("ik"))
 
 
 def _by_shuffle(texts: DataFrame, items: DataFrame, coverage: float, seed: int) -> DataFrame:
     """Row keys are hashes of id and text: rows that share one meet the same items, and every pair is verified."""
     texts, items = (df.withColumn("rk", F.xxhash64(df.columns[0], "text")) for df in (texts, items))
     of_items = seed_rows(items.dropDuplicates(["rk"]), "rk", seed)
-    wanted = of_items.select("hash").distinct()
-    of_texts, _ = written(seed_rows(texts.dropDuplicates(["rk"]), "rk", seed).join(wanted, "hash", "left_semi").select("hash", "key"), "seeds")
-    telling = telling_seeds(of_texts, of_items, coverage, seed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = of_texts.select("hash", F.col("key").alias("rk"), F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
-    pairs = salted.join(telling, ["hash", "salt"]).select("rk", "ik").distinct()
+    short = sorted(r.least for r in of_items.where(F.col("least") < seed).select("least").distinct().collect())  # below seed
+    wanted = of_items.select("hash", "least").distinct()
+    of_texts, _ = written(seed_rows(texts.dropDuplicates(["rk"]), "rk", seed, short).join(wanted, ["hash", "least"], "left_semi").select("hash", "least", "key"), "seeds")
+    telling = telling_seeds(of_texts, of_items, coverage).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = of_texts.select("hash", "least", F.col("key").alias("rk"), F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
+    pairs = salted.join(telling, ["hash", "least", "salt"]).select("rk", "ik").distinct()
     full = pairs.join(texts.select("rk", "doc_id", "text"), "rk").join(items.select(F.col("rk").alias("ik"), "item_id", F.col("text").alias("item")), "ik")
 
     def run(batches):

@@ -14,7 +14,9 @@ into E = K m exp(-lambda S); further significant segments multiply in. -ln E pas
 curve fitted on the same sample.
 
 Null and empty texts have no segment and score by the curve at S = 0. Labels with null are left out,
-several labels for an id count as their largest. With no usable labels every score is 0.
+several labels for an id count as their largest. Where only one class is labelled, or one has no token, every text scores the share of
+toxic rows, smoothed by one of each class; with no usable labels every score is 0. Rows of one id with different texts are
+all candidates; MAX_LABELLED holds for what is left of these.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ from pyspark.sql import functions as F
 from weft.llm.common import fold, forget, written
 
 MAX_LABELLED = 40_000
-MAX_LEXICON = 200_000  # of the model, most significant first; some 20 MB
 PRIOR, MOST_PRIOR, LEAST_PRIOR = 0.1, 2.0, 0.1
 PREFIXES = (6, 5, 4)
 MEMO = 500_000
@@ -151,7 +152,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
-    """(text, toxic) of rows, without those that agree with the least row of their label and first sketch in ALIKE sketches or more."""
+    """(text, toxic, doc_id, th) of rows, without those that agree with the least row of their label and first sketch in ALIKE sketches or more."""
 
     def sketched(batches):
         for batch in batches:
@@ -162,11 +163,22 @@ def without_copies(rows: DataFrame) -> DataFrame:
     least = each.groupBy("toxic", "first").agg(F.min(F.struct("doc_id", "th", "sketch")).alias("least"))
     alike = F.size(F.filter(F.zip_with("sketch", "least.sketch", lambda a, b: a == b), lambda same: same))
     itself = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))
-    return each.join(least, ["toxic", "first"]).where(itself | (alike < ALIKE)).dropDuplicates(["doc_id", "th"]).select("text", "toxic")
+    return each.join(least, ["toxic", "first"]).where(itself | (alike < ALIKE)).dropDuplicates(["doc_id", "th"]).select("text", "toxic", "doc_id", "th")
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON) -> Model:
-    train, train_path = written(without_copies(training_rows(docs, labels, max_labelled)), "train")
+def sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, str]:
+    """The written training rows, max_labelled at most even where many rows of docs share an id."""
+    train, path = written(without_copies(training_rows(docs, labels, max_labelled)), "train")
+    if train.count() <= max_labelled:
+        return train, path
+    chosen = train.select("doc_id", "th").orderBy(F.xxhash64("doc_id", "th"), "doc_id", "th").limit(max_labelled)
+    fewer, fewer_path = written(train.join(F.broadcast(chosen), ["doc_id", "th"], "left_semi").select(train.columns), "train")
+    forget(docs.sparkSession, path)
+    return fewer, fewer_path
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+    train, train_path = sample(docs, labels, max_labelled)
 
     def count(batches):
         for batch in batches:
@@ -181,8 +193,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     counts, counts_path = written(train.mapInArrow(count, "token string, clean long, toxic long, texts long").groupBy("token").agg((F.sum("clean") / 1000).alias("y0"), (F.sum("toxic") / 1000).alias("y1"), F.sum("texts").alias("texts")), "counts")
     n0, n1 = (float(n or 0) for n in counts.agg(F.sum(F.col("y0").cast("decimal(30,3)")), F.sum(F.col("y1").cast("decimal(30,3)"))).first())
     if not n0 or not n1:
+        rows = {r.toxic: r["count"] for r in train.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
         forget(docs.sparkSession, train_path, counts_path)
-        return Model({}, 1.0, 1.0, 0.0, -50.0)
+        return Model({}, 1.0, 1.0, 0.0, math.log((rows.get(True, 0) + 1) / (rows.get(False, 0) + 1)) if rows else -50.0)
     prior = F.least(PRIOR * (F.col("y0") + F.col("y1")), F.lit(MOST_PRIOR)) + LEAST_PRIOR
     odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(float(n)) - F.col(y) + prior))
     scored = (
@@ -190,7 +203,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         .withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior)))
         .where((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_LOG_ODDS) & (F.col("texts") >= MIN_TEXTS))
     )
-    top = scored.orderBy(F.abs("z").desc(), "token").limit(max_lexicon).collect()
+    top = scored.orderBy(F.abs("z").desc(), "token").collect()  # the sample bounds them
     lexicon = {r.token: r.delta for r in top}
     forget(docs.sparkSession, counts_path)
     lam = null_lambda([(r.delta, r.y0 / n0) for r in top])
