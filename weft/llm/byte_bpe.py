@@ -32,7 +32,8 @@ class TreeCodec:
         import tiktoken
 
         self.leaf, self.window = leaf, window
-        self._merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._merge, self.piece = library.encode_ordinary, library._encode_single_piece  # piece: the ids of one match
         self._bytes = {i: b for b, i in ranks.items()}
 
     def encode(self, text: str) -> list[int]:

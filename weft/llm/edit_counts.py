@@ -1,10 +1,12 @@
 """Token counts under edits: a segment tree over the pre-tokens of each document.
 
-A text is cut into leaves of about LEAF characters, only where a non-space is followed by white space: a place no
-pre-token spans, so counts of leaves add up. Two sum trees hold the leaves' characters and tokens. An edit (start,
-length, replacement) finds its leaves by descending the character tree, takes in the neighbours whose borders it
-touches, encodes that region alone, cuts it into leaves again if it has grown beyond twice LEAF, and updates the sums on the paths to the
-root; everything else stays. Places of an edit
+A text is split into its pre-tokens, the matches of the tokenizer's pattern, each with its own count of tokens, as no token spans two of
+them. Leaves hold runs of at most RUN pre-tokens; two sum trees over the leaves hold their characters and tokens. An edit (start,
+length, replacement) descends the character tree, goes back from there to the nearest pre-token that begins with white space after a
+non-space, with CONTEXT characters between (no match spans such a place, and none before it looks further), and splits anew from there: the
+edited text and some old pre-tokens after it, more of them until a new border meets an old one. From such a border on the old matches stand,
+as matching looks at nothing to its left. Only pre-tokens that the splitting changed are encoded again, and the sums
+on the paths to the root are updated; leaves that grow beyond twice RUN are cut. Places of an edit
 refer to the text after the edits before it; they are clamped to the text.
 
 Null and empty texts have one empty leaf; null edits count as none, null fields of an edit as 0 and "". Each row gives a
@@ -14,34 +16,36 @@ row, repeated rows too.
 from __future__ import annotations
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.byte_bpe import codec
 
-LEAF = 512
+RUN = 16
+CONTEXT = 2
+AHEAD = 4  # old pre-tokens after an edit that are split anew at first
 EDITS = "array<struct<start:int,length:int,text:string>>"
 
 
-def next_border(text: str, at: int) -> int:
-    """The first place at or after at where a space follows a non-space; the text's end if there is none."""
-    while True:
-        at = text.find(" ", max(at, 1))
-        if at < 0:
-            return len(text)
-        if not text[at - 1].isspace():
-            return at
-        at += 1
+class Pieces:
+    """Splits a text into pre-tokens and counts the tokens of each."""
 
+    def __init__(self, rank_file: str, pattern: str, memo: int = 200_000):
+        self._split, self._encode = regex.compile(pattern).findall, codec(rank_file, pattern).piece
+        self._known: dict[str, int] = {}
+        self._memo = memo
 
-def leaves(text: str, size: int = LEAF) -> list[str]:
-    out, at = [], 0
-    while True:
-        end = next_border(text, at + size) if at + size < len(text) else len(text)
-        out.append(text[at:end])
-        at = end
-        if at >= len(text):
-            return out
+    def split(self, text: str) -> list[str]:
+        return self._split(text)
+
+    def count(self, piece: str) -> int:
+        n = self._known.get(piece)
+        if n is None:
+            n = len(self._encode(piece))
+            if len(self._known) < self._memo and len(piece) < 64:
+                self._known[piece] = n
+        return n
 
 
 class SumTree:
@@ -76,61 +80,129 @@ class SumTree:
 
 
 class CountedText:
-    def __init__(self, text: str, count, size: int = LEAF):
-        self.count, self.size = count, size
-        self.leaves = leaves(text, size)
-        self.chars, self.tokens = SumTree([len(x) for x in self.leaves]), SumTree([count(x) for x in self.leaves])
-        self.redone = 0
+    """leaves: runs of (pre-token, tokens); redone: characters of pre-tokens that edits had encoded again."""
+
+    def __init__(self, text: str, pieces: Pieces, run: int = RUN):
+        self.pieces, self.run, self.redone = pieces, run, 0
+        each = [(p, pieces.count(p)) for p in pieces.split(text)]
+        self.leaves = [each[k : k + run] for k in range(0, len(each), run)] or [[]]
+        self.build()
+
+    def build(self) -> None:
+        self.chars = SumTree([sum(len(p) for p, _ in leaf) for leaf in self.leaves])
+        self.tokens = SumTree([sum(n for _, n in leaf) for leaf in self.leaves])
 
     def edit(self, start: int, length: int, text: str) -> None:
         n = self.chars.total()
         start = min(max(start, 0), n)
         end = min(start + max(length, 0), n)
-        first, begin = self.chars.find(start)
-        while first and begin >= start:  # the edit touches the border before this leaf
-            first -= 1
-            begin -= len(self.leaves[first])
-        last, stop = first, begin + len(self.leaves[first])
-        while last + 1 < len(self.leaves) and stop <= end:
-            last += 1
-            stop += len(self.leaves[last])
-        region = "".join(self.leaves[first : last + 1])
-        region = region[: start - begin] + text + region[end - begin :]
-        self.redone += len(region)
-        pieces = leaves(region, self.size) if len(region) > 2 * self.size else [region]
-        counts = [self.count(x) if x else 0 for x in pieces]
-        if len(pieces) > last + 1 - first:
-            self.grow(first, last, pieces, counts)
+        first, held, at = self.before(start)
+        old, last, stop = list(held), first, at + sum(len(p) for p, _ in held)  # pre-tokens from at on, through leaf last, to stop
+        ahead = AHEAD
+        while True:
+            past, k = at, 0  # the old pre-token k begins at past
+            while past < end or ahead:
+                if k == len(old):
+                    if stop == n:
+                        break
+                    last, more = self.after(last)
+                    old += more
+                    stop += sum(len(p) for p, _ in more)
+                ahead -= past >= end
+                past += len(old[k][0])
+                k += 1
+            whole = "".join(p for p, _ in old[:k])
+            region = whole[: start - at] + text + whole[end - at :]
+            found = self.pieces.split(region)
+            kept, left = self.met(found, old[:k], len(region), len(region) - (past - end), end - at, past == n)
+            if kept is not None:
+                break
+            ahead = 2 * k + AHEAD
+        new = [(p, self.pieces.count(p)) for p in found[:kept]]
+        self.redone += sum(len(p) for p, _ in new)
+        self.put(first, last, self.leaves[first][: len(self.leaves[first]) - len(held)], new + old[left:])
+
+    def before(self, start: int) -> tuple[int, list[tuple[str, int]], int]:
+        """The leaf, its pre-tokens and the place from which to split: a border before start that no edit there can move."""
+        leaf, begin = self.chars.find(start) if self.chars.total() else (0, 0)
+        while True:
+            places, at = [], begin
+            for k, (p, _) in enumerate(self.leaves[leaf]):
+                ahead = self.leaves[leaf][k - 1][0] if k else self.last_before(leaf)
+                if at + CONTEXT <= start and p[0] in " \t\n\r" and ahead and not ahead[-1].isspace():
+                    places.append((k, at))
+                at += len(p)
+            if places:
+                k, at = places[-1]
+                return leaf, self.leaves[leaf][k:], at
+            if not leaf:
+                return 0, self.leaves[0][:], 0
+            leaf -= 1
+            begin -= sum(len(p) for p, _ in self.leaves[leaf])
+
+    def last_before(self, leaf: int) -> str:
+        while leaf:
+            leaf -= 1
+            if self.leaves[leaf]:
+                return self.leaves[leaf][-1][0]
+        return ""
+
+    def after(self, leaf: int) -> tuple[int, list[tuple[str, int]]]:
+        """The next leaf that is not empty."""
+        leaf += 1
+        while not self.leaves[leaf]:
+            leaf += 1
+        return leaf, self.leaves[leaf]
+
+    def met(self, found: list[str], old: list[tuple[str, int]], size: int, tail: int, end: int, whole: bool) -> tuple[int | None, int]:
+        """How many found pre-tokens replace how many old ones: up to the first border that both have from tail on; None if they have none.
+
+        tail: where the text after the edit begins in the region of size characters; end: where it begins in the old one. The last CONTEXT
+        characters tell nothing, unless they end the text.
+        """
+        borders, at = {}, 0
+        for k, (p, _) in enumerate(old):
+            at += len(p)
+            borders.setdefault(at - end + tail, k + 1)
+        if tail == end == 0 and not old:
+            borders[0] = 0
+        at = 0
+        for k, p in enumerate(found):
+            at += len(p)
+            if at >= tail and at in borders and (at <= size - CONTEXT or whole):
+                return k + 1, borders[at]
+        return (len(found), len(old)) if whole else (None, 0)
+
+    def put(self, first: int, last: int, ahead: list, rest: list) -> None:
+        """Leaves first to last hold ahead and rest from now on; unchanged ones keep their sums, more leaves than there were make the trees anew."""
+        every = ahead + rest
+        parts = [every[k : k + self.run] for k in range(0, len(every), self.run)] if len(every) > 2 * self.run * (last - first + 1) else None
+        if parts is not None:
+            self.leaves[first : last + 1] = parts
+            self.build()
             return
+        step = max(self.run, -(-len(every) // (last - first + 1)))
         for k in range(first, last + 1):
-            own, n = (pieces[k - first], counts[k - first]) if k - first < len(pieces) else ("", 0)
+            own = every[(k - first) * step : (k - first + 1) * step]
             self.leaves[k] = own
-            self.chars.set(k, len(own))
-            self.tokens.set(k, n)
-
-    def grow(self, first: int, last: int, pieces: list[str], counts: list[int]) -> None:
-        """More leaves than there were: the trees are built again from the leaves' sums, without encoding."""
-        tokens = self.tokens.sums[self.tokens.width :][: len(self.leaves)]
-        self.leaves[first : last + 1] = pieces
-        tokens[first : last + 1] = counts
-        self.chars, self.tokens = SumTree([len(x) for x in self.leaves]), SumTree(tokens)
+            self.chars.set(k, sum(len(p) for p, _ in own))
+            self.tokens.set(k, sum(n for _, n in own))
 
     def text(self) -> str:
-        return "".join(self.leaves)
+        return "".join(p for leaf in self.leaves for p, _ in leaf)
 
 
-def count_edits(docs: DataFrame, rank_file: str, pattern: str, edits: str = "edits", size: int = LEAF, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def count_edits(docs: DataFrame, rank_file: str, pattern: str, edits: str = "edits", run_of: int = RUN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with n_before, n_after, n_edits, chars_after and redone (characters encoded again) of each row's text and edits."""
     given = docs.select(*keep, docs["text"].cast("string").alias("text_to_count"), docs[edits].cast(EDITS).alias("edits_to_apply"))
     names = [*given.columns[:-2], "n_before", "n_after", "n_edits", "chars_after", "redone"]
 
     def run(batches):
-        merge = codec(rank_file, pattern).encode
-        count = lambda s: len(merge(s))
+        pieces = Pieces(rank_file, pattern)
         for batch in batches:
             rows = []
             for text, wanted in zip(*(batch.column(len(keep) + i).to_pylist() for i in range(2)), strict=True):
-                counted = CountedText(text or "", count, size)
+                counted = CountedText(text or "", pieces, run_of)
                 before = counted.tokens.total()
                 wanted = [e for e in wanted or [] if e is not None]
                 for e in wanted:

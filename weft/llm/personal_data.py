@@ -2,14 +2,15 @@
 
 Base spans (e-mail, IP, card, phone) come from patterns and checks, leftmost and non-overlapping within a kind.
 They are observed nodes of the field. Further nodes are mentions outside them: digit groups and words.
-Neighbouring mentions share chain potentials. Each normal form (the same digits in other separators, a
-phone's national number, an address's local part) has one hub that holds the labels of its base spans, and
-every open mention of the form has a skip edge to it wherever it stands in the document. Hubs are observed, so
-repeats do not weaken each other and the open nodes form a chain, on which sum-product settles exactly. An open
-mention whose likeliest label is an entity becomes an added span; documents without base spans have none.
+Neighbouring mentions share chain potentials. Distant mentions of one normal form (the same digits in other separators, a phone's
+national number, an address's local part), wherever they stand, share a hub: a latent label, to which each of them has a skip edge that rewards
+agreement, so edges grow with the mentions, not with their pairs. A form has a hub if a base span or at least two mentions of REPEATED
+digits or more bear it. A base span's edge counts once for itself and once for each open mention of the form, so that repeats, which know
+nothing by themselves, do not outvote it. Chains and hubs form loops; damped sum-product messages run along all
+edges both ways until they settle (in ROUNDS at most). An open mention with a hub whose likeliest label is an entity becomes an added span.
 
 Training: node, chain and skip weights maximise the mean log pseudo-likelihood of the known labels (base spans, and
-mentions like none of them, which are other) given neighbours and the other base spans of their form, less PULL times the squared distance from
+mentions like none of them, which are other) given neighbours and their form's hub, which stands at the likeliest label that the other base spans give it, less PULL times the squared distance from
 the prior weights; so weights keep their scale at any sample size: that base patterns never match a form is no proof that it holds no
 entity. Known mentions of at most about MAX_SAMPLE documents (by hash of the id) are counted in Spark by form, neighbours, hub and label, a closed set of cells, and
 the gradient runs over the cells; everything else reads all rows. Null and empty texts give no spans;
@@ -36,6 +37,8 @@ NONE = len(LABELS)  # no neighbour, or one of unknown label; no other base span
 SKIP_PRIOR = math.log(800)
 FORM_PRIOR = (0.6, 0.1, 0.1, 0.1, 0.1)
 PULL, STEPS = 0.02, 400
+REPEATED = 7
+ROUNDS, DAMPING, SETTLED = 200, 0.5, 1e-6
 
 EMAIL_END = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -103,7 +106,7 @@ class Node:
 
 
 def mentions(text: str, base: list[tuple[int, int, str]]) -> list[Node]:
-    """Base spans and the mentions like one of them, in text order, with the normal forms that skip edges go by."""
+    """Base spans and the mentions outside them, in text order, with the normal forms whose hubs they have edges to."""
     nodes, wanted = [], set()
     for a, b, kind in base:
         keys = normal_forms(text[a:b], kind)
@@ -112,14 +115,32 @@ def mentions(text: str, base: list[tuple[int, int, str]]) -> list[Node]:
     covered = np.zeros(len(text) + 1, bool)
     for a, b, _ in base:
         covered[a:b] = True
+    again: Counter = Counter()
     for pattern in (NUMBER, NAME):
         for m in pattern.finditer(text):
             a, b = m.span()
             if (pattern is NUMBER or LETTER.search(m[0])) and not covered[a:b].any():
-                nodes.append(Node(a, b, shape(m[0]), 0, False, tuple(k for k in normal_forms(m[0], None) if k in wanted)))
+                keys = normal_forms(m[0], None)
+                again.update(keys if pattern is NUMBER else ())
+                nodes.append(Node(a, b, shape(m[0]), 0, False, keys))
+    wanted.update(k for k, n in again.items() if n > 1 and len(k) >= len("digits:") + REPEATED)
+    for n in nodes:
+        n.keys = tuple(k for k in n.keys if k in wanted)
     return sorted(nodes, key=lambda n: (n.start, n.end))
 
 
+def repeats(text: str) -> bool:
+    """Whether some digits, REPEATED or more, are written twice."""
+    seen = set()
+    for m in NUMBER.finditer(text):
+        digits = "".join(DIGIT.findall(m[0]))
+        if len(digits) >= REPEATED:
+            if digits in seen:
+                return True
+            seen.add(digits)
+    return False
+
+
 def normal_forms(said: str, kind: str | None) -> tuple[str, ...]:
     """Forms two mentions must share to be linked; of one that is no base span, all it may stand for."""
     digits = "".join(DIGIT.findall(said))
@@ -191,39 +212,66 @@ def hubs(nodes: list[Node]) -> dict[str, list[int]]:
     return out
 
 
+def agreeing(sent: np.ndarray, skip: float) -> np.ndarray:
+    """What messages (rows of log weights of labels) become across an edge that rewards agreement by skip."""
+    top = sent.max(axis=1, keepdims=True)
+    new = np.log(np.exp(sent - top).sum(axis=1, keepdims=True) + np.exp(sent - top) * (math.exp(skip) - 1))
+    return new - new.max(axis=1, keepdims=True)
+
+
+def across(sent: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """What messages become across chain edges with the log potentials pair."""
+    new = sent[:, :, None] + pair
+    top = new.max(axis=1, keepdims=True)
+    new = np.log(np.exp(new - top).sum(axis=1)) + top[:, 0]
+    return new - new.max(axis=1, keepdims=True)
+
+
 def marginals(nodes: list[Node], w: Weights) -> np.ndarray:
-    """Label probabilities by sum-product in the log domain: messages of the hubs, then along the chain until they settle."""
-    unary = np.array([w.potential(n.form) if not n.observed else np.where(np.arange(len(LABELS)) == n.label, 0.0, -1e3) for n in nodes])
-    like = np.exp(np.eye(len(LABELS)) * w.skip)
-    said = {key: np.log(np.bincount(each, minlength=len(LABELS)) / len(each) @ like) for key, each in hubs(nodes).items()}
-    for k, n in enumerate(nodes):
-        if not n.observed:
-            unary[k] += sum(said[key] for key in n.keys)
+    """Label probabilities by loopy sum-product in the log domain: chain and skip messages in turn, skip messages damped, until none changes."""
+    n, own = len(LABELS), np.arange(len(LABELS))
+    unary = np.array([w.potential(x.form) if not x.observed else np.where(own == x.label, 0.0, -1e3) for x in nodes])
+    edges = [(k, key) for k, x in enumerate(nodes) if not x.observed for key in x.keys]
+    keys = {key: k for k, key in enumerate(dict.fromkeys(key for _, key in edges))}
+    node, hub = (np.array(c, dtype=np.int64) for c in ([k for k, _ in edges], [keys[key] for _, key in edges]))
+    held = np.zeros((len(keys), n))  # what base spans say to the hubs
+    open_ = np.bincount(hub, minlength=len(keys))
+    for key, labels in hubs(nodes).items():
+        if key in keys:
+            held[keys[key]] += w.skip * (1 + open_[keys[key]]) * np.bincount(labels, minlength=n)
+    to_hub, to_node = np.zeros((len(edges), n)), np.zeros((len(edges), n))
     right, left = np.zeros_like(unary), np.zeros_like(unary)  # from the node before, from the node after
 
-    def passed(sent, pair):
-        new = sent[:, :, None] + pair
-        top = new.max(axis=1, keepdims=True)
-        new = np.log(np.exp(new - top).sum(axis=1)) + top[:, 0]
-        return new - new.max(axis=1, keepdims=True)
+    def gathered(at, rows, messages):
+        out = np.zeros((rows, n))
+        np.add.at(out, at, messages)
+        return out
 
-    for _ in range(len(nodes)):  # exact after as many rounds as nodes at the latest
-        to_right, to_left = passed((unary + right)[:-1], w.chain), passed((unary + left)[1:], w.chain.T)
+    for _ in range(ROUNDS):
+        local = unary + gathered(node, len(nodes), to_node)
+        to_right, to_left = across((local + right)[:-1], w.chain), across((local + left)[1:], w.chain.T)
         change = max(np.abs(to_right - right[1:]).max(initial=0), np.abs(to_left - left[:-1]).max(initial=0))
         right[1:], left[:-1] = to_right, to_left
-        if change < 1e-6:
+        if edges:
+            belief = local + right + left
+            up = DAMPING * to_hub + (1 - DAMPING) * agreeing(belief[node] - to_node, w.skip)
+            whole = held + gathered(hub, len(keys), up)
+            down = DAMPING * to_node + (1 - DAMPING) * agreeing(whole[hub] - up, w.skip)
+            change = max(change, np.abs(up - to_hub).max(), np.abs(down - to_node).max())
+            to_hub, to_node = up, down
+        if change < SETTLED:
             break
-    belief = unary + right + left
+    belief = unary + gathered(node, len(nodes), to_node) + right + left
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], w: Weights) -> list[tuple[int, int, str]]:
-    if not base:
+    if not base and not (text and DIGIT.search(text) and repeats(text)):
         return []
     nodes = mentions(text, base)
     if not any(n.keys and not n.observed for n in nodes):
-        return []  # no open mention is like a base span
+        return []  # no open mention is like a base span or another
     p = marginals(nodes, w)
     best = p.argmax(axis=1)
     return [(n.start, n.end, LABELS[k]) for n, k in zip(nodes, best, strict=True) if not n.observed and n.keys and k]
@@ -231,8 +279,8 @@ def added_spans(text: str, base: list[tuple[int, int, str]], w: Weights) -> list
 
 def known_cells(nodes: list[Node]) -> Counter:
     """(form, label before, label after, hub's label, label) of every mention whose label is known, with how often each occurs."""
-    known = [n.label if n.observed or not n.keys else NONE for n in nodes]
     each, seen = hubs(nodes), Counter()
+    known = [n.label if n.observed or not any(key in each for key in n.keys) else NONE for n in nodes]
     for k, n in enumerate(nodes):
         if known[k] != NONE:
             others = Counter(x for key in n.keys for x in each.get(key, ()))
