@@ -7,25 +7,33 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
-def xray(spark):
+def service(spark):
     return api.Service(g.nodes(spark, SF), g.edges(spark, SF), g.lineage(spark, SF), g.evidence(spark, SF))
 
 
-def test_entry_points(xray):
-    assert xray.health().first().nodes > 0
-    assert xray.search("nation.1", 3).count() == 3
-    root = xray.search("spcol", 1).first().id
-    found = xray.trace_field(root)
+def test_entry_points(service):
+    assert service.health().first().nodes > 0
+    assert service.search("nation.1", 3).count() == 3
+    root = service.search("spcol", 1).first().id
+    found = service.trace_field(root)
     assert found["hops"].count() == 2 and found["sets"].where("kind = 'node'").count() >= 4
-    assert xray.explain(root).count() >= 1
-    assert xray.investigate(root)["verdict"].first().verdict in ("Known", "NeedMoreEvidence")
-    assert xray.graph("page:region.1", 1)["nodes"].count() > 1
-    assert xray.traces().count() > 0 and "read_system_parameter" in xray.tools()
-
-
-def test_errors(xray):
-    for call in (lambda: xray.node("none:x"), lambda: xray.impact("none:x"), lambda: xray.trace_field("nothing"), lambda: xray.trace("t")):
+    assert [r.hop for r in found["hops"].orderBy("hop").collect()] == [1, 2] and not found["truncated"].first().truncated
+    said = service.explain(root).first()
+    assert said.verdict in ("Known", "NeedMoreEvidence") and said.facts and said.steps[0].startswith(f"Took {root} (ResultColumn") and said.note == "explain"
+    run = service.traces().first().trace_id
+    open_ = service.investigate(root, trace_id=run.upper(), scope="U1", language="zh-CN")
+    row = open_["explanation"].first()
+    assert row.verdict == "NeedMoreEvidence" and row.confidence <= 0.9 and "没有" in row.unknowns[-1] and open_["values"].count() == 0
+    assert set(row.cited) <= {i for f in row.facts for i in f.ids} and row.note == "investigate"
+    told = service.impact_summary("param:supplier.1")
+    assert told["explanation"].first().affected > 0 and told["facts"].count() >= 1
+    assert service.graph("page:region.1", 1)["nodes"].count() > 1
+    assert service.traces().count() > 0 and "read_system_parameter" in service.tools()
+
+
+def test_errors(service):
+    for call in (lambda: service.node("none:x"), lambda: service.impact("none:x"), lambda: service.trace_field("nothing"), lambda: service.trace("t")):
         with pytest.raises(api.NotFound):
             call()
     with pytest.raises(api.BadArgument):
-        xray.search(" ")
+        service.search(" ")

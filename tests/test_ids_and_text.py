@@ -28,15 +28,28 @@ def test_redaction(spark):
     assert one(spark, safe)[0] == {"ApiKey": "[redacted]", "note": "ip [redacted]", "gone": None}
 
 
+def test_redacted_json_keeps_numbers_and_odd_text(spark):
+    cases = {
+        '{"a": 1.10, "b": 1e400, "c": -0, "d": 12345678901234567890, "pwd": 5}': '{"a":1.10,"b":1e400,"c":-0,"d":12345678901234567890,"pwd":"[redacted]"}',
+        r'{"a": "\ud800", "b": "\ud83d\ude00"}': r'{"a":"\ud800","b":"😀"}',
+        '{"Token": {"x": "1.2.3.4", "host": null}, "user": ["a@b.cd", true]}': '{"Token":{"x":"[redacted]","host":null},"user":["[redacted]",true]}',
+        '"pwd=x"': '"pwd=[redacted]"', "[]": "[]", "null": "null", '"١.١.١.١ ü@ü.de"': '"١.١.١.١ ü@ü.de"',
+        "NaN": None, "{": None, "": None, "[" * 100_000: None, '{"k": 1, "k": 2}': '{"k":2}',
+    }
+    rows = spark.createDataFrame([(k, *kv) for k, kv in enumerate([*cases.items(), (None, None)])], "k int, given string, want string")
+    for r in rows.withColumn("got", T.redact_json(F.col("given"))).collect():
+        assert r.got == r.want, r.given
+
+
 def test_gateway_rules(spark):
     call = lambda tool, **a: T.denial(F.lit(tool), F.create_map(*[F.lit(x) for kv in a.items() for x in kv]) if a else F.create_map().cast("map<string,string>"))
     whys = one(
         spark, call(" "), call("EXECUTE_SQL", a="b"), call("Trace_pick_order", orderNo="1"), call("trace_material", orderNo="O1"), call("trace_pick_order", orderNo="x" * 101), call("trace_pick_order", orderNo="a..b"),
         call("trace_pick_order", orderNo="1 union 2"), call("trace_pick_order", orderNo="O-1", pickGroup=""), call("trace_pick_order", orderNo="PICK 1"),
     )
-    assert whys[0] == "Tool name is required." and "forbidden by policy" in whys[1] and "not a whitelisted tool" in whys[2]
-    assert whys[3] == "Argument 'materialNo' is required for trace_material." and "exceeds 100" in whys[4] and "allowed set" in whys[5]
-    assert "SQL fragment" in whys[6] and "allowed set" in whys[7] and whys[8] is None
+    assert whys[0] == "The call names no tool." and "forbidden by policy" in whys[1] and "none of the tools" in whys[2]
+    assert whys[3] == "trace_material needs a value for 'materialNo'." and "longer than 100" in whys[4] and "may hold only" in whys[5]
+    assert "reads like SQL" in whys[6] and "may hold only" in whys[7] and whys[8] is None
 
 
 def test_values_and_confidence(spark):

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators import explain as rules
-from weft.operators import runtime, trace, traverse
+from weft.operators import rules, runtime, trace, traverse
+from weft.operators.bundles import Bundles, bundles
 from weft.operators.shared import kept
+from weft.operators.walks import Adjacency, truncated
 from weft.sources import snapshots
 
 
@@ -36,6 +37,14 @@ class Service:
     fixtures: DataFrame | None = None
     cases_: DataFrame | None = None
     audit_log: DataFrame | None = None
+    notes: DataFrame | None = None
+    index: Adjacency | None = None
+
+    def indexed(self) -> Adjacency:
+        """The adjacency of the graph, written once, sorted by node, and read by every trace after it."""
+        if self.index is None:
+            self.index = Adjacency.of(self.edges, self.nodes)
+        return self.index
 
     def health(self) -> DataFrame:
         n = self.nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("status") == "Unknown").alias("unknown"), F.count_if(F.col("status") == "Pending").alias("pending"))
@@ -74,24 +83,48 @@ class Service:
             raise BadArgument("no text")
         return traverse.search(self.nodes, text, limit)
 
-    def trace_field(self, field: str, scope: str | None = None) -> dict[str, DataFrame]:
+    def trace_field(self, field: str, scope: str | None = None, trace_id: str | None = None) -> dict[str, DataFrame]:
+        """root, hops (in the walk's order; shown: the order of display), sets (kind, id), execution_path, unknowns, truncated; with evidence also values: of the run, if one is given."""
+        root, b = self._bundled(field, scope, trace_id)
+        on = ["parent", "node_id", "edge_id", "fallback"]
+        shown = b.hops.select(F.col("edge_id"), F.col("hop").alias("shown"), "node_id", "depth", "is_repeat")
+        hops = b.found.where("hop > 0").join(b.links, on).join(shown, ["edge_id", "node_id", "depth", "is_repeat"])
+        tag = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col(df.columns[0]).alias("id"))
+        unknown = b.gaps.select("node_id").distinct()
+        out = {
+            "root": self.nodes.where(F.col("id") == root), "hops": hops.select("hop", "shown", "parent", "node_id", "edge_id", "relation", "depth", "is_repeat", "transform", "expression", "condition", "confidence", "lineage_ids"),
+            "sets": tag("node", b.nodes.select("node_id")).union(tag("edge", b.edges.select("edge_id"))).union(tag("unknown", unknown)).union(tag("evidence", b.cited.select("id"))),
+            "execution_path": b.path.select("seq", "node_id", "name", "type"), "unknowns": b.gaps.select("node_id", "name", "type", "reason"), "truncated": truncated(b.found).select("truncated"),
+        }
+        if self.evidence is not None:
+            out["values"] = b.values if trace_id else trace.overlay(b.found.select("node_id"), self.evidence, scope)
+        return out
+
+    def _bundled(self, field: str, scope: str | None = None, trace_id: str | None = None, language: str = "en", investigate: bool = False, allowed: list[str] | None = None) -> tuple[str, Bundles]:
         try:
             root = trace.resolve(self.nodes, field)
         except trace.FieldNotFound as e:
             raise NotFound(str(e)) from e
-        found = kept(trace.with_lineage(trace.hops(self.edges, self.nodes, root), self.edges, self.lineage))
-        out = {"root": self.nodes.where(F.col("id") == root), "hops": found, "sets": trace.trace_sets(self.edges, self.nodes, self.lineage, root)}
-        if self.evidence is not None:
-            every = found.select("node_id").union(out["root"].select("id"))
-            out["values"] = trace.overlay(every, self.evidence, scope)
-        return out
+        spark, evidence = self.nodes.sparkSession, self.evidence if trace_id else None
+        if evidence is not None:
+            evidence = evidence.withColumn("id", F.col("id" if "id" in evidence.columns else "event_id").cast("string"))
+            evidence = evidence if "label" in evidence.columns else evidence.withColumn("label", F.lit(None).cast("string"))
+            environment = evidence.where(F.lower("trace_id") == trace_id.lower()).agg(F.min(F.col("environment"))).first()[0] if "environment" in evidence.columns else None
+        else:
+            environment = None
+        one = spark.createDataFrame([(0, root, trace_id, scope, environment, language, investigate)], "request_id int, root string, trace_id string, scope string, environment string, language string, investigate boolean")
+        listed = spark.createDataFrame([(0, i) for i in allowed], "request_id int, id string") if allowed else None
+        return root, bundles(one, self.nodes, self.edges, self.lineage, evidence, self.notes if trace_id else None, listed, self.indexed())
 
     def impact(self, node_id: str, max_depth: int = traverse.IMPACT_DEPTH) -> dict[str, DataFrame]:
         affected = kept(traverse.impact(self.edges, self.nodes, self._known(node_id), max_depth))
         return {"affected": affected, "summary": traverse.impact_summary(affected), "key_paths": traverse.key_paths(affected)}
 
-    def impact_summary(self, node_id: str) -> DataFrame:
-        return self.impact(node_id)["summary"]
+    def impact_summary(self, node_id: str, language: str = "en") -> dict[str, DataFrame]:
+        """What a change reaches, in words: facts of the key paths, unknowns on the way, and one row with verdict and confidence; summary counts by type."""
+        affected = kept(traverse.impact(self.edges, self.nodes, self._known(node_id)))
+        facts, unknowns, head = rules.impact_explained(affected, self.nodes, node_id, language)
+        return {"facts": facts, "unknowns": unknowns, "explanation": head, "summary": traverse.impact_summary(affected)}
 
     def traces(self) -> DataFrame:
         return self.evidence.groupBy("trace_id").agg(F.count(F.lit(1)).alias("evidence"), F.array_sort(F.collect_set(F.lower("scope"))).alias("scopes"))
@@ -124,22 +157,16 @@ class Service:
     def audit(self, count: int = 50) -> DataFrame:
         return runtime.recent_audit(self.audit_log, min(max(count, 1), 500))
 
-    def explain(self, field: str, language: str = "en") -> DataFrame:
-        """Facts about a field's hops, each with the ids it cites, in stage and hop order."""
-        hops = self.trace_field(field)["hops"].withColumn("request_id", F.lit(field))
-        return rules.hop_facts(hops, language).orderBy("stage", "hop")
-
-    def investigate(self, field: str, scope: str | None = None, language: str = "en") -> dict[str, DataFrame]:
-        """explain(), with the observed values of the scope and the verdict they and the unknown nodes allow."""
-        found = self.trace_field(field, scope)
-        facts = rules.hop_facts(found["hops"].withColumn("request_id", F.lit(field)), language)
-        gaps = found["sets"].where("kind = 'unknown'").agg(F.count(F.lit(1)).alias("gaps"))
-        counts = facts.agg(F.count(F.lit(1)).alias("facts")).crossJoin(gaps)  # one row each
-        from weft.functions.text import confidence
-
-        seen = F.lit("values" in found)
-        verdict = counts.select(rules.verdict(F.col("facts"), F.col("gaps") > 0, F.lit(False)).alias("verdict"), confidence(F.col("facts"), F.col("gaps"), seen, F.lit(0), F.lit(False)).alias("confidence"))
-        return {"facts": facts, "verdict": verdict} | ({"values": found["values"]} if "values" in found else {})
+    def explain(self, field: str, language: str = "en", trace_id: str | None = None, scope: str | None = None, allowed: list[str] | None = None) -> DataFrame:
+        """One row that explains a field: summary, steps, facts with the ids they cite, unknowns, next steps, verdict and confidence."""
+        return self._bundled(field, scope, trace_id, language, False, allowed)[1].explained().narrative().drop("request_id")
+
+    def investigate(self, field: str, scope: str | None = None, language: str = "en", trace_id: str | None = None, allowed: list[str] | None = None) -> dict[str, DataFrame]:
+        """explain() with hypotheses for the value that the run shows; its parts as tables, too."""
+        _, b = self._bundled(field, scope, trace_id, language, True, allowed)
+        told = b.explained()
+        parts = {"explanation": told.narrative(), "facts": told.facts, "hypotheses": told.hypotheses, "next_steps": told.next_steps, "verdict": told.verdicts}
+        return {name: df.drop("request_id") for name, df in parts.items()} | ({"values": b.values} if b.values is not None else {})
 
     def _known(self, node_id: str) -> str:
         if not self.nodes.where(F.col("id") == node_id).limit(1).count():

@@ -163,9 +163,9 @@ def calls(spark, sf_dir):
     return rows.select("seq", "tool", named.alias("arguments"), "key", "arg")
 
 
-WHY = f"""CASE WHEN tool = '' THEN 'Tool name is required.' WHEN tool = 'Execute_SQL' THEN '''Execute_SQL'' is forbidden by policy: this runtime only reads; it runs no free SQL and changes no data.'
-WHEN tool = 'drop_all' THEN '''drop_all'' is not a whitelisted tool. Allowed: {', '.join(T.TOOLS)}.' WHEN arg = ' ' THEN 'Argument ''' || a || ''' is required for ' || tool || '.'
-WHEN arg IN ('a; b', '../x') THEN 'Argument ''' || a || ''' contains characters outside the allowed set [A-Za-z0-9 _.:-] (no path separators or ''..'').' WHEN arg = 'x select y' THEN 'Argument ''' || a || ''' looks like a SQL fragment and was rejected.' END"""
+WHY = f"""CASE WHEN tool = '' THEN 'The call names no tool.' WHEN tool = 'Execute_SQL' THEN '''Execute_SQL'' is forbidden by policy: this runtime only reads; it runs no free SQL and changes no data.'
+WHEN tool = 'drop_all' THEN '''drop_all'' is none of the tools: {', '.join(T.TOOLS)}.' WHEN arg = ' ' THEN tool || ' needs a value for ''' || a || '''.'
+WHEN arg IN ('a; b', '../x') THEN 'The value of ''' || a || ''' may hold only letters, digits, spaces and _ . : -, and no two dots together.' WHEN arg = 'x select y' THEN 'The value of ''' || a || ''' reads like SQL.' END"""
 CALL_ROWS = f"calls AS (SELECT *, CASE tool WHEN 'trace_material' THEN 'materialNo' WHEN 'read_system_parameter' THEN 'name' ELSE 'orderNo' END AS a FROM ({g.plain(CALLS)}) x), judged AS (SELECT *, {WHY} AS why FROM calls)"
 
 
