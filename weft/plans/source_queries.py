@@ -9,6 +9,7 @@ from weft.functions.text import squeezed, truncated
 from weft.plans.registry import query
 from weft.sources import bench_graph as g
 from weft.sources import source_text as s
+from weft.sources import token_rows
 
 SQL_TEXTS = """SELECT 'p' || CAST(p_partkey AS STRING) AS path, CASE WHEN p_partkey % 11 = 0 THEN '-- nothing here' WHEN p_partkey % 13 = 0 THEN 'CREATE PROCEDURE dbo.Broken AS SELECT (1' ELSE
 '/* ' || p_name || ' */ CREATE ' || CASE WHEN p_size % 2 = 0 THEN 'PROCEDURE' ELSE 'FUNCTION' END || ' [dbo].[Obj' || CAST(p_partkey AS STRING) || '] (@OrderNo int, @Zone nvarchar(10)) AS
@@ -153,3 +154,66 @@ def h5_methods(spark, sf_dir):
     methods = s.cs_methods(texts)
     returns = s.cs_return_edges(methods, s.cs_models(texts)).select(F.col("src").alias("method_id"), F.col("dst").alias("returns"))
     return methods.join(returns, "method_id", "left")
+
+
+# Nested branches around assignments, a procedure for each part: a third has an ELSE IF, quoted words and CASE inside try to mislead.
+NESTED_SQL = """SELECT 'n' || CAST(p_partkey AS STRING) AS path, '/* IF 1 = 1 */ CREATE PROCEDURE dbo.N' || CAST(p_partkey AS STRING) || ' @Zone int AS
+BEGIN
+  DECLARE @Use bit = ' || CAST(p_size % 2 AS STRING) || ', @Other int, @Text nvarchar(20) = N''IF BEGIN END''
+  IF EXISTS (SELECT 1 FROM dbo.T' || CAST(p_size AS STRING) || ' WHERE x = 1)
+  BEGIN
+    SET @Use = 1;
+    IF @Zone = ' || CAST(p_size AS STRING) || '
+    BEGIN
+      BEGIN TRAN
+      IF @Zone > 3 SET @Other = CASE WHEN @Zone = 4 THEN 5 ELSE 6 END
+      ELSE SELECT @Other = MAX(f.y), @Use = 0 FROM dbo.F f WHERE @Zone = f.z
+      COMMIT
+    END
+  END
+' || CASE WHEN p_partkey % 3 = 0 THEN '  ELSE IF @Zone = 9 BEGIN SET @Use = NULL END
+' ELSE '' END || '  ELSE BEGIN SET @Other = 8 END
+END' AS text FROM {part}"""
+
+NESTED_ROWS = """a AS (SELECT 'n' || CAST(p_partkey AS STRING) AS path, p_partkey AS k, 'EXISTS (SELECT 1 FROM dbo.T' || CAST(p_size AS STRING) || ' WHERE x = 1)' AS e, '@Zone = ' || CAST(p_size AS STRING) AS z, CAST(p_size % 2 AS STRING) AS first FROM part),
+r AS (SELECT path, 1 AS n, '@Use' AS variable, 'declare' AS kind, first AS value, '' AS guards FROM a UNION ALL SELECT path, 2, '@Text', 'declare', 'N''IF BEGIN END''', '' FROM a UNION ALL SELECT path, 3, '@Use', 'set', '1', e FROM a
+UNION ALL SELECT path, 4, '@Other', 'set', 'CASE WHEN @Zone = 4 THEN 5 ELSE 6 END', e || ' AND ' || z || ' AND @Zone > 3' FROM a UNION ALL SELECT path, 5, '@Other', 'select', 'MAX(f.y)', e || ' AND ' || z || ' AND NOT (@Zone > 3)' FROM a
+UNION ALL SELECT path, 6, '@Use', 'select', '0', e || ' AND ' || z || ' AND NOT (@Zone > 3)' FROM a UNION ALL SELECT path, 7, '@Use', 'set', 'NULL', 'NOT (' || e || ') AND @Zone = 9' FROM a WHERE k % 3 = 0
+UNION ALL SELECT path, 8, '@Other', 'set', '8', 'NOT (' || e || ')' || CASE WHEN k % 3 = 0 THEN ' AND NOT (@Zone = 9)' ELSE '' END FROM a)"""
+
+
+@query(f"WITH {NESTED_ROWS} SELECT path, variable, kind, value, guards FROM r")
+def f10_guarded_assignments(spark, sf_dir):
+    """Guard stacks three deep, with NOT (label) under ELSE, around DECLARE, SET and SELECT of local variables (F3, F10, F18)."""
+    rows = token_rows.sql_assignments(g.frame(spark, sf_dir, NESTED_SQL))
+    return rows.select("path", "variable", "kind", "value", F.array_join("guards", " AND ").alias("guards"))
+
+
+@query(f"WITH {NESTED_ROWS} SELECT path, variable, variable || ' = ' || string_agg(value || CASE WHEN guards <> '' THEN ' WHEN ' || guards ELSE '' END, ' -> ' ORDER BY n) AS note FROM r GROUP BY path, variable")
+def f25_variable_notes(spark, sf_dir):
+    return token_rows.variable_notes(token_rows.sql_assignments(g.frame(spark, sf_dir, NESTED_SQL)))
+
+
+NESTED_CS = """SELECT 'm' || CAST(c_custkey AS STRING) AS path, 'public class Service' || CAST(c_custkey AS STRING) || ' { // if (Hidden) { Never(); }
+  public async Task<Details> GetDetails(string no) {
+    var order = await _query.GetHeader(no);
+    if (order.IsMulti && order.Size > ' || CAST(c_nationkey AS STRING) || ') { rows = GetMulti(order); if (order.Note == ")}") Log("if (x) {"); }
+' || CASE WHEN c_custkey % 2 = 0 THEN '    else if (order.IsSingle) rows = GetSingle(order);
+' ELSE '' END || '    else { rows = GetRows(order); }
+    return Build(rows);
+  }
+  public int Short(Order o) => Count(o);
+}' AS text FROM {customer}"""
+
+CS_CASES = """c AS (SELECT 'm' || CAST(c_custkey AS STRING) AS path, c_custkey % 2 = 0 AS two, 'order.IsMulti && order.Size > ' || CAST(c_nationkey AS STRING) AS multi, 'order.Note == ")}"' AS deep FROM customer)"""
+
+
+@query(f"""WITH {CS_CASES} SELECT path, 'GetDetails' AS method, 'GetHeader' AS callee, CAST(NULL AS STRING) AS condition, CAST(NULL AS STRING) AS branch FROM c UNION ALL SELECT path, 'GetDetails', 'GetMulti', multi, 'then' FROM c UNION ALL SELECT path, 'GetDetails', 'Log', deep, 'then' FROM c
+UNION ALL SELECT path, 'GetDetails', 'GetSingle', 'order.IsSingle', 'then' FROM c WHERE two UNION ALL SELECT path, 'GetDetails', 'GetRows', CASE WHEN two THEN 'order.IsSingle' ELSE multi END, 'else' FROM c UNION ALL SELECT path, 'GetDetails', 'Build', NULL, NULL FROM c UNION ALL SELECT path, 'Short', 'Count', NULL, NULL FROM c""")
+def h13_guarded_calls(spark, sf_dir):
+    return token_rows.cs_guarded_calls(g.frame(spark, sf_dir, NESTED_CS)).select("path", "method", "callee", "condition", "branch")
+
+
+@query(f"""WITH {CS_CASES} SELECT path, 'GetDetails' AS method, 'IsMulti' AS member, multi AS condition, true AS has_else FROM c UNION ALL SELECT path, 'GetDetails', 'Size', multi, true FROM c UNION ALL SELECT path, 'GetDetails', 'Note', deep, false FROM c UNION ALL SELECT path, 'GetDetails', 'IsSingle', 'order.IsSingle', true FROM c WHERE two""")
+def h12_branch_reads(spark, sf_dir):
+    return token_rows.cs_branch_reads(g.frame(spark, sf_dir, NESTED_CS))
