@@ -60,3 +60,22 @@ def test_assignments_with_their_guards(spark):
     notes = {r.variable: r.note for r in t.variable_notes(rows.where("path = 'p'")).collect()}
     assert notes["@Name"] == "@Name = N'IF BEGIN'" and notes["@Use"].startswith(f"@Use = 0 -> 1 WHEN {exists} -> MAX(f.y) WHEN {exists} AND NOT (@Zone = 2) -> NULL WHEN ")
     assert t.sql_assignments(files.limit(0)).count() == 0
+
+
+ARMS = """CREATE PROCEDURE dbo.U AS
+SELECT TOP 5 a.Number, [Zone Name] = z.name, CASE WHEN a.x IN (1, 2) THEN 'p, q' ELSE NULL END AS Kind, COUNT(*) total FROM dbo.A a, dbo.Z z WHERE a.y IN (SELECT y, w FROM dbo.B)
+UNION ALL SELECT b.no, b.zone, 'x', 1 FROM (SELECT no, zone FROM dbo.B) b
+EXCEPT SELECT 1, NULL, (SELECT MAX(k), 2 FROM dbo.K), 3;
+SELECT DISTINCT @x AS only"""
+
+
+def test_arms_by_position(spark):
+    files = spark.createDataFrame([("u", ARMS), ("v", None), ("w", "no list here, at all")], "path string, text string")
+    arms = t.sql_arms(files)
+    got = [(r.query, r.arm, r.position, r.item, r.alias) for r in arms.orderBy("query", "arm", "position").collect()]
+    assert [g[:4] for g in got] == [
+        (1, 1, 1, "a.Number"), (1, 1, 2, "[Zone Name] = z.name"), (1, 1, 3, "CASE WHEN a.x IN (1, 2) THEN 'p, q' ELSE NULL END AS Kind"), (1, 1, 4, "COUNT(*) total"),
+        (1, 2, 1, "b.no"), (1, 2, 2, "b.zone"), (1, 2, 3, "'x'"), (1, 2, 4, "1"), (1, 3, 1, "1"), (1, 3, 2, "NULL"), (1, 3, 3, "(SELECT MAX(k), 2 FROM dbo.K)"), (1, 3, 4, "3"), (2, 1, 1, "@x AS only"),
+    ]
+    columns = {(r.query, r.position): (r.name, r["items"]) for r in t.sql_result_columns(arms).collect()}
+    assert columns[1, 1] == ("Number", ["a.Number", "b.no", "1"]) and columns[1, 2][0] == "Zone Name" and columns[1, 3][0] == "Kind" and columns[1, 4] == ("total", ["COUNT(*) total", "1", "3"]) and columns[2, 1][0] == "only"

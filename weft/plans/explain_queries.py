@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
-from weft.operators import client, explain
+from weft.operators import client, explain, rules
 from weft.plans.registry import query
 from weft.sources import bench_graph as g
 
@@ -34,7 +34,7 @@ def e1_hops(spark, sf_dir):
 def e2_notes(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     said = F.concat(F.lit("@Status = "), "o_orderstatus", F.lit("; @Priority = "), "o_orderpriority", F.lit("; "))
-    return orders.select("o_orderkey", F.explode(F.filter(F.split(said, "; "), lambda x: x != "")).alias("note"))
+    return orders.select("o_orderkey", F.explode(rules.hop_notes(said)).alias("note"))
 
 
 @query("WITH GRAPH SELECT output, count(*) AS n, min(lineage_id) AS first_id FROM lineage WHERE source IS NULL AND transform = 'Literal' GROUP BY output")

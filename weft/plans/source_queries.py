@@ -217,3 +217,19 @@ def h13_guarded_calls(spark, sf_dir):
 @query(f"""WITH {CS_CASES} SELECT path, 'GetDetails' AS method, 'IsMulti' AS member, multi AS condition, true AS has_else FROM c UNION ALL SELECT path, 'GetDetails', 'Size', multi, true FROM c UNION ALL SELECT path, 'GetDetails', 'Note', deep, false FROM c UNION ALL SELECT path, 'GetDetails', 'IsSingle', 'order.IsSingle', true FROM c WHERE two""")
 def h12_branch_reads(spark, sf_dir):
     return token_rows.cs_branch_reads(g.frame(spark, sf_dir, NESTED_CS))
+
+
+ARMS_SQL = """SELECT 'u' || CAST(p_partkey AS STRING) AS path, 'CREATE PROCEDURE dbo.U' || CAST(p_partkey AS STRING) || ' AS -- SELECT none, of, this
+SELECT TOP 5 a.Number' || CAST(p_size AS STRING) || ', [Zone Name] = z.name, CASE WHEN a.x IN (1, 2) THEN ''p, q'' ELSE NULL END AS Kind FROM dbo.A a, dbo.Z z WHERE a.y IN (SELECT y, w FROM dbo.B)
+UNION ALL SELECT b.no, (SELECT MAX(k), 2 FROM dbo.K), ''' || p_brand || ''' FROM (SELECT no, zone FROM dbo.B) b
+' || CASE WHEN p_partkey % 2 = 0 THEN 'UNION SELECT ' || CAST(p_partkey AS STRING) || ', NULL, 3;
+' ELSE '' END || 'SELECT DISTINCT COUNT(*) total' AS text FROM {part}"""
+
+
+@query("""WITH p AS (SELECT 'u' || CAST(p_partkey AS STRING) AS path, CAST(p_partkey AS STRING) AS k, CAST(p_size AS STRING) AS z, p_brand AS b, p_partkey % 2 = 0 AS third FROM part)
+SELECT path, CAST(1 AS INT) AS query, CAST(1 AS INT) AS position, 'Number' || z AS name, 'a.Number' || z || ' | b.no' || CASE WHEN third THEN ' | ' || k ELSE '' END AS items FROM p UNION ALL SELECT path, 1, 2, 'Zone Name', '[Zone Name] = z.name | (SELECT MAX(k), 2 FROM dbo.K)' || CASE WHEN third THEN ' | NULL' ELSE '' END FROM p
+UNION ALL SELECT path, 1, 3, 'Kind', 'CASE WHEN a.x IN (1, 2) THEN ''p, q'' ELSE NULL END AS Kind | ''' || b || '''' || CASE WHEN third THEN ' | 3' ELSE '' END FROM p UNION ALL SELECT path, 2, 1, 'total', 'COUNT(*) total' FROM p""")
+def f12_arms(spark, sf_dir):
+    """Columns of queries with up to three arms, aligned by position and named by the first."""
+    found = token_rows.sql_result_columns(token_rows.sql_arms(g.frame(spark, sf_dir, ARMS_SQL)))
+    return found.select("path", "query", "position", "name", F.array_join("items", " | ").alias("items"))

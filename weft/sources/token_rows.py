@@ -190,3 +190,44 @@ def variable_notes(assignments: DataFrame) -> DataFrame:
     said = F.concat("value", F.when(F.size("guards") > 0, F.concat(F.lit(" WHEN "), F.array_join("guards", " AND "))).otherwise(""))
     each = assignments.groupBy("path", "variable").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", said.alias("said")))), lambda x: x["said"]), " -> ").alias("values"))
     return each.select("path", "variable", F.concat("variable", F.lit(" = "), "values").alias("note"))
+
+
+def sql_arms(files: DataFrame) -> DataFrame:
+    """(path, query, arm, position, item, alias): the items of the select lists outside brackets; arms of one query are joined by set operators, and items answer each other by position.
+
+    The alias of an item is its own name where it has none (AS name, name = item, or the last part of a dotted name); the first arm's aliases name the result.
+    """
+    rows = in_case(sql_rows(files))
+    outer = rows.where("paren = 0 or token in ('(', ')')")
+    joins = F.col("word").isin("UNION", "EXCEPT", "INTERSECT")
+    order = Window.partitionBy("path").orderBy("i")
+    heads = outer.where("word = 'SELECT' and paren = 0").withColumn("joined", F.upper(F.coalesce("before", F.lit(""))).isin("UNION", "ALL", "EXCEPT", "INTERSECT"))
+    heads = heads.withColumn("query", F.sum((~F.col("joined")).cast("int")).over(order)).withColumn("arm", F.row_number().over(Window.partitionBy("path", "query").orderBy("i")))
+    ends = outer.where((F.col("paren") == 0) & ~F.col("in_case") & (F.col("word").isin("FROM", "INTO", "WHERE", "ORDER", *[w for w in SQL_STATEMENTS if w != "SELECT"]) | joins | (F.col("token") == ";"))).select("path", "i", F.lit("end").alias("what"))
+    commas = outer.where("token = ',' and paren = 0 and not in_case").select("path", "i", F.lit("comma").alias("what"))
+    last = rows.groupBy("path").agg((F.max("i") + 1).alias("i")).select("path", "i", F.lit("end").alias("what"))
+    starts = heads.select("path", "i", F.lit("select").alias("what"), "query", "arm")
+    none = F.lit(None)
+    marks = starts.union(ends.union(last).union(commas).select("path", "i", "what", none.cast("long"), none.cast("int")))
+    after = Window.partitionBy("path").orderBy("i")
+    # a mark belongs to the select list that is open there: the last SELECT, unless an end came since
+    told = marks.withColumns({"query": F.last("query", ignorenulls=True).over(after), "arm": F.last("arm", ignorenulls=True).over(after), "open": F.last(F.when(F.col("what") != "comma", F.col("what")), ignorenulls=True).over(after), "to": F.lead("i").over(after)})
+    items = told.where("open = 'select' and query is not null").withColumn("position", F.row_number().over(Window.partitionBy("path", "query", "arm").orderBy("i")))
+    place = rows.select("path", F.col("i").alias("n"), "at", F.length("token").alias("size"))
+    begin = place.select("path", (F.col("n") - 1).alias("i"), F.col("at").alias("from"))
+    finish = place.select("path", (F.col("n") + 1).alias("to"), (F.col("at") + F.col("size")).alias("until"))
+    said = items.join(begin, ["path", "i"]).join(finish, ["path", "to"]).where("until > from").join(files.select("path", "text"), "path")
+    said = said.withColumn("item", F.regexp_replace(squeezed(F.expr("substring(text, from, until - from)")), r"(?i)^(?:DISTINCT |ALL |TOP ?\(?\d+\)? (?:PERCENT )?)+", ""))
+    bare = lambda c: F.regexp_replace(c, r"^\[|\]$", "")
+    named = F.regexp_extract("item", r"(?i)\bAS (\[[^\]]+\]|[\w']+)$", 1)
+    given = F.regexp_extract("item", r"^(\[[^\]]+\]|\w+) ?= ?", 1)
+    own = F.regexp_extract("item", r"^(?:\[?\w+\]?\.)*(\[[^\]]+\]|\w+)$", 1)
+    spaced = F.regexp_extract("item", r"[\w)\]] (\[[^\]]+\]|[A-Za-z_]\w*)$", 1)
+    alias = F.coalesce(*[F.when(c != "", bare(c)) for c in (named, given, own, F.when(~F.rlike("item", F.lit(r"(?i)\bEND$")), spaced))])
+    return said.select("path", F.col("query").cast("int").alias("query"), "arm", "position", "item", alias.alias("alias"))
+
+
+def sql_result_columns(arms: DataFrame) -> DataFrame:
+    """(path, query, position, name, items): each column of a query, named by its first arm, with the items of all arms at its position."""
+    each = arms.groupBy("path", "query", "position").agg(F.min_by("alias", "arm").alias("name"), F.transform(F.array_sort(F.collect_list(F.struct("arm", "item"))), lambda x: x["item"]).alias("items"))
+    return each.select("path", "query", "position", "name", "items")
