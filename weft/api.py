@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import rules, runtime, trace, traverse
 from weft.operators.bundles import Bundles, bundles
+from weft.operators.index import Steps
 from weft.operators.shared import kept
 from weft.operators.walks import Adjacency, truncated
 from weft.sources import snapshots
@@ -39,6 +40,8 @@ class Service:
     audit_log: DataFrame | None = None
     notes: DataFrame | None = None
     index: Adjacency | None = None
+    down: Steps | None = None
+    out: Steps | None = None
 
     def indexed(self) -> Adjacency:
         """The adjacency of the graph, written once, sorted by node, and read by every trace after it."""
@@ -46,6 +49,15 @@ class Service:
             self.index = Adjacency.of(self.edges, self.nodes)
         return self.index
 
+    def downstream(self) -> Steps:
+        """The steps of a change, written once and read by every impact search after it."""
+        self.down = self.down or Steps.of(traverse.downstream_view(self.edges))
+        return self.down
+
+    def outward(self) -> Steps:
+        self.out = self.out or Steps.of(traverse.out_view(self.edges))
+        return self.out
+
     def health(self) -> DataFrame:
         n = self.nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("status") == "Unknown").alias("unknown"), F.count_if(F.col("status") == "Pending").alias("pending"))
         e = self.edges.agg(F.count(F.lit(1)).alias("edges"))
@@ -75,7 +87,7 @@ class Service:
         return {"nodes": nodes, "edges": edges, "truncated": cut}
 
     def architecture(self, root: str) -> dict[str, DataFrame]:
-        nodes, edges = traverse.architecture(self.edges, self._known(root))
+        nodes, edges = traverse.architecture(self.edges, self._known(root), self.outward())
         return {"nodes": nodes, "edges": edges}
 
     def search(self, text: str, limit: int = 20) -> DataFrame:
@@ -117,12 +129,12 @@ class Service:
         return root, bundles(one, self.nodes, self.edges, self.lineage, evidence, self.notes if trace_id else None, listed, self.indexed())
 
     def impact(self, node_id: str, max_depth: int = traverse.IMPACT_DEPTH) -> dict[str, DataFrame]:
-        affected = kept(traverse.impact(self.edges, self.nodes, self._known(node_id), max_depth))
+        affected = kept(traverse.impact(self.edges, self.nodes, self._known(node_id), max_depth, steps=self.downstream()))
         return {"affected": affected, "summary": traverse.impact_summary(affected), "key_paths": traverse.key_paths(affected)}
 
     def impact_summary(self, node_id: str, language: str = "en") -> dict[str, DataFrame]:
         """What a change reaches, in words: facts of the key paths, unknowns on the way, and one row with verdict and confidence; summary counts by type."""
-        affected = kept(traverse.impact(self.edges, self.nodes, self._known(node_id)))
+        affected = kept(traverse.impact(self.edges, self.nodes, self._known(node_id), steps=self.downstream()))
         facts, unknowns, head = rules.impact_explained(affected, self.nodes, node_id, language)
         return {"facts": facts, "unknowns": unknowns, "explanation": head, "summary": traverse.impact_summary(affected)}
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import ids
+from weft.operators.index import Steps
 from weft.operators.shared import forget, kept_at
 from weft.schema import LAYERS, RELATIONS
 
@@ -53,29 +54,39 @@ def undirected_view(edges: DataFrame) -> DataFrame:
     return there.union(edges.where("src <> dst").select("edge_id", "relation", F.col("dst").alias("up"), F.col("src").alias("down")))
 
 
-def out_view(edges: DataFrame, relations: list[str]) -> DataFrame:
-    return edges.where(F.col("relation").isin(relations)).select("edge_id", "relation", F.col("src").alias("up"), F.col("dst").alias("down"))
+def out_view(edges: DataFrame, relations: list[str] | None = None) -> DataFrame:
+    """Each edge from its source, of these relations or of all."""
+    own = edges if relations is None else edges.where(F.col("relation").isin(relations))
+    return own.select("edge_id", "relation", F.col("src").alias("up"), F.col("dst").alias("down"))
 
 
-def breadth_first(steps: DataFrame, start: DataFrame, max_depth: int | None = None, cap: int | None = None, carry: tuple[str, ...] = (), by: tuple[str, ...] = (), until: DataFrame | None = None) -> tuple[DataFrame, bool]:
+def breadth_first(steps: DataFrame | Steps, start: DataFrame, max_depth: int | None = None, cap: int | None = None, carry: tuple[str, ...] = (), by: tuple[str, ...] = (), until: DataFrame | None = None, ways: bool = True) -> tuple[DataFrame, bool]:
     """start: node. Rows (node, distance, parent, via, key, path, carry...) of all reached nodes; whether cap or depth cut it.
 
-    steps: up, down, edge_id and the carried columns, which are those of the step that reached the node. max_depth None: until nothing is
-    new. cap: nodes in all, the start too. A frontier of at most BROADCAST_ROWS rows (each level is counted) is broadcast. by: columns of start that keep
-    several searches apart; until: rows (by..., node) after whose last no level is searched.
+    steps: up, down, edge_id and the carried columns, which are those of the step that reached the node; a view is written first, an index is read as it
+    is. max_depth None: until nothing is new. cap: nodes in all, the start too. A frontier of at most BROADCAST_ROWS rows (each level is counted) is
+    broadcast. by: columns of start that keep several searches apart; until: rows (by..., node) after whose last no level is searched. ways False: no key
+    and no path, for searches in any order; a row then has the same size at every depth.
     """
-    spark, paths = steps.sparkSession, []
+    spark, paths = start.sparkSession, []
     at = [*by, "node"]
+    if cap and not ways:
+        raise ValueError("a cap needs the order of discovery")
 
     def keep(df):
         table, path = kept_at(df)
         paths.append(path)
         return table
 
-    steps = keep(steps.select("up", "down", "edge_id", *carry))
+    if not isinstance(steps, Steps):
+        steps = Steps(keep(steps.select("up", "down", "edge_id", *carry)))
+        near = lambda level, size: steps.table
+    else:
+        near = steps.near
     none = F.array().cast("array<string>")
-    empty = [F.lit(None).cast(steps.schema[c].dataType).alias(c) for c in carry]
-    level = keep(start.select(*at, F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via"), none.alias("key"), F.array("node").alias("path"), *empty))
+    empty = [F.lit(None).cast(steps.table.schema[c].dataType).alias(c) for c in carry]
+    kept_ways = ["key", "path"] if ways else []
+    level = keep(start.select(*at, F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via"), *([none.alias("key"), F.array("node").alias("path")] if ways else []), *empty))
     found, count, depth, cut = level, level.count(), 0, False
     size = count
     open_ = until.count() if until is not None else None
@@ -85,14 +96,16 @@ def breadth_first(steps: DataFrame, start: DataFrame, max_depth: int | None = No
             if not open_:
                 break
         depth += 1
-        front = level.select(*by, F.col("node").alias("up"), "key", "path")
+        front = level.select(*by, F.col("node").alias("up"), *kept_ways)
         front = F.broadcast(front) if size <= BROADCAST_ROWS else front
+        grown = [F.concat("key", F.array("edge_id")).alias("key"), F.concat("path", F.array("down")).alias("path")] if ways else []
+        least = F.struct("key", "parent", "via", "path", *carry) if ways else F.struct("via", "parent", *carry)
         new = (
-            steps.join(front, "up")
-            .select(*by, F.col("down").alias("node"), F.col("up").alias("parent"), F.col("edge_id").alias("via"), F.concat("key", F.array("edge_id")).alias("key"), F.concat("path", F.array("down")).alias("path"), *carry)
-            .groupBy(*at).agg(F.min(F.struct("key", "parent", "via", "path", *carry)).alias("best"))
+            near(level, size).join(front, "up")
+            .select(*by, F.col("down").alias("node"), F.col("up").alias("parent"), F.col("edge_id").alias("via"), *grown, *carry)
+            .groupBy(*at).agg(F.min(least).alias("best"))
             .join(found.select(*at), at, "left_anti")
-            .select(*at, F.lit(depth).alias("distance"), "best.parent", "best.via", "best.key", "best.path", *[f"best.{c}" for c in carry])
+            .select(*at, F.lit(depth).alias("distance"), *[f"best.{c}" for c in ("parent", "via", *kept_ways, *carry)])
         )
         if cap:
             new = new.orderBy("key", "node").limit(cap - count + 1)  # one more shows the cut
@@ -113,10 +126,10 @@ def breadth_first(steps: DataFrame, start: DataFrame, max_depth: int | None = No
     return out, cut
 
 
-def impact(edges: DataFrame, nodes: DataFrame, origin: str, max_depth: int = IMPACT_DEPTH, cap: int | None = IMPACT_NODES) -> DataFrame:
-    """What a change of origin reaches: node_id, distance, parent, via_edge, reason, path and the node's type, name, layer; nearest first."""
+def impact(edges: DataFrame | None, nodes: DataFrame, origin: str, max_depth: int = IMPACT_DEPTH, cap: int | None = IMPACT_NODES, steps: Steps | None = None) -> DataFrame:
+    """What a change of origin reaches: node_id, distance, parent, via_edge, reason, path and the node's type, name, layer; nearest first. steps: an index of downstream_view(edges)."""
     depth = min(max(max_depth, 1), IMPACT_DEPTH)
-    found, _ = breadth_first(downstream_view(edges), edges.sparkSession.createDataFrame([(origin,)], "node string"), depth, cap + 1 if cap else None, carry=("reason",))
+    found, _ = breadth_first(steps or downstream_view(edges), nodes.sparkSession.createDataFrame([(origin,)], "node string"), depth, cap + 1 if cap else None, carry=("reason",))
     rank = layer_rank(F.col("layer"))
     return (
         found.where("distance > 0")
@@ -159,23 +172,24 @@ def subgraph(edges: DataFrame, nodes: DataFrame, root: str, depth: int = 3, colu
     return at.select(F.col("node").alias("node_id"), "distance"), ends.where(F.least("d_src", "d_dst") < depth).select("edge_id", "src", "relation", "dst"), full
 
 
-def architecture(edges: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges reached from root along architecture relations, however far."""
-    steps = out_view(edges, ARCHITECTURE_RELATIONS)
-    found, _ = breadth_first(steps, edges.sparkSession.createDataFrame([(root,)], "node string"))
+def architecture(edges: DataFrame | None, root: str, index: Steps | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges reached from root along architecture relations, however far. index: one of out_view(edges)."""
+    steps = (index or Steps.of(out_view(edges, ARCHITECTURE_RELATIONS))).along(ARCHITECTURE_RELATIONS)
+    found, _ = breadth_first(steps, steps.table.sparkSession.createDataFrame([(root,)], "node string"), ways=False)
     at = found.select(F.col("node").alias("node_id"), "distance")
-    return at, steps.join(at.select(F.col("node_id").alias("up")), "up", "left_semi").select("edge_id", F.col("up").alias("src"), "relation", F.col("down").alias("dst"))
+    return at, steps.table.join(at.select(F.col("node_id").alias("up")), "up", "left_semi").select("edge_id", F.col("up").alias("src"), "relation", F.col("down").alias("dst"))
 
 
-def shortest_paths(edges: DataFrame, entry: str) -> DataFrame:
-    """(target, distance, path) from entry to every node along execution relations; ties by discovery."""
-    found, _ = breadth_first(out_view(edges, EXECUTION_RELATIONS), edges.sparkSession.createDataFrame([(entry,)], "node string"))
+def shortest_paths(edges: DataFrame | None, entry: str, index: Steps | None = None) -> DataFrame:
+    """(target, distance, path) from entry to every node along execution relations; ties by discovery. index: one of out_view(edges)."""
+    steps = index.along(EXECUTION_RELATIONS) if index else out_view(edges, EXECUTION_RELATIONS)
+    found, _ = breadth_first(steps, (index.table if index else edges).sparkSession.createDataFrame([(entry,)], "node string"))
     return found.select(F.col("node").alias("target"), "distance", "path")
 
 
-def execution_path(edges: DataFrame, entry: str, targets: DataFrame) -> DataFrame:
+def execution_path(edges: DataFrame | None, entry: str, targets: DataFrame, index: Steps | None = None) -> DataFrame:
     """(step, node_id): shortest paths to the targets (target, seq), one after another by seq, each node where it first occurs."""
-    rows = shortest_paths(edges, entry).join(targets, "target").select("seq", F.posexplode("path").alias("pos", "node_id"))
+    rows = shortest_paths(edges, entry, index).join(targets, "target").select("seq", F.posexplode("path").alias("pos", "node_id"))
     first = rows.groupBy("node_id").agg(F.min(F.struct("seq", "pos")).alias("at")).select("node_id", "at.seq", "at.pos")
     return numbered(first, "seq", "pos").select(F.col("place").alias("step"), "node_id")
 

@@ -23,7 +23,8 @@ TYPES = "CASE split_part({0}, ':', 1) " + " ".join(f"WHEN '{p}' THEN '{t}'" for
 
 
 def impact(spark, sf_dir):
-    return traverse.impact(g.edges(spark, sf_dir), g.nodes(spark, sf_dir), PART, cap=None)
+    at = g.Indexed(spark, sf_dir)
+    return traverse.impact(None, at.nodes, PART, cap=None, steps=at.down)
 
 
 @query(f"WITH r(relation, direction, is_lineage, is_execution, is_architecture) AS (VALUES {RELATION_VALUES}) SELECT r.*, count(e.src) AS edges FROM r LEFT JOIN (SELECT * FROM ({g.plain(g.EDGES)}) x) e ON e.relation = r.relation GROUP BY ALL")
@@ -83,7 +84,7 @@ def c12_walk(spark, sf_dir):
 @query("""WITH GRAPH, walk AS (SELECT 'page:region.1' AS node UNION SELECT dst FROM walk JOIN edges ON src = node WHERE relation IN ('HandledBy', 'Calls', 'ExecutesSp', 'CallsFunction', 'UsesParameter', 'Reads', 'Returns', 'BranchesOn'))
 SELECT edge_id, src, relation, dst FROM edges JOIN walk ON src = node WHERE relation IN ('HandledBy', 'Calls', 'ExecutesSp', 'CallsFunction', 'UsesParameter', 'Reads', 'Returns', 'BranchesOn')""")
 def c8_architecture(spark, sf_dir):
-    return traverse.architecture(g.edges(spark, sf_dir), "page:region.1")[1]
+    return traverse.architecture(None, "page:region.1", g.Indexed(spark, sf_dir).out)[1]
 
 
 @query(f"""WITH GRAPH, near AS (SELECT * FROM edges WHERE src = '{SUPPLIER}' OR dst = '{SUPPLIER}'), lin AS (SELECT * FROM lineage WHERE output = '{SUPPLIER}' OR source = '{SUPPLIER}'),
@@ -163,9 +164,9 @@ best AS (SELECT node, arg_min(path, key) AS path FROM walk WHERE node LIKE 'sp:%
 each AS (SELECT seq, unnest(path) AS node_id, generate_subscripts(path, 1) - 1 AS pos FROM steps), firsts AS (SELECT node_id, min(seq * 1000 + pos) AS place FROM each GROUP BY node_id)
 SELECT row_number() OVER (ORDER BY place) AS step, node_id FROM firsts""")
 def c18_exec_path(spark, sf_dir):
-    edges = g.edges(spark, sf_dir)
-    targets = traverse.shortest_paths(edges, "page:region.1").where(ids.prefix(F.col("target")) == "sp").select("target")
-    return traverse.execution_path(edges, "page:region.1", traverse.numbered(targets, "target", "target").select("target", F.col("place").alias("seq")))
+    out = g.Indexed(spark, sf_dir).out
+    targets = traverse.shortest_paths(None, "page:region.1", out).where(ids.prefix(F.col("target")) == "sp").select("target")
+    return traverse.execution_path(None, "page:region.1", traverse.numbered(targets, "target", "target").select("target", F.col("place").alias("seq")), out)
 
 
 @query("WITH GRAPH SELECT coalesce(min(CASE WHEN type = 'Page' THEN id END), min(CASE WHEN type = 'Api' THEN id END)) AS entry FROM nodes")
@@ -176,7 +177,7 @@ def c19_entry(spark, sf_dir):
 @query("""WITH GRAPH, walk AS (SELECT 'page:region.2' AS node, 0 AS d, 'page:region.2' AS path UNION ALL SELECT dst, d + 1, path || ' > ' || dst FROM walk JOIN edges ON src = node WHERE relation IN ('Calls', 'HandledBy', 'ExecutesSp'))
 SELECT node AS target, d AS distance, path FROM walk""")
 def c20_shortest_path(spark, sf_dir):
-    found = traverse.shortest_paths(g.edges(spark, sf_dir), "page:region.2")
+    found = traverse.shortest_paths(None, "page:region.2", g.Indexed(spark, sf_dir).out)
     return found.select("target", "distance", F.array_join("path", " > ").alias("path"))
 
 

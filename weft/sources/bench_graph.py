@@ -6,8 +6,13 @@ columns and parts columns; the relations between them are those of the evidence
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.operators import traverse
+from weft.operators.index import Steps, stored, version_of
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 ROW_KEY = "CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey AS STRING) || '.' || CAST(l_suppkey AS STRING)"
@@ -79,3 +84,26 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, EVIDENCE)
+
+
+class Indexed:
+    """The graph of sf_dir as sorted tables in the shared folder, each derived when it is first asked for and kept for as long as the files stay as they are."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def version(self) -> str:
+        return version_of(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in TABLES if f"{{{t}}}" in EDGES + NODES])
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return stored(self.spark, "nodes", self.version, lambda: nodes(self.spark, self.sf_dir), "id")
+
+    @cached_property
+    def down(self) -> Steps:
+        return Steps(stored(self.spark, "down", self.version, lambda: traverse.downstream_view(edges(self.spark, self.sf_dir)), "up", "edge_id"))
+
+    @cached_property
+    def out(self) -> Steps:
+        return Steps(stored(self.spark, "out", self.version, lambda: traverse.out_view(edges(self.spark, self.sf_dir)), "up", "edge_id"))
