@@ -14,11 +14,6 @@ BUNDLE_ITEMS = 120
 KINDS = ["Node", "Edge", "Lineage", "Runtime"]
 LINKS = ["SerializesAs", "MapsTo", "AliasOf", "Returns"]
 
-PHRASES = {
-    "en": {"value": "%s was observed as %s", "path": "The request runs along %s", "link": "%s %s %s", "expression": "%s = %s", "controlled": "%s is controlled by %s", "columns": "The value rests on %s", "gap": "Scan the definition of %s"},
-    "zh": {"value": "%s 的观测值为 %s", "path": "请求经过 %s", "link": "%s %s %s", "expression": "%s = %s", "controlled": "%s 受 %s 控制", "columns": "该值来自 %s", "gap": "扫描 %s 的定义"},
-}
-
 
 def describe_node(type_: Column, name: Column, status: Column, description: Column, reason: Column) -> Column:
     text = F.concat(type_, F.lit(" '"), name, F.lit("' ["), status, F.lit("]"), F.coalesce(F.concat(F.lit(": "), description), F.lit("")))
@@ -36,6 +31,11 @@ def describe_lineage(output: Column, source: Column, transform: Column, expressi
     return F.concat(output, F.lit(" <- "), from_, F.lit(" ["), transform, F.lit("]"), some(" ", expression), some(" when ", condition))
 
 
+def describe_runtime(type_: Column, node_id: Column, value: Column, scope: Column, trace_id: Column) -> Column:
+    text = F.concat(type_, F.lit(" "), node_id, F.lit(" = "), F.coalesce(value, F.lit("null")))
+    return F.concat(text, F.coalesce(F.concat(F.lit(" ["), scope, F.lit("]")), F.lit("")), F.lit(" in "), trace_id)
+
+
 def bundle(items: DataFrame, limit: int = BUNDLE_ITEMS) -> DataFrame:
     """items: request_id, kind, id, ord, text. Each id once (its first), by kind then id, limit a request."""
     once = items.groupBy("request_id", "id").agg(F.min_by(F.struct("kind", "text"), "ord").alias("i")).select("request_id", "id", "i.kind", "i.text")
@@ -57,46 +57,18 @@ def relevant_notes(notes: DataFrame, names: DataFrame) -> DataFrame:
     return words.join(names.select("request_id", F.lower("name").alias("word")).distinct(), ["request_id", "word"], "left_semi").select("request_id", "note").distinct()
 
 
-def hop_facts(hops: DataFrame, lang: str = "en") -> DataFrame:
-    """Link, expression and control facts of hops (request_id, hop, parent, node_id, edge_id, relation, is_repeat, expression, value)."""
-    say = PHRASES["zh" if lang.lower().startswith("zh") else "en"]
-    own = hops.where("not is_repeat")
-    link = own.where(F.col("relation").isin(LINKS)).select("request_id", F.lit(3).alias("stage"), "hop", F.format_string(say["link"], ids.leaf(F.col("parent")), ids.verb(F.col("relation")), ids.leaf(F.col("node_id"))).alias("text"), F.array("edge_id", "parent", "node_id").alias("ids"))
-    expression = own.where("expression is not null").select("request_id", F.lit(4).alias("stage"), "hop", F.format_string(say["expression"], ids.leaf(F.col("parent")), F.col("expression")).alias("text"), F.array("edge_id", "parent").alias("ids"))
-    control = own.where("relation = 'ControlledBy'").select("request_id", F.lit(5).alias("stage"), "hop", F.format_string(say["controlled"], ids.leaf(F.col("parent")), ids.leaf(F.col("node_id"))).alias("text"), F.array("edge_id", "node_id").alias("ids"))
-    return link.union(expression).union(control)
-
-
 def base_columns(hops: DataFrame) -> DataFrame:
     """For each request the distinct base columns its hops end at, by name."""
     ends = hops.where(ids.prefix(F.col("node_id")) == "column")
     return ends.groupBy("request_id").agg(F.array_sort(F.collect_set(ids.owner_key(F.col("node_id")))).alias("columns"))
 
 
-def hypotheses(hops: DataFrame) -> DataFrame:
-    """Of hops (request_id, hop, expression, condition, literal, observed, captured): default and constant explanations of the observed value.
-
-    An ISNULL default or a literal branch that equals the observed value; Supported if a function's return was captured, else Unverified.
-    """
-    status = F.when(F.col("captured"), "Supported").otherwise("Unverified")
-    default = T.isnull_default(F.col("expression"))
-    by_default = hops.where((default != "") & (F.lower(default) == F.lower("observed"))).select("request_id", "hop", F.lit("isnull").alias("kind"), status.alias("status"))
-    constant = hops.where(F.col("condition").isNotNull() & F.col("literal").isNotNull() & T.values_equal(F.col("literal"), F.col("observed"))).select("request_id", "hop", F.lit("constant").alias("kind"), status.alias("status"))
-    return by_default.union(constant)
-
-
 def return_texts(texts: Column) -> Column:
     """Values without the timings among them, unless nothing else is left."""
     values = F.filter(texts, lambda t: ~F.contains(t, F.lit(" ms = ")))
     return F.when(F.size(values) > 0, values).otherwise(texts)
 
 
-def first_explained(facts: DataFrame) -> DataFrame:
-    """facts (request_id, hop, explains): rows up to and with the first that explains the value; deeper coincidences are left out."""
-    before = F.max(F.col("explains").cast("int")).over(Window.partitionBy("request_id").orderBy("hop").rowsBetween(Window.unboundedPreceding, -1))
-    return facts.withColumn("before", F.coalesce(before, F.lit(0))).where("before = 0").drop("before")
-
-
 def row_context(evidence: DataFrame, prefix: str, names: list[str]) -> DataFrame:
     """(trace_id, scope, one column for each name) of rows that have all the sibling values."""
     wanted = evidence.where(F.col("scope").isNotNull() & F.col("node_id").isin([prefix + n for n in names]))
@@ -118,10 +90,3 @@ def verdict(n_facts: Column, static_gap: Column, open_hypotheses: Column) -> Col
 def validated_confidence(given: Column, said: Column) -> Column:
     cap = F.when(said == "Known", 0.95).otherwise(0.75)
     return F.when(said == "Unknown", 0.0).otherwise(F.bround(F.least(given, cap), 2))
-
-
-def originating_procedure(hops: DataFrame, path: DataFrame) -> DataFrame:
-    """For each request the first procedure among its hops, else on its path (request_id, seq, node_id)."""
-    first = lambda df, by: df.where(F.col("node_id").startswith("sp:")).groupBy("request_id").agg(F.min_by("node_id", by).alias("sp"))
-    a, b = first(hops, "hop"), first(path, "seq").withColumnRenamed("sp", "on_path")
-    return a.join(b, "request_id", "full").select("request_id", F.coalesce("sp", "on_path").alias("procedure"))

@@ -82,21 +82,18 @@ def e8_notes_filter(spark, sf_dir):
     return explain.relevant_notes(notes, names).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH GRAPH SELECT 'node' AS kind, id, type || ' ''' || name || ''' [' || status || ']' || CASE WHEN status <> 'Known' THEN ' - not scanned' ELSE '' END AS text FROM nodes WHERE type <> 'ResultColumn'
-UNION ALL SELECT 'edge', edge_id, src || ' -' || relation || '-> ' || dst || ' (Linker r1)' FROM edges WHERE relation = 'Calls'
-UNION ALL SELECT 'lineage', lineage_id, output || ' <- ' || coalesce(source, CASE WHEN transform = 'Literal' THEN '<literal>' ELSE '<unknown>' END) || ' [' || transform || ']' || coalesce(' ' || expression, '') || coalesce(' when ' || condition, '') FROM lineage WHERE source IS NULL""")
+@query("""WITH GRAPH SELECT 'node' AS kind, id, type || ' ''' || name || ''' [' || status || ']' || CASE WHEN status <> 'Known' THEN ' - not scanned' ELSE '' END AS text FROM nodes
+UNION ALL SELECT 'edge', edge_id, src || ' -' || relation || '-> ' || dst || CASE WHEN relation = 'ControlledBy' THEN ' when @Flag = 1' ELSE '' END || CASE WHEN relation = 'UsesParameter' THEN ' via @P' ELSE '' END || ' (Linker r1)' FROM edges
+UNION ALL SELECT 'lineage', lineage_id, output || ' <- ' || coalesce(source, CASE WHEN transform = 'Literal' THEN '<literal>' ELSE '<unknown>' END) || ' [' || transform || ']' || coalesce(' ' || expression, '') || coalesce(' when ' || condition, '') FROM lineage
+UNION ALL SELECT 'runtime', CAST(event_id AS STRING), evidence_type || ' ' || node_id || ' = ' || CAST(CAST(event_id AS INT) % 10 AS STRING) || coalesce(' [' || scope || ']', '') || ' in ' || trace_id FROM evidence""")
 def e9_describe(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    nodes = g.nodes(spark, sf_dir).where("type <> 'ResultColumn'").select(F.lit("node").alias("kind"), "id", explain.describe_node(F.col("type"), F.col("name"), F.col("status"), none, F.lit("not scanned")).alias("text"))
-    edges = g.edges(spark, sf_dir).where("relation = 'Calls'").select(F.lit("edge"), "edge_id", explain.describe_edge(F.col("src"), F.col("relation"), F.col("dst"), none, none, F.lit("Linker"), F.lit("r1")))
-    lineage = g.lineage(spark, sf_dir).where("source is null").select(F.lit("lineage"), "lineage_id", explain.describe_lineage(F.col("output"), F.col("source"), F.col("transform"), F.col("expression"), F.col("condition")))
-    return nodes.union(edges).union(lineage)
-
-
-@query(f"""WITH {H} SELECT request_id, 3 AS stage, hop, {LEAF.format('parent')} || ' aliases ' || {LEAF.format('node_id')} AS text, 3 AS n_ids FROM h WHERE relation = 'AliasOf'
-UNION ALL SELECT request_id, 4, hop, {LEAF.format('parent')} || ' = ' || expression, 2 FROM h WHERE expression IS NOT NULL UNION ALL SELECT request_id, 5, hop, {LEAF.format('parent')} || ' is controlled by ' || {LEAF.format('node_id')}, 2 FROM h WHERE relation = 'ControlledBy'""")
-def e10_facts(spark, sf_dir):
-    return explain.hop_facts(hops(spark, sf_dir)).select("request_id", "stage", "hop", "text", F.size("ids").alias("n_ids"))
+    none, c = F.lit(None).cast("string"), F.col
+    nodes = g.nodes(spark, sf_dir).select(F.lit("node").alias("kind"), "id", explain.describe_node(c("type"), c("name"), c("status"), none, F.lit("not scanned")).alias("text"))
+    condition, variable = F.when(c("relation") == "ControlledBy", "@Flag = 1"), F.when(c("relation") == "UsesParameter", "@P")
+    edges = g.edges(spark, sf_dir).select(F.lit("edge"), "edge_id", explain.describe_edge(c("src"), c("relation"), c("dst"), condition, variable, F.lit("Linker"), F.lit("r1")))
+    lineage = g.lineage(spark, sf_dir).select(F.lit("lineage"), "lineage_id", explain.describe_lineage(c("output"), c("source"), c("transform"), c("expression"), c("condition")))
+    runtime = g.evidence(spark, sf_dir).select(F.lit("runtime"), c("event_id").cast("string"), explain.describe_runtime(c("evidence_type"), c("node_id"), (c("event_id").cast("int") % 10).cast("string"), c("scope"), c("trace_id")))
+    return nodes.union(edges).union(lineage).union(runtime)
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '@S = ''f''' WHEN o_orderstatus = 'O' THEN '@S = \"O\"' ELSE 'ELSE' END AS branch, upper(o_orderstatus) = 'F' AS same FROM orders")
@@ -106,22 +103,6 @@ def e12_active_branch(spark, sf_dir):
     return orders.select("o_orderkey", T.active_branch(F.col("o_orderstatus"), conditions).alias("branch"), T.values_equal(F.lit(" 'f' "), F.col("o_orderstatus")).alias("same"))
 
 
-@query(f"WITH {H} SELECT request_id, hop, CASE WHEN captured THEN 'Supported' ELSE 'Unverified' END AS status FROM h WHERE expression IS NOT NULL AND literal = observed")
-def e14_isnull(spark, sf_dir):
-    return explain.hypotheses(hops(spark, sf_dir)).where("kind = 'isnull'").select("request_id", "hop", "status")
-
-
-@query(f"WITH {H} SELECT request_id, hop, CASE WHEN captured THEN 'Supported' ELSE 'Unverified' END AS status FROM h WHERE condition IS NOT NULL AND literal = observed")
-def e15_constant(spark, sf_dir):
-    return explain.hypotheses(hops(spark, sf_dir)).where("kind = 'constant'").select("request_id", "hop", "status")
-
-
-@query(f"WITH {H}, f AS (SELECT *, CASE WHEN expression IS NOT NULL AND literal = observed THEN 1 ELSE 0 END AS e FROM h), b AS (SELECT *, coalesce(max(e) OVER (PARTITION BY request_id ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f) SELECT request_id, count(*) AS n FROM b WHERE before = 0 GROUP BY 1")
-def e11_first_explained(spark, sf_dir):
-    facts = hops(spark, sf_dir).withColumn("explains", F.col("expression").isNotNull() & (F.col("literal") == F.col("observed")))
-    return explain.first_explained(facts).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"WITH {H}, t AS (SELECT request_id, 'dbo.F ' || literal || ' ms = ' || literal AS said, 0 AS is_value FROM h UNION ALL SELECT request_id, 'dbo.F = ' || observed, 1 FROM h WHERE captured), k AS (SELECT request_id, max(is_value) AS v FROM t GROUP BY 1) SELECT request_id, count(*) AS n FROM t JOIN k USING (request_id) WHERE is_value = v GROUP BY 1")
 def e16_return_texts(spark, sf_dir):
     h = hops(spark, sf_dir)
@@ -136,13 +117,6 @@ def e17_row_context(spark, sf_dir):
     return found.select("trace_id", "scope", F.col("click").cast("double").alias("click"), F.col("view").cast("double").alias("view"))
 
 
-@query(f"WITH {H} SELECT DISTINCT request_id, 'sp:dbo.S' || CAST(request_id % 4 AS STRING) AS procedure FROM h")
-def e18_procedure(spark, sf_dir):
-    h = hops(spark, sf_dir)
-    path = h.select("request_id", F.lit(1).alias("seq"), F.concat(F.lit("sp:dbo.S"), (F.col("request_id") % 4).cast("string")).alias("node_id")).distinct()
-    return explain.originating_procedure(h, path)
-
-
 @query(f"""WITH {H}, s AS (SELECT request_id, count(*) FILTER (relation = 'AliasOf') AS facts, count(*) FILTER (relation = 'ControlledBy') AS gaps, bool_or(captured) AS runtime, count(*) FILTER (observed = '3') AS notes, count(*) FILTER (observed = '0') AS open_ FROM h GROUP BY 1)
 SELECT request_id, CASE WHEN facts = 0 THEN 'Unknown' WHEN gaps > 0 OR open_ > 0 THEN 'NeedMoreEvidence' ELSE 'Known' END AS verdict,
 CASE WHEN facts = 0 THEN 0.0 ELSE greatest(least(95 - 20 * gaps - CASE WHEN runtime THEN 0 ELSE 5 END - 5 * notes, 95), 30) / 100.0 END AS confidence FROM s""")
