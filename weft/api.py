@@ -139,7 +139,7 @@ class Service:
         return {"facts": facts, "unknowns": unknowns, "explanation": head, "summary": traverse.impact_summary(affected)}
 
     def traces(self) -> DataFrame:
-        return self.evidence.groupBy("trace_id").agg(F.count(F.lit(1)).alias("evidence"), F.array_sort(F.collect_set(F.lower("scope"))).alias("scopes"))
+        return trace.trace_summaries(self.evidence)
 
     def trace(self, trace_id: str) -> DataFrame:
         own = self.evidence.where(F.lower("trace_id") == trace_id.lower())

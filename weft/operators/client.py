@@ -116,3 +116,8 @@ def chip_nodes(items: DataFrame, chips: DataFrame) -> DataFrame:
     """(id, node_id) of evidence chips: the item's node, else the id itself unless it is an edge or a lineage record."""
     own = chips.join(items.select("id", F.col("node_id").alias("item_node")), "id", "left")
     return own.select("id", F.coalesce("item_node", F.when(~F.col("id").startswith("edge:") & ~F.col("id").startswith("lineage:"), F.col("id"))).alias("node_id"))
+
+
+def scopes(evidence: DataFrame) -> DataFrame:
+    """(scope, traces, fields): the scopes to choose from, with the runs and the fields that have values in them."""
+    return evidence.where("scope is not null").groupBy("scope").agg(F.countDistinct("trace_id").alias("traces"), F.countDistinct("node_id").alias("fields"))

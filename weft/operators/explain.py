@@ -31,9 +31,11 @@ def describe_lineage(output: Column, source: Column, transform: Column, expressi
     return F.concat(output, F.lit(" <- "), from_, F.lit(" ["), transform, F.lit("]"), some(" ", expression), some(" when ", condition))
 
 
-def describe_runtime(type_: Column, node_id: Column, value: Column, scope: Column, trace_id: Column) -> Column:
-    text = F.concat(type_, F.lit(" "), node_id, F.lit(" = "), F.coalesce(value, F.lit("null")))
-    return F.concat(text, F.coalesce(F.concat(F.lit(" ["), scope, F.lit("]")), F.lit("")), F.lit(" in "), trace_id)
+def describe_runtime(label: Column, node_id: Column, value: Column, kind: Column, environment: Column, observed_at: Column) -> Column:
+    """value is JSON text; observed_at a time, told to the second."""
+    said = F.concat(F.coalesce(label, node_id), F.lit(" = "), F.coalesce(value, F.lit("null")))
+    at = F.concat(F.lit(" ("), kind, F.lit(", "), environment, F.lit(", "), F.date_format(observed_at, "yyyy-MM-dd HH:mm:ss"), F.lit("Z)"))
+    return F.concat(said, at, F.lit(" on "), node_id)
 
 
 def bundle(items: DataFrame, limit: int = BUNDLE_ITEMS) -> DataFrame:

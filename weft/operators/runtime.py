@@ -98,6 +98,12 @@ def returns(fixtures: DataFrame, column: str = "functionResults", limit: int = R
     return rows.where(F.map_contains_key("cell", name)).select("trace_id", "owner", "row", scoped(F.col("cell"), F.col("row_key"), F.col("entity_key")).alias("scope"), F.element_at("cell", name).alias("value"))
 
 
+def read_response(fixtures: DataFrame, fixture_id: str, path: str) -> DataFrame:
+    """(fixture_id, value) at a JSON path of the response of a capture, named in any case; null where the response lacks it."""
+    own = fixtures.where(F.lower("fixture_id") == fixture_id.strip().lower())
+    return own.select("fixture_id", F.get_json_object("response", path).alias("value"))
+
+
 def bind(fixtures: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
     """Evidence rows of captures (trace_id, entity_key, systemParameters, procedureResults, functionResults, response).
 

@@ -81,6 +81,11 @@ def dangling(lineage: DataFrame) -> DataFrame:
     return lineage.where("source is null").select("output", "lineage_id", (F.col("transform") != "Literal").alias("is_unknown"))
 
 
+def trace_summaries(evidence: DataFrame) -> DataFrame:
+    """(trace_id, evidence, scopes) of each run: how many rows it has, and its scopes in lower case, in order."""
+    return evidence.groupBy("trace_id").agg(F.count(F.lit(1)).alias("evidence"), F.array_sort(F.collect_set(F.lower("scope"))).alias("scopes"))
+
+
 def overlay(found: DataFrame, evidence: DataFrame, scope: str | None = None) -> DataFrame:
     """(node_id, evidence columns) of the observed values at the found nodes: of any scope, or of none and the given one in any case."""
     own = evidence if scope is None else evidence.where(F.col("scope").isNull() | (F.lower("scope") == scope.lower()))

@@ -224,8 +224,9 @@ def b18_missing_edges(spark, sf_dir):
     return missing_edges(edges, edges.where(F.col("dst").startswith("column:part.1")), ["spcol"], ["AliasOf"]).select("edge_id")
 
 
-# One snapshot document for each nation: its customers as nodes and edges.
-SNAPSHOTS = """SELECT CAST(c_nationkey AS STRING) AS path, 'method:c' || CAST(c_custkey AS STRING) AS id, c_name AS name, CASE WHEN c_acctbal < 0 THEN 'unknown' ELSE 'known' END AS status, 'api:n' || CAST(c_nationkey AS STRING) AS api FROM {customer}"""
+# Snapshot documents of twenty customers each, as nodes and edges: with more customers there are more documents, none longer.
+DOC = "CAST(CAST(floor({0} / 20) AS INT) AS STRING)"
+SNAPSHOTS = f"""SELECT {DOC.format('c_custkey')} AS path, 'method:c' || CAST(c_custkey AS STRING) AS id, c_name AS name, CASE WHEN c_acctbal < 0 THEN 'unknown' ELSE 'known' END AS status, 'api:n' || CAST(c_nationkey AS STRING) AS api FROM {{customer}}"""
 
 
 def snapshot_docs(spark, sf_dir):
@@ -237,34 +238,38 @@ def snapshot_docs(spark, sf_dir):
     return rows.groupBy("path").agg(F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("edges")).select("path", F.concat(F.lit("// a snapshot\n"), F.regexp_replace(doc, r"\]\}$", "],}")).alias("json"))
 
 
-@query("SELECT CAST(c_nationkey AS STRING) AS path, 'api:n' || CAST(c_nationkey AS STRING) || '|HandledBy|method:c' || CAST(c_custkey AS STRING) AS edge, c_name AS name, CASE WHEN c_acctbal < 0 THEN 'Unknown' ELSE 'Known' END AS status FROM customer")
+@query(f"SELECT {DOC.format('c_custkey')} AS path, 'api:n' || CAST(c_nationkey AS STRING) || '|HandledBy|method:c' || CAST(c_custkey AS STRING) AS edge, c_name AS name, CASE WHEN c_acctbal < 0 THEN 'Unknown' ELSE 'Known' END AS status FROM customer")
 def a2_snapshot_read(spark, sf_dir):
     nodes, edges, _ = snapshots.snapshot_parts(snapshot_docs(spark, sf_dir))
     return nodes.join(edges.select("path", F.col("dst").alias("id"), F.substring("edge_id", 6, 500).alias("edge")), ["path", "id"]).select("path", "edge", "name", "status")
 
 
-@query("SELECT path, fault FROM (SELECT '3' AS path, 'schema version 0.9' AS fault WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = 3) UNION ALL SELECT CAST(o_custkey % 100 AS STRING), 'duplicate node id ' || min(id) FROM (SELECT o_custkey % 100 AS o_custkey, 'sp:' || o_orderpriority || CAST(o_orderkey % 50 AS STRING) AS id FROM orders GROUP BY 1, 2 HAVING count(*) > 1) x GROUP BY o_custkey) f")
+@query("SELECT path, fault FROM (SELECT '3' AS path, 'schema version 0.9' AS fault WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey BETWEEN 60 AND 79) UNION ALL SELECT CAST(o_custkey % 100 AS STRING), 'duplicate node id ' || min(id) FROM (SELECT o_custkey % 100 AS o_custkey, 'sp:' || o_orderpriority || CAST(o_orderkey % 50 AS STRING) AS id FROM orders GROUP BY 1, 2 HAVING count(*) > 1) x GROUP BY o_custkey) f")
 def a3_snapshot_validate(spark, sf_dir):
     version = snapshots.faults(snapshot_docs(spark, sf_dir))
     nodes = g.frame(spark, sf_dir, "SELECT CAST(o_custkey % 100 AS STRING) AS path, 'sp:' || o_orderpriority || CAST(o_orderkey % 50 AS STRING) AS id FROM {orders}")
     return version.union(snapshots.repeated(nodes))
 
 
-@query("WITH GRAPH SELECT 'node' AS kind, count(*) AS n FROM nodes UNION ALL SELECT 'edge', count(*) FROM edges UNION ALL SELECT 'lineage', count(*) FROM lineage")
+@query("""WITH GRAPH SELECT 'node' AS kind, id, type || '|' || name || '|' || layer || '|' || status AS said FROM nodes UNION ALL SELECT 'edge', edge_id, src || '|' || relation || '|' || dst || '|' || CAST(CAST(confidence * 100 AS INT) AS STRING) FROM edges
+UNION ALL SELECT 'lineage', lineage_id, output || '|' || coalesce(source, '?') || '|' || transform || '|' || coalesce(expression, '?') || '|' || coalesce(condition, '?') || '|' || CAST(CAST(round(confidence * 100) AS INT) AS STRING) FROM lineage""")
 def a4_snapshot_roundtrip(spark, sf_dir):
+    """Every row and column as it is read back."""
     import uuid
 
     path = f"{shared.shared_dir(spark)}/weft-snapshot-{uuid.uuid4().hex}"
     snapshots.write_tables(path, g.nodes(spark, sf_dir), g.edges(spark, sf_dir), g.lineage(spark, sf_dir))
     nodes, edges, lineage = snapshots.read_tables(spark, path)
-    count = lambda kind, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return count("node", nodes).union(count("edge", edges)).union(count("lineage", lineage))
+    c, percent, open_ = F.col, F.round(F.col("confidence") * 100).cast("int").cast("string"), lambda name: F.coalesce(name, F.lit("?"))
+    said = lambda kind, df, at, *parts: df.select(F.lit(kind).alias("kind"), c(at).alias("id"), F.concat_ws("|", *parts).alias("said"))
+    return said("node", nodes, "id", "type", "name", "layer", "status").union(said("edge", edges, "edge_id", "src", "relation", "dst", percent)).union(
+        said("lineage", lineage, "lineage_id", "output", open_("source"), "transform", open_("expression"), open_("condition"), percent))
 
 
-@query("""WITH GRAPH SELECT 'node' AS kind, '{"id":"' || id || '","type":"' || lower(type[1]) || type[2:] || '","name":"' || name || '","layer":"' || lower(layer[1]) || layer[2:] || '","status":"' || lower(status[1]) || status[2:] || '"}' AS json FROM nodes WHERE type <> 'ResultColumn'
-UNION ALL SELECT 'edge', '{"from":"' || src || '","to":"' || dst || '","relationType":"' || lower(relation[1]) || relation[2:] || '","confidence":' || CAST(confidence AS STRING) || '}' FROM edges WHERE relation = 'Calls'""")
+@query("""WITH GRAPH SELECT 'node' AS kind, '{"id":"' || id || '","type":"' || lower(type[1]) || type[2:] || '","name":"' || name || '","layer":"' || lower(layer[1]) || layer[2:] || '","status":"' || lower(status[1]) || status[2:] || '"}' AS json FROM nodes
+UNION ALL SELECT 'edge', '{"from":"' || src || '","to":"' || dst || '","relationType":"' || lower(relation[1]) || relation[2:] || '","confidence":' || CAST(confidence AS STRING) || '}' FROM edges""")
 def a5_export(spark, sf_dir):
-    return snapshots.json_rows(g.nodes(spark, sf_dir).where("type <> 'ResultColumn'"), g.edges(spark, sf_dir).where("relation = 'Calls'"))
+    return snapshots.json_rows(g.nodes(spark, sf_dir), g.edges(spark, sf_dir))
 
 
 @query("""WITH GRAPH SELECT 'node' AS kind, id, '{"id":"' || id || '","type":"' || lower(type[1]) || type[2:] || '","name":"' || name || '","layer":"' || lower(layer[1]) || layer[2:] || '","status":"' || lower(status[1]) || status[2:] || '"}' AS json FROM nodes
@@ -296,12 +301,19 @@ def c31_case_overview(spark, sf_dir):
 
 @query("SELECT 'S' || CAST(s_suppkey AS STRING) || '.Name' AS name, s_name AS value, CASE WHEN s_suppkey % 2 = 0 THEN 'file' END AS provided FROM supplier")
 def a8_settings(spark, sf_dir):
-    rows = g.frame(spark, sf_dir, "SELECT 'S' || CAST(s_suppkey AS STRING) || '.Name' AS name, s_name AS value, CASE WHEN s_suppkey % 2 = 0 THEN 'file' END AS provided, s_suppkey % 4 AS doc FROM {supplier}")
+    rows = g.frame(spark, sf_dir, "SELECT 'S' || CAST(s_suppkey AS STRING) || '.Name' AS name, s_name AS value, CASE WHEN s_suppkey % 2 = 0 THEN 'file' END AS provided, floor(s_suppkey / 20) AS doc FROM {supplier}")
     docs = rows.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("value", "provided")))).alias("values"))
     return snapshots.settings(docs.select(F.col("doc").cast("string").alias("path"), F.to_json(F.struct("values")).alias("json"))).select("name", "value", "provided")
 
 
-@query()
+@query("SELECT 'region=' || CAST(n_regionkey AS STRING) || '/nation=' || CAST(c_nationkey AS STRING) AS folder, 1 AS files, true AS filled FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_regionkey, c_nationkey")
 def a1_list_files(spark, sf_dir):
-    return snapshots.list_files(spark, sf_dir, "*.parquet").select(F.substring_index("path", "/", -1).alias("name"), "bytes")
+    """The customers' names as text files in a folder for each nation below its region's, listed by pattern at any depth; other files there are left out."""
+    import uuid
 
+    root = f"{shared.shared_dir(spark)}/weft-files-{uuid.uuid4().hex}"
+    rows = g.frame(spark, sf_dir, "SELECT n_regionkey AS region, c_nationkey AS nation, c_name AS value FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey").repartition("nation")
+    rows.write.partitionBy("region", "nation").text(root)
+    rows.limit(1).select("value").write.option("compression", "gzip").text(f"{root}/other")
+    found = snapshots.list_files(spark, root, "*.txt").withColumn("folder", F.regexp_extract("path", r"(region=\d+/nation=\d+)/[^/]+$", 1))
+    return found.groupBy("folder").agg(F.count(F.lit(1)).cast("int").alias("files"), (F.min("bytes") > 0).alias("filled"))

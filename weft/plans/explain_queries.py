@@ -85,14 +85,16 @@ def e8_notes_filter(spark, sf_dir):
 @query("""WITH GRAPH SELECT 'node' AS kind, id, type || ' ''' || name || ''' [' || status || ']' || CASE WHEN status <> 'Known' THEN ' - not scanned' ELSE '' END AS text FROM nodes
 UNION ALL SELECT 'edge', edge_id, src || ' -' || relation || '-> ' || dst || CASE WHEN relation = 'ControlledBy' THEN ' when @Flag = 1' ELSE '' END || CASE WHEN relation = 'UsesParameter' THEN ' via @P' ELSE '' END || ' (Linker r1)' FROM edges
 UNION ALL SELECT 'lineage', lineage_id, output || ' <- ' || coalesce(source, CASE WHEN transform = 'Literal' THEN '<literal>' ELSE '<unknown>' END) || ' [' || transform || ']' || coalesce(' ' || expression, '') || coalesce(' when ' || condition, '') FROM lineage
-UNION ALL SELECT 'runtime', CAST(event_id AS STRING), evidence_type || ' ' || node_id || ' = ' || CAST(CAST(event_id AS INT) % 10 AS STRING) || coalesce(' [' || scope || ']', '') || ' in ' || trace_id FROM evidence""")
+UNION ALL SELECT 'runtime', CAST(event_id AS STRING), coalesce(scope || '.value', node_id) || ' = ' || CASE WHEN event_id % 9 = 0 THEN 'null' ELSE CAST(event_id % 10 AS STRING) END || ' (' || evidence_type || ', Test, ' || substr(trace_id, 7) || ' 00:00:00Z) on ' || node_id FROM evidence""")
 def e9_describe(spark, sf_dir):
     none, c = F.lit(None).cast("string"), F.col
     nodes = g.nodes(spark, sf_dir).select(F.lit("node").alias("kind"), "id", explain.describe_node(c("type"), c("name"), c("status"), none, F.lit("not scanned")).alias("text"))
     condition, variable = F.when(c("relation") == "ControlledBy", "@Flag = 1"), F.when(c("relation") == "UsesParameter", "@P")
     edges = g.edges(spark, sf_dir).select(F.lit("edge"), "edge_id", explain.describe_edge(c("src"), c("relation"), c("dst"), condition, variable, F.lit("Linker"), F.lit("r1")))
     lineage = g.lineage(spark, sf_dir).select(F.lit("lineage"), "lineage_id", explain.describe_lineage(c("output"), c("source"), c("transform"), c("expression"), c("condition")))
-    runtime = g.evidence(spark, sf_dir).select(F.lit("runtime"), c("event_id").cast("string"), explain.describe_runtime(c("evidence_type"), c("node_id"), (c("event_id").cast("int") % 10).cast("string"), c("scope"), c("trace_id")))
+    value = F.when(c("event_id") % 9 != 0, (c("event_id") % 10).cast("string"))
+    text = explain.describe_runtime(F.concat("scope", F.lit(".value")), c("node_id"), value, c("evidence_type"), F.lit("Test"), F.to_timestamp(F.substring("trace_id", 7, 10)))
+    runtime = g.evidence(spark, sf_dir).select(F.lit("runtime"), c("event_id").cast("string"), text)
     return nodes.union(edges).union(lineage).union(runtime)
 
 

@@ -139,11 +139,11 @@ def c12_trace_sets(spark, sf_dir):
     return trace.trace_sets(g.edges(spark, sf_dir), g.nodes(spark, sf_dir), g.lineage(spark, sf_dir), _root(spark, sf_dir))
 
 
-@query("""WITH GRAPH, k AS (SELECT e.edge_id, l.*, CASE WHEN l.condition IS NULL THEN '0' ELSE '1' END || lineage_id AS o, e.confidence AS ec FROM edges e LEFT JOIN lineage l ON l.output = e.src AND l.source = e.dst WHERE e.relation = 'AliasOf')
-SELECT edge_id, coalesce(arg_min(transform, o), 'Direct') AS transform, min(lineage_id) IS NOT NULL AS has_record, count(lineage_id) AS records, least(min(ec), arg_min(confidence, o)) AS confidence FROM k GROUP BY edge_id""")
+@query("""WITH GRAPH, k AS (SELECT e.edge_id, e.relation, l.*, CASE WHEN l.condition IS NULL THEN '0' ELSE '1' END || lineage_id AS o, e.confidence AS ec FROM edges e LEFT JOIN lineage l ON l.output = e.src AND l.source = e.dst WHERE e.relation IN ('AliasOf', 'ControlledBy'))
+SELECT edge_id, coalesce(arg_min(transform, o), CASE relation WHEN 'ControlledBy' THEN 'Conditional' ELSE 'Direct' END) AS transform, min(lineage_id) IS NOT NULL AS has_record, count(lineage_id) AS records, least(min(ec), arg_min(confidence, o)) AS confidence FROM k GROUP BY edge_id, relation""")
 def c15_hop_lineage(spark, sf_dir):
     edges = g.edges(spark, sf_dir)
-    found = edges.where("relation = 'AliasOf'").select(F.col("edge_id").alias("hop"), F.col("src").alias("parent"), F.col("dst").alias("node_id"), "edge_id", "relation", F.lit(1).alias("depth"), F.lit(False).alias("is_repeat"))
+    found = edges.where(F.col("relation").isin(traverse.LINEAGE_RELATIONS)).select(F.col("edge_id").alias("hop"), F.col("src").alias("parent"), F.col("dst").alias("node_id"), "edge_id", "relation", F.lit(1).alias("depth"), F.lit(False).alias("is_repeat"))
     out = trace.with_lineage(found, edges, g.lineage(spark, sf_dir))
     return out.select("edge_id", "transform", (F.size("lineage_ids") > 0).alias("has_record"), F.size("lineage_ids").cast("long").alias("records"), "confidence")
 
@@ -209,9 +209,8 @@ def c30_search(spark, sf_dir):
 
 @query("WITH GRAPH SELECT trace_id, count(*) AS evidence, count(DISTINCT lower(scope)) AS n_scopes, string_agg(DISTINCT lower(scope), ',' ORDER BY lower(scope)) AS scopes FROM evidence GROUP BY trace_id")
 def c32_trace_summary(spark, sf_dir):
-    scopes = F.array_sort(F.collect_set(F.lower("scope")))
-    each = g.evidence(spark, sf_dir).groupBy("trace_id").agg(F.count(F.lit(1)).alias("evidence"), scopes.alias("s"))
-    return each.select("trace_id", "evidence", F.size("s").cast("long").alias("n_scopes"), F.array_join("s", ",").alias("scopes"))
+    each = trace.trace_summaries(g.evidence(spark, sf_dir))
+    return each.select("trace_id", "evidence", F.size("scopes").cast("long").alias("n_scopes"), F.array_join("scopes", ",").alias("scopes"))
 
 
 @query("WITH GRAPH SELECT CASE WHEN src = 'param:supplier.2' THEN 'out' ELSE 'in' END AS side, edge_id FROM edges WHERE src = 'param:supplier.2' OR dst = 'param:supplier.2'")
@@ -268,4 +267,4 @@ def i11_chips(spark, sf_dir):
 
 @query("WITH GRAPH SELECT scope, count(DISTINCT trace_id) AS traces, count(DISTINCT node_id) AS fields FROM evidence WHERE scope IS NOT NULL GROUP BY scope")
 def i12_scopes(spark, sf_dir):
-    return g.evidence(spark, sf_dir).where("scope is not null").groupBy("scope").agg(F.countDistinct("trace_id").alias("traces"), F.countDistinct("node_id").alias("fields"))
+    return client.scopes(g.evidence(spark, sf_dir))

@@ -55,6 +55,12 @@ def d1_bind(spark, sf_dir):
     return each.select("trace_id", "section", "n", "first_id", F.sha2(F.array_join(F.transform("s", lambda x: x["said"]), ";"), 256).alias("hash"))
 
 
+@query(f"""WITH {ROWS} SELECT trace_id, 'ev-' || lpad(CAST(n AS STRING), 3, '0') AS id, CASE WHEN node_id = 'sp:dbo.Lines' THEN 'dbo.Lines ' || value || ' ms' WHEN section = 0 THEN split_part(node_id, ':', 2)
+WHEN section = 1 THEN scope || '.' || split_part(node_id, '.', 3) ELSE coalesce(scope || '.', '') || split_part(node_id, ':', 2) END AS label FROM bound""")
+def d8_labels(spark, sf_dir):
+    return runtime.bind(captures(spark, sf_dir)).select("trace_id", "id", "label")
+
+
 @query(f"WITH {LINES} SELECT 'trace-' || CAST(o_orderkey AS STRING) AS trace_id, name, count(*) AS n, min(value) AS least, min(scope) AS scope FROM (SELECT o_orderkey, 'part' AS name, 'P' || CAST(l_partkey AS STRING) AS value, 'P' || CAST(l_partkey AS STRING) AS scope FROM lines UNION ALL SELECT o_orderkey, 'quantity', CAST(quantity AS STRING), 'P' || CAST(l_partkey AS STRING) FROM lines) x GROUP BY 1, 2")
 def d3_unpivot(spark, sf_dir):
     return runtime.cells(captures(spark, sf_dir)).groupBy("trace_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.min("scope").alias("scope"))
@@ -136,8 +142,7 @@ def d14_read_param(spark, sf_dir):
 
 @query("SELECT 'fx-' || CAST(o_orderkey AS STRING) AS fixture_id, o_orderstatus AS status FROM orders WHERE o_orderkey = 3 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def d15_read_response(spark, sf_dir):
-    own = captures(spark, sf_dir).where(F.lower("fixture_id") == "fx-3")
-    return own.select("fixture_id", F.get_json_object("response", "$.header.status").alias("status"))
+    return runtime.read_response(captures(spark, sf_dir), " FX-3 ", "$.header.status").withColumnRenamed("value", "status")
 
 
 @query("SELECT CASE o_orderstatus WHEN 'F' THEN 'fixture' WHEN 'O' THEN 'Test' ELSE 'PROD' END AS environment, o_orderstatus IN ('F', 'O') AS allowed, count(*) AS n FROM orders GROUP BY ALL")
