@@ -56,3 +56,22 @@ def test_edges_and_shared_chunks(spark):
     kept = shared.count() + sum(r.n for r in stored.selectExpr("size(filter(data, x -> x is not null)) n").collect())
     assert kept < 0.6 * total
     assert mc.features_of(docs.limit(0)).count() == 0
+
+
+def test_filter_holds_every_shared_digest_and_few_others(spark, monkeypatch):
+    monkeypatch.setattr(mc, "LEAST_BITS", 8)
+    assert [mc.filter_size(n) for n in (0, 1, 17, 1000, 10**7, 10**12)] == [8, 8, 9, 14, 28, 28]
+    monkeypatch.undo()
+    texts = [f"text {k} " * 20 for k in range(3000)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:400])], "doc_id long, text string").repartition(5, "doc_id")  # by id, so that both plans deal alike
+    keyed = mc.keyed(docs).select("key", "text")
+    found = mc.shared_filter(keyed)
+    digest = lambda t: hashlib.sha256(mc.payload(t)[0]).digest()
+    parts = docs.rdd.glom().map(lambda rows: [r.text for r in rows]).collect()
+    met = {}  # a batch tells a text once, however often it holds it
+    for i, p in enumerate(parts):
+        for t in p:
+            met.setdefault(t, set()).add(i)
+    shared = [t for t, where in met.items() if len(where) > 1]
+    assert sum(map(len, parts)) == 3400 and len(shared) > 100 and all(digest(t) in found for t in shared)
+    assert sum(digest(t) in found for t in texts if t not in set(shared)) < 0.2 * len(texts)

@@ -2,8 +2,9 @@
 
 A text's UTF-8 bytes, zero-padded to a positive multiple of 64, are the 8-bit samples of a mono WAV stream. A rolling gear
 hash over 32 bytes cuts the samples into chunks, named by their SHA-256. Spark groups the digests alone to find those
-that occur more than once; 2**FILTER_BITS bits of them (a fixed size, false hits do no harm) go to the tasks that
-write. A chunk outside the filter is unique and stays, compressed, in its stream's row; one inside is written
+that occur more than once. Bits of these, SPARE for each of them up to 2**MOST_BITS (32 MB) in all, go to the tasks that
+write; so one in SPARE of the other chunks is a false hit, which does no harm, and past 2**MOST_BITS / SPARE shared chunks more of them
+are, up to all: then each chunk moves once on writing and once on reading, in proportion to the input. A chunk outside the filter is unique and stays, compressed, in its stream's row; one inside is written
 once, to a table grouped by digest, and the row refers to it. So only shared chunks move on writing, and only
 streams that use some on reading, when a join by digest brings them back in order. A stream is checked against the
 digest of its payload before features are computed. Equal texts share one stream.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ from weft.llm.common import forget, releasing, written
 
 UNIT = 64
 SMALLEST, MASK_BITS, LARGEST = 1024, 12, 16384
-FILTER_BITS = 22
+SPARE, LEAST_BITS, MOST_BITS = 16, 16, 28
+BLOCK_BITS = 16  # bits of the filter that come from one task
 RATE = 8000
 
 
@@ -93,8 +96,25 @@ def pieces(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def shared_filter(texts: DataFrame) -> np.ndarray:
-    """Bits by the leading bits of every digest that more than one place of the distinct texts has."""
+@dataclass(frozen=True)
+class Filter:
+    """2**size bits by the leading four bytes of digests."""
+
+    size: int
+    words: np.ndarray
+
+    def __contains__(self, digest: bytes) -> bool:
+        place = int.from_bytes(digest[:4], "big") >> (32 - self.size)
+        return bool(self.words[place // 8] >> (place % 8) & 1)
+
+
+def filter_size(shared: int) -> int:
+    """Bits, as a power of two, that leave SPARE of them for each of the shared digests."""
+    return min(max((shared * SPARE - 1).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def shared_filter(texts: DataFrame) -> Filter:
+    """Bits of every digest that more than one place of the distinct texts has."""
 
     def run(batches):
         for batch in batches:
@@ -103,19 +123,23 @@ def shared_filter(texts: DataFrame) -> np.ndarray:
 
     every = texts.mapInArrow(run, "key binary, digest binary")
     # a text met in two tasks counts twice; its chunks are then stored as shared, once
-    twice = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    place = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = twice.select(F.floor(place / 64).cast("int").alias("word"), (place % 64).alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()  # at most 2**FILTER_BITS / 64 rows
-    out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    twice = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.substring("digest", 1, 4).alias("head"))
+    twice, path = written(twice, "shared")
+    size = filter_size(twice.count())
+    place = F.shiftright(F.conv(F.hex("head"), 16, 10).cast("long"), 32 - size)
+    at = twice.select(F.shiftright(place, BLOCK_BITS).cast("int").alias("block"), place.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("place")).distinct()
+
+    def block(table):
+        out = np.zeros(1 << BLOCK_BITS, np.uint8)
+        out[table.column("place").to_numpy()] = 1
+        return pa.table({"block": table.column("block")[:1], "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    rows = at.groupBy("block").applyInArrow(block, "block int, bits binary").collect()  # at most 2**(MOST_BITS - BLOCK_BITS) rows of 8 KB
+    words = np.zeros((1 << size) // 8, np.uint8)
     for r in rows:
-        out[r.word] = r.bits
-    return out
-
-
-def is_shared(digest: bytes, bits: np.ndarray) -> bool:
-    place = int.from_bytes(digest[:3], "big") & ((1 << FILTER_BITS) - 1)
-    return bool(int(bits[place // 64]) >> (place % 64) & 1)
+        words[r.block << BLOCK_BITS - 3 : (r.block + 1) << BLOCK_BITS - 3] = np.frombuffer(r.bits, np.uint8)
+    forget(texts.sparkSession, path)
+    return Filter(size, words)
 
 
 def shared_rows(texts: DataFrame, bits) -> DataFrame:
@@ -128,7 +152,7 @@ def shared_rows(texts: DataFrame, bits) -> DataFrame:
             for _, text in distinct_texts([batch]):
                 for piece in pieces(payload(text)[0]):
                     digest = hashlib.sha256(piece).digest()
-                    if digest not in seen and is_shared(digest, bits.value):
+                    if digest not in seen and digest in bits.value:
                         seen.add(digest)
                         out.append((digest, packer.compress(piece)))
             if len(seen) > 200_000:
@@ -155,7 +179,7 @@ def streams(texts: DataFrame, bits) -> DataFrame:
             for key, text in distinct_texts([batch]):
                 data, n = payload(text)
                 each = [(hashlib.sha256(p).digest(), p) for p in pieces(data)]
-                own = [None if is_shared(d, bits.value) else packer.compress(p) for d, p in each]
+                own = [None if d in bits.value else packer.compress(p) for d, p in each]
                 out.append((key, n, hashlib.sha256(data).digest(), None in own, [d for d, _ in each], own))
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
