@@ -79,3 +79,11 @@ def test_arms_by_position(spark):
     ]
     columns = {(r.query, r.position): (r.name, r["items"]) for r in t.sql_result_columns(arms).collect()}
     assert columns[1, 1] == ("Number", ["a.Number", "b.no", "1"]) and columns[1, 2][0] == "Zone Name" and columns[1, 3][0] == "Kind" and columns[1, 4] == ("total", ["COUNT(*) total", "1", "3"]) and columns[2, 1][0] == "only"
+
+
+def test_small_files_are_not_broadcast(spark):
+    """The files of marks are far smaller than their rows, so no join may rest on their size."""
+    files = spark.createDataFrame([("a", CS), ("b", CS)], "path string, text string")
+    procedures = spark.createDataFrame([("p", SQL), ("u", ARMS)], "path string, text string")
+    for rows in (t.cs_guarded_calls(files), t.cs_branch_reads(files), t.sql_assignments(procedures), t.sql_arms(procedures)):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
