@@ -135,3 +135,14 @@ def test_lone_pairs_near_the_threshold(spark):
         rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:shared] + [f"q{i}w{k}" for k in range(shared, 104)]))]
     got = {r.doc_id: (r.class_id, r.n_links) for r in nd.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: (k - k % 2, 1) for k in range(1200)}
+
+
+def test_edges_of_a_group_grow_by_one_a_class(spark):
+    """A class of a dense group has another hub in each tree; only one edge a class is kept, with those between hubs, and components are the same."""
+    n, trees = 300, 24
+    rows = [(1000 + d, t if d % trees else 500 + t) for d in range(n) for t in range(trees)] + [(t, t) for t in range(trees)] + [(5000, 4000), (4000, 4000)]
+    walked = spark.createDataFrame(rows, "d1 long, hub long")
+    edges = nd.contracted(walked)
+    assert edges.count() <= n + 3 * trees
+    label = lambda e: {r.node: r.label for r in nd.components(e, "d1", "hub")[0].collect()}
+    assert label(edges) == label(walked)

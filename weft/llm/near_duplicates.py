@@ -11,7 +11,7 @@ is the trie's order and cutting bytes off the end shortens the prefix. Every cla
 shortens it until, at a depth where n other classes share it in some tree, the expected number of partners at the threshold that it still misses,
 (1 - t^depth)^TREES, is at most 1 - target of n. So members of crowded branches stop early, in tight
 branches, and a lone class goes down to the floor, where every class stops. A branch that is the stop of one of its classes is walked:
-its classes become edges to the least class there; connected classes are found by min-label rounds over id
+its classes become edges to the least class there, which are contracted to one a class and those between hubs; connected classes are found by min-label rounds over id
 pairs only, so no branch is ever expanded into pairs.
 
 Verification: a component of n classes is either dealt into blocks of BLOCK classes, or into its branches at the floor (and these into
@@ -198,6 +198,13 @@ def walked_edges(entries: DataFrame, needed: list[int]) -> DataFrame:
     return lone.union(branches.drop("stop").join(walked, ["key", "j", "prefix"]).select("d1", "hub"))
 
 
+def contracted(walked: DataFrame) -> DataFrame:
+    """Edges (d1, hub) with the components of walked: each class goes to its least hub, and that one to the class's other hubs, which most classes of a group share."""
+    each = walked.groupBy("d1").agg(F.array_sort(F.collect_set("hub")).alias("hubs"))  # at most a hub for each branch of a class
+    ends = F.explode(F.concat(F.array(F.struct("d1", F.col("hubs")[0].alias("hub"))), F.transform("hubs", lambda h: F.struct(F.col("hubs")[0].alias("d1"), h.alias("hub")))))
+    return each.select(ends.alias("e")).select("e.*").where("d1 <> hub").distinct()
+
+
 def places(labels: DataFrame, entries: DataFrame, heads: DataFrame, block: int) -> DataFrame:
     """(d1, comp, places, keys): the cells' rows of each class; a place is (key, blocks, block), key 0 for the component as a whole."""
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
@@ -324,7 +331,8 @@ def classified(docs: DataFrame, threshold: float, trees: int, target: float, blo
     keyed = heads.select("d1", F.explode(F.arrays_zip("keys", "rests")).alias("k")).select("d1", F.col("k.keys").alias("key"), F.col("k.rests").alias("rest"))
     shared = keyed.groupBy("key").agg(F.min("d1").alias("hub"), F.max("d1").alias("top"), F.count(F.lit(1)).alias("n")).where("hub < top").select("key", "hub", "n")
     entries, entries_path = written(keyed.join(shared, "key").select("d1", "key", "rest", "hub", "n"), "entries")
-    labels, paths = components(walked_edges(entries, partners_needed(threshold, trees, target, floor, steps)), "d1", "hub")
+    edges, edges_path = written(contracted(walked_edges(entries, partners_needed(threshold, trees, target, floor, steps))), "walked")  # components() reads them both ways
+    labels, paths = components(edges, "d1", "hub")
 
     chosen = places(labels, entries, heads, block).join(classes, "d1").select("comp", "places", "d1", "d2", "copies", "keys", "row")
     texts = hashed(docs)
@@ -343,7 +351,7 @@ def classified(docs: DataFrame, threshold: float, trees: int, target: float, blo
     )
     result, result_path = written(result, "classes")
     final = rows.join(result, ["d1", "d2"]).withColumn("d2", F.when(F.col("is_linked"), 0).otherwise(F.col("d2"))).drop("d1", "is_linked")
-    forget(docs.sparkSession, heads_path, entries_path, links_path, *paths, *more_paths)
+    forget(docs.sparkSession, heads_path, entries_path, edges_path, links_path, *paths, *more_paths)
     return final, [sig_path, result_path]
 
 
