@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import ids
 from weft.functions.text import squeezed, truncated
+from weft.operators.shared import kept
 from weft.plans.registry import query
 from weft.sources import bench_graph as g
 from weft.sources import source_text as s
@@ -151,7 +152,7 @@ public class Store' || CAST(c_custkey AS STRING) || ' { public Store' || CAST(c_
 SELECT 'c' || k AS path, replace(class, '#', k) AS class, method, 'method:' || replace(class, '#', k) || '.' || method AS method_id, replace(return_type, '#', k) AS return_type, parameters, accessibility, is_async, layer, description, replace(returns, '#', k) AS returns FROM c, m""")
 def h5_methods(spark, sf_dir):
     texts = g.frame(spark, sf_dir, METHODS)
-    methods = s.cs_methods(texts)
+    methods = kept(s.cs_methods(texts))  # read twice
     returns = s.cs_return_edges(methods, s.cs_models(texts)).select(F.col("src").alias("method_id"), F.col("dst").alias("returns"))
     return methods.join(returns, "method_id", "left")
 

@@ -20,6 +20,9 @@ PARAMETER_READERS = ["AF_GetSystemParameterValue", "AF_GetSystemParameterValueIn
 QUERY_CALLS = ["Query", "QueryAsync", "QueryFirst", "QueryFirstAsync", "QueryFirstOrDefault", "QueryFirstOrDefaultAsync", "QuerySingle", "QuerySingleAsync", "QuerySingleOrDefault", "QuerySingleOrDefaultAsync", "QueryMultiple", "QueryMultipleAsync", "Execute", "ExecuteAsync", "ExecuteScalar", "ExecuteScalarAsync"]
 
 
+PART_CHARS = 8_000_000  # of the texts that one task reads
+
+
 def names(text: Column, before: str) -> Column:
     """Distinct normalised object names that follow the pattern before."""
     pattern = rf"(?i){before}{NAME}"
@@ -127,6 +130,13 @@ def unwrapped(type_: Column, depth: int = 4) -> Column:
     return F.regexp_replace(type_, r"(?:\[\]|\?)+$", "")
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """(path, text) of texts, dealt by path over as many parts as the texts need: their files may be one small split, and Spark would merge such small parts."""
+    own = files.where("text is not null").select("path", "text")
+    size = own.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return own.repartition(max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_CHARS), "path")
+
+
 def cs_methods(files: DataFrame) -> DataFrame:
     """(path, class, method, method_id, return_type, parameters, accessibility, is_async, layer, description) of the methods of each class.
 
@@ -134,7 +144,7 @@ def cs_methods(files: DataFrame) -> DataFrame:
     local functions count as methods, and tuples as return types are not seen.
     """
     parts = F.split(F.regexp_replace(F.col("text"), r"(?<!/)//(?!/)[^\n]*", ""), r"(?=\bclass\s+\w)")
-    each = files.select("path", parts.alias("parts")).select("path", F.explode(F.transform("parts", lambda p, k: F.struct(p.alias("part"), F.get("parts", k - 1).alias("before")))).alias("c"))
+    each = dealt(files).select("path", parts.alias("parts")).select("path", F.explode(F.transform("parts", lambda p, k: F.struct(p.alias("part"), F.get("parts", k - 1).alias("before")))).alias("c"))
     marked = r"\[(?:ApiController|Route)\b[^\]]*\]\s*(?:\[[^\]]*\]\s*)*(?:\w+\s+)*$"
     controller = F.rlike("c.part", F.lit(r"^class\s+\w*Controller\b|^class\s+\w+(?:<[^>]*>)?\s*:\s*(?:[\w<>]+,\s*)*Controller(?:Base)?\b")) | F.coalesce(F.rlike("c.before", F.lit(marked)), F.lit(False))
     access = r"public|private|protected|internal"

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from weft.functions.text import squeezed
 from weft.operators.shared import kept
+from weft.sources.source_text import dealt
 
 CS_TOKENS = r'(\s+|//[^\n]*|/\*[\s\S]*?\*/|@"(?:[^"]|"")*"|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|=>|\w+|[\s\S])'
-PART_CHARS = 8_000_000  # of the texts that one task turns into tokens
 SQL_TOKENS = r"(\s+|--[^\n]*|/\*[\s\S]*?\*/|N?'(?:[^']|'')*'|\[[^\]\n]*\]|[@#]{0,2}\w+|<>|[<>!]=|[\s\S])"
 
 # Words that begin a statement, and words before a bracket that are no calls.
@@ -26,12 +26,7 @@ CS_KEYWORDS = ["if", "for", "foreach", "while", "switch", "using", "lock", "catc
 
 def tokens(files: DataFrame, pattern: str) -> DataFrame:
     """(path, i, at, token) of files (path, text), dealt by path: i numbers what is no space or comment, at is the place in the text."""
-    own = files.where("text is not null").select("path", "text")
-    size = own.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    # as many parts as the texts need, which are far smaller than the rows that come of them, so that Spark must not merge these parts
-    parts = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_CHARS)
-    dealt = own.repartition(parts, "path")
-    each = dealt.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("k", "token"))
+    each = dealt(files).select("path", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("k", "token"))
     order = Window.partitionBy("path").orderBy("k")
     at = F.sum(F.length("token")).over(order) - F.length("token") + 1
     told = each.withColumn("at", at.cast("int")).where(~F.rlike("token", F.lit(r"^(?:\s|//|/\*|--)")))
