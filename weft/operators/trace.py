@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weft.functions import ids
 from weft.operators.shared import kept
-from weft.operators.walks import TRACE_DEPTH, TRACE_HOPS, Adjacency, links, walks
+from weft.operators.traverse import LINEAGE_RELATIONS
+from weft.operators.walks import TRACE_DEPTH, TRACE_HOPS, Adjacency, links, recorded, walks
 
 # Types a short field name is looked up in, in this order.
 RESOLVED_TYPES = ["JsonField", "Field", "ResultColumn", "IntermediateColumn", "Column"]
@@ -76,6 +77,16 @@ def with_lineage(found: DataFrame, edges: DataFrame, lineage: DataFrame, nodes:
     return rows.join(told, ["parent", "node_id", "edge_id", "fallback"]).select("hop", "parent", "node_id", "edge_id", "relation", "depth", "is_repeat", "transform", "expression", "condition", "confidence", "lineage_ids")
 
 
+def steps_with_lineage(edges: DataFrame, lineage: DataFrame) -> DataFrame:
+    """(parent, node_id, edge_id, transform, expression, condition, confidence, lineage_ids) of every lineage edge from its source, as with_lineage() tells of a hop.
+
+    All edges are asked for and bring their own confidence, so nothing is pruned or looked up: edges and lineage meet in one join."""
+    condition = F.col("metadata")["condition"] if "metadata" in edges.columns else F.lit(None).cast("string")
+    rows = edges.where(F.col("relation").isin(LINEAGE_RELATIONS)).select(
+        F.col("src").alias("parent"), F.col("src").alias("l_output"), F.col("dst").alias("node_id"), "edge_id", "relation", F.lit(False).alias("fallback"), F.col("confidence").alias("edge_confidence"), condition.alias("edge_condition"))
+    return recorded(rows, lineage, ["parent", "node_id", "edge_id"]).drop("evidence")
+
+
 def dangling(lineage: DataFrame) -> DataFrame:
     """Records without a source: evidence always, an unknown unless literal."""
     return lineage.where("source is null").select("output", "lineage_id", (F.col("transform") != "Literal").alias("is_unknown"))
