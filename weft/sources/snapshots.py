@@ -35,16 +35,16 @@ def documents(spark: SparkSession, path: str, pattern: str = "*.json", recursive
 
 
 def cleaned(json: Column) -> Column:
-    """Without line comments outside strings and without trailing commas."""
-    bare = F.regexp_replace(json, r'("(?:[^"\\]|\\.)*")|//[^\n]*', "$1")
-    return F.regexp_replace(bare, r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', "$1")
+    """Without line comments outside strings and without trailing commas; texts without either do not meet the patterns, which read strings sign by sign."""
+    bare = F.when(F.contains(json, F.lit("//")), F.regexp_replace(json, r'("(?:[^"\\]|\\.)*")|//[^\n]*', "$1")).otherwise(json)
+    return F.when(F.rlike(bare, F.lit(r",\s*[}\]]")), F.regexp_replace(bare, r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', "$1")).otherwise(bare)
 
 
 def parsed(docs: DataFrame, schema: str) -> DataFrame:
     """docs (path, json) with doc; a document that is null or no JSON is an error that names its path."""
-    doc = F.from_json(cleaned(F.col("json")), schema)
     bad = F.raise_error(F.concat(F.lit("no document in "), F.coalesce("path", F.lit("?"))))
-    return docs.select("path", F.when(F.trim("json").isin("null", "") | F.col("json").isNull() | F.try_parse_json(cleaned(F.col("json"))).isNull(), bad.cast(schema)).otherwise(doc).alias("doc"))
+    clean = docs.select("path", "json", cleaned(F.col("json")).alias("clean"))
+    return clean.select("path", F.when(F.trim("json").isin("null", "") | F.col("json").isNull() | F.try_parse_json("clean").isNull(), bad.cast(schema)).otherwise(F.from_json("clean", schema)).alias("doc"))
 
 
 def snapshot_parts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
