@@ -84,7 +84,7 @@ def repeated(nodes: DataFrame) -> DataFrame:
 def write_tables(path: str, nodes: DataFrame, edges: DataFrame, lineage: DataFrame) -> None:
     """A snapshot as three Parquet tables and a manifest row; any size."""
     for name, df in (("nodes", nodes), ("edges", edges), ("lineage", lineage)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
     nodes.sparkSession.createDataFrame([(VERSION, "merged")], "schemaVersion string, source string").write.mode("overwrite").json(f"{path}/manifest")
 
 
