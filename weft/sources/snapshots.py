@@ -81,8 +81,16 @@ def repeated(nodes: DataFrame) -> DataFrame:
     return twice.groupBy("path").agg(F.min("id").alias("id")).select("path", F.concat(F.lit("duplicate node id "), "id").alias("fault"))
 
 
+# How ids follow from their rows; and what stands for one that is null though its row gives one.
+IDS = {"edge_id": lambda: ids.edge_id(F.col("src"), F.col("relation"), F.col("dst")), "lineage_id": lambda: ids.lineage_id(F.col("output"), F.col("source"), F.col("condition"))}
+NO_ID = "\0none"
+
+
 def write_tables(path: str, nodes: DataFrame, edges: DataFrame, lineage: DataFrame) -> None:
-    """A snapshot as three Parquet tables and a manifest row; any size."""
+    """A snapshot as three Parquet tables and a manifest row; any size. An id that follows from its row is left null, as JSON snapshots have none."""
+    for column, own in IDS.items():
+        shorter = lambda df: df.withColumn(column, F.when(~F.col(column).eqNullSafe(own()), F.coalesce(column, F.lit(NO_ID)))) if column in df.columns else df  # noqa: B023, E731
+        edges, lineage = shorter(edges), shorter(lineage)
     for name, df in (("nodes", nodes), ("edges", edges), ("lineage", lineage)):
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
     nodes.sparkSession.createDataFrame([(VERSION, "merged")], "schemaVersion string, source string").write.mode("overwrite").json(f"{path}/manifest")
@@ -92,7 +100,11 @@ def read_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     version = spark.read.json(f"{path}/manifest").first()["schemaVersion"]
     if version != VERSION:
         raise ValueError(f"schema version {version}")
-    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges", "lineage"))
+    tables = [spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges", "lineage")]
+    for column, own in IDS.items():
+        whole = F.when(F.col(column).isNull(), own()).when(F.col(column) != NO_ID, F.col(column))
+        tables = [df.withColumn(column, whole) if column in df.columns else df for df in tables]
+    return tuple(tables)
 
 
 def json_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
