@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
@@ -15,9 +15,11 @@ ROW_LIMIT = 200
 AUDIT_RING = 1000
 SCOPE_KEY = "materialNumber"
 SENSITIVE = frozenset(T.SENSITIVE_KEYS)
+QUOTE, LITERALS = json.JSONEncoder(ensure_ascii=False).encode, {True: "true", False: "false", None: "null"}
 
 CELL = "map<string,string>"
-LEAVES = "array<struct<path:string,scope:string,ord:array<int>,value:string>>"
+LEAVES = "array<struct<ord:array<int>,path:string,scope:string,value:string>>"
+ITEMS = "array<struct<s:int,a:string,b:int,c:string,value:string,scope:string>>"
 RESULTS = f"map<string,struct<durationMs:int,rowKey:string,returnColumn:string,rows:array<{CELL}>>>"
 
 
@@ -29,27 +31,42 @@ def _no_number(text: str):
     raise ValueError(text)
 
 
-def _leaves(text: str | None, scope_key: str) -> list[tuple] | None:
-    """(path, scope, ord, value) of the scalars below the root of one document. Objects are tuples of members, so that repeated ones stay."""
+DECODE = json.JSONDecoder(object_pairs_hook=tuple, parse_int=Number, parse_float=Number, parse_constant=_no_number).decode
+
+
+def _leaves(text: str | None, scope_key: str, places: list, ends: list, paths: list, scopes: list, values: list) -> None:
+    """Adds place, path, scope and value of the scalars below the root of one document to the lists; ends says where a place ends in places, which is
+    flat, as one tuple a leaf takes half of the time. Objects are tuples of members, so that repeated ones stay."""
     try:
-        root = json.loads(text, object_pairs_hook=tuple, parse_int=Number, parse_float=Number, parse_constant=_no_number) if text else None
+        root = DECODE(text) if text else None
     except ValueError:
-        return None
-    out, open_ = [], [("", None, (), root, False, True)]
+        return
+    open_ = [("", None, (), False, iter(((0, root),)))]  # the root is opened as the only entry of nothing
     while open_:
-        path, scope, at, value, in_array, is_root = open_.pop()
-        if isinstance(value, tuple):
-            own = [v for k, v in value if k == scope_key and type(v) is str]
-            scope = own[0] if in_array and own else scope
-            members = [(k, v) for k, v in value if k.lower() not in SENSITIVE]
-            below = [(f"{path}.{k}" if path else k, scope, (*at, n), v, False, False) for n, (k, v) in enumerate(members)]
-            open_.extend(reversed(below))
-        elif isinstance(value, list):
-            open_.extend(reversed([(path, scope, (*at, n), v, True, False) for n, v in enumerate(value)]))
-        elif not is_root:
-            said = str(value) if isinstance(value, Number) else json.dumps(value, ensure_ascii=False)
-            out.append((_utf8(path), _utf8(scope), list(at), _utf8(said)))
-    return out
+        path, scope, at, keyed, rest = open_[-1]
+        for n, value in rest:
+            inner = path
+            if keyed:
+                key, value = value
+                inner = f"{path}.{key}" if path else key
+            kind = type(value)
+            if kind is tuple:
+                if len(open_) > 1 and not keyed:
+                    scope = next((v for k, v in value if k == scope_key and type(v) is str), scope)
+                value = [(k, v) for k, v in value if k.lower() not in SENSITIVE]
+            elif kind is not list:
+                if len(open_) > 1:
+                    places.extend(at)
+                    places.append(n)
+                    ends.append(len(places))
+                    paths.append(inner)
+                    scopes.append(scope)
+                    values.append(value if kind is Number else QUOTE(value) if kind is str else LITERALS[value])
+                continue
+            open_.append((inner, scope, (*at, n) if len(open_) > 1 else (), kind is tuple, enumerate(value)))
+            break
+        else:
+            open_.pop()
 
 
 def _utf8(text: str | None) -> str | None:
@@ -57,6 +74,37 @@ def _utf8(text: str | None) -> str | None:
     return text and text.encode("utf-8", "replace").decode()
 
 
+def _strings(texts: list) -> pa.Array:
+    try:
+        return pa.array(texts, pa.string())
+    except UnicodeError:
+        return pa.array(map(_utf8, texts), pa.string())
+
+
+def _leaves_of(texts: pa.Array, scope_key: str) -> pa.Array:
+    """The leaves of each text, as columns; a text that is no JSON has none."""
+    places, ends, paths, scopes, values, of_text = [], [0], [], [], [], [0]
+    for text in texts.to_pylist():
+        _leaves(text, scope_key, places, ends, paths, scopes, values)
+        of_text.append(len(paths))
+    place = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(of_text, pa.int32()), pa.StructArray.from_arrays([place, _strings(paths), _strings(scopes), _strings(values)], ["ord", "path", "scope", "value"]))
+
+
+def leaves_of(document: Column, scope_key: str = SCOPE_KEY) -> Column:
+    """The leaves of a JSON text, in its order. Whole columns go to Spark as they are, not value by value."""
+
+    def read(texts: pa.Array) -> pa.Array:
+        return _leaves_of(texts, scope_key)
+
+    return F.arrow_udf(read, LEAVES)(document)
+
+
+def _utf8(text: str | None) -> str | None:
+    """Half surrogate pairs, which JSON can escape and UTF-8 cannot hold, as question marks."""
+    return text if not text or text.isascii() else text.encode("utf-8", "replace").decode()
+
+
 def json_leaves(docs: DataFrame, column: str, scope_key: str = SCOPE_KEY) -> DataFrame:
     """docs' other columns with path, scope, ord and value (JSON text) of every scalar below the root of a JSON column, in document order.
 
@@ -65,8 +113,7 @@ def json_leaves(docs: DataFrame, column: str, scope_key: str = SCOPE_KEY) -> Dat
     Numbers keep their text. A document is read once, within its task; no depth is left out and no round of joins is needed.
     """
     keys = [c for c in docs.columns if c != column]
-    found = F.udf(partial(_leaves, scope_key=scope_key), LEAVES, useArrow=True)(F.col(column))
-    return docs.select(*keys, F.inline(found))
+    return docs.select(*keys, F.inline(leaves_of(F.col(column), scope_key))).select(*keys, "path", "scope", "ord", "value")
 
 
 def scoped(row: Column, row_key: Column, entity_key: Column) -> Column:
@@ -104,35 +151,91 @@ def read_response(fixtures: DataFrame, fixture_id: str, path: str) -> DataFrame:
     return own.select("fixture_id", F.get_json_object("response", path).alias("value"))
 
 
+def _item(section: int, a: Column, b: Column, c: Column, value: Column, scope: Column) -> Column:
+    return F.struct(F.lit(section).alias("s"), a.alias("a"), b.alias("b"), c.alias("c"), value.alias("value"), scope.alias("scope"))
+
+
+def _or_none(items: Column) -> Column:
+    return F.coalesce(items, F.array().cast(ITEMS))
+
+
+def _results(f: Column, column: str, section: int, limit: int) -> Column:
+    """The items of one capture's results: owners by name, timing first, rows in order, columns by name."""
+    no_scope, none = F.lit(None).cast("string"), F.lit("")
+    of_row = lambda e, cell: scoped(cell, e["r"]["rowKey"], f["entity_key"])
+
+    def cells(e):
+        rows = F.transform(F.slice(e["r"]["rows"], 1, limit), lambda cell, n: F.struct(n.alias("n"), F.sort_array(F.map_entries(cell)).alias("cell"), of_row(e, cell).alias("scope")))
+        return F.flatten(F.transform(rows, lambda x: _or_none(F.transform(x["cell"], lambda c: _item(section, e["k"], x["n"], c["key"], c["value"], x["scope"])))))
+
+    def values(e):
+        name = F.coalesce(F.nullif(F.trim(e["r"]["returnColumn"]), F.lit("")), F.lit("ReturnValue"))
+        rows = F.filter(F.transform(F.slice(e["r"]["rows"], 1, limit), lambda cell, n: F.struct(n.alias("n"), cell.alias("cell"))), lambda x: F.map_contains_key(x["cell"], name))
+        return F.transform(rows, lambda x: _item(section, e["k"], x["n"], none, F.element_at(x["cell"], name), of_row(e, x["cell"])))
+
+    def own(e):
+        ms = e["r"]["durationMs"]
+        timing = F.when(ms.isNotNull(), F.array(_item(section, e["k"], F.lit(-1), none, ms.cast("string"), no_scope)))
+        return F.concat(_or_none(timing), _or_none(cells(e) if section == 1 else values(e)))
+
+    named = F.transform(F.sort_array(F.map_keys(f[column])), lambda k: F.struct(k.alias("k"), F.element_at(f[column], k).alias("r")))
+    return _or_none(F.flatten(F.transform(named, own)))
+
+
+def by_trace(fixtures: DataFrame, limit: int = ROW_LIMIT, also: tuple[str, ...] = ()) -> DataFrame:
+    """(trace_id, captures, items): a row for each trace, with its evidence as one array in bind()'s order.
+
+    An item is section, owner, row, name, value and scope. A capture's own order is that of its evidence, so only several captures of one trace are
+    sorted, and what is dealt by trace are the captures, which are far smaller than their evidence.
+    """
+    one = F.struct("entity_key", "systemParameters", "procedureResults", "functionResults", *also)
+    read = fixtures.withColumn("leaves", leaves_of(F.col("response")))  # before they are dealt: what comes from Python has no known dealing
+    each = read.groupBy("trace_id").agg(F.collect_list(one).alias("captures"), F.flatten(F.collect_list("leaves")).alias("leaves"))
+    no_scope, none = F.lit(None).cast("string"), F.lit("")
+
+    def items(f):
+        named = F.transform(F.sort_array(F.map_entries(f["systemParameters"])), lambda p: _item(0, p["key"], F.lit(-1), none, p["value"], no_scope))
+        return F.concat(_or_none(named), _results(f, "procedureResults", 1, limit), _results(f, "functionResults", 2, limit))
+
+    each = each.select("trace_id", "captures", F.flatten(F.transform("captures", items)).alias("own"), "leaves")
+    in_order = lambda c: F.when(F.size("captures") > 1, F.sort_array(c)).otherwise(F.col(c))
+    return each.select("trace_id", "captures", F.concat(in_order("own"), F.transform(in_order("leaves"), lambda x: _item(3, none, F.lit(0), x["path"], x["value"], x["scope"]))).alias("items"))
+
+
+def evidence_id(place: Column) -> Column:
+    text = place.cast("string")
+    return F.concat(F.lit("ev-"), F.when(place < 100, F.lpad(text, 3, "0")).otherwise(text))
+
+
 def bind(fixtures: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
     """Evidence rows of captures (trace_id, entity_key, systemParameters, procedureResults, functionResults, response).
 
     Sections in order: parameters by name; procedures by name, timing first, rows in order, columns by name; functions alike; response
     leaves in document order. Ids count within a trace.
     """
-    fixtures = kept(fixtures)
-    no_scope, no_place = F.lit(None).cast("string"), F.array().cast("array<int>")
-    row = lambda df, section, a, b, c, place, node, kind, value, scope, label: df.select("trace_id", F.lit(section).alias("s"), a.alias("a"), b.alias("b"), c.alias("c"), place.alias("place"), node.alias("node_id"), F.lit(kind).alias("evidence_type"), value.alias("value"), scope.alias("scope"), label.alias("label"))
-    parameters = fixtures.select("trace_id", F.explode("systemParameters").alias("name", "value"))
-    parts = [row(parameters, 0, F.col("name"), F.lit(-1), F.lit(""), no_place, F.concat(F.lit("param:"), "name"), "Parameter", F.col("value"), no_scope, F.col("name"))]
-    for section, column, prefix in ((1, "procedureResults", "sp:"), (2, "functionResults", "udf:")):
-        timed = result_rows(fixtures, column, limit).where("duration is not null")
-        parts.append(row(timed, section, F.col("owner"), F.lit(-1), F.lit(""), no_place, F.concat(F.lit(prefix), "owner"), "Timing", F.col("duration").cast("string"), no_scope, F.concat_ws(" ", "owner", F.col("duration").cast("string"), F.lit("ms"))))
-    label = lambda tail: F.concat_ws(".", "scope", tail)
-    parts.append(row(cells(fixtures, limit=limit), 1, F.col("owner"), F.col("row"), F.col("name"), no_place, F.concat(F.lit("spcol:"), "owner", F.lit("."), "name"), "QueryResult", F.col("value"), F.col("scope"), label("name")))
-    parts.append(row(returns(fixtures, limit=limit), 2, F.col("owner"), F.col("row"), F.lit(""), no_place, F.concat(F.lit("udf:"), "owner"), "QueryResult", F.col("value"), F.col("scope"), label("owner")))
-    leaves = json_leaves(fixtures.select("trace_id", "response"), "response")
-    parts.append(row(leaves, 3, F.lit(""), F.lit(0), F.lit(""), F.col("ord"), F.concat(F.lit("json:"), "path"), "ApiResponse", F.col("value"), F.col("scope"), label("path")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    number = F.row_number().over(Window.partitionBy("trace_id").orderBy("s", "a", "b", "c", "place"))
-    return every.select("trace_id", F.format_string("ev-%03d", number).alias("id"), F.col("s").alias("section"), "node_id", "evidence_type", "value", "scope", "label")
+    rows = by_trace(fixtures, limit).select("trace_id", F.posexplode_outer("items").alias("pos", "x")).where("pos is not null").select("trace_id", "pos", "x.*")  # a plain explode would build the arrays once more to filter by their size
+    section, timing = F.col("s"), F.col("s").isin(1, 2) & (F.col("b") == -1)
+    prefix = F.when(section == 0, "param:").when(section == 3, "json:").when(section == 2, "udf:").when(timing, "sp:").otherwise("spcol:")
+    node = F.when(section == 3, F.col("c")).when((section == 1) & ~timing, F.concat("a", F.lit("."), "c")).otherwise(F.col("a"))
+    kind = F.when(section == 0, "Parameter").when(section == 3, "ApiResponse").when(timing, "Timing").otherwise("QueryResult")
+    label = F.when(section == 0, F.col("a")).when(timing, F.concat_ws(" ", "a", "value", F.lit("ms"))).otherwise(F.concat_ws(".", "scope", F.when(section == 2, F.col("a")).otherwise(F.col("c"))))
+    return rows.select("trace_id", evidence_id(F.col("pos") + 1).alias("id"), section.alias("section"), F.concat(prefix, node).alias("node_id"), kind.alias("evidence_type"), "value", "scope", label.alias("label"))
 
 
 def beyond_limit(fixtures: DataFrame, column: str = "procedureResults", limit: int = ROW_LIMIT) -> DataFrame:
     """(trace_id, owner, unknown) for results with more rows than are kept."""
-    return result_rows(fixtures, column, limit).where("beyond > 0").select("trace_id", "owner", F.concat(F.col("beyond").cast("string"), F.lit(" rows beyond the limit of "), F.lit(str(limit)), F.lit(" were not captured: "), "owner").alias("unknown"))
+    return result_rows(fixtures, column, limit).where("beyond > 0").select("trace_id", "owner", _beyond(F.col("beyond"), F.col("owner"), limit).alias("unknown"))
+
+
+def _beyond(more: Column, owner: Column, limit: int) -> Column:
+    return F.concat(more.cast("string"), F.lit(f" rows beyond the limit of {limit} were not captured: "), owner)
+
+
+def unknown_texts(captures: Column, limit: int) -> Column:
+    """beyond_limit's texts of all results of an array of captures."""
+    cut = lambda f, column: F.transform(F.filter(F.map_entries(f[column]), lambda e: F.size(e["value"]["rows"]) > limit), lambda e: _beyond(F.size(e["value"]["rows"]) - limit, e["key"], limit))
+    none = F.array().cast("array<string>")
+    return F.flatten(F.transform(captures, lambda f: F.concat(F.coalesce(cut(f, "procedureResults"), none), F.coalesce(cut(f, "functionResults"), none))))
 
 
 def allowed(environment: Column) -> Column:
@@ -174,22 +277,27 @@ def tool_results(fixtures: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
     and the evidence of it or of none. read_system_parameter by name: the value in the first allowed capture that has it, with its evidence id.
     read_pick_order_response by fixture: the response. Calls without a row here have no data.
     """
-    fixtures = kept(fixtures)
-    rows = kept(bind(fixtures, limit))
-    every = beyond_limit(fixtures, "procedureResults", limit).union(beyond_limit(fixtures, "functionResults", limit))
-    unknown = every.groupBy("trace_id").agg(F.array_sort(F.collect_list("unknown")).alias("unknowns"))
-    own = fixtures.select("trace_id", "entity_key", "environment").join(unknown, "trace_id", "left").withColumn("unknowns", F.coalesce("unknowns", F.array().cast("array<string>")))
-    scope = F.lower("scope")
-    counts = rows.groupBy("trace_id", scope.alias("scope")).agg(F.count(F.lit(1)).alias("n"), F.min("scope").alias("shown"))
-    total = counts.groupBy("trace_id").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("scope").isNull(), F.col("n"))), F.lit(0)).alias("free"))
+    each = by_trace(fixtures, limit, ("environment", "fixture_id"))
+    # the scopes of a trace in order: a run of equal ones is a group, which begins where the one before differs; so no evidence row leaves its trace
+    scopes = F.filter(F.transform("items", lambda x: F.struct(F.lower(x["scope"]).alias("key"), x["scope"].alias("shown"))), lambda x: x["key"].isNotNull())
+    each = each.select(
+        "trace_id", F.size("items").cast("long").alias("n"), F.sort_array(scopes).alias("scopes"), F.sort_array(unknown_texts(F.col("captures"), limit)).alias("unknowns"),
+        F.transform("captures", lambda f: F.struct(f["entity_key"].alias("entity_key"), f["environment"].alias("environment"), f["fixture_id"].alias("fixture_id"))).alias("heads"),
+        F.transform(F.filter("items", lambda x: x["s"] == 0), lambda x, k: F.struct(k.alias("k"), x["a"].alias("name"), x["value"].alias("value"))).alias("parameters"),
+    )
+    begins = F.filter(F.transform("scopes", lambda x, k: F.when((k == 0) | (F.get("scopes", k - 1)["key"] != x["key"]), k)), lambda k: k.isNotNull())
+    each = each.withColumn("begins", begins)
+    groups = F.transform("begins", lambda k, j: F.struct(F.get("scopes", k)["shown"].alias("shown"), (F.coalesce(F.get("begins", j + 1), F.size("scopes")) - k).cast("long").alias("n")))
+    each = kept(each.select("trace_id", "heads", "unknowns", "n", (F.col("n") - F.size("scopes")).alias("free"), "parameters", groups.alias("groups")))
+    own = each.select("trace_id", "unknowns", "n", "free", "groups", F.inline("heads"))
     head = [F.col("trace_id").alias("traceId"), F.col("entity_key").alias("entityKey")]
-    orders = own.join(total, "trace_id").select(F.lit("trace_pick_order").alias("tool"), F.col("entity_key").alias("key"), "environment", F.to_json(F.struct(*head, "environment", F.col("n").alias("evidenceCount"), "unknowns")).alias("result"))
-    scoped_ = own.join(total.drop("n"), "trace_id").join(counts.where("scope is not null"), "trace_id")
+    orders = own.select(F.lit("trace_pick_order").alias("tool"), F.col("entity_key").alias("key"), "environment", F.to_json(F.struct(*head, "environment", F.col("n").alias("evidenceCount"), "unknowns")).alias("result"))
+    scoped_ = own.select("trace_id", "entity_key", "environment", "unknowns", "free", F.inline("groups"))
     trace_of = F.concat_ws(":", "trace_id", "shown").alias("traceId")
     materials = scoped_.select(F.lit("trace_material"), F.concat_ws("/", "entity_key", "shown"), "environment", F.to_json(F.struct(trace_of, head[1], F.col("shown").alias("scope"), (F.col("n") + F.col("free")).alias("evidenceCount"), "unknowns")))
-    seen = rows.where((F.col("section") == 0) & F.col("node_id").startswith("param:")).join(fixtures.where(allowed(F.col("environment"))).select("trace_id", "fixture_id", "environment"), "trace_id")
-    first = seen.groupBy("node_id").agg(F.min_by(F.struct("id", "node_id", "value", "environment"), "fixture_id").alias("e"))
-    parameters = first.select(F.lit("read_system_parameter"), F.substring("node_id", len("param:") + 1, 1000), "e.environment", F.to_json(F.struct(F.col("e.id").alias("id"), F.col("node_id").alias("nodeId"), F.col("e.value").alias("value"), F.col("e.environment").alias("environment"))))
+    seen = each.select("parameters", F.inline("heads")).where(allowed(F.col("environment"))).select("fixture_id", "environment", F.inline("parameters"))
+    first = seen.groupBy("name").agg(F.min_by(F.struct("k", "value", "environment"), F.struct("fixture_id", "k")).alias("e"))
+    parameters = first.select(F.lit("read_system_parameter"), "name", "e.environment", F.to_json(F.struct(evidence_id(F.col("e.k") + 1).alias("id"), F.concat(F.lit("param:"), "name").alias("nodeId"), F.col("e.value").alias("value"), F.col("e.environment").alias("environment"))))
     responses = fixtures.select(F.lit("read_pick_order_response"), "fixture_id", "environment", "response")
     return orders.union(materials).union(parameters).union(responses)
 
