@@ -50,9 +50,9 @@ bound AS (SELECT 'trace-' || CAST(o_orderkey AS STRING) AS trace_id, row_number(
 @query(f"WITH {ROWS} SELECT trace_id, section, count(*) AS n, 'ev-' || lpad(CAST(min(n) AS STRING), 3, '0') AS first_id, sha256(string_agg(node_id || '=' || value || '@' || coalesce(scope, ''), ';' ORDER BY n)) AS hash FROM bound GROUP BY trace_id, section")
 def d1_bind(spark, sf_dir):
     rows = runtime.bind(captures(spark, sf_dir))
-    said = F.struct(F.col("id"), F.concat("node_id", F.lit("="), "value", F.lit("@"), F.coalesce("scope", F.lit(""))).alias("said"))
-    each = rows.groupBy("trace_id", "section").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.array_sort(F.collect_list(said)).alias("s"))
-    return each.select("trace_id", "section", "n", "first_id", F.sha2(F.array_join(F.transform("s", lambda x: x["said"]), ";"), 256).alias("hash"))
+    said = F.struct(F.length("id"), F.col("id"), F.concat("node_id", F.lit("="), "value", F.lit("@"), F.coalesce("scope", F.lit(""))).alias("said"))
+    each = rows.groupBy("trace_id", "section").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(said)).alias("s"))
+    return each.select("trace_id", "section", "n", F.col("s")[0]["id"].alias("first_id"), F.sha2(F.array_join(F.transform("s", lambda x: x["said"]), ";"), 256).alias("hash"))
 
 
 @query(f"""WITH {ROWS} SELECT trace_id, 'ev-' || lpad(CAST(n AS STRING), 3, '0') AS id, CASE WHEN node_id = 'sp:dbo.Lines' THEN 'dbo.Lines ' || value || ' ms' WHEN section = 0 THEN split_part(node_id, ':', 2)
