@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import text as T
 from weft.operators import runtime
+from weft.operators.shared import kept
 from weft.plans.registry import query
 from weft.sources import bench_graph as g
 
@@ -131,7 +132,7 @@ def d12_trace_order(spark, sf_dir):
 
 @query(f"""WITH {ROWS} SELECT trace_id || ':p1' AS trace_id, count(*) AS n FROM bound WHERE scope IS NULL OR lower(scope) = 'p1' GROUP BY trace_id UNION ALL SELECT trace_id, 0 FROM bound GROUP BY trace_id HAVING count(*) FILTER (lower(scope) = 'p1') = 0""")
 def d13_trace_material(spark, sf_dir):
-    own, unseen = runtime.by_material(runtime.bind(captures(spark, sf_dir)), "p1")
+    own, unseen = runtime.by_material(kept(runtime.bind(captures(spark, sf_dir)).select("trace_id", "scope")), "p1")
     return own.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).union(unseen.select("trace_id", F.lit(0).cast("long")))
 
 
