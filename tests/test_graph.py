@@ -75,6 +75,30 @@ def test_subgraph_leaves_out_edges_at_the_rim(spark):
     assert [r.node_id for r in traverse.subgraph(edges, nodes, "a", 0)[0].collect()] == ["a"]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_subgraph_reads_edges_where_they_are(spark, seed, monkeypatch):
+    """Without a cap and with repeated edges the rows are those of a plain search, and of the edges nothing is written."""
+    rng = random.Random(seed)
+    pairs = list({("n:1", "Calls", "n:2"), ("n:3", "Calls", "n:1"), *((f"n:{rng.randrange(40)}", "Calls", f"n:{rng.randrange(40)}") for _ in range(60))})
+    edges, nodes, _ = graph(spark, pairs)
+    written = []
+    real = traverse.kept_at
+    monkeypatch.setattr(traverse, "kept_at", lambda df, *by: written.append(df.columns) or real(df, *by))
+    found, kept, cut = traverse.subgraph(edges.union(edges), nodes, "n:1", 2, cap=None)
+    distance = {"n:1": 0}
+    for d in (1, 2):
+        for x in [x for x, at in distance.items() if at == d - 1]:
+            for a, _, b in pairs:
+                for u, v in ((a, b), (b, a)):
+                    if u == x:
+                        distance.setdefault(v, d)
+    assert {r.node_id: r.distance for r in found.collect()} == distance
+    want = sorted((a, b, distance[a], distance[b]) for a, _, b in pairs if a in distance and b in distance and min(distance[a], distance[b]) < 2)
+    assert sorted((r.src, r.dst, r.d_src, r.d_dst) for r in kept.collect()) == want
+    assert not any("up" in columns for columns in written)
+    assert len(traverse.subgraph(edges, nodes, "n:1", 2, cap=3)[0].collect()) == 3
+
+
 def walk(rows, known, root, depth=24):
     """The depth-first walk: each node expanded once, ancestors skipped, in edge order."""
     lineage = set(traverse.LINEAGE_RELATIONS)

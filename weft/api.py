@@ -84,7 +84,7 @@ class Service:
 
     def graph(self, root: str, depth: int = 3, columns: bool = True) -> dict:
         nodes, edges, cut = traverse.subgraph(self.edges, self.nodes, self._known(root), depth, columns)
-        return {"nodes": nodes, "edges": edges, "truncated": cut}
+        return {"nodes": nodes, "edges": edges.drop("d_src", "d_dst"), "truncated": cut}
 
     def architecture(self, root: str) -> dict[str, DataFrame]:
         nodes, edges = traverse.architecture(self.edges, self._known(root), self.outward())

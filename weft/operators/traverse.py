@@ -19,6 +19,7 @@ SUBGRAPH_DEPTH, SUBGRAPH_NODES = 8, 400
 IMPACT_DEPTH, IMPACT_NODES = 16, 500
 KEY_PATHS = 12
 BROADCAST_ROWS = 10_000
+BARE_ROWS = 500_000  # of nodes without ways, some 100 bytes each in a broadcast
 COMPACT = 8  # levels after which a search writes what it found as one table
 
 
@@ -60,11 +61,16 @@ def out_view(edges: DataFrame, relations: list[str] | None = None) -> DataFrame:
     return own.select("edge_id", "relation", F.col("src").alias("up"), F.col("dst").alias("down"))
 
 
+def small(df: DataFrame, rows: int, limit: int = BARE_ROWS) -> DataFrame:
+    """df, broadcast if its counted rows are few."""
+    return F.broadcast(df) if rows <= limit else df
+
+
 def breadth_first(steps: DataFrame | Steps, start: DataFrame, max_depth: int | None = None, cap: int | None = None, carry: tuple[str, ...] = (), by: tuple[str, ...] = (), until: DataFrame | None = None, ways: bool = True) -> tuple[DataFrame, bool]:
     """start: node. Rows (node, distance, parent, via, key, path, carry...) of all reached nodes; whether cap or depth cut it.
 
     steps: up, down, edge_id and the carried columns, which are those of the step that reached the node; a view is written first, an index is read as it
-    is. max_depth None: until nothing is new. cap: nodes in all, the start too. A frontier of at most BROADCAST_ROWS rows (each level is counted) is
+    is. max_depth None: until nothing is new. cap: nodes in all, the start too. A frontier of at most BROADCAST_ROWS rows, or BARE_ROWS without ways (each level is counted), is
     broadcast. by: columns of start that keep several searches apart; until: rows (by..., node) after whose last no level is searched. ways False: no key
     and no path, for searches in any order; a row then has the same size at every depth.
     """
@@ -97,7 +103,7 @@ def breadth_first(steps: DataFrame | Steps, start: DataFrame, max_depth: int | N
                 break
         depth += 1
         front = level.select(*by, F.col("node").alias("up"), *kept_ways)
-        front = F.broadcast(front) if size <= BROADCAST_ROWS else front
+        front = small(front, size, BROADCAST_ROWS if ways else BARE_ROWS)
         grown = [F.concat("key", F.array("edge_id")).alias("key"), F.concat("path", F.array("down")).alias("path")] if ways else []
         least = F.struct("key", "parent", "via", "path", *carry) if ways else F.struct("via", "parent", *carry)
         new = (
@@ -117,6 +123,8 @@ def breadth_first(steps: DataFrame | Steps, start: DataFrame, max_depth: int | N
         if not size:
             break
         found, level, count = found.union(new), new, count + size
+        if cut:
+            break
         if depth % COMPACT == 0:  # one table again, so that long chains do not grow the plan
             found = keep(found)
     else:
@@ -155,23 +163,32 @@ def key_paths(affected: DataFrame, limit: int = KEY_PATHS) -> DataFrame:
     return affected.where(order.isNotNull()).orderBy(order, "node_id").limit(limit)
 
 
-def subgraph(edges: DataFrame, nodes: DataFrame, root: str, depth: int = 3, columns: bool = True, cap: int = SUBGRAPH_NODES) -> tuple[DataFrame, DataFrame, bool]:
-    """Nodes (node_id, distance) and edges within depth steps of root, whichever way they point.
+def subgraph(edges: DataFrame, nodes: DataFrame, root: str, depth: int = 3, columns: bool = True, cap: int | None = SUBGRAPH_NODES) -> tuple[DataFrame, DataFrame, bool]:
+    """Nodes (node_id, distance) and edges (with d_src and d_dst, their ends' distances) within depth steps of root, whichever way they point.
 
     An edge is kept if one of its ends was expanded: edges between two nodes at the last level are left out. Without columns
-    no node that stands for a column is entered, but the root may be one.
+    no node that stands for a column is entered, but the root may be one. cap None: all nodes. The levels read edges where they are, which may say one
+    edge several times; of those only what touches an expanded node is dealt.
     """
     depth = min(max(depth, 0), SUBGRAPH_DEPTH)
+    spark = edges.sparkSession
     steps = undirected_view(edges)
     if not columns:
         steps = steps.where(~ids.is_column_level(F.col("down")))
-    found, cut = breadth_first(steps, edges.sparkSession.createDataFrame([(root,)], "node string"), depth, cap) if depth else (edges.sparkSession.createDataFrame([(root, 0)], "node string, distance int"), False)
+    if cap is None:
+        steps = steps.withColumn("edge_id", F.lit(None).cast("string"))  # no way is shown, so no id is made of all the edges that a level passes by
+    found, cut = breadth_first(Steps(steps), spark.createDataFrame([(root,)], "node string"), depth, cap, ways=cap is not None) if depth else (spark.createDataFrame([(root, 0)], "node string, distance int"), False)
     at = found.select("node", "distance")
-    n = found.count()
-    small = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
-    ends = edges.join(small(at.select(F.col("node").alias("src"), F.col("distance").alias("d_src"))), "src").join(small(at.select(F.col("node").alias("dst"), F.col("distance").alias("d_dst"))), "dst")
-    full = cut and n >= cap
-    return at.select(F.col("node").alias("node_id"), "distance"), ends.where(F.least("d_src", "d_dst") < depth).select("edge_id", "src", "relation", "dst"), full
+    sizes = {r.open: r["count"] for r in at.groupBy((F.col("distance") < depth).alias("open")).count().collect()}
+    n, opened = sum(sizes.values()), at.where(F.col("distance") < depth)
+    end = lambda df, c: df.select(F.col("node").alias(c), F.col("distance").alias(f"d_{c}"))
+    rows = edges.select("edge_id", "src", "relation", "dst")
+    for c in ("src", "dst"):
+        rows = rows.join(small(opened.select(F.col("node").alias(c), F.lit(True).alias(f"open_{c}")), sizes.get(True, 0)), c, "left")
+    near = rows.where("open_src or open_dst").select("edge_id", "src", "relation", "dst").distinct()
+    ends = near.join(small(end(at, "src"), n), "src").join(small(end(at, "dst"), n), "dst")
+    full = cut and cap is not None and n >= cap
+    return at.select(F.col("node").alias("node_id"), "distance"), ends.select("edge_id", "src", "relation", "dst", "d_src", "d_dst"), full
 
 
 def architecture(edges: DataFrame | None, root: str, index: Steps | None = None) -> tuple[DataFrame, DataFrame]:
