@@ -24,42 +24,42 @@ PART_CHARS = 8_000_000  # of the texts that one task reads
 
 
 def names(text: Column, before: str) -> Column:
-    """Distinct normalised object names that follow the pattern before."""
+    """Distinct normalised object names that follow the pattern before. The text is searched once; each find is then taken apart."""
     pattern = rf"(?i){before}{NAME}"
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("n"))
-    return F.array_distinct(F.transform(pairs, lambda p: ids.normalised(p["s"], p["n"])))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda m: ids.normalised(F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2))))
 
 
 def sql_objects(files: DataFrame) -> DataFrame:
     """files (path, text): path, kind, name, parameters, and arrays reads, calls, executes, writes, variables of each CREATE text."""
-    bare = squeezed(F.col("text"))
     head = rf"(?i)CREATE (?:OR ALTER )?(PROCEDURE|PROC|FUNCTION) {NAME}"
-    rows = files.select("path", bare.alias("sql")).withColumn("kind", F.upper(F.regexp_extract("sql", head, 1)))
-    own = ids.normalised(F.regexp_extract("sql", head, 2), F.regexp_extract("sql", head, 3))
-    body = F.regexp_replace("sql", r"'[^']*'", "''")
-    ctes = F.transform(F.regexp_extract_all(body, F.lit(r"(?i)(?:WITH|,) (\w+)(?: ?\([^)]*\))? AS \("), F.lit(1)), lambda c: F.concat(F.lit("dbo."), c))
+    # each step is a column of its own: arrays take their inputs row by row without sharing, so a text would be squeezed anew for each use
+    rows = dealt(files).select("path", squeezed(F.col("text")).alias("sql"))
+    rows = rows.withColumns({"kind": F.upper(F.regexp_extract("sql", head, 1)), "own": ids.normalised(F.regexp_extract("sql", head, 2), F.regexp_extract("sql", head, 3)), "body": F.regexp_replace("sql", r"'[^']*'", "''")})
+    body = F.col("body")
     # a comma between FROM items is not a WITH list, so only names with AS ( count
-    writes = names(body, r"(?:INSERT(?: INTO)?|UPDATE|DELETE FROM|INTO) ")
-    reads = F.filter(F.array_except(F.array_except(names(body, r"\b(?:FROM|JOIN|APPLY) "), writes), ctes), lambda n: ~F.contains(n, F.lit("#")))
-    called = F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"\b(\w+\.\w+) ?\("), F.lit(1)), lambda n: n))
-    return rows.where("kind <> ''").select(
-        "path", F.when(F.col("kind") == "FUNCTION", "udf").otherwise("sp").alias("kind"), own.alias("name"),
+    ctes = F.transform(F.regexp_extract_all(body, F.lit(r"(?i)(?:WITH|,) (\w+)(?: ?\([^)]*\))? AS \("), F.lit(1)), lambda c: F.concat(F.lit("dbo."), c))
+    found = rows.where("kind <> ''").withColumns({
+        "written": names(body, r"(?:INSERT(?: INTO)?|UPDATE|DELETE FROM|INTO) "), "read": names(body, r"\b(?:FROM|JOIN|APPLY) "), "ctes": ctes, "executes": names(body, r"\bEXEC(?:UTE)? "),
+        "called": F.array_distinct(F.regexp_extract_all(body, F.lit(r"\b(\w+\.\w+) ?\("), F.lit(1))),
+    })
+    no_temporary = lambda c: F.filter(c, lambda n: ~F.contains(n, F.lit("#")))
+    return found.select(
+        "path", F.when(F.col("kind") == "FUNCTION", "udf").otherwise("sp").alias("kind"), F.col("own").alias("name"),
         F.array_distinct(F.regexp_extract_all(F.regexp_extract("sql", r"(?i)^.*?\bAS\b", 0), F.lit(r"(@\w+)"), F.lit(1))).alias("parameters"),
-        F.array_except(reads, called).alias("reads"), F.array_except(called, F.array(own)).alias("calls"), names(body, r"\bEXEC(?:UTE)? ").alias("executes"),
-        F.filter(writes, lambda n: ~F.contains(n, F.lit("#"))).alias("writes"),
+        F.array_except(no_temporary(F.array_except(F.array_except("read", "written"), "ctes")), "called").alias("reads"), F.array_except("called", F.array("own")).alias("calls"), "executes",
+        no_temporary("written").alias("writes"),
         F.array_distinct(F.regexp_extract_all("sql", F.lit(rf"(?i)(?:{'|'.join(PARAMETER_READERS)})\s*\(\s*N?'([^']+)'"), F.lit(1))).alias("variables"),
     )
 
 
 def sql_edges(objects: DataFrame) -> DataFrame:
-    """(src, relation, dst) facts of sql_objects rows."""
-    own = F.concat("kind", F.lit(":"), "name")
+    """(src, relation, dst) facts of sql_objects rows, all from one reading of each."""
     facts = [("reads", "Reads", "table:"), ("calls", "CallsFunction", "udf:"), ("executes", "ExecutesSp", "sp:"), ("variables", "UsesParameter", "param:")]
-    out = None
-    for column, relation, prefix in facts:
-        rows = objects.select(own.alias("src"), F.lit(relation).alias("relation"), F.explode(column).alias("n")).select("src", "relation", F.concat(F.lit(prefix), "n").alias("dst"))
-        out = rows if out is None else out.union(rows)
-    return out.distinct()
+    none = F.array().cast("array<struct<relation:string,dst:string>>")
+    each = [F.coalesce(F.transform(column, lambda n: F.struct(F.lit(relation).alias("relation"), F.concat(F.lit(prefix), n).alias("dst"))), none) for column, relation, prefix in facts]
+    rows = objects.select(F.concat("kind", F.lit(":"), "name").alias("src"), F.concat(*each).alias("facts"))
+    return rows.select("src", F.explode_outer("facts").alias("f")).where("f is not null").select("src", "f.*").distinct()
 
 
 def diagnostics(files: DataFrame) -> DataFrame:
