@@ -25,3 +25,14 @@ def test_the_rule_engine_deals_no_hops(spark, sf_dir):
     """Lines are dealt before their hops are made, and the engine works where they lie."""
     assert exchanges(rule_queries.explained(spark, sf_dir).facts) == 0
     assert exchanges(rule_queries.guesses(spark, sf_dir)) == 0
+
+
+def test_visible_nodes_count_no_degrees(spark):
+    """Repeated edges and loops change nothing; a container goes if no drawn edge touches it, and only edges that are drawn are dealt by both ends."""
+    from weft.operators import client
+
+    edges = spark.createDataFrame([("a", "Contains", "b"), ("a", "Contains", "b"), ("c", "Contains", "d"), ("e", "Calls", "c"), ("f", "Contains", "f")], "src string, relation string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in "abcdefg"], "id string")
+    shown = client.visible_nodes(nodes, edges, ["Contains"])
+    assert sorted(r.id for r in shown.collect()) == ["b", "c", "d", "e", "g"]
+    assert "count" not in shown._jdf.queryExecution().optimizedPlan().toString()

@@ -79,11 +79,10 @@ def replay_plan(path: DataFrame, hops: DataFrame) -> DataFrame:
 
 
 def visible_nodes(nodes: DataFrame, edges: DataFrame, hidden: list[str]) -> DataFrame:
-    """Nodes (id) left when hidden relations are not drawn: a container that has edges but none of the drawn ones goes."""
-    ends = edges.select(F.col("src").alias("id"), "relation").union(edges.where("src <> dst").select("dst", "relation"))
-    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("every"), F.count_if(~F.col("relation").isin(hidden)).alias("drawn"))
-    holds = edges.where("relation = 'Contains'").select(F.col("src").alias("id")).distinct().withColumn("holds", F.lit(True))
-    gone = degree.where("drawn = 0").join(holds, "id", "left_semi")
+    """Nodes (id) left when hidden relations are not drawn: a container that has edges but none of the drawn ones goes. Edges may be said several times."""
+    drawn = edges.where(~F.col("relation").isin(hidden)).select(F.explode(F.array("src", "dst")).alias("id"))
+    holds = edges.where("relation = 'Contains'").select(F.col("src").alias("id")).distinct()  # so each has edges
+    gone = holds.join(drawn, "id", "left_anti")
     return nodes.join(gone, "id", "left_anti")
 
 
