@@ -73,3 +73,12 @@ def test_a_filter_reaches_the_scan(spark, sf_dir):
     at = bench_graph.Indexed(spark, sf_dir)
     plan = at.down.near(spark.createDataFrame([("column:part.1",), ("column:part.2",)], "node string"), 2)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(up, [column:part.1,column:part.2])]" in plan.replace(", column", ",column")
+
+
+def test_the_index_deals_bare_ends(spark, sf_dir):
+    """No id or reason moves: the steps are those of the whole view, and the shuffle's rows have the three columns that say an edge."""
+    made = bench_graph.Indexed(spark, sf_dir)._down()
+    told = traverse.downstream_view(bench_graph.edges(spark, sf_dir))
+    assert sorted(made.distinct().collect()) == sorted(told.select(made.columns).collect())
+    dealt = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in x]
+    assert len(dealt) == 1 and "edge:" not in made._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
