@@ -36,3 +36,23 @@ def test_visible_nodes_count_no_degrees(spark):
     shown = client.visible_nodes(nodes, edges, ["Contains"])
     assert sorted(r.id for r in shown.collect()) == ["b", "c", "d", "e", "g"]
     assert "count" not in shown._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_wide_broadcast_from_packed_files(spark, tmp_path):
+    """A packed table of a few hundred KB is tens of MB in the driver, so its size on disk lets no join broadcast it; a session's own lower or negative limit stays."""
+    from weft.operators.shared import BROADCAST, dealt_by_size
+
+    rows = spark.range(300_000).select("id", F.concat(F.lit("column:part.long.name."), (F.col("id") % 50_000).cast("string")).alias("node"))
+    rows.coalesce(1).write.option("compression", "zstd").parquet(str(tmp_path / "t"))
+    before = spark.conf.get(BROADCAST)
+    try:
+        for limit, left in (("10MB", str(256 << 10)), ("64k", "64k"), ("-1", "-1")):
+            spark.conf.set(BROADCAST, limit)
+            dealt_by_size(spark, [str(tmp_path)])
+            assert spark.conf.get(BROADCAST) == left
+        spark.conf.set(BROADCAST, "10MB")
+        dealt_by_size(spark, [str(tmp_path)])
+        table = spark.read.parquet(str(tmp_path / "t"))
+        assert "Broadcast" not in table.join(table.withColumnRenamed("node", "other"), "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(BROADCAST, before)
